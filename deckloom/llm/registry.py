@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deckloom.llm import packing, token_counts, token_files
+from deckloom.llm import packing, quality, simhash, substrings, token_counts, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_substring_dedup": substrings.query,
+        "op5_toxicity": toxicity.query,
         "op6_token_files": token_files.query,
+        "op7_simhash": simhash.query,
         "op8_packing": packing.query,
+        "op9_quality": quality.query,
         "op10_token_counts": token_counts.query,
     }
 
