@@ -6,11 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deckloom.llm import packing, quality, simhash, substrings, token_counts, token_files, toxicity
+from deckloom.llm import (
+    html_text,
+    mixing,
+    nearest,
+    packing,
+    quality,
+    simhash,
+    substrings,
+    token_counts,
+    token_files,
+    toxicity,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.query,
+        "op2_nearest": nearest.query,
+        "op3_html_text": html_text.query,
         "op4_substring_dedup": substrings.query,
         "op5_toxicity": toxicity.query,
         "op6_token_files": token_files.query,
@@ -22,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": mixing.SQL}
