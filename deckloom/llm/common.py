@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are handed to the word loops in pieces of about this many bytes.
 PIECE_BYTES = 1 << 20
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SPACE = re.compile(rb"(?<=[^\x20\x09-\x0D])[\x20\x09-\x0D]")
 
 
@@ -36,10 +37,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a DataFrame to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The shuffle files behind it are of no use once it is written, so Spark is asked to delete them with the job.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

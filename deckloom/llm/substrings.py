@@ -7,7 +7,7 @@ at cover positions of both, wherever the runs lie. Only these positions are hash
 1. Each task hashes its texts' anchors. Anchors that it sees twice are known to repeat; of each anchor, one row is
    compared with other tasks' rows, so no key gathers more rows than there are tasks' batches.
 2. Where an anchor repeats, the windows that contain it are candidates. The match is extended to the whole window by
-   comparing two 64-bit hashes of its words, again with one row for each window and batch.
+   comparing a 96-bit hash of its words, again with one row for each window and batch.
 3. All but the earliest of equal windows are marked, and the words that they cover are removed.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import bytes_of, documents, pieces, table
+from deckloom.llm.common import bytes_of, documents, pieces, stored, table
 from deckloom.llm.ngrams import mixed, runs, word_hashes
 
 WINDOW = 20
@@ -31,7 +31,7 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Stands for a null id in comparisons.
 NO_ID = -(1 << 63)
 _ANCHOR = "anchor long, k long, th int, pos int, known boolean"
-_FOUND = "w1 long, w2 long, k long, th int, start int, n int, known boolean"
+_FOUND = "w1 long, w2 int, k long, th int, start int, n int, known boolean"
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -62,8 +62,8 @@ def repeated_spans(
 ) -> DataFrame:
     """``__k, __th, __spans``: for each document with repeats, runs (start, n) of windows that also start earlier.
 
-    Earlier is a smaller ``(__k, __th)``, or an earlier start in the same document. The join with the texts has all of
-    their columns, so that a later join with the same rows finds them dealt out already.
+    Earlier is a smaller ``(__k, __th)``, or an earlier start in the same document. What one step finds is written
+    before the next begins, so that the shuffle files of both never lie on disk together.
     """
     anchor = window - period + 1
     at_cover = np.zeros(period, bool)
@@ -136,7 +136,7 @@ def repeated_spans(
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.where(known, alone, w1[sent]).view(np.int64)),
-                    pa.array(np.where(known, mixed(alone), w2[sent]).view(np.int64)),
+                    pa.array((np.where(known, mixed(alone), w2[sent]) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                     pa.array(k[row[sent]]),
                     pa.array(th[row[sent]]),
                     pa.array(start[sent].astype(np.int32)),
@@ -146,15 +146,16 @@ def repeated_spans(
                 names=["w1", "w2", "k", "th", "start", "n", "known"],
             )
 
-    hashed = marked.select("__k", "__th", text_col).mapInArrow(anchors, _ANCHOR)
+    rows = marked.select("__k", "__th", text_col)
+    hashed = rows.mapInArrow(anchors, _ANCHOR)
     compared = hashed.withColumn("rows", F.count("*").over(Window.partitionBy("anchor"))).filter("known or rows > 1")
     repeated = compared.groupBy(F.col("k").alias("__k"), F.col("th").alias("__th")).agg(F.collect_list("pos").alias("__anchors"))
-    found = marked.join(repeated, ["__k", "__th"]).mapInArrow(windows, _FOUND)
+    found = rows.join(stored(repeated, "anchors"), ["__k", "__th"]).mapInArrow(windows, _FOUND)
     place = F.struct("k", "th", "start")
     least = F.min(place).over(Window.partitionBy("w1", "w2"))
     later = found.withColumn("least", least).filter(F.col("known") | (place > F.col("least")))
     spans = F.collect_list(F.struct("start", "n")).alias("__spans")
-    return later.groupBy(F.col("k").alias("__k"), F.col("th").alias("__th")).agg(spans)
+    return stored(later.groupBy(F.col("k").alias("__k"), F.col("th").alias("__th")).agg(spans), "spans")
 
 
 def covered_words(n_words: int, spans: list[dict] | None, window: int = WINDOW) -> np.ndarray:
