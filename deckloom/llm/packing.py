@@ -108,8 +108,8 @@ def pack(
             number += 1
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch, "text"), strict=True):
-                ids = np.append(words.encode(text), np.uint32(end_id))
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode(bytes_of(batch, "text")), strict=True):
+                ids = np.append(ids, np.uint32(end_id))
                 n, whole = len(ids), len(ids) // capacity * capacity
                 for start in range(0, whole, capacity):
                     emit([(doc, start, n, ids[start : start + capacity])])

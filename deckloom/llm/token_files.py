@@ -45,8 +45,8 @@ def write_token_files(
         words, part, start = word_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, held, held_ids = [], [], 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch, "text"), strict=True):
-                x = np.append(words.encode(text), np.uint32(end_id))
+            for doc, x in zip(batch.column("doc_id").to_pylist(), words.encode(bytes_of(batch, "text")), strict=True):
+                x = np.append(x, np.uint32(end_id))
                 ids.append(x)
                 held.append((doc, start, len(x)))
                 start += len(x)
@@ -87,14 +87,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, token_ids`` of all documents; ``start`` counts the ids of all documents before.
 
     A filter on ``doc_id`` prunes stripes and row groups by their statistics and Bloom filters. The number of ids in
-    each file comes from two small columns; one row per file is summed up.
+    each file comes from small columns; one row per file, so as many as the writing tasks, is summed up and broadcast.
     """
     rows = spark.read.schema(STORED).orc(path)
     in_part = rows.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = in_part.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
     start = (F.col("before") + F.col("part_start")).alias("start")
-    return rows.join(offsets, "part").select("doc_id", start, F.col("n_tokens").cast("long").alias("n_tokens"), "token_ids")
+    return rows.join(F.broadcast(offsets), "part").select("doc_id", start, F.col("n_tokens").cast("long").alias("n_tokens"), "token_ids")
 
 
 def with_crc32(rows: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ import re
 import numpy as np
 
 #: At most this many cached words per worker; a full cache is emptied and filled anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
+#: A word that ends in an ASCII letter and then in punctuation; the tokenizer always splits it there.
+_TAILED = re.compile(rb"(.*[A-Za-z])([.,;:!?*$%&#]+)", re.DOTALL)
 
 _WORKER: dict = {}
 
@@ -28,7 +30,11 @@ def library_tokenizer(path: str):
 
 
 class WordEncoder:
-    """Ids of whole texts under a tokenizer that drops white space (``word_bpe_49k``)."""
+    """Ids of whole texts under a tokenizer that drops white space and case (``word_bpe_49k``).
+
+    The cache maps a word to a slot; a slot is a range of the array ``flat``. What the library encodes is a word's
+    lower-cased stem and its closing punctuation, so forms such as ``Word,`` and ``word.`` share the work.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = library_tokenizer(path)
@@ -39,46 +45,86 @@ class WordEncoder:
         self.start = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int32)
         self.flat = np.zeros(1 << 14, np.uint32)
-        self.filled = 0
-
-    def _learn(self, words: set[bytes]) -> None:
-        fresh = list(words)
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-        ids = [x.ids for x in encoded]
-        n, first = len(self.slot), self.filled
-        length = np.fromiter(map(len, ids), np.int32, len(ids))
-        total = int(length.sum())
-        while n + len(ids) > len(self.start):
+        self.slots = self.filled = 0
+
+    def _append(self, ids: np.ndarray, length: np.ndarray) -> range:
+        """New slots for runs of ids of the given lengths."""
+        n, first = self.slots, self.filled
+        while n + len(length) > len(self.start):
             self.start, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length))
-        while first + total > len(self.flat):
+        while first + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.length[n : n + len(ids)] = length
-        self.start[n : n + len(ids)] = first + np.cumsum(length) - length
-        self.flat[first : first + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.filled += total
-        self.slot.update(zip(fresh, range(n, n + len(fresh)), strict=True))
-
-    def encode(self, text: bytes) -> np.ndarray:
-        """Ids of the text as uint32. A bounded piece is looked up at a time; pieces are cut at white space."""
-        from deckloom.llm.common import pieces
-
-        parts = [self._encode_words(piece.split()) for piece in pieces(text)]
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
-
-    def _encode_words(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.zeros(0, np.uint32)
-        if len(self.slot) > CACHE_WORDS:
-            self._reset()
-        get = self.slot.get
-        slots = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        if slots.min() < 0:
-            self._learn({w for w, s in zip(words, slots, strict=True) if s < 0})
-            slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        self.length[n : n + len(length)] = length
+        self.start[n : n + len(length)] = first + np.cumsum(length) - length
+        self.flat[first : first + len(ids)] = ids
+        self.slots, self.filled = n + len(length), first + len(ids)
+        return range(n, self.slots)
+
+    def _learn(self, fresh: set[bytes]) -> None:
+        plain, parts = set(), []
+        for word in fresh:
+            if b"<|" in word:  # the strings of special tokens stay as they are
+                plain.add(word)
+                continue
+            tailed = _TAILED.fullmatch(word)
+            stem, tail = tailed.groups() if tailed else (word, b"")
+            parts.append((word, stem.lower(), tail))
+        plain.update(x for _, stem, tail in parts for x in (stem, tail) if x)
+        unknown = list(plain.difference(self.slot))
+        if unknown:
+            got = self.tokenizer.encode_batch_fast([w.decode() for w in unknown], add_special_tokens=False)
+            ids = [x.ids for x in got]
+            length = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
+            self.slot.update(zip(unknown, self._append(flat, length), strict=True))
+        slot, both = self.slot, []
+        for word, stem, tail in parts:
+            if not tail:
+                slot[word] = slot[stem]
+            else:
+                both.append((word, slot[stem], slot[tail]))
+        if both:
+            pair = np.array([x[1:] for x in both], np.int64)
+            ids = self._gather(pair.ravel())
+            slot.update(zip([x[0] for x in both], self._append(ids, self.length[pair].sum(1)), strict=True))
+
+    def _gather(self, slots: np.ndarray) -> np.ndarray:
         length = self.length[slots]
         ends = np.cumsum(length, dtype=np.int64)
-        shift = np.repeat(self.start[slots] - ends + length, length)
-        return self.flat[shift + np.arange(len(shift))]
+        return self.flat[np.repeat(self.start[slots] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text as uint32. About a megabyte of text is looked up at a time, cut at white space."""
+        from deckloom.llm.common import PIECE_BYTES, pieces
+
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        owner, words, held = [], [], 0
+        for i, text in enumerate(texts):
+            for piece in pieces(text):
+                owner.append(i)
+                words.append(piece.split())
+                held += len(piece)
+                if held >= PIECE_BYTES:
+                    self._look_up(owner, words, out)
+                    owner, words, held = [], [], 0
+        self._look_up(owner, words, out)
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+
+    def _look_up(self, owner: list[int], words: list[list[bytes]], out: list[list[np.ndarray]]) -> None:
+        if len(self.slot) > CACHE_WORDS:
+            self._reset()
+        flat = [w for x in words for w in x]
+        fresh = set(flat).difference(self.slot)
+        if fresh:
+            self._learn(fresh)
+        slots = np.fromiter(map(self.slot.__getitem__, flat), np.int64, len(flat))
+        ids = self._gather(slots)
+        word_ends = np.cumsum([len(x) for x in words])
+        id_ends = np.concatenate([[0], np.cumsum(self.length[slots], dtype=np.int64)])[word_ends]
+        begin = 0
+        for i, end in zip(owner, id_ends.tolist(), strict=True):
+            out[i].append(ids[begin:end])
+            begin = end
 
 
 def word_encoder(path: str) -> WordEncoder:
