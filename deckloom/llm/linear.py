@@ -78,7 +78,13 @@ def labelled_sample(
 
 
 def fit(
-    rows: list[np.ndarray], y: np.ndarray, log_count_ratio: bool, steps: int = 40, rate: float = 0.3, l2: float = 1e-6
+    rows: list[np.ndarray],
+    y: np.ndarray,
+    log_count_ratio: bool,
+    steps: int = 40,
+    rate: float = 0.3,
+    l2: float = 1e-6,
+    even: float = 0.0,
 ) -> Model:
     """Full-batch logistic regression by Adam; the data are walked in blocks, so little more than they is held.
 
@@ -98,6 +104,9 @@ def fit(
                 counts[x] += 1
             share.append(counts / ((y == value).sum() + 2))
         ratio = np.log(share[0] / share[1]).astype(np.float32)
+    share_of = y.mean()
+    weight = np.where(y == 1, 0.5 / share_of, 0.5 / (1 - share_of)) ** even
+    weight /= weight.sum()
     starts = range(0, len(rows), 256)
     blocks = [rows[k : k + 256] for k in starts]
     m, v, mb, vb, b = np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, 0.0, 0.0
@@ -110,7 +119,7 @@ def fit(
             root = 1 / np.sqrt(np.maximum(n, 1))
             row = np.repeat(np.arange(len(block)), n)
             z = np.bincount(row, scaled[flat], len(block)) * root + b
-            off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[first : first + len(block)]) / len(rows)
+            off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[first : first + len(block)]) * weight[first : first + len(block)]
             grad += np.bincount(flat, (off * root)[row], size).astype(np.float32) * ratio
             grad_b += off.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad

@@ -13,7 +13,7 @@ from deckloom.llm.common import bytes_of, documents, pieces, table
 from deckloom.llm.linear import Model, fit, fold, labelled_sample
 from deckloom.llm.ngrams import Distinct, char_buckets
 
-ORDERS = (4, 5, 6)
+ORDERS = (4, 6, 8)
 #: Labelled rows that are used for training at most, by class.
 TRAINING_ROWS = {1: 1500, 0: 3500}
 #: Lower-case letters and bytes over 127 stay, A-Z become lower case, all else is a space.
@@ -36,7 +36,7 @@ def features() -> Callable[[bytes], np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = TRAINING_ROWS) -> Model:
     """A model from at most ``rows[c]`` rows labelled c, none of them held out."""
-    return fit(*labelled_sample(docs, labels, "toxic", features, rows), log_count_ratio=True)
+    return fit(*labelled_sample(docs, labels, "toxic", features, rows), log_count_ratio=True, rate=1.0, even=0.5)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
