@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -72,9 +73,12 @@ def labelled_sample(
     # ids need not be unique in documents: of rows with one id, the first by hash is used
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     texts = documents(docs).join(F.broadcast(chosen), "doc_id").withColumn("n", F.row_number().over(once))
-    got = texts.filter("n = 1").select("y", "text").mapInArrow(extract, "y int, found binary").collect()
-    got.sort(key=lambda r: (r.y, bytes(r.found)))
-    return [np.frombuffer(r.found, "<i4") for r in got], np.array([r.y for r in got], np.float64)
+    got = texts.filter("n = 1").select("y", "text").mapInArrow(extract, "y int, found binary").toArrow()
+    rows, y = [], got["y"].to_numpy()
+    for chunk in got["found"].chunks:  # views of the Arrow buffers, not copies
+        rows += [np.frombuffer(x.as_buffer(), "<i4") for x in chunk]
+    order = sorted(range(len(rows)), key=lambda i: (y[i], zlib.crc32(rows[i])))
+    return [rows[i] for i in order], y[order].astype(np.float64) if len(y) else np.zeros(0)
 
 
 def fit(
