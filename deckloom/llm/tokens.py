@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -61,32 +62,31 @@ class WordEncoder:
         return range(n, self.slots)
 
     def _learn(self, fresh: set[bytes]) -> None:
-        plain, parts = set(), []
+        stems, tailed, plain = {}, [], set()
         for word in fresh:
             if b"<|" in word:  # the strings of special tokens stay as they are
                 plain.add(word)
-                continue
-            tailed = _TAILED.fullmatch(word)
-            stem, tail = tailed.groups() if tailed else (word, b"")
-            parts.append((word, stem.lower(), tail))
-        plain.update(x for _, stem, tail in parts for x in (stem, tail) if x)
-        unknown = list(plain.difference(self.slot))
+            elif found := _TAILED.fullmatch(word):
+                tailed.append((word, found[1].lower(), found[2]))
+            else:
+                stems[word] = word.lower()
+        plain.update(stems.values())
+        for _, stem, tail in tailed:
+            plain.add(stem)
+            plain.add(tail)
+        slot = self.slot
+        unknown = list(plain.difference(slot))
         if unknown:
             got = self.tokenizer.encode_batch_fast([w.decode() for w in unknown], add_special_tokens=False)
             ids = [x.ids for x in got]
             length = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
-            self.slot.update(zip(unknown, self._append(flat, length), strict=True))
-        slot, both = self.slot, []
-        for word, stem, tail in parts:
-            if not tail:
-                slot[word] = slot[stem]
-            else:
-                both.append((word, slot[stem], slot[tail]))
-        if both:
-            pair = np.array([x[1:] for x in both], np.int64)
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
+            slot.update(zip(unknown, self._append(flat, length), strict=True))
+        slot.update(zip(stems, map(slot.__getitem__, stems.values()), strict=True))
+        if tailed:
+            pair = np.array([(slot[stem], slot[tail]) for _, stem, tail in tailed], np.int64)
             ids = self._gather(pair.ravel())
-            slot.update(zip([x[0] for x in both], self._append(ids, self.length[pair].sum(1)), strict=True))
+            slot.update(zip([x[0] for x in tailed], self._append(ids, self.length[pair].sum(1)), strict=True))
 
     def _gather(self, slots: np.ndarray) -> np.ndarray:
         length = self.length[slots]
@@ -113,7 +113,7 @@ class WordEncoder:
     def _look_up(self, owner: list[int], words: list[list[bytes]], out: list[list[np.ndarray]]) -> None:
         if len(self.slot) > CACHE_WORDS:
             self._reset()
-        flat = [w for x in words for w in x]
+        flat = list(chain.from_iterable(words))
         fresh = set(flat).difference(self.slot)
         if fresh:
             self._learn(fresh)
