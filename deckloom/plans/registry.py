@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deckloom.plans import doc_queries, narration_queries, run_queries
+from deckloom.plans import doc_queries, narration_queries, review_queries, run_queries
 
-AREAS = (run_queries, doc_queries, narration_queries)
+AREAS = (run_queries, doc_queries, narration_queries, review_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
