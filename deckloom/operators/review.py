@@ -103,6 +103,45 @@ def check_rate(scenes: DataFrame, lead: float = 1.1, tail: float = 1.0, fast: fl
     return _finding(off, "warning", "speech_rate", F.when(F.col("__r") > fast, "fast").otherwise("slow"))
 
 
+def check_dangling(actions: DataFrame, elements: DataFrame) -> DataFrame:
+    """REV-6: actions whose target is no element of the page, by id or label."""
+    asked = actions.filter("target is not null").select("project_id", "scene_id", F.col("source_page").alias("page_index"), "target")
+    known = elements.select("project_id", "page_index", F.explode(F.array("element_id", "label")).alias("target")).filter("target is not null").distinct()
+    return _finding(asked.join(known, ["project_id", "page_index", "target"], "left_anti"), "warning", "dangling_action", F.col("target"))
+
+
+def check_overflow(actions: DataFrame, scenes: DataFrame, slack: float = 0.05) -> DataFrame:
+    """REV-7: actions that go on after their scene."""
+    length = scenes.select("project_id", "scene_id", F.col("duration").alias("__d"))
+    late = actions.join(length, ["project_id", "scene_id"]).filter(F.col("at") + F.col("duration") > F.col("__d") + slack)
+    return _finding(late, "warning", "action_overflow", F.coalesce("target", F.lit("")))
+
+
+def check_cue_length(cues: DataFrame, most: int = 34) -> DataFrame:
+    """REV-10: the first caption of each project that is longer than 34 characters."""
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy("start", "scene_id", "cue_seq"))
+    first = cues.filter(F.length("text") > most).withColumn("__p", place).filter("__p = 1")
+    return _finding(first, "info", "subtitle", F.col("text"))
+
+
+def subtitle_box(text: Column, font: float = 40.0, width: float = 1920.0, height: float = 1080.0) -> Column:
+    """REV-11: the box of a caption: CJK and full-width characters are as wide as the type size, others 0.55 of it; lines
+    wrap at 80 % of the frame less 56 pixels, are 1.35 of the size high, and stand 3 % above the bottom."""
+    wide = F.regexp_count(text, F.lit("[\u2e80-\u9fff\uf900-\ufaff\uff00-\uffef]"))
+    run, most = wide * font + (F.length(text) - wide) * font * 0.55, width * 0.8 - 56
+    lines = F.greatest(F.lit(1), F.ceil(run / most))
+    w, h = F.least(run, F.lit(most)), lines * font * 1.35
+    return F.struct(((width - w) / 2).alias("x"), (height * 0.97 - h).alias("y"), w.alias("w"), h.alias("h"))
+
+
+def check_caption_overflow(cues: DataFrame, height: float = 1080.0, share: float = 0.25) -> DataFrame:
+    """REV-12: scenes with a caption that leaves the frame or takes over a quarter of its height; one for each scene."""
+    box = cues.withColumn("__b", subtitle_box(F.col("text")))
+    off = box.filter((F.col("__b.y") < 0) | (F.col("__b.x") < 0) | (F.col("__b.h") > height * share))
+    place = F.row_number().over(Window.partitionBy("project_id", "scene_id").orderBy("start", "cue_seq"))
+    return _finding(off.withColumn("__p", place).filter("__p = 1"), "warning", "subtitle_overflow", F.substring("text", 1, 20))
+
+
 def check_blank(frame_stats: DataFrame, least: float = 24.0) -> DataFrame:
     """REV-16: scenes none of whose sampled frames has a range of brightness over 24; unreadable ones are left out."""
     span = frame_stats.groupBy("project_id", "scene_id").agg(F.max(F.col("ymax") - F.col("ymin")).alias("__s")).filter(F.col("__s") <= least)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from deckloom.operators import charts, ledger, narration, review
 from deckloom.plans import fixtures
-from deckloom.plans.doc_queries import typed_pages
+from deckloom.plans.doc_queries import raw_elements, typed_pages
 from deckloom.plans.fixtures import with_ctes
-from deckloom.plans.narration_queries import intents
+from deckloom.plans.narration_queries import intents, segments
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,26 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences as captions, one after the other in their scene."""
+    s = segments(spark, sf_dir)
+    return s.select("project_id", F.format_string("scene_%02d", "page_index").alias("scene_id"), F.col("seg_seq").alias("cue_seq"), F.col("seg_seq").cast("double").alias("start"), "text")
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An action for every fourth sentence, on the element of its number, which may be missing."""
+    s = segments(spark, sf_dir).filter("seg_seq % 4 = 0")
+    return s.select("project_id", F.format_string("scene_%02d", "page_index").alias("scene_id"), F.col("page_index").alias("source_page"), F.format_string("p%02d_e%02d", "page_index", "seg_seq").alias("target"), (F.col("seg_seq") * 1.5).alias("at"), F.lit(2.0).alias("duration"))
+
+
+def dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.check_dangling(actions(spark, sf_dir), raw_elements(spark, sf_dir))
+
+
+def overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.check_overflow(actions(spark, sf_dir), scenes(spark, sf_dir))
+
+
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scenes(spark, sf_dir)
     return review.score_quality(findings(spark, sf_dir), s, typed_pages(spark, sf_dir), cues(spark, sf_dir))
@@ -101,6 +121,11 @@ QUERIES = {
     "tl2_cues": lambda spark, sf_dir: review.absolute_cues(cues(spark, sf_dir), review.build_timeline(scenes(spark, sf_dir))),
     "tl4_frames": lambda spark, sf_dir: scenes(spark, sf_dir).select("project_id", "scene_id", review.total_frames(F.col("duration")).alias("frames")),
     "rev8_read_aloud": read_aloud,
+    "rev6_dangling": dangling,
+    "rev7_overflow": overflow,
+    "rev10_cue_length": lambda spark, sf_dir: review.check_cue_length(captions(spark, sf_dir)),
+    "rev11_boxes": lambda spark, sf_dir: captions(spark, sf_dir).select("project_id", "scene_id", "cue_seq", F.round(review.subtitle_box(F.col("text"))["w"], 3).alias("w"), F.round(review.subtitle_box(F.col("text"))["y"], 3).alias("y")),
+    "rev12_caption_overflow": lambda spark, sf_dir: review.check_caption_overflow(captions(spark, sf_dir)),
     "rev16_blank": blank,
     "rev1_to_14_findings": findings,
     "rev18_score": score,
@@ -221,6 +246,39 @@ FROM (
 )
 SELECT project_id, 'warning' AS severity, 'read_aloud' AS kind, printf('scene_%02d', page_index) AS scene_id, printf('%.0f%%', share * 100) AS message
 FROM (SELECT *, len(list_intersect(a, b)) / nullif(len(a), 0)::DOUBLE AS share FROM pairs) WHERE share > 0.72""",
+    ),
+    "rev6_dangling": with_ctes(
+        "segments elements",
+        """
+SELECT s.project_id, 'warning' AS severity, 'dangling_action' AS kind, printf('scene_%02d', s.page_index) AS scene_id, printf('p%02d_e%02d', s.page_index, s.seg_seq) AS message
+FROM segments s LEFT JOIN elements e ON e.project_id = s.project_id AND e.page_index = s.page_index AND e.seq = s.seg_seq WHERE s.seg_seq % 4 = 0 AND e.seq IS NULL""",
+    ),
+    "rev7_overflow": with_ctes(
+        "segments shot",
+        """
+SELECT s.project_id, 'warning' AS severity, 'action_overflow' AS kind, h.scene_id, printf('p%02d_e%02d', s.page_index, s.seg_seq) AS message
+FROM segments s JOIN shot h ON h.project_id = s.project_id AND h.scene_id = printf('scene_%02d', s.page_index)
+WHERE s.seg_seq % 4 = 0 AND s.seg_seq * 1.5 + 2 > h.duration + 0.05""",
+    ),
+    "rev10_cue_length": with_ctes(
+        "segments",
+        """
+SELECT project_id, 'info' AS severity, 'subtitle' AS kind, printf('scene_%02d', page_index) AS scene_id, text AS message FROM segments WHERE length(text) > 34
+QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY seg_seq, printf('scene_%02d', page_index)) = 1""",
+    ),
+    "rev11_boxes": with_ctes(
+        "segments",
+        """
+SELECT project_id, printf('scene_%02d', page_index) AS scene_id, seg_seq AS cue_seq, round(least(run, 1480), 3) AS w,
+  round(1080 * 0.97::DOUBLE - greatest(1, ceil(run / 1480)) * 40 * 1.35::DOUBLE, 3) AS y
+FROM (SELECT *, length(text) * 40 * 0.55::DOUBLE AS run FROM segments)""",
+    ),
+    "rev12_caption_overflow": with_ctes(
+        "segments",
+        """
+SELECT project_id, 'warning' AS severity, 'subtitle_overflow' AS kind, printf('scene_%02d', page_index) AS scene_id, substr(text, 1, 20) AS message
+FROM segments WHERE greatest(1, ceil(length(text) * 40 * 0.55::DOUBLE / 1480)) * 40 * 1.35::DOUBLE > 270
+QUALIFY row_number() OVER (PARTITION BY project_id, page_index ORDER BY seg_seq) = 1""",
     ),
     "rev16_blank": with_ctes(
         "stage_events",
