@@ -148,6 +148,14 @@ def check_blank(frame_stats: DataFrame, least: float = 24.0) -> DataFrame:
     return _finding(span, "error", "blank_frame", F.format_string("%.0f", "__s"))
 
 
+def check_monotone(unbroken: DataFrame, scenes: DataFrame, most: float = 12.0, least: float = 2.0) -> DataFrame:
+    """REV-15: scenes of two seconds or more with over 12 seconds without a pause; ``unbroken`` has ``longest``."""
+    rows = unbroken.join(scenes.select("project_id", "page_index", "duration"), ["project_id", "page_index"])
+    long = rows.filter((F.col("longest") > most) & (F.col("duration") >= least))
+    long = long.withColumn("scene_id", F.format_string("scene_%02d", "page_index"))
+    return _finding(long, "warning", "monotone", F.format_string("%.0f", "longest"))
+
+
 def finding_counts(findings: DataFrame) -> DataFrame:
     """REV-19: findings by kind and severity."""
     return findings.groupBy("kind", "severity").agg(F.count("*").alias("n"))
