@@ -142,16 +142,56 @@ def check_caption_overflow(cues: DataFrame, height: float = 1080.0, share: float
     return _finding(off.withColumn("__p", place).filter("__p = 1"), "warning", "subtitle_overflow", F.substring("text", 1, 20))
 
 
+def check_caption_cover(
+    cues: DataFrame, elements: DataFrame, zooms: DataFrame, width: float = 1920.0, height: float = 1080.0, share: float = 0.25, protected: float = 0.5
+) -> DataFrame:
+    """REV-13: elements a quarter or more of which lies under a caption, once for each scene and element.
+
+    ``cues`` have ``page_index``; elements of importance 0.5 with a text or file count, unless the camera's zoom (of
+    ``zooms``, by ``active_zoom``: ``area`` in shares of the frame) moves them off the frame. Captions that leave the
+    frame are left to REV-12. Joins are by page and caption.
+    """
+    box = subtitle_box(F.col("text"), width=width, height=height)
+    c = cues.withColumn("__b", box).filter((F.col("__b.y") >= 0) & (F.col("__b.x") >= 0) & (F.col("__b.h") <= height * share))
+    c = c.join(zooms.select("project_id", "scene_id", "cue_seq", F.col("area").alias("__z")), ["project_id", "scene_id", "cue_seq"], "left")
+    told = F.coalesce("text", F.lit("")) != ""
+    if "asset_path" in elements.columns:
+        told = told | (F.coalesce("asset_path", F.lit("")) != "")
+    e = elements.filter((F.col("importance") >= protected) & told).select("project_id", "page_index", "element_id", "label", "x", "y", "w", "h", "page_w", "page_h")
+    fit = F.least(F.lit(width) / F.col("page_w"), F.lit(height) / F.col("page_h"))
+    e = e.withColumn("__k", fit).withColumns({
+        "x": F.col("x") * F.col("__k") + (width - F.col("page_w") * F.col("__k")) / 2,
+        "y": F.col("y") * F.col("__k") + (height - F.col("page_h") * F.col("__k")) / 2,
+        "w": F.col("w") * F.col("__k"),
+        "h": F.col("h") * F.col("__k"),
+    })
+    rows = c.join(e, ["project_id", "page_index"])
+    zoomed = F.col("__z").isNotNull()
+    push = F.least(F.lit(1.0) / F.col("__z.w"), F.lit(1.0) / F.col("__z.h"))
+    moved = {
+        "x": F.when(zoomed, (F.col("x") - F.col("__z.x") * width) * push).otherwise(F.col("x")),
+        "y": F.when(zoomed, (F.col("y") - F.col("__z.y") * height) * push).otherwise(F.col("y")),
+        "w": F.when(zoomed, F.col("w") * push).otherwise(F.col("w")),
+        "h": F.when(zoomed, F.col("h") * push).otherwise(F.col("h")),
+    }
+    rows = rows.withColumns(moved)
+    seen = (F.col("x") + F.col("w") > 0) & (F.col("x") < width) & (F.col("y") + F.col("h") > 0) & (F.col("y") < height)
+    side = lambda a, n: F.greatest(F.lit(0.0), F.least(F.col(f"__b.{a}") + F.col(f"__b.{n}"), F.col(a) + F.col(n)) - F.greatest(f"__b.{a}", a))
+    under = side("x", "w") * side("y", "h") / F.nullif(F.col("w") * F.col("h"), F.lit(0.0))
+    rows = rows.filter((seen | ~zoomed) & (under >= share))
+    return _finding(rows.dropDuplicates(["project_id", "scene_id", "element_id"]), "warning", "subtitle_cover", F.coalesce("label", F.substring("element_id", 1, 10)))
+
+
 def check_blank(frame_stats: DataFrame, least: float = 24.0) -> DataFrame:
     """REV-16: scenes none of whose sampled frames has a range of brightness over 24; unreadable ones are left out."""
     span = frame_stats.groupBy("project_id", "scene_id").agg(F.max(F.col("ymax") - F.col("ymin")).alias("__s")).filter(F.col("__s") <= least)
     return _finding(span, "error", "blank_frame", F.format_string("%.0f", "__s"))
 
 
-def check_monotone(unbroken: DataFrame, scenes: DataFrame, most: float = 12.0, least: float = 2.0) -> DataFrame:
-    """REV-15: scenes of two seconds or more with over 12 seconds without a pause; ``unbroken`` has ``longest``."""
+def check_monotone(unbroken: DataFrame, scenes: DataFrame, most: float = 12.0, lead: float = 1.1, tail: float = 1.0) -> DataFrame:
+    """REV-15: scenes with two seconds of speech or more and over 12 seconds without a pause; ``unbroken`` has ``longest``."""
     rows = unbroken.join(scenes.select("project_id", "page_index", "duration"), ["project_id", "page_index"])
-    long = rows.filter((F.col("longest") > most) & (F.col("duration") >= least))
+    long = rows.filter((F.col("longest") > most) & (F.col("duration") - lead - tail >= 2))
     long = long.withColumn("scene_id", F.format_string("scene_%02d", "page_index"))
     return _finding(long, "warning", "monotone", F.format_string("%.0f", "longest"))
 
