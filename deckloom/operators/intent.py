@@ -20,8 +20,8 @@ def page_mentions(text: Column) -> Column:
 
 def pronunciations(text: Column) -> Column:
     """INT-5: a map from ``X 念/读作/读成 Y``; the last reading of a word wins."""
-    found = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9]+\s*(?:念|读作|读成)\s*[^\s，。,.]+"), F.lit(0))
-    part = lambda x, k: F.regexp_extract(x, r"^([A-Za-z0-9]+)\s*(?:念|读作|读成)\s*(.+)$", k)
+    found = F.regexp_extract_all(text, F.lit(r"[A-Za-z][A-Za-z0-9+]{1,15}\s*(?:念|读作|读成)\s*[A-Za-z0-9][A-Za-z0-9 ]{0,23}"), F.lit(0))
+    part = lambda x, k: F.trim(F.regexp_extract(x, r"^([A-Za-z0-9+]+)\s*(?:念|读作|读成)\s*(.+)$", k))
     pairs = F.transform(found, lambda x: F.struct(part(x, 1).alias("key"), part(x, 2).alias("value")))
     last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
     return F.map_from_entries(last)
@@ -46,3 +46,152 @@ def intent_diff(before: DataFrame, after: DataFrame, fields: tuple[str, ...] = I
     rows = rows.select("project_id", differ.alias("changed"))
     outside = F.array_except("changed", F.array(*[F.lit(c) for c in SOUND_FIELDS]))
     return rows.withColumn("sound_only", (F.size("changed") > 0) & (F.size(outside) == 0))
+
+
+# Lengths ------------------------------------------------------------------------------------------------------------
+
+# Chinese digits, and the numbers that they stand for at the same place.
+CN_DIGITS, CN_VALUES = "零〇一二两三四五六七八九", "001223456789"
+_NUM = rf"(\d+(?:\.\d+)?|[{CN_DIGITS}十]{{1,3}})"
+
+
+def parse_number(text: Column) -> Column:
+    """INT-1: a number in digits, or in Chinese from 0 to 99, where 十 is a place; null for anything else."""
+    t = F.trim(text)
+    one = rf"^[{CN_DIGITS}]$"
+    digit = lambda c: F.translate(c, CN_DIGITS, CN_VALUES).cast("double")
+    tens = F.regexp_extract(t, rf"^([{CN_DIGITS}]?)十[{CN_DIGITS}]?$", 1)
+    ones = F.regexp_extract(t, rf"^[{CN_DIGITS}]?十([{CN_DIGITS}]?)$", 1)
+    place = F.when(tens == "", 1.0).otherwise(digit(tens)) * 10 + F.when(ones == "", 0.0).otherwise(digit(ones))
+    return F.when(t.rlike(r"^\d+(\.\d+)?$"), t.try_cast("double")).when(t.rlike(one), digit(t)).when(t.rlike(rf"^[{CN_DIGITS}]?十[{CN_DIGITS}]?$"), place)
+
+
+def _found(text: Column, pattern: str, k: int = 1) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+
+
+def minutes_in(text: Column) -> Column:
+    """INT-2: minutes that a message names as hours (and a half), half an hour, minutes (and a half) or half a minute."""
+    hours, minutes = rf"{_NUM}\s*个?\s*(?:小时|钟头)(半)?", rf"{_NUM}\s*分\s*(钟|半)"
+    h, m = parse_number(_found(text, hours)), parse_number(_found(text, minutes))
+    half_hour = F.when(text.rlike(r"半\s*(?:小时|个小时|钟头)"), 30.0)
+    half = F.when(text.rlike(r"半\s*分钟"), 0.5)
+    whole = m + F.when(_found(text, minutes, 2) == "半", 0.5).otherwise(0.0)
+    return F.coalesce(h * 60 + F.when(_found(text, hours, 2).isNotNull(), 30.0).otherwise(0.0), half_hour, whole, half)
+
+
+def seconds_in(text: Column) -> Column:
+    """INT-2: seconds that a message names as minutes and seconds, or seconds alone."""
+    both = rf"{_NUM}\s*分\s*{_NUM}\s*秒"
+    return F.coalesce(parse_number(_found(text, both, 1)) * 60 + parse_number(_found(text, both, 2)), parse_number(_found(text, rf"{_NUM}\s*秒")))
+
+
+def stated_duration(text: Column) -> Column:
+    """INT-2: the length in seconds that a message asks for; null if it names none."""
+    both = text.rlike(rf"{_NUM}\s*分\s*{_NUM}\s*秒")
+    return F.when(both, seconds_in(text)).otherwise(F.coalesce(minutes_in(text) * 60, seconds_in(text)))
+
+
+# Wishes -------------------------------------------------------------------------------------------------------------
+
+# Words for a style, and the tone that a style implies.
+STYLES = {"专业": "professional", "科技": "tech", "活泼": "lively", "轻松": "casual", "正式": "formal"}
+STYLE_TONES = {
+    "professional": "清晰、稳重",
+    "tech": "干脆、重逻辑",
+    "lively": "轻快、有起伏",
+    "casual": "放松、像同事之间讲事",
+    "formal": "持重、书面",
+}
+# Words for a tone.
+TONES = {
+    "亲切": "亲切、像在跟人聊",
+    "热情": "热情、有推进感",
+    "沉稳": "沉稳、不急不缓",
+    "稳重": "清晰、稳重",
+    "严肃": "严肃、克制",
+    "干脆": "干脆、句子短",
+    "冷静": "冷静、只讲事实",
+    "幽默": "轻快、偶尔带一点玩笑",
+    "年轻": "年轻、口语化",
+}
+# Words for an audience, and for a rate of speech (longer phrases first).
+AUDIENCES = {"客户": "企业客户", "开发者": "技术人员", "技术": "技术人员", "投资": "投资人"}
+RATES = {
+    "再慢一点": 0.85, "慢很多": 0.85, "太快了": 0.85, "再快一点": 1.25, "快很多": 1.25, "慢一点": 0.9, "慢些": 0.9, "放慢": 0.9,
+    "快一点": 1.12, "快些": 1.12, "加快": 1.12, "太慢了": 1.12,
+}
+
+
+def _first_of(text: Column, words: dict) -> Column:
+    return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(v)) for w, v in words.items()])
+
+
+def parse_intent(messages: DataFrame, current: DataFrame) -> DataFrame:
+    """INT-4: each message's wishes over the project's present ``style, tone, audience, speech_rate, duration``.
+
+    A style brings its tone; a tone in words wins; what isn't mentioned, or a null message, keeps what is there.
+    """
+    fields = ("style", "tone", "audience", "speech_rate", "duration")
+    now = current.select("project_id", *[F.col(c).alias(f"__{c}") for c in fields])
+    rows = messages.join(now, "project_id")
+    text = F.coalesce("text", F.lit(""))
+    style = _first_of(text, STYLES)
+    implied = F.try_element_at(F.create_map(*[F.lit(x) for kv in STYLE_TONES.items() for x in kv]), style)
+    rate, seconds = _first_of(text, RATES), F.floor(stated_duration(text)).cast("int")
+    new = {"style": style, "tone": F.coalesce(_first_of(text, TONES), implied), "audience": _first_of(text, AUDIENCES), "speech_rate": rate, "duration": seconds}
+    zoom = F.contains(text, F.lit("放大")) & (F.contains(text, F.lit("数字")) | F.contains(text, F.lit("数据")))
+    return rows.select("project_id", "message_id", *[F.coalesce(c, F.col(f"__{k}")).alias(k) for k, c in new.items()], zoom.alias("zoom_on_key_data"))
+
+
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    return text.rlike("|".join(words))
+
+
+def parse_edits(messages: DataFrame, scenes: DataFrame, current: DataFrame) -> DataFrame:
+    """INT-7: what a message asks to change: ``scene_ids`` of the pages that it names, ``target_seconds`` for them, else the
+    whole film's ``duration``; ``revoice, redirect, rewrite_all``; and a ``summary``."""
+    text = F.coalesce("text", F.lit(""))
+    pages = F.transform(F.regexp_extract_all(text, F.lit(r"第\s*(\d+)\s*[页頁]"), F.lit(1)), lambda p: p.cast("int"))
+    rows = messages.join(current.select("project_id", F.col("duration").alias("__d")), "project_id")
+    rows = rows.withColumns({"__pages": pages, "__min": minutes_in(text), "__sec": seconds_in(text)})
+    named = rows.select("project_id", "message_id", F.posexplode("__pages").alias("__i", "source_page"))
+    named = named.join(scenes.select("project_id", "source_page", "scene_id"), ["project_id", "source_page"])
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("__i", "scene_id"))), lambda x: x["scene_id"])
+    rows = rows.join(named.groupBy("project_id", "message_id").agg(ids.alias("scene_ids")), ["project_id", "message_id"], "left")
+    mentions = F.size("__pages") > 0
+    target = F.coalesce("__sec", F.when(mentions, F.col("__min") * 60), F.lit(0.0))
+    asked = F.when(mentions, None).when(F.col("__sec").isNull(), F.col("__min") * 60).when(F.col("__min").isNull() & (F.col("__sec") != 0), F.col("__sec"))
+    rows = rows.withColumns({
+        "scene_ids": F.coalesce("scene_ids", F.array().cast("array<string>")),
+        "target_seconds": target,
+        "duration": F.coalesce(F.floor(asked).cast("int"), F.col("__d")),
+        "revoice": _any(text, ("音色", "声音", "配音", "语速", "换个声音")),
+        "redirect": _any(text, ("放大", "高亮", "镜头", "聚焦", "指针")),
+        "rewrite_all": _any(text, ("整体重写", "全部重写", "重写讲稿")),
+    })
+    parts = [
+        F.when(F.size("scene_ids") > 0, F.format_string("修改 %d 个场景", F.size("scene_ids"))),
+        F.when(F.col("duration") != F.col("__d"), F.format_string("总时长调整为 %d 秒", "duration")),
+        F.when(F.col("revoice"), "重新配音"),
+        F.when(F.col("redirect"), "重做镜头"),
+    ]
+    said = F.concat_ws("；", *parts)
+    summary = F.when(said == "", "按指令更新工程并重新渲染").otherwise(said)
+    return rows.select("project_id", "message_id", "scene_ids", "target_seconds", "duration", "revoice", "redirect", "rewrite_all", summary.alias("summary"))
+
+
+def recompute_plan(edits: DataFrame) -> DataFrame:
+    """INT-9: ``stages, scene_ids``: the least that must run again for an edit.
+
+    ``edits`` have ``scene_ids, revoice, redirect, rewrite_all, intent_changed, sound_only``. A rewrite, or a change of
+    more than the voice that names no scenes, runs all from the script on, for all scenes.
+    """
+    stages = lambda *s: F.array(*[F.lit(x) for x in s])
+    script = stages("narrate", "voice", "direct", "motion", "render", "review")
+    named = F.size("scene_ids") > 0
+    whole = F.col("rewrite_all") | (F.col("intent_changed") & ~named & ~F.col("sound_only"))
+    run = F.when(whole | named, script).when(F.col("redirect"), stages("direct", "motion", "render", "review"))
+    run = run.when(F.col("revoice"), stages("voice", "motion", "render", "review")).otherwise(stages("motion", "render"))
+    ids = F.when(named & ~whole, F.col("scene_ids")).otherwise(F.array().cast("array<string>"))
+    return edits.select("project_id", "message_id", run.alias("stages"), ids.alias("scene_ids"))

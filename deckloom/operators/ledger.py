@@ -51,3 +51,15 @@ def ledger_by_run(entries: DataFrame) -> DataFrame:
     return entries.groupBy("run_id").agg(
         F.count("*").alias("entries"), F.count(F.when(F.col("status") == "failed", 1)).alias("failed"), F.round(seconds, 2).alias("seconds")
     )
+
+
+def pair_artifacts(entries: DataFrame) -> DataFrame:
+    """LED-3: ``project_id, parent, index, claimed_by``: a step's artifacts, each with the first call under it that covers
+    its scene or page; null if none does. ``artifacts`` are structs with ``scene_id`` and ``page``."""
+    made = entries.filter("kind <> 'call'").select("project_id", F.col("seq").alias("parent"), F.posexplode("artifacts").alias("index", "__a"))
+    named = F.array_compact(F.array(F.concat(F.lit("scene:"), F.nullif("__a.scene_id", F.lit(""))), F.concat(F.lit("page:"), F.col("__a.page").cast("string"))))
+    keys = made.select("project_id", "parent", "index", F.explode(named).alias("key"))
+    calls = entries.filter("kind = 'call'").select("project_id", "parent", "seq", F.explode("covers").alias("key"))
+    first = calls.groupBy("project_id", "parent", "key").agg(F.min("seq").alias("seq"))
+    won = keys.join(first, ["project_id", "parent", "key"]).groupBy("project_id", "parent", "index").agg(F.min("seq").alias("claimed_by"))
+    return made.drop("__a").join(won, ["project_id", "parent", "index"], "left")

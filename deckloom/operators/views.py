@@ -40,3 +40,37 @@ def project_summary(scenes: DataFrame, scores: DataFrame) -> DataFrame:
         F.count("*").alias("scenes"), F.round(F.sum("duration"), 1).alias("duration"), F.bool_and(F.col("audio_path").isNotNull()).alias("ready")
     )
     return made.join(scores.select("project_id", "score"), "project_id", "left")
+
+
+def document_view(pages: DataFrame, elements: DataFrame, guide: DataFrame) -> DataFrame:
+    """VW-2: pages with the elements that have text, in order, and the budget to write their script by."""
+    page = ["project_id", "page_index"]
+    told = elements.filter(F.coalesce("text", F.lit("")) != "")
+    parts = F.array_sort(F.collect_list(F.struct("seq", "element_id", "kind", "text")))
+    rows = pages.select(*page, "title", "page_type").join(told.groupBy(*page).agg(parts.alias("elements")), page, "left")
+    none = F.array().cast("array<struct<seq:int,element_id:string,kind:string,text:string>>")
+    return rows.withColumn("elements", F.coalesce("elements", none)).join(guide.select(*page, "target_seconds", "chars"), page, "left")
+
+
+def scene_list(scenes: DataFrame, clips: DataFrame) -> DataFrame:
+    """VW-4: scenes with the path of their own clip, if it was made; ``clips`` hold one map for each project."""
+    rows = scenes.join(clips.select("project_id", "scene_clips"), "project_id", "left")
+    return rows.withColumn("clip", F.try_element_at("scene_clips", F.col("scene_id"))).drop("scene_clips")
+
+
+def run_result(runs: DataFrame, scenes: DataFrame) -> DataFrame:
+    """VW-5: each run's status, the names of its stages in order, and its project's scenes and length."""
+    made = scenes.groupBy("project_id").agg(F.count("*").alias("scene_count"), F.round(F.sum("duration"), 1).alias("duration"))
+    rows = runs.select("project_id", "run_id", "status", F.transform("stages", lambda s: s["stage"]).alias("stages"), F.col("quality.score").alias("quality"))
+    return rows.join(made, "project_id", "left").fillna({"scene_count": 0})
+
+
+def project_overview(scenes: DataFrame, actions: DataFrame) -> DataFrame:
+    """VW-6: one text for each project: a line for each scene with its page, seconds and moves at targets."""
+    aimed = actions.filter("target is not null")
+    moves = F.array_sort(F.collect_list(F.struct("at", F.format_string("%s@%.1fs", "type", "at").alias("t"))))
+    said = aimed.groupBy("project_id", "scene_id").agg(F.array_join(F.transform(moves, lambda m: m["t"]), "、").alias("__m"))
+    rows = scenes.join(said, ["project_id", "scene_id"], "left")
+    line = F.format_string("%s p%d %.1fs 动作：%s", "scene_id", "source_page", "duration", F.coalesce("__m", F.lit("无")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("scene_seq", line.alias("l")))), lambda x: x["l"])
+    return rows.groupBy("project_id").agg(F.array_join(lines, "\n").alias("overview"))

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deckloom.plans import attention_queries, caption_queries, doc_queries, live_queries, narration_queries, review_queries, run_queries, shot_queries
+from deckloom.plans import attention_queries, caption_queries, chart_queries, doc_queries, live_queries, message_queries, narration_queries
+from deckloom.plans import review_queries, run_queries, shot_queries, view_queries
 
-AREAS = (run_queries, doc_queries, narration_queries, review_queries, live_queries, attention_queries, caption_queries, shot_queries)
+AREAS = (run_queries, doc_queries, narration_queries, review_queries, live_queries, attention_queries, caption_queries, shot_queries, message_queries, chart_queries, view_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

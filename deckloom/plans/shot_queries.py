@@ -202,10 +202,10 @@ SELECT project_id, page_index, round(o + "at", 3) AS start, round(o + "at" + m.d
   CASE WHEN type = 'highlight' THEN least(1, nx + nw + 7.0::DOUBLE / 1920) - greatest(0, nx - 7.0::DOUBLE / 1920) ELSE nw END AS w,
   CASE WHEN type = 'highlight' THEN least(1, ny + nh + 7.0::DOUBLE / 1080) - greatest(0, ny - 7.0::DOUBLE / 1080) ELSE nh END AS h
 FROM (
-  SELECT *, greatest(0.02, least(bw / 1920, 1 - nx)) AS nw, greatest(0.02, least(bh / 1080, 1 - ny)) AS nh FROM (
-    SELECT *, greatest(0, least(1, bx / 1920)) AS nx, greatest(0, least(1, by / 1080)) AS ny FROM (
-      SELECT m.*, CASE WHEN type = 'highlight' THEN fx ELSE fx - fw * 0.08::DOUBLE END AS bx, CASE WHEN type = 'highlight' THEN fy ELSE fy - fh * 0.08::DOUBLE END AS by,
-        CASE WHEN type = 'highlight' THEN fw ELSE fw * 1.16::DOUBLE END AS bw, CASE WHEN type = 'highlight' THEN fh ELSE fh * 1.16::DOUBLE END AS bh
+  SELECT *, greatest(0.02, least(raw_w / 1920, 1 - nx)) AS nw, greatest(0.02, least(raw_h / 1080, 1 - ny)) AS nh FROM (
+    SELECT *, greatest(0, least(1, raw_x / 1920)) AS nx, greatest(0, least(1, raw_y / 1080)) AS ny FROM (
+      SELECT m.*, CASE WHEN type = 'highlight' THEN fx ELSE fx - fw * 0.08::DOUBLE END AS raw_x, CASE WHEN type = 'highlight' THEN fy ELSE fy - fh * 0.08::DOUBLE END AS raw_y,
+        CASE WHEN type = 'highlight' THEN fw ELSE fw * 1.16::DOUBLE END AS raw_w, CASE WHEN type = 'highlight' THEN fh ELSE fh * 1.16::DOUBLE END AS raw_h
       FROM moves m LEFT JOIN focus f ON f.project_id = m.project_id AND f.page_index = m.page_index AND f.element_id = m.target))
 ) m JOIN reels r USING (project_id, page_index)
 """,
