@@ -73,7 +73,8 @@ QUERIES = {
     "rev9_tics": lambda spark, sf_dir: drafts.check_tics(scenes(spark, sf_dir), LATIN_TICS),
 }
 
-#: The cut at 60 characters, at 120.
+#: The cut at 60 characters, at 300 and at 120.
+_CUT_300 = _CUT.replace("29", "149").replace("59", "299").replace("60", "300")
 _CUT_120 = _CUT.replace("60", "120").replace("59", "119").replace("29", "59")
 fixtures.CTES |= {
     "blocks": """
@@ -107,7 +108,7 @@ SELECT project_id, page_index, seq, element_id || CASE WHEN seq % 5 = 0 THEN ''
 ), parts AS (
   SELECT t.project_id, t.page_index, count(*) OVER (PARTITION BY t.project_id) AS n, (row_number() OVER (PARTITION BY t.project_id ORDER BY t.page_index) - 1) // 4 AS batch,
     concat_ws(chr(10), printf('## 第 %d 页｜%s', t.page_index, CASE WHEN title = '' THEN '（空）' ELSE title END), printf('字数预算：%d 字（%d–%d）', c, floor(c * 0.85::DOUBLE)::INT, floor(c * 1.15::DOUBLE)::INT),
-      CASE WHEN t.page_index % 2 = 0 AND title <> '' THEN '演讲者备注：' || trim(title) END, CASE WHEN l IS NOT NULL THEN '元素：' || chr(10) || l ELSE '（这一页没有可提取的文字，请看配图）' END) AS p
+      CASE WHEN t.page_index % 2 = 0 AND title <> '' THEN '演讲者备注：' || {_CUT_300.format(c="trim(title)")} END, CASE WHEN l IS NOT NULL THEN '元素：' || chr(10) || l ELSE '（这一页没有可提取的文字，请看配图）' END) AS p
   FROM typed t JOIN (SELECT project_id, page_index, floor(budget * 4.6::DOUBLE)::INT AS c FROM budgets) b ON b.project_id = t.project_id AND b.page_index = t.page_index
   LEFT JOIN lines l ON l.project_id = t.project_id AND l.page_index = t.page_index
 )
