@@ -237,9 +237,9 @@ SELECT {_PAGE}, start, "end", type, target, effect, CASE WHEN target IS NOT NULL
     "tl5_plans": _recursive(
         "film film_cues",
         f"""
-SELECT r.project_id, r.page_index, scene_id, round(greatest(duration, 0.5), 3) AS duration, image, coalesce(n_actions, 0) AS n_actions, coalesce(n_subtitles, 0) AS n_subtitles, first_target, first_start, last_text
+SELECT r.project_id, r.page_index, scene_id, round(greatest(duration, 0.5), 3) AS duration, image, coalesce(n_actions, 0) AS n_actions, coalesce(n_subtitles, 0) AS n_subtitles, nullif(a.f.t, '') AS first_target, a.f.a AS first_start, last_text
 FROM reels r
-LEFT JOIN (SELECT {_PAGE}, count(*)::INT AS n_actions, min({{'a': round(start - o, 3), 'b': round("end" - o, 3), 'c': type, 't': coalesce(target, '')}}) AS f, nullif(f.t, '') AS first_target, f.a AS first_start
+LEFT JOIN (SELECT {_PAGE}, count(*)::INT AS n_actions, min({{'a': round(start - o, 3), 'b': round("end" - o, 3), 'c': type, 't': coalesce(target, '')}}) AS f
   FROM film WHERE type <> 'transition' GROUP BY {_PAGE}) a ON {_ON.format(a="a", b="r")}
 LEFT JOIN (SELECT {_PAGE}, count(*)::INT AS n_subtitles, max({{'a': round(start - o, 3), 'b': round("end" - o, 3), 't': text}}).t AS last_text FROM film_cues GROUP BY {_PAGE}) t ON {_ON.format(a="t", b="r")}""",
     ),
