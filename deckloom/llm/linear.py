@@ -49,8 +49,11 @@ def labelled_sample(
     features: Callable[[], Callable[[bytes], np.ndarray]],
     per_class: dict[int, int],
     held_out: bool = False,
-) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most ``per_class[c]`` rows of each class, chosen by a hash of the id.
+) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Features and labels of at most ``per_class[c]`` rows of each class, chosen by a hash of the id, and their weights.
+
+    A row's weight is the number of labelled rows of its class over the number chosen of them, so that the classes keep
+    the ratio they have in the whole table where the bound takes a smaller part of one than of the other.
 
     Only the chosen ids are broadcast, so the texts of other documents are neither shuffled nor collected. Rows with a
     null label or id are passed over; an id labelled twice counts once, with its larger label.
@@ -58,6 +61,7 @@ def labelled_sample(
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
     rows = rows.filter(fold(F.col("doc_id")) == 0 if held_out else fold(F.col("doc_id")) != 0)
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for value, most in per_class.items():
         part = rows.filter(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -78,7 +82,8 @@ def labelled_sample(
     for chunk in got["found"].chunks:  # views of the Arrow buffers, not copies
         rows += [np.frombuffer(x.as_buffer(), "<i4") for x in chunk]
     order = sorted(range(len(rows)), key=lambda i: (y[i], zlib.crc32(rows[i])))
-    return [rows[i] for i in order], y[order].astype(np.float64) if len(y) else np.zeros(0)
+    y = y[order].astype(np.float64) if len(y) else np.zeros(0)
+    return [rows[i] for i in order], y, np.array([max(1.0, counts[v] / per_class[v]) for v in y.astype(int)])
 
 
 def fit(
@@ -89,14 +94,18 @@ def fit(
     rate: float = 0.3,
     l2: float = 1e-6,
     even: float = 0.0,
+    times: np.ndarray | None = None,
 ) -> Model:
     """Full-batch logistic regression by Adam; the data are walked in blocks, so little more than they is held.
 
     With ``log_count_ratio`` every feature is scaled by the logarithm of its smoothed share among positive rows over
-    that among negative rows. Without both classes the model is the smoothed prior (under one half with no rows).
+    that among negative rows. ``times[i]`` (1 if not given) says how many rows row i stands for; the rows are fitted
+    as they are, and the bias is then moved by the change of the classes' log ratio, as far as ``even`` leaves it to them:
+    steps that would be too few for very unequal weights are enough then. Without both classes the model is the smoothed prior (under one half with no rows).
     """
     size = 1 << BITS
-    w, b = np.zeros(size, np.float32), float(np.log((y.sum() + 0.5) / ((1 - y).sum() + 1)))
+    times = np.ones(len(y)) if times is None else times
+    w, b = np.zeros(size, np.float32), float(np.log((times @ y + 0.5) / (times @ (1 - y) + 1)))
     if not len(y) or not 0 < y.sum() < len(y):
         return Model(w, b)
     ratio = np.ones(size, np.float32)
@@ -131,19 +140,31 @@ def fit(
         a, c = 1 - 0.9**step, 1 - 0.99**step
         w -= (rate * (m / a) / (np.sqrt(v / c) + 1e-8)).astype(np.float32)
         b -= rate * (mb / a) / (np.sqrt(vb / c) + 1e-8)
+    b += (1 - even) * (np.log((times @ y) / (times @ (1 - y))) - np.log(share_of / (1 - share_of)))
     return Model(w * ratio, float(b))
 
 
-def calibrate(model: Model, rows: list[np.ndarray], y: np.ndarray) -> Model:
-    """Platt scaling on rows that the model wasn't fitted on; needs both classes, else the model stays as it is."""
+def calibrate(model: Model, rows: list[np.ndarray], y: np.ndarray, times: np.ndarray | None = None) -> Model:
+    """Platt scaling on rows that the model wasn't fitted on; needs both classes, else the model stays as it is.
+
+    Row i counts ``times[i]`` times (once if not given), scaled to a mean of one. Newton steps that overshoot are halved.
+    """
     if not len(y) or not 0 < y.sum() < len(y):
         return model
+    weight = np.ones(len(y)) if times is None else times / times.mean()
     z = np.array([model.margin(x) for x in rows])
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     x, a = np.stack([z, np.ones(len(z))], 1), np.array([1.0, 0.0])
+
+    def loss(a: np.ndarray) -> float:
+        return weight @ (np.logaddexp(0, x @ a) - target * (x @ a)) + 5e-4 * ((a - [1, 0]) ** 2).sum()
+
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
-        grad = x.T @ (p - target) + 1e-3 * (a - [1, 0])
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        a = a - np.linalg.solve(hess, grad)
+        grad = x.T @ (weight * (p - target)) + 1e-3 * (a - [1, 0])
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hess, grad)
+        while loss(a - step) > loss(a) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        a = a - step
     return Model(model.weights, model.bias, max(float(a[0]), 1e-3), float(a[1]))

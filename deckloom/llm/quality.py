@@ -60,8 +60,13 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from a bounded sample of labelled rows, its probabilities calibrated on a bounded held-out sample."""
-    model = fit(*labelled_sample(docs, labels, "quality", features, TRAINING_ROWS), log_count_ratio=False)
+    """A model from a bounded sample of labelled rows, its probabilities calibrated on a bounded held-out sample.
+
+    Both samples are weighted to the classes' ratio among all labelled rows.
+    """
+    rows, y, times = labelled_sample(docs, labels, "quality", features, TRAINING_ROWS)
+    model = fit(rows, y, log_count_ratio=False, times=times)
+    del rows
     return calibrate(model, *labelled_sample(docs, labels, "quality", features, CALIBRATION_ROWS, held_out=True))
 
 

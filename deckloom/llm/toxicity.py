@@ -35,8 +35,9 @@ def features() -> Callable[[bytes], np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = TRAINING_ROWS) -> Model:
-    """A model from at most ``rows[c]`` rows labelled c, none of them held out."""
-    return fit(*labelled_sample(docs, labels, "toxic", features, rows), log_count_ratio=True, rate=1.0, even=0.5)
+    """A model from at most ``rows[c]`` rows labelled c, weighted to their ratio in the table, none of them held out."""
+    found, y, times = labelled_sample(docs, labels, "toxic", features, rows)
+    return fit(found, y, log_count_ratio=True, rate=1.0, even=0.5, times=times)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -382,3 +382,33 @@ def test_linear_model_without_both_classes_is_the_prior():
     rows = [np.array([1, 2], np.int32)] * 3
     assert linear.fit(rows, np.ones(3), True).probability(rows[0]) > 0.5
     assert linear.fit([], np.zeros(0), True).probability(rows[0]) < 0.5
+
+
+def test_bounds_on_rows_leave_the_ratio_of_the_classes(spark, monkeypatch):
+    """Texts that tell nothing are as likely to be good as the whole table says, however few rows of a class are used."""
+    docs = spark.range(1400).selectExpr("id AS doc_id", "'the same few words' AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 7 > 0) AS quality", "int(doc_id % 7 = 0) AS toxic")
+    held = [i for i in range(1400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    rows, y, times = linear.labelled_sample(docs, labels, "quality", quality.features, {1: 60, 0: 50})
+    good = sum(i % 7 > 0 for i in range(1400)) - sum(i % 7 > 0 for i in held)
+    assert len(rows) == 110 and round(times @ y) == good and round(times.sum()) == 1400 - len(held)
+    monkeypatch.setattr(quality, "TRAINING_ROWS", {1: 50, 0: 50})
+    monkeypatch.setattr(quality, "CALIBRATION_ROWS", {1: 20, 0: 20})
+    share = sum(i % 7 > 0 for i in held) / len(held)
+    for model in (quality.train(docs, labels), linear.fit(rows, y, False, times=times)):
+        assert abs(model.probability(rows[0]) - share) < 0.05
+    same = [toxicity.train(docs, labels, most).probability(np.arange(9)) for most in ({1: 50, 0: 50}, {1: 5000, 0: 5000})]
+    assert abs(same[0] - same[1]) < 0.05
+
+
+def test_calibration_of_well_parted_rows_does_not_run_away():
+    """Full Newton steps from a slope of one overshoot on such margins, to slopes of many millions."""
+    rng = np.random.default_rng(9)
+    y = np.repeat([1.0, 0.0], 800)
+    margins = np.where(y == 1, 17.4, -17.4) + 6 * rng.normal(size=1600)
+    margins[:8], margins[800:816] = -1, 2
+    weights = np.zeros(1 << 20, np.float32)
+    weights[:1600] = margins
+    model = linear.calibrate(linear.Model(weights, 0.0), [np.array([i]) for i in range(1600)], y)
+    p = np.array([model.probability(np.array([i])) for i in range(1600)])
+    assert 0.05 < model.slope < 5 and -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) < 0.1
