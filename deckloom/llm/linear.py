@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,8 +14,40 @@ from pyspark.sql import functions as F
 from deckloom.llm.common import bytes_of, documents
 from deckloom.llm.ngrams import BITS
 
-#: Features of one training row that are used at most, evenly spaced; scoring uses all.
-TRAINING_FEATURES = 20_000
+#: Features that a block of rows has at most in a fitting step, beyond its first row's.
+BLOCK_FEATURES = 1 << 20
+_BITMAP_BYTES = (1 << BITS) // 8
+_HIGH = np.arange(1 << (BITS - 16), dtype=np.int32) << 16
+
+
+def packed(found: np.ndarray) -> bytes:
+    """All of a row's distinct buckets in 2**BITS / 8 bytes at most.
+
+    These are the low 16 bits of the sorted buckets, behind the count of each value of the high bits, or else a bitmap.
+    """
+    if 4 * len(_HIGH) + 2 * len(found) < _BITMAP_BYTES:
+        found = np.sort(found)
+        return np.bincount(found >> 16, minlength=len(_HIGH)).astype("<u4").tobytes() + found.astype("<u2").tobytes()
+    bits = np.zeros(1 << BITS, bool)
+    bits[found] = True
+    return np.packbits(bits).tobytes()
+
+
+class Rows(Sequence):
+    """Rows of buckets, kept packed; each is unpacked when it is asked for."""
+
+    def __init__(self, rows: list[pa.Buffer]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        row = self.rows[k]
+        if len(row) == _BITMAP_BYTES:
+            return np.flatnonzero(np.unpackbits(np.frombuffer(row, np.uint8))).astype(np.int32)
+        counts = np.frombuffer(row, "<u4", len(_HIGH))
+        return np.frombuffer(row, "<u2", offset=counts.nbytes) + np.repeat(_HIGH, counts)
 
 
 @dataclass
@@ -49,8 +81,8 @@ def labelled_sample(
     features: Callable[[], Callable[[bytes], np.ndarray]],
     per_class: dict[int, int],
     held_out: bool = False,
-) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Features and labels of at most ``per_class[c]`` rows of each class, chosen by a hash of the id, and their weights.
+) -> tuple[Rows, np.ndarray, np.ndarray]:
+    """All features, and labels, of at most ``per_class[c]`` rows of each class, chosen by a hash of the id, and their weights.
 
     A row's weight is the number of labelled rows of its class over the number chosen of them, so that the classes keep
     the ratio they have in the whole table where the bound takes a smaller part of one than of the other.
@@ -70,8 +102,7 @@ def labelled_sample(
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = features()
         for batch in batches:
-            found = [of(x) for x in bytes_of(batch, "text")]
-            found = [x[:: max(1, -(-len(x) // TRAINING_FEATURES))].astype("<i4").tobytes() for x in found]
+            found = [packed(of(x)) for x in bytes_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.binary())], names=["y", "found"])
 
     # ids need not be unique in documents: of rows with one id, the first by hash is used
@@ -80,14 +111,14 @@ def labelled_sample(
     got = texts.filter("n = 1").select("y", "text").mapInArrow(extract, "y int, found binary").toArrow()
     rows, y = [], got["y"].to_numpy()
     for chunk in got["found"].chunks:  # views of the Arrow buffers, not copies
-        rows += [np.frombuffer(x.as_buffer(), "<i4") for x in chunk]
+        rows += [x.as_buffer() for x in chunk]
     order = sorted(range(len(rows)), key=lambda i: (y[i], zlib.crc32(rows[i])))
     y = y[order].astype(np.float64) if len(y) else np.zeros(0)
-    return [rows[i] for i in order], y, np.array([max(1.0, counts[v] / per_class[v]) for v in y.astype(int)])
+    return Rows([rows[i] for i in order]), y, np.array([max(1.0, counts[v] / per_class[v]) for v in y.astype(int)])
 
 
 def fit(
-    rows: list[np.ndarray],
+    rows: Sequence[np.ndarray],
     y: np.ndarray,
     log_count_ratio: bool,
     steps: int = 40,
@@ -120,19 +151,24 @@ def fit(
     share_of = y.mean()
     weight = np.where(y == 1, 0.5 / share_of, 0.5 / (1 - share_of)) ** even
     weight /= weight.sum()
-    starts = range(0, len(rows), 256)
-    blocks = [rows[k : k + 256] for k in starts]
+    starts, held = [0], 0
+    for k, x in enumerate(rows):
+        if held and (held + len(x) > BLOCK_FEATURES or k - starts[-1] == 256):
+            starts, held = [*starts, k], 0
+        held += len(x)
+    ends = [*starts[1:], len(rows)]
     m, v, mb, vb, b = np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, 0.0, 0.0
     for step in range(1, steps + 1):
         grad, grad_b = l2 * w, 0.0
         scaled = w * ratio
-        for first, block in zip(starts, blocks, strict=True):
+        for first, end in zip(starts, ends, strict=True):
+            block = [rows[k] for k in range(first, end)]
             n = np.array([len(x) for x in block])
             flat = np.concatenate(block)
             root = 1 / np.sqrt(np.maximum(n, 1))
             row = np.repeat(np.arange(len(block)), n)
             z = np.bincount(row, scaled[flat], len(block)) * root + b
-            off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[first : first + len(block)]) * weight[first : first + len(block)]
+            off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[first:end]) * weight[first:end]
             grad += np.bincount(flat, (off * root)[row], size).astype(np.float32) * ratio
             grad_b += off.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
@@ -144,7 +180,7 @@ def fit(
     return Model(w * ratio, float(b))
 
 
-def calibrate(model: Model, rows: list[np.ndarray], y: np.ndarray, times: np.ndarray | None = None) -> Model:
+def calibrate(model: Model, rows: Sequence[np.ndarray], y: np.ndarray, times: np.ndarray | None = None) -> Model:
     """Platt scaling on rows that the model wasn't fitted on; needs both classes, else the model stays as it is.
 
     Row i counts ``times[i]`` times (once if not given), scaled to a mean of one. Newton steps that overshoot are halved.

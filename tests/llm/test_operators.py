@@ -412,3 +412,21 @@ def test_calibration_of_well_parted_rows_does_not_run_away():
     model = linear.calibrate(linear.Model(weights, 0.0), [np.array([i]) for i in range(1600)], y)
     p = np.array([model.probability(np.array([i])) for i in range(1600)])
     assert 0.05 < model.slope < 5 and -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) < 0.1
+
+
+def test_long_training_texts_keep_all_their_features(spark):
+    rng = random.Random(10)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9))) for _ in range(60_000)]
+    texts = ["a few words", "", " ".join(words[:10_000]), " ".join(words)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts, 1)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "1 AS toxic")
+    rows = []
+    for held_out in (False, True):
+        rows += linear.labelled_sample(docs, labels, "toxic", toxicity.features, {1: 9}, held_out)[0]
+    of = toxicity.features()
+    want = sorted(np.sort(of(t.encode())).tolist() for t in texts)
+    assert sorted(x.tolist() for x in rows) == want and max(map(len, want)) > 400_000
+    for n in (65_503, 65_504):
+        x = np.random.default_rng(n).permutation(1 << 20)[:n].astype(np.int32)
+        data = linear.packed(x)
+        assert len(data) <= 1 << 17 and linear.Rows([data])[0].tolist() == np.sort(x).tolist()
