@@ -1,8 +1,7 @@
-"""Logistic regression over hashed binary features, fitted on a bounded sample of labelled rows."""
+"""Logistic regression over hashed binary features, fitted in a task on a bounded sample of labelled rows."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -11,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import bytes_of, documents
+from deckloom.llm.common import documents
 from deckloom.llm.ngrams import BITS
 
 #: Features that a block of rows has at most in a fitting step, beyond its first row's.
-BLOCK_FEATURES = 1 << 20
+BLOCK_FEATURES = 1 << 19
 _BITMAP_BYTES = (1 << BITS) // 8
 _HIGH = np.arange(1 << (BITS - 16), dtype=np.int32) << 16
 
@@ -36,7 +35,7 @@ def packed(found: np.ndarray) -> bytes:
 class Rows(Sequence):
     """Rows of buckets, kept packed; each is unpacked when it is asked for."""
 
-    def __init__(self, rows: list[pa.Buffer]):
+    def __init__(self, rows: list[bytes]):
         self.rows = rows
 
     def __len__(self) -> int:
@@ -78,43 +77,65 @@ def labelled_sample(
     docs: DataFrame,
     labels: DataFrame,
     label: str,
-    features: Callable[[], Callable[[bytes], np.ndarray]],
-    per_class: dict[int, int],
-    held_out: bool = False,
-) -> tuple[Rows, np.ndarray, np.ndarray]:
-    """All features, and labels, of at most ``per_class[c]`` rows of each class, chosen by a hash of the id, and their weights.
+    features: Callable[[], Callable[[str], np.ndarray]],
+    training: dict[int, int],
+    held_out: dict[int, int] | None = None,
+) -> DataFrame:
+    """``held_out, y, times, found``: packed features of at most ``training[c]`` rows of each class c, by a hash of the id.
 
-    A row's weight is the number of labelled rows of its class over the number chosen of them, so that the classes keep
-    the ratio they have in the whole table where the bound takes a smaller part of one than of the other.
+    With ``held_out`` as many rows at most of each class are added from those held out. ``times`` is the number of
+    labelled rows of the row's class (and fold) over the number chosen of them, so that the classes keep the ratio they
+    have in the whole table where the bound takes a smaller part of one than of the other.
 
     Only the chosen ids are broadcast, so the texts of other documents are neither shuffled nor collected. Rows with a
-    null label or id are passed over; an id labelled twice counts once, with its larger label.
+    null label or id are passed over; an id labelled twice counts once, with its larger label; of documents with one
+    id, the first by hash of the text counts.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
-    rows = rows.filter(fold(F.col("doc_id")) == 0 if held_out else fold(F.col("doc_id")) != 0)
-    rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows = rows.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("held_out", fold(F.col("doc_id")) == 0)
+    counts = {(r.held_out, r.y): r.n for r in rows.groupBy("held_out", "y").agg(F.count("*").alias("n")).collect()}
     chosen = None
-    for value, most in per_class.items():
-        part = rows.filter(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    for held, bounds in ((False, training), (True, held_out or {})):
+        for value, most in bounds.items():
+            part = rows.filter((F.col("held_out") == held) & (F.col("y") == value)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+            part = part.withColumn("times", F.lit(max(1.0, counts.get((held, value), 0) / most)))
+            chosen = part if chosen is None else chosen.unionByName(part)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = features()
         for batch in batches:
-            found = [packed(of(x)) for x in bytes_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.binary())], names=["y", "found"])
+            found = pa.array([packed(of(x.as_py())) for x in batch.column("text")], pa.binary())
+            kept = [batch.column(c) for c in ("held_out", "y", "times")]
+            yield pa.RecordBatch.from_arrays([*kept, found], names=["held_out", "y", "times", "found"])
 
-    # ids need not be unique in documents: of rows with one id, the first by hash is used
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     texts = documents(docs).join(F.broadcast(chosen), "doc_id").withColumn("n", F.row_number().over(once))
-    got = texts.filter("n = 1").select("y", "text").mapInArrow(extract, "y int, found binary").toArrow()
-    rows, y = [], got["y"].to_numpy()
-    for chunk in got["found"].chunks:  # views of the Arrow buffers, not copies
-        rows += [x.as_buffer() for x in chunk]
-    order = sorted(range(len(rows)), key=lambda i: (y[i], zlib.crc32(rows[i])))
-    y = y[order].astype(np.float64) if len(y) else np.zeros(0)
-    return Rows([rows[i] for i in order]), y, np.array([max(1.0, counts[v] / per_class[v]) for v in y.astype(int)])
+    texts = texts.filter("n = 1").select("held_out", "y", "times", "text")
+    return texts.mapInArrow(extract, "held_out boolean, y int, times double, found binary")
+
+
+def fitted(sample: DataFrame, learn: Callable[[Rows, np.ndarray, np.ndarray, np.ndarray], Model]) -> Model:
+    """The model that ``learn(rows, y, times, held_out)`` makes of a bounded sample, in one task of an executor.
+
+    The task takes the packed rows in, 128 KB at most for each; the driver gets the model alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, parts = [], []
+        for batch in batches:
+            found += batch.column("found").to_pylist()
+            parts.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "times", "held_out")])
+        y, times, held = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0),) * 3
+        order = sorted(range(len(found)), key=lambda i: (y[i], found[i]))  # sums come out the same in every run
+        model = learn(Rows([found[i] for i in order]), y[order].astype(float), times[order].astype(float), held[order].astype(bool))
+        yield pa.RecordBatch.from_pylist(
+            [{"weights": model.weights.astype("<f4").tobytes(), "bias": model.bias, "slope": model.slope, "shift": model.shift}]
+        )
+
+    got = sample.repartition(1).mapInArrow(run, "weights binary, bias double, slope double, shift double").first()
+    if got is None:
+        return learn(Rows([]), np.zeros(0), np.zeros(0), np.zeros(0, bool))
+    return Model(np.frombuffer(got.weights, "<f4"), got.bias, got.slope, got.shift)
 
 
 def fit(
@@ -166,7 +187,7 @@ def fit(
             n = np.array([len(x) for x in block])
             flat = np.concatenate(block)
             root = 1 / np.sqrt(np.maximum(n, 1))
-            row = np.repeat(np.arange(len(block)), n)
+            row = np.repeat(np.arange(len(block), dtype=np.int32), n)
             z = np.bincount(row, scaled[flat], len(block)) * root + b
             off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[first:end]) * weight[first:end]
             grad += np.bincount(flat, (off * root)[row], size).astype(np.float32) * ratio

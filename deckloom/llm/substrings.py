@@ -5,9 +5,10 @@ P, into D. So two equal runs of ``window`` words always share an anchor (a run o
 at cover positions of both, wherever the runs lie. Only these positions are hashed and compared.
 
 1. Each task hashes its texts' anchors. Anchors that it sees twice are known to repeat; of each anchor, one row is
-   compared with other tasks' rows, so no key gathers more rows than there are tasks' batches.
+   compared with other tasks' rows. A task remembers its most frequent anchors, so of these it sends one row in all,
+   of others one for each of its batches at most.
 2. Where an anchor repeats, the windows that contain it are candidates. The match is extended to the whole window by
-   comparing a 96-bit hash of its words, again with one row for each window and batch.
+   comparing 96 bits of two independent hashes of its words, again with one row for each window and batch.
 3. All but the earliest of equal windows are marked, and the words that they cover are removed.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import bytes_of, documents, pieces, stored, table
+from deckloom.llm.common import bytes_of, documents, fresh, pieces, stored, table
 from deckloom.llm.ngrams import mixed, runs, word_hashes
 
 WINDOW = 20
@@ -47,21 +48,54 @@ def _first_of_equal(*sorted_keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows with two more columns that tell documents apart.
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str, str]:
+    """The rows with two more columns that tell documents apart, these columns' names, and a name for one more.
 
-    ``__k`` is the id (null is least); ``__th`` is a hash of the text if any id repeats, else 0.
+    The first is the id (null is least), the second a hash of the text if any id repeats, else 0.
     """
+    key, text_hash, spans = fresh(docs, "__k", "__th", "__spans")
     most = docs.groupBy(F.col(id_col).alias("k")).count().agg(F.max("count")).first()[0] or 0
     th = F.hash(F.coalesce(F.col(text_col), F.lit(""))) if most > 1 else F.lit(0)
-    return docs.withColumns({"__k": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__th": th})
+    rows = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), text_hash: th})
+    return rows, key, text_hash, spans
 
 
-def repeated_spans(
-    marked: DataFrame, text_col: str, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER
-) -> DataFrame:
+def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """The rows with one more column, their document's repeats (null if none), and its name."""
+    marked, key, text_hash, spans = _marked(docs, id_col, text_col)
+    places = marked.select(F.col(key).alias("__k"), F.col(text_hash).alias("__th"), F.col(text_col).alias("__text"))
+    found = repeated_spans(places).toDF(key, text_hash, spans)
+    return marked.join(found, [key, text_hash], "left").drop(key, text_hash), spans
+
+
+class _Hot:
+    """Keys that were frequent in some batch of a task, with the least place they were sent with; bounded in number.
+
+    Later rows of such a key are known to repeat, so a task sends one row of it, and not one for each batch.
+    """
+
+    def __init__(self, most: int = 1 << 16, frequent: int = 8):
+        self.most, self.frequent = most, frequent
+        self.least: dict[int, tuple] = {}
+
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys are held."""
+        held = np.fromiter(self.least, np.uint64, len(self.least))
+        return np.isin(keys, held) if len(held) else np.zeros(len(keys), bool)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, places: list[np.ndarray]) -> None:
+        """Hold frequent keys (and new least places of held ones) until there are as many as may be held."""
+        for i in np.flatnonzero((counts >= self.frequent) | self.known(keys)).tolist():
+            if len(self.least) >= self.most:
+                break
+            self.least[int(keys[i])] = tuple(int(x[i]) for x in places)
+
+
+def repeated_spans(marked: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """``__k, __th, __spans``: for each document with repeats, runs (start, n) of windows that also start earlier.
 
+    Takes rows ``__k, __th, __text``.
+
     Earlier is a smaller ``(__k, __th)``, or an earlier start in the same document. What one step finds is written
     before the next begins, so that the shuffle files of both never lie on disk together.
     """
@@ -70,10 +104,11 @@ def repeated_spans(
     at_cover[list(cover)] = True
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = _Hot()
         for batch in batches:
             found, doc, pos = [], [], []
-            for i, text in enumerate(bytes_of(batch, text_col)):
-                h = runs(_hashes(text), anchor)
+            for i, text in enumerate(bytes_of(batch, "__text")):
+                h = runs(_hashes(text)[:, 0], anchor)
                 where = np.flatnonzero(np.resize(at_cover, len(h))) if len(h) else np.zeros(0, np.int64)
                 found.append(h[where])
                 doc.append(np.full(len(where), i, np.int64))
@@ -83,7 +118,13 @@ def repeated_spans(
             h, doc, pos = h[order], doc[order], pos[order]
             first = _first_of_equal(h)
             group = np.cumsum(first) - 1
-            known = np.bincount(group, minlength=1)[group] > 1 if len(h) else np.zeros(0, bool)
+            if not len(h):
+                continue
+            size = np.bincount(group)
+            sent_before = hot.known(h[first])
+            known = (size > 1)[group] | sent_before[group]
+            hot.add(h[first], size, [])
+            first[first] = ~sent_before
             alone = mixed((doc.astype(np.uint64) << np.uint64(32)) ^ pos.astype(np.uint64) ^ (h * _SECOND))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -97,9 +138,10 @@ def repeated_spans(
             )
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = _Hot()
         for batch in batches:
             k, th = batch.column("__k").to_numpy(), batch.column("__th").to_numpy()
-            texts, flagged = bytes_of(batch, text_col), batch.column("__anchors")
+            texts, flagged = bytes_of(batch, "__text"), batch.column("__anchors")
             w1, w2, doc, start = [], [], [], []
             order = np.lexsort((th, k))
             new = _first_of_equal(k[order], th[order])
@@ -115,8 +157,8 @@ def repeated_spans(
                 np.add.at(mark, np.maximum(at - period + 1, 0), 1)
                 np.add.at(mark, at + 1, -1)
                 here = np.flatnonzero(np.cumsum(mark)[:n] > 0)
-                w1.append(mixed(runs(h, window)[here]))
-                w2.append(mixed(runs(mixed(h ^ _SECOND), window)[here]))
+                w1.append(runs(h[:, 0], window)[here])
+                w2.append(runs(h[:, 1], window)[here])
                 doc.append(np.full(len(here), o, np.int64))
                 start.append(here)
             if not w1:
@@ -124,8 +166,17 @@ def repeated_spans(
             w1, w2, doc, start = map(np.concatenate, (w1, w2, doc, start))
             row = order[new][doc]  # documents come in order, so rows are in order of (k, th, start)
             by = np.argsort(w1, kind="stable")
+            new_key = _first_of_equal(w1[by], w2[by])
+            head = by[new_key]  # the earliest of each window in this batch
+            size = np.diff(np.append(np.flatnonzero(new_key), len(by)))
+            pair = w1[head] ^ mixed(w2[head])
+            place = [k[row[head]], th[row[head]], start[head]]
+            after = hot.known(pair)
+            for i in np.flatnonzero(after).tolist():
+                after[i] = hot.least[int(pair[i])] < tuple(int(x[i]) for x in place)
+            hot.add(pair[~after], size[~after], [x[~after] for x in place])
             first = np.zeros(len(w1), bool)
-            first[by] = _first_of_equal(w1[by], w2[by])
+            first[head] = ~after
             later = np.flatnonzero(~first)
             run = np.ones(len(later), bool)
             run[1:] = (doc[later][1:] != doc[later][:-1]) | (start[later][1:] != start[later][:-1] + 1)
@@ -146,7 +197,7 @@ def repeated_spans(
                 names=["w1", "w2", "k", "th", "start", "n", "known"],
             )
 
-    rows = marked.select("__k", "__th", text_col)
+    rows = marked.select("__k", "__th", "__text")
     hashed = rows.mapInArrow(anchors, _ANCHOR)
     compared = hashed.withColumn("rows", F.count("*").over(Window.partitionBy("anchor"))).filter("known or rows > 1")
     repeated = compared.groupBy(F.col("k").alias("__k"), F.col("th").alias("__th")).agg(F.collect_list("pos").alias("__anchors"))
@@ -173,14 +224,15 @@ def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``doc_id, n_words, n_removed, kept_sha256`` for every row: what is left after removing repeats.
 
     A null text has no words. Null ids are one least id. Of rows with equal ids and different texts, those with the
-    smaller text hash come first; rows equal in both are one document, treated alike.
+    smaller text hash come first; rows equal in both are one document, treated alike. An empty table gives no rows.
+    Other columns are not read. Windows are compared by 96 bits of two independent hashes of their words.
     """
-    marked = _marked(documents(docs, id_col, text_col), "doc_id", "text")
+    rows, spans_col = _with_spans(documents(docs, id_col, text_col), "doc_id", "text")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, spans in zip(bytes_of(batch, "text"), batch.column("__spans").to_pylist(), strict=True):
+            for text, spans in zip(bytes_of(batch, "text"), batch.column(spans_col).to_pylist(), strict=True):
                 words = text.split()
                 kept = words
                 if spans:
@@ -192,31 +244,29 @@ def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    rows = marked.join(repeated_spans(marked, "text"), ["__k", "__th"], "left").select("doc_id", "text", "__spans")
-    return rows.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("doc_id", "text", spans_col).mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
     """The rows with all their columns, repeats cut from the text; ``chars_col``, if given, is set to its new length.
 
     A text without repeats stays as it is; of others the kept words are joined by one space. Rows stay even if no word
-    is left. Nulls and repeated rows are treated as in ``removal_digest``.
+    is left. Nulls and repeated rows are treated as in ``removal_digest``. Columns may have any name.
     """
-    marked = _marked(docs, id_col, text_col)
-    rows = marked.join(repeated_spans(marked, text_col), ["__k", "__th"], "left").drop("__k", "__th")
+    rows, spans_col = _with_spans(docs, id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             texts = batch.column(text_col).to_pylist()
-            for i, spans in enumerate(batch.column("__spans").to_pylist()):
+            for i, spans in enumerate(batch.column(spans_col).to_pylist()):
                 if spans:
                     words = texts[i].encode().split()
                     gone = covered_words(len(words), spans).tolist()
                     texts[i] = b" ".join(w for w, c in zip(words, gone, strict=True) if not c).decode()
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
-            kept = [i for i, name in enumerate(batch.schema.names) if name != "__spans"]
+            kept = [i for i, name in enumerate(batch.schema.names) if name != spans_col]
             yield pa.RecordBatch.from_arrays([columns[i] for i in kept], names=[batch.schema.names[i] for i in kept])
 
     result = rows.mapInArrow(cut, docs.schema)
