@@ -56,12 +56,16 @@ LEAST_CHARS, PROSE_CHARS = 25, 80
 
 
 class Node:
-    __slots__ = ("name", "names", "attrs", "parent", "items", "points")
+    __slots__ = ("name", "attrs", "parent", "in_article", "items", "points", "chars", "linked", "own")
 
     def __init__(self, name: str, attrs: dict, parent: Node | None):
         self.name, self.attrs, self.parent = name, attrs, parent
+        self.in_article = parent is not None and (parent.in_article or parent.name in ("article", "main"))
         self.items: list[Node | str] = []
         self.points = 0.0
+        # letters inside, letters inside links, and the text of its own paragraph, if it is one
+        self.chars = self.linked = 0
+        self.own: list[str] | str = []
 
     def unwanted(self) -> bool:
         """Menus, site headers and footers, sidebars, notices, adverts, forms, comments and what isn't shown."""
@@ -75,7 +79,7 @@ class Node:
         if (a.get("role") or "").lower() in UNLIKELY_ROLES:
             return True
         if self.name == "header":
-            return not any(up.name in ("article", "main") for up in self.above())
+            return not self.in_article
         return self._says(UNLIKELY) and not self._says(LIKELY - {"text", "body"} if self._says(COMMENTS) else LIKELY)
 
     def _says(self, words: frozenset) -> bool:
@@ -109,20 +113,35 @@ COMMENTS = frozenset("comment comments commentlist disqus reply replies respond
 
 
 class Tree(HTMLParser):
-    """Builds the element tree, closing what HTML closes implicitly."""
+    """Builds the element tree, closing what HTML closes implicitly.
+
+    ``path`` holds the open elements. For each name the depths of those open are kept, and for block elements but p, so
+    what an end tag ends is found without a walk, however deep the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html", {}, None)
-
-    def _end(self, names: set | frozenset, within: set | frozenset = frozenset()) -> None:
-        """Close the innermost open element of those names, unless one of ``within`` lies between."""
-        node = self.at
-        while node is not self.root and node.name not in within:
-            if node.name in names:
-                self.at = node.parent
-                return
-            node = node.parent
+        self.root = Node("html", {}, None)
+        self.path, self.depths, self.block_depths = [self.root], {}, []
+
+    def _deepest(self, names: set | frozenset) -> int:
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
+
+    def _end(self, names: set | frozenset, within: set | frozenset = frozenset(), block: bool = False, p: bool = True) -> None:
+        """Close the innermost open element of those names, unless one of ``within`` lies between, or, with ``block``, a
+        block element (p only if it is to count)."""
+        depth, limit = self._deepest(names), self._deepest(within)
+        if block:
+            limit = max(limit, self.block_depths[-1] if self.block_depths else 0, self._deepest({"p"}) if p else 0)
+        if depth > limit:
+            self._cut(depth)
+
+    def _cut(self, depth: int) -> None:
+        while len(self.path) > depth:
+            node = self.path.pop()
+            self.depths[node.name].pop()
+            if node.name in BLOCK and node.name != "p":
+                self.block_depths.pop()
 
     def handle_starttag(self, name: str, attrs: list) -> None:
         if name in ("html", "body"):
@@ -131,25 +150,25 @@ class Tree(HTMLParser):
         if name in CLOSES:
             self._end(*CLOSES[name])
         elif name in BLOCK:
-            self._end({"p"}, BLOCK - {"p"})
-        node = Node(name, dict(attrs), self.at)
-        self.at.items.append(node)
+            self._end({"p"}, block=True, p=False)
+        node = Node(name, dict(attrs), self.path[-1])
+        self.path[-1].items.append(node)
         if name not in VOID:
-            self.at = node
+            self.depths.setdefault(name, []).append(len(self.path))
+            if name in BLOCK and name != "p":
+                self.block_depths.append(len(self.path))
+            self.path.append(node)
 
     def handle_startendtag(self, name: str, attrs: list) -> None:
         self.handle_starttag(name, attrs)
-        if name not in VOID and name not in BLOCK and self.at.name == name:
-            self.at = self.at.parent
+        if name not in VOID and name not in BLOCK and self.path[-1].name == name:
+            self._cut(len(self.path) - 1)
 
     def handle_endtag(self, name: str) -> None:
-        if name in BLOCK or name in DROPPED:
-            self._end({name})
-        else:
-            self._end({name}, BLOCK)
+        self._end({name}, block=name not in BLOCK and name not in DROPPED)
 
     def handle_data(self, data: str) -> None:
-        self.at.items.append(data)
+        self.path[-1].items.append(data)
 
 
 def _prune(root: Node) -> None:
@@ -195,61 +214,65 @@ def blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
-def _measure(root: Node) -> tuple[dict[int, int], dict[int, int], dict[int, str]]:
-    """For each element, by its identity: letters inside, letters inside links, and the text of its own paragraph."""
-    chars: dict[int, int] = {}
-    linked: dict[int, int] = {}
-    own: dict[int, list[str]] = {}
+def _measure(root: Node) -> list[Node]:
+    """Fill in every element's letters, letters in links and own text; returns the elements in page order."""
+    found: list[Node] = []
+    paragraph: dict[int, Node] = {}
     for node, text in root.walk():
-        if text is None or not text.strip():
-            continue
-        n, in_link, paragraph = len(" ".join(text.split())), False, None
-        for up in (node, *node.above()):
-            in_link |= up.name == "a"
-            chars[id(up)] = chars.get(id(up), 0) + n
-            linked[id(up)] = linked.get(id(up), 0) + n * in_link
-            if paragraph is None and up.name in BLOCK:
-                paragraph = up
-        own.setdefault(id(paragraph or root), []).append(text)
-    return chars, linked, {k: " ".join(" ".join(v).split()) for k, v in own.items()}
+        if text is None:
+            found.append(node)
+            paragraph[id(node)] = node if node.name in BLOCK or node is root else paragraph[id(node.parent)]
+        elif text.strip():
+            node.chars += len(" ".join(text.split()))
+            paragraph[id(node)].own.append(text)
+    for node in reversed(found):  # children before parents
+        node.own = " ".join(" ".join(node.own).split())
+        if node.name == "a":
+            node.linked = node.chars
+        if node is not root:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
+    return found
+
+
+def _density(node: Node) -> float:
+    return node.linked / max(1, node.chars)
 
 
 def article_nodes(root: Node) -> list[Node]:
     """The best container and the siblings that are kept with it."""
-    chars, linked, own = _measure(root)
-
-    def density(node: Node) -> float:
-        return linked.get(id(node), 0) / max(1, chars.get(id(node), 0))
-
-    scored = []
-    for node, text in root.walk():
-        if text is not None or node.name not in PARAGRAPHS or len(said := own.get(id(node), "")) < LEAST_CHARS:
+    found, scored = _measure(root), []
+    for node in found:
+        if node.name not in PARAGRAPHS or len(node.own) < LEAST_CHARS:
             continue
-        points = 1 + said.count(",") + min(len(said) / 100, 3)
-        inner = node.name not in ("div", "section", "article", "main", "body", "html")
-        share = 1.0
-        for depth, up in enumerate([*([] if inner else [node]), *node.above()][:4]):
+        points = 1 + node.own.count(",") + min(len(node.own) / 100, 3)
+        share, up = 1.0, node
+        if node.name not in ("div", "section", "article", "main", "body", "html"):
+            up = node.parent
+        for depth in range(4):
+            if up is None:
+                break
             if up.points == 0:
                 scored.append(up)
                 up.points += 5 if up._says(LIKELY) or up.name in ("article", "main") else 1e-9
             up.points += points * share
-            share = 0.5 if depth == 0 else share * 2 / 3
-    best = max(scored, key=lambda x: x.points * (1 - density(x)), default=None)
+            share, up = 0.5 if depth == 0 else share * 2 / 3, up.parent
+    best = max(scored, key=lambda x: x.points * (1 - _density(x)), default=None)
     if best is None:
-        named = [x for x, text in root.walk() if text is None and x.name in ("article", "main") and chars.get(id(x))]
-        return [max(named, key=lambda x: chars[id(x)])] if named else [root]
+        named = [x for x in found if x.name in ("article", "main") and x.chars]
+        return [max(named, key=lambda x: x.chars)] if named else [root]
     whole = [x for x in (best, *best.above()) if x.name == "article"] or [x for x in best.above() if x.name == "main"]
     if whole:
         best = whole[-1]
     if best.parent is None:
         return [best]
-    least = max(10.0, 0.2 * best.points * (1 - density(best)))
+    least = max(10.0, 0.2 * best.points * (1 - _density(best)))
     kept = []
     for x in best.parent.items:
         if isinstance(x, str):
             continue
-        prose = x.name == "p" and len(own.get(id(x), "")) >= PROSE_CHARS and density(x) < 0.25
-        beside = x.name in HEADINGS and not kept or x.points * (1 - density(x)) >= least or prose
+        prose = x.name == "p" and len(x.own) >= PROSE_CHARS and _density(x) < 0.25
+        beside = x.name in HEADINGS and not kept or x.points * (1 - _density(x)) >= least or prose
         if x is best or beside:
             kept.append(x)
     return kept
