@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import stored, table
+from deckloom.llm.common import fresh, stored, table
 
 SEED = "mix-1"
 #: Distribution functions with more entries than this in all are joined, not broadcast (8 bytes an entry).
@@ -67,19 +67,23 @@ def mix(
 
     A document of a source without a weight has no copy. Rows with equal ids draw alike; a null id draws as the empty
     text. Rows with a null source go by the weight of the null source, if there is one. An empty table gives no rows.
-    The key is 60 bits; in each partition rows are in its order, and partitions take rows by its hash.
+    The key is 60 bits; in each partition rows are in its order, and partitions take rows by its hash. Columns of the
+    documents may have any name but ``copy_col`` and ``key_col``, which are an error.
     """
+    if clash := {c.lower() for c in docs.columns} & {copy_col.lower(), key_col.lower()}:
+        raise ValueError(f"documents already have columns {sorted(clash)}; choose other names for copies and keys")
     table_of = stored(repetition(docs, weights, epochs, source_col), "repetition")
     entries = table_of.agg(F.sum(F.size("cdf"))).first()[0] or 0
-    rates = table_of.select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
+    source, cdf, draw, times = fresh(docs, "__source", "__cdf", "__u", "__n")
+    rates = table_of.select(F.col("source").alias(source), F.col("cdf").alias(cdf))
     if entries <= BROADCAST_ENTRIES:
         rates = F.broadcast(rates)
     doc_id = F.col(id_col).cast("string")
     u = hashed(F.lit(seed), doc_id, digits=13) / F.lit(float(1 << 52))
     # drawn before the join: the optimizer would copy the hash into the comparison with each entry otherwise
-    rows = docs.withColumn("__u", u).join(rates, F.col(source_col).eqNullSafe(F.col("__source")))
-    rows = rows.withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).drop("__source", "__cdf", "__u")
-    copies = rows.filter("__n > 0").withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
+    rows = docs.withColumn(draw, u).join(rates, F.col(source_col).eqNullSafe(F.col(source)))
+    rows = rows.withColumn(times, F.size(F.filter(cdf, lambda c: c <= F.col(draw)))).drop(source, cdf, draw)
+    copies = rows.filter(F.col(times) > 0).withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times)
     copies = copies.withColumn(key_col, hashed(F.lit(seed), doc_id, F.col(copy_col).cast("string"), digits=15))
     return copies.repartition(F.col(key_col)).sortWithinPartitions(key_col)
 

@@ -116,8 +116,8 @@ def nearest(
     """``query_id, rank, vec_id, score``: for each query row the k nearest other rows found, by Euclidean distance.
 
     Ties go to the smaller id. Null vectors and ids, zero vectors, and vectors with a null or non-finite number or of
-    another length than most take no part. Rows with the same id count as one row if their vectors are equal; the
-    query's own id is never a candidate. An empty table gives no rows. Every row is indexed; queries meet every shard,
+    another length than most take no part. Rows with the same id count as one row if their vectors are equal; of unlike
+    vectors of one id all are candidates, and the least is the query. A query's own id is never a candidate. An empty table gives no rows. Every row is indexed; queries meet every shard,
     so what moves is the table once and the queries once for each shard. A task holds one shard and a batch of queries.
     """
     spark = vectors.sparkSession
@@ -132,7 +132,7 @@ def nearest(
     sent = spark.sparkContext.broadcast(rotation)
     shards = max(1, -(-rows.count() // shard_rows))
     data = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
-    asked = rows.filter(F.coalesce("q", F.lit(False))).dropDuplicates(["vec_id"])
+    asked = rows.filter(F.coalesce("q", F.lit(False))).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v")
     dealt = data.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind", "vec_id")
 
