@@ -9,35 +9,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from deckloom.llm import mixing, packing, simhash, substrings, toxicity
-from deckloom.llm.common import stored, table
+from deckloom.llm.common import fresh, stored, table
 
 #: The toxicity model and SimHash have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be toxic go."""
+    """Documents that the classifier predicts to be toxic go.
+
+    Null texts count as empty, and repeated rows go or stay alike. Without labels of both kinds nothing goes but what the
+    labels' one kind says; without any, or without documents, nothing goes.
+    """
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
+    """One document of each group of near duplicates stays: the one with the smallest id.
+
+    Null, empty and blank texts are one group. Rows with a null id stay; of rows with one id, one stays. An empty table
+    stays empty.
+    """
     return simhash.first_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Word sequences that an earlier document or place has are cut out of the texts."""
+    """Word sequences that an earlier document or place has are cut out of the texts; ``n_chars`` is their new length.
+
+    Every row stays, with an empty text if no word is left; a null text stays null. Rows equal in id and text are one
+    document, cut alike. An empty table stays empty.
+    """
     return substrings.remove_repeats(docs, chars_col="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat, or go, by their source's target rate, and are shuffled."""
-    mixed = mixing.mix(docs, mixing.size_tempered(docs), copy_col="__copy", key_col="__shuffle_key")
+    """Documents repeat, or go, by their source's target rate, and are shuffled.
+
+    A null source is a source of its own; rows with equal ids repeat alike. An empty table stays empty.
+    """
+    copy, key = fresh(docs, "__copy", "__shuffle_key")
+    mixed = mixing.mix(docs, mixing.size_tempered(docs), copy_col=copy, key_col=key)
     return mixed.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the copies, laid out in windows: one row for each piece."""
+    """Token ids of the copies, laid out in windows: one row for each piece.
+
+    Every row is a document of its own, whatever its id; a null or empty text has the end id alone. An empty table gives
+    no pieces.
+    """
     import public_tokenizers
 
     return packing.digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
