@@ -16,7 +16,9 @@ from deckloom.llm.tokens import word_encoder
 
 STORED = "doc_id long, part int, part_start long, n_tokens int, token_ids array<int>"
 #: Ids that one Arrow batch of encoded documents holds, about.
-BATCH_IDS = 1 << 20
+BATCH_IDS = 1 << 18
+#: Files whose ids are summed up in one group, and files up to which their offsets (16 bytes each) are broadcast.
+FILE_BLOCK, BROADCAST_FILES = 1024, 1 << 20
 
 
 def write_token_files(
@@ -24,20 +26,24 @@ def write_token_files(
     path: str,
     tokenizer_path: str,
     end_id: int = 1,
-    stripe_bytes: int = 64 << 20,
+    stripe_bytes: int = 16 << 20,
     index_stride: int = 1000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> None:
-    """Encode every text and write the ids to ORC files in ascending order of document ids.
+    """Encode every text and write the ids to ORC files under ``path``/ids in ascending order of document ids.
 
     Texts are dealt by ranges of ids and sorted before they are encoded, so each text is encoded once and file k holds
     smaller ids than file k+1. ORC stores the ids as run-length encoded integers; row indexes and a Bloom filter on
     ``doc_id`` let a reader skip stripes and row groups, and stripes can be read in parallel.
 
-    ``part`` is the file's number and ``part_start`` the ids before the document in its own file. A null text is
-    empty: just ``end_id``. Null ids come first; rows with equal ids are ordered by their text's hash.
+    ``part`` is the file's number and ``part_start`` the ids before the document in its own file. A small table under
+    ``path``/offsets holds the ids before each file, so readers need no scan to find where a document starts.
+
+    A null text is empty: just ``end_id``. Null ids come first; rows with equal ids are ordered by their text's hash.
+    An empty table gives files without rows. Other columns are not read.
     """
+    spark = docs.sparkSession
     rows = documents(docs, id_col, text_col)
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
@@ -64,8 +70,16 @@ def write_token_files(
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", str(index_stride))
         .option("orc.stripe.size", str(stripe_bytes))
-        .orc(path)
+        .orc(f"{path}/ids")
     )
+    written = spark.read.schema(STORED).orc(f"{path}/ids")
+    in_file = written.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("ids"))
+    in_file = in_file.withColumn("block", F.floor(F.col("part") / FILE_BLOCK))
+    files, blocks = Window.partitionBy("block").orderBy("part"), Window.orderBy("block")
+    ids_before = [F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for w in (files, blocks)]
+    of_block = in_file.groupBy("block").agg(F.sum("ids").alias("ids")).select("block", ids_before[1].alias("block_before"))
+    offsets = in_file.withColumn("before", ids_before[0]).join(of_block, "block")
+    offsets.select("part", (F.col("before") + F.col("block_before")).alias("before")).coalesce(1).write.parquet(f"{path}/offsets")
 
 
 def _stored_batch(held: list[tuple], ids: list[np.ndarray], part: int) -> pa.RecordBatch:
@@ -86,15 +100,15 @@ def _stored_batch(held: list[tuple], ids: list[np.ndarray], part: int) -> pa.Rec
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, token_ids`` of all documents; ``start`` counts the ids of all documents before.
 
-    A filter on ``doc_id`` prunes stripes and row groups by their statistics and Bloom filters. The number of ids in
-    each file comes from small columns; one row per file, so as many as the writing tasks, is summed up and broadcast.
+    A filter on ``doc_id`` prunes stripes and row groups by their statistics and Bloom filters; besides what is left,
+    only the small table of offsets is read. It is broadcast up to 16 MB (a million files), and joined beyond that.
     """
-    rows = spark.read.schema(STORED).orc(path)
-    in_part = rows.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("ids"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = in_part.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
+    rows = spark.read.schema(STORED).orc(f"{path}/ids")
+    offsets = spark.read.schema("part int, before long").parquet(f"{path}/offsets")
+    if offsets.count() <= BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
     start = (F.col("before") + F.col("part_start")).alias("start")
-    return rows.join(F.broadcast(offsets), "part").select("doc_id", start, F.col("n_tokens").cast("long").alias("n_tokens"), "token_ids")
+    return rows.join(offsets, "part").select("doc_id", start, F.col("n_tokens").cast("long").alias("n_tokens"), "token_ids")
 
 
 def with_crc32(rows: DataFrame) -> DataFrame:

@@ -8,12 +8,19 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 
-#: At most this many cached words per worker; a full cache is emptied and filled anew.
-CACHE_WORDS = 1_500_000
+from deckloom.llm.common import PIECE_BYTES, pieces
+
+#: About as many bytes are cached per worker at most. A full cache keeps what was met again since it was last full.
+CACHE_BYTES = 160 << 20
+#: What an entry takes in memory besides its word.
+ENTRY_BYTES = 190
+#: New words that are encoded in one line, and told apart by the places of their tokens.
+LINE_WORDS = 64
 #: A word that ends in an ASCII letter and then in punctuation; the tokenizer always splits it there.
 _TAILED = re.compile(rb"(.*[A-Za-z])([.,;:!?*$%&#]+)", re.DOTALL)
 
@@ -39,20 +46,33 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = library_tokenizer(path)
-        self._reset()
-
-    def _reset(self) -> None:
         self.slot: dict[bytes, int] = {}
         self.start = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int32)
+        self.met = np.zeros(1 << 12, np.int32)
         self.flat = np.zeros(1 << 14, np.uint32)
+        self.slots = self.filled = self.held = 0
+
+    def _shrink(self) -> None:
+        """Keep the words that most slices of text had, in half the room at most."""
+        times = self.met[: self.slots]
+        order = np.sort(times)[::-1]
+        least = max(2, int(order[min(len(order) - 1, CACHE_BYTES // (2 * ENTRY_BYTES))]) + 1)
+        kept = np.flatnonzero(times >= least)
+        number = np.full(self.slots, -1)
+        number[kept] = np.arange(len(kept))
+        ids, length = self._gather(kept), self.length[kept]
+        self.slot = {w: n for w, s in self.slot.items() if (n := int(number[s])) >= 0}
+        self.held = len(self.slot) * ENTRY_BYTES + sum(map(len, self.slot))
         self.slots = self.filled = 0
+        self.met[:] = 0
+        self._append(ids, length)
 
     def _append(self, ids: np.ndarray, length: np.ndarray) -> range:
         """New slots for runs of ids of the given lengths."""
         n, first = self.slots, self.filled
         while n + len(length) > len(self.start):
-            self.start, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length))
+            self.start, self.length, self.met = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length, self.met))
         while first + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.length[n : n + len(length)] = length
@@ -77,54 +97,79 @@ class WordEncoder:
         slot = self.slot
         unknown = list(plain.difference(slot))
         if unknown:
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in unknown], add_special_tokens=False)
-            ids = [x.ids for x in got]
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
+            unknown.sort(key=lambda w: b"<|" in w)
+            flat, length = self._encoded(unknown)
             slot.update(zip(unknown, self._append(flat, length), strict=True))
+        before = len(slot) - len(unknown)
         slot.update(zip(stems, map(slot.__getitem__, stems.values()), strict=True))
         if tailed:
             pair = np.array([(slot[stem], slot[tail]) for _, stem, tail in tailed], np.int64)
             ids = self._gather(pair.ravel())
             slot.update(zip([x[0] for x in tailed], self._append(ids, self.length[pair].sum(1)), strict=True))
+        self.held += (len(slot) - before) * ENTRY_BYTES + sum(map(len, fresh)) + sum(map(len, unknown))
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row and their number for each; words with the mark of special tokens come last.
+
+        Most of the time for a short text goes into the call, so many words are encoded as one line.
+        """
+        marked = next((i for i, w in enumerate(words) if b"<|" in w), len(words))
+        ids, length = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        lines = [[w.decode() for w in words[k : min(k + LINE_WORDS, marked)]] for k in range(0, marked, LINE_WORDS)]
+        lines += [[w.decode()] for w in words[marked:]]
+        for line, got in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            end = np.cumsum(np.fromiter(map(len, line), np.int64) + 1)
+            at = np.fromiter((a for a, _ in got.offsets), np.int64)
+            ids.append(np.array(got.ids, np.uint32))
+            length.append(np.bincount(np.searchsorted(end, at, side="right"), minlength=len(line)))
+        return np.concatenate(ids), np.concatenate(length)
 
     def _gather(self, slots: np.ndarray) -> np.ndarray:
         length = self.length[slots]
         ends = np.cumsum(length, dtype=np.int64)
         return self.flat[np.repeat(self.start[slots] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text as uint32. About a megabyte of text is looked up at a time, cut at white space."""
-        from deckloom.llm.common import PIECE_BYTES, pieces
-
-        out: list[list[np.ndarray]] = [[] for _ in texts]
-        owner, words, held = [], [], 0
-        for i, text in enumerate(texts):
-            for piece in pieces(text):
-                owner.append(i)
+    def encode(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each text as uint32, in order. About a megabyte of text is looked up at a time, cut at white space."""
+        words: list[list[bytes]] = []
+        ends: list[bool] = []
+        parts: list[np.ndarray] = []
+        held = 0
+
+        def done() -> Iterator[np.ndarray]:
+            for ids, end in zip(self._look_up(words), ends, strict=True):
+                parts.append(ids)
+                if end:
+                    yield parts[0] if len(parts) == 1 else np.concatenate(parts)
+                    parts.clear()
+            words.clear()
+            ends.clear()
+
+        for text in texts:
+            cut = list(pieces(text))
+            for k, piece in enumerate(cut):
                 words.append(piece.split())
+                ends.append(k + 1 == len(cut))
                 held += len(piece)
                 if held >= PIECE_BYTES:
-                    self._look_up(owner, words, out)
-                    owner, words, held = [], [], 0
-        self._look_up(owner, words, out)
-        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
-
-    def _look_up(self, owner: list[int], words: list[list[bytes]], out: list[list[np.ndarray]]) -> None:
-        if len(self.slot) > CACHE_WORDS:
-            self._reset()
+                    yield from done()
+                    held = 0
+        yield from done()
+
+    def _look_up(self, words: list[list[bytes]]) -> list[np.ndarray]:
+        if self.held > CACHE_BYTES:
+            self._shrink()
         flat = list(chain.from_iterable(words))
-        fresh = set(flat).difference(self.slot)
-        if fresh:
-            self._learn(fresh)
-        slots = np.fromiter(map(self.slot.__getitem__, flat), np.int64, len(flat))
+        slots = np.fromiter(map(self.slot.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(slots < 0).tolist()
+        if new:
+            self._learn({flat[i] for i in new})
+            slots[new] = [self.slot[flat[i]] for i in new]
+        self.met[: self.slots] += np.bincount(slots, minlength=self.slots) > 0
         ids = self._gather(slots)
-        word_ends = np.cumsum([len(x) for x in words])
-        id_ends = np.concatenate([[0], np.cumsum(self.length[slots], dtype=np.int64)])[word_ends]
-        begin = 0
-        for i, end in zip(owner, id_ends.tolist(), strict=True):
-            out[i].append(ids[begin:end])
-            begin = end
+        word_ends = np.cumsum([0, *map(len, words)])
+        id_ends = np.concatenate([[0], np.cumsum(self.length[slots], dtype=np.int64)])[word_ends].tolist()
+        return [ids[a:b] for a, b in zip(id_ends, id_ends[1:], strict=False)]
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -154,12 +199,15 @@ class ChunkLengths(dict):
         super().__init__(frequent)
         self.tokenizer = library_tokenizer(path)
         self.rare: dict[bytes, int] = {}
+        self.held = 0
 
     def __missing__(self, chunk: bytes) -> int:
         n = self.rare.get(chunk)
         if n is None:
-            if len(self.rare) > CACHE_WORDS:
+            if self.held > CACHE_BYTES:
                 self.rare.clear()
+                self.held = 0
+            self.held += ENTRY_BYTES + len(chunk)
             n = self.rare[chunk] = self.measure(chunk)
         return n
 
@@ -170,8 +218,6 @@ class ChunkLengths(dict):
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def count(self, text: bytes) -> int:
-        from deckloom.llm.common import pieces
-
         n = 0
         for piece in pieces(text):
             n += sum(map(self.__getitem__, CHUNK.findall(piece)))
