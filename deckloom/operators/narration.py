@@ -117,9 +117,10 @@ def kept_pages(pages: DataFrame, written: DataFrame) -> DataFrame:
 
 
 def fill_missing(wanted: DataFrame, answers: DataFrame, kept: DataFrame, fallback: DataFrame) -> DataFrame:
-    """NAR-9: kept texts, then answers for other pages, then the fallback; ``origin`` says which."""
+    """NAR-9: kept texts, then answers for other pages, stripped and without blank ones, then the fallback; ``origin`` says which."""
     ask = wanted.select(*PAGE).join(kept, PAGE, "left_anti")
-    got = ask.join(answers.filter("narration <> ''").select(*PAGE, "narration"), PAGE)
+    said = answers.select(*PAGE, stripped(F.col("narration")).alias("narration")).filter("narration <> ''")
+    got = ask.join(said, PAGE)
     rest = ask.join(got, PAGE, "left_anti").join(fallback.select(*PAGE, "narration"), PAGE)
     tag = lambda df, name: df.select(*PAGE, "narration", F.lit(name).alias("origin"))
     return tag(kept.join(wanted.select(*PAGE), PAGE, "left_semi"), "kept").unionByName(tag(got, "answer")).unionByName(tag(rest, "fallback"))

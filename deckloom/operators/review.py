@@ -188,6 +188,30 @@ def check_blank(frame_stats: DataFrame, least: float = 24.0) -> DataFrame:
     return _finding(span, "error", "blank_frame", F.format_string("%.0f", "__s"))
 
 
+def _judged(action_stats: DataFrame, still: float) -> DataFrame:
+    """Highlights and pointers whose scene shows a frame before them, with ``still``: nothing else moves there."""
+    rows = action_stats.filter(F.col("type").isin("highlight", "pointer") & (F.col("before") >= 0))
+    return rows.withColumn("still", F.coalesce(F.col("noise") <= still, F.lit(False)))
+
+
+def check_visibility(action_stats: DataFrame, still: float = 6.0, least: float = 8.0) -> DataFrame:
+    """REV-17: highlights and pointers that were told to be drawn, but changed the frame by less than 8.
+
+    ``action_stats`` have ``type, target``, the time ``before`` in the scene at which the first frame was taken, and the
+    changes to the second: ``noise`` elsewhere and ``drawn`` at the target. With a noise over 6, or none that could be
+    measured, the camera moves and nothing can be said.
+    """
+    off = _judged(action_stats, still).filter(F.col("still") & (F.col("drawn") < least))
+    return _finding(off, "warning", "action_not_visible", F.coalesce("target", F.lit("")))
+
+
+def visibility_counts(action_stats: DataFrame, still: float = 6.0) -> DataFrame:
+    """REV-17: ``checked`` and ``skipped`` actions of each project with any that could be looked at."""
+    rows = _judged(action_stats, still).groupBy("project_id")
+    measured = F.col("still") & F.col("drawn").isNotNull()
+    return rows.agg(F.count(F.when(measured, 1)).alias("checked"), F.count(F.when(~F.col("still"), 1)).alias("skipped"))
+
+
 def check_monotone(unbroken: DataFrame, scenes: DataFrame, most: float = 12.0, lead: float = 1.1, tail: float = 1.0) -> DataFrame:
     """REV-15: scenes with two seconds of speech or more and over 12 seconds without a pause; ``unbroken`` has ``longest``."""
     rows = unbroken.join(scenes.select("project_id", "page_index", "duration"), ["project_id", "page_index"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckloom.operators import captions, narration, review
+from deckloom.operators import captions, narration
 from deckloom.plans import fixtures
 from deckloom.plans.fixtures import with_ctes
 from deckloom.plans.narration_queries import _SECONDS, pauses, segments, totals
@@ -52,11 +52,6 @@ def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.match_boundaries(b, pauses(spark, sf_dir)).withColumn("at", narration.thousandths(F.col("at")))
 
 
-def monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = totals(spark, sf_dir).withColumnRenamed("total", "duration")
-    return review.check_monotone(narration.longest_unbroken(pauses(spark, sf_dir), t), t)
-
-
 QUERIES = {
     "tim1_units": units,
     "tim2_pauses": planned,
@@ -64,7 +59,6 @@ QUERIES = {
     "lay1_captions": chunks,
     "lay2_times": cues,
     "lay3_split": lambda spark, sf_dir: captions.split_at_pauses(cues(spark, sf_dir), breaks(spark, sf_dir)),
-    "rev15_monotone": monotone,
 }
 
 _KEY = "project_id, page_index, seg_seq"

@@ -11,11 +11,9 @@ from deckloom.plans.caption_queries import _recursive
 from deckloom.plans.doc_queries import _CUT, elements, raw_elements, typed_pages
 from deckloom.plans.fixtures import with_ctes
 from deckloom.plans.narration_queries import budget, segments
-from deckloom.plans.review_queries import scenes
+from deckloom.plans.review_queries import LATIN_TICS, scenes
 
 PAGE = ["project_id", "page_index"]
-#: Phrases to look for in the Latin texts at hand.
-LATIN_TICS = (("pair", "[a-z]+ and [a-z]+"), ("long", "[a-z]{11,}"))
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,10 +142,5 @@ UNION ALL SELECT project_id, page_index, 2, title || '。', NULL FROM noted WHER
 SELECT project_id, page_index, seg_seq, list_aggregate(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9+]*|[^A-Za-z]+'), lambda x : CASE upper(x) WHEN 'THE' THEN 'thee' WHEN 'AND' THEN 'n' WHEN 'LA' THEN 'l a'
   WHEN 'RAG' THEN 'R A G' WHEN 'MOE' THEN 'M o E' WHEN 'ONNX' THEN 'O N N X' WHEN 'NER' THEN 'N E R' WHEN 'COT' THEN 'C o T' WHEN 'DAU' THEN 'D A U' WHEN 'MAU' THEN 'M A U' ELSE x END), 'string_agg', '') AS spoken FROM segments""",
     ),
-    "rev9_tics": with_ctes(
-        "shot",
-        "SELECT * FROM ("
-        + " UNION ALL ".join(f"SELECT project_id, 'warning' AS severity, 'ai_tic' AS kind, scene_id, '{k}：' || regexp_extract(narration, '{p}') AS message, regexp_extract(narration, '{p}') AS hit FROM shot" for k, p in LATIN_TICS)
-        + ") WHERE hit <> ''",
-    ).replace("SELECT * FROM (SELECT", "SELECT * EXCLUDE (hit) FROM (SELECT"),
+    "rev9_tics": with_ctes("tics", "SELECT * FROM tics"),
 }

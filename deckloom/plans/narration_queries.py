@@ -127,7 +127,7 @@ QUERIES = {
     "nar7_adopt": lambda spark, sf_dir: narration.adopt_script(typed_pages(spark, sf_dir), written(spark, sf_dir), fallback(spark, sf_dir)),
     "nar8_kept": kept,
     "nar9_fill": lambda spark, sf_dir: narration.fill_missing(
-        typed_pages(spark, sf_dir), written(spark, sf_dir).withColumn("narration", F.trim("narration")).filter("page_index % 2 = 0"), kept(spark, sf_dir).filter("page_index % 2 = 1"), fallback(spark, sf_dir)
+        typed_pages(spark, sf_dir), written(spark, sf_dir).filter("page_index % 2 = 0"), kept(spark, sf_dir).filter("page_index % 2 = 1"), fallback(spark, sf_dir)
     ),
     "nar10_fit": fit,
     "nar13_nearest": lambda spark, sf_dir: narration.nearest_written(typed_pages(spark, sf_dir), kept(spark, sf_dir)),
@@ -147,6 +147,17 @@ QUERIES = {
 _SECONDS = r"greatest(0.8, (len(regexp_extract_all({c}, '[一-鿿]')) / 4.6::DOUBLE + len(regexp_extract_all(regexp_replace({c}, '[一-鿿]', ' ', 'g'), '\S+')) / 2.6::DOUBLE) / 1.0)"
 
 fixtures.CTES |= {
+    "unbroken": """
+WITH pauses AS (
+  SELECT project_id, page_index, floor((floor(total * upto::DOUBLE / whole::DOUBLE * 1000 + 0.5) / 1000 + 0.15::DOUBLE * (seg_seq % 3 - 1)) * 1000 + 0.5) / 1000 AS e,
+    0.2::DOUBLE + 0.1::DOUBLE * (seg_seq % 4) AS d FROM weighed WHERE NOT last
+), marks AS (
+  SELECT project_id, page_index, (greatest(e - d, 0) + e) / 2 AS moment FROM pauses
+  UNION ALL SELECT project_id, page_index, 0 FROM typed UNION ALL SELECT project_id, page_index, length(raw_text) / 8.0::DOUBLE FROM typed
+)
+SELECT project_id, page_index, floor(max(step) * 1000 + 0.5) / 1000 AS longest
+FROM (SELECT *, lead(moment) OVER (PARTITION BY project_id, page_index ORDER BY moment) - moment AS step FROM marks) GROUP BY project_id, page_index
+""",
     "budgets": """
 SELECT project_id, page_index, duration, emphasised, greatest(4.0, least(75.0, speech * w / sum(w) OVER (PARTITION BY project_id)))::DOUBLE AS budget
 FROM (
@@ -189,7 +200,7 @@ SELECT project_id, page_index, seg_seq, floor(total * (upto - w)::DOUBLE / whole
 FROM weighed WHERE total > 0
 """,
 }
-fixtures.NEEDS |= {"budgets": ["typed"], "segments": ["typed"], "scenes": ["typed"], "written": ["typed"], "weighed": ["segments"], "timed": ["weighed"]}
+fixtures.NEEDS |= {"unbroken": ["weighed", "typed"], "budgets": ["typed"], "segments": ["typed"], "scenes": ["typed"], "written": ["typed"], "weighed": ["segments"], "timed": ["weighed"]}
 
 SQL = {
     "nar1_budget": with_ctes("budgets", "SELECT project_id, page_index, budget FROM budgets"),
@@ -293,18 +304,6 @@ SELECT project_id, scene_id, reason FROM (
   SELECT *, CASE WHEN source_page % 4 = 0 THEN 'new' WHEN source_page % 5 = 0 THEN 'missing' WHEN source_page % 3 = 0 AND narration <> 'old' THEN 'changed' END AS reason FROM scenes
 ) WHERE reason IS NOT NULL""",
     ),
-    "tim10_unbroken": with_ctes(
-        "weighed",
-        """
-, pauses AS (
-  SELECT project_id, page_index, floor((floor(total * upto::DOUBLE / whole::DOUBLE * 1000 + 0.5) / 1000 + 0.15::DOUBLE * (seg_seq % 3 - 1)) * 1000 + 0.5) / 1000 AS e,
-    0.2::DOUBLE + 0.1::DOUBLE * (seg_seq % 4) AS d FROM weighed WHERE NOT last
-), marks AS (
-  SELECT project_id, page_index, (greatest(e - d, 0) + e) / 2 AS moment FROM pauses
-  UNION ALL SELECT project_id, page_index, 0 FROM typed UNION ALL SELECT project_id, page_index, length(raw_text) / 8.0::DOUBLE FROM typed
-)
-SELECT project_id, page_index, floor(max(step) * 1000 + 0.5) / 1000 AS longest
-FROM (SELECT *, lead(moment) OVER (PARTITION BY project_id, page_index ORDER BY moment) - moment AS step FROM marks) GROUP BY project_id, page_index""",
-    ),
+    "tim10_unbroken": with_ctes("unbroken", "SELECT * FROM unbroken"),
     "tim11_total": with_ctes("scenes", "SELECT project_id, round(sum(duration), 3) AS duration FROM scenes GROUP BY project_id"),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,9 +114,14 @@ def deck_from_text(docs: DataFrame, lines_per_page: int = 8) -> DataFrame:
     return rows.select("doc_id", page, (F.col("i") % lines_per_page + 1).cast("int").alias("seq"), "text")
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    """SNK-1: add records to a JSON-lines log."""
-    df.write.mode("append").json(path)
+def append_log(df: DataFrame, path: str) -> bool:
+    """SNK-1: add records to a JSON-lines log. A failing write is logged and never reaches the caller; returns if it went well."""
+    try:
+        df.write.mode("append").json(path)
+    except Exception:  # whatever the log's store does, the job that writes to it goes on
+        logging.getLogger(__name__).warning("could not append to %s", path, exc_info=True)
+        return False
+    return True
 
 
 def overwrite_turns(turns: DataFrame, path: str) -> None:
