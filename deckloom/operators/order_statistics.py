@@ -23,21 +23,23 @@ def nearest_rank_index(p: float) -> Callable[[Column], Column]:
     return lambda n: F.greatest(F.lit(0), F.least(n - 1, F.bround(F.lit(p) * n, 0).cast("long") - 1))
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def order_statistics(
+    df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]], cells: int = CELLS
+) -> DataFrame:
     """``keys, n`` and one column for each rank: the value at that 0-based index among the group's sorted values.
 
     Null values are left out; groups without values don't appear. With no keys there is one group.
     """
     on = keys or ["__all"]
     base = df.select(*keys, *([] if keys else [F.lit(1).alias("__all")]), F.col(value).cast("double").alias("__v")).filter("__v is not null")
-    grid = F.percentile_approx("__v", [k / CELLS for k in range(CELLS + 1)], ACCURACY)
+    grid = F.percentile_approx("__v", [k / cells for k in range(cells + 1)], ACCURACY)
     stats = base.groupBy(*on).agg(F.count("*").alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), grid.alias("__q"))
     bounds = []
     for k, at in ranks.items():
         i = at(F.col("n")).cast("long")
-        cell = F.floor(i * CELLS / F.col("n")).cast("int")
+        cell = F.floor(i * cells / F.col("n")).cast("int")
         low = F.when(cell < 2, F.col("__lo")).otherwise(F.get("__q", cell - 1))
-        high = F.when(cell + 2 >= CELLS, F.col("__hi")).otherwise(F.get("__q", cell + 2))
+        high = F.when(cell + 2 >= cells, F.col("__hi")).otherwise(F.get("__q", cell + 2))
         bounds += [i.alias(f"__i_{k}"), low.alias(f"__lo_{k}"), high.alias(f"__hi_{k}")]
     stats = stats.select(*on, "n", *bounds)
     few = stats.limit(BROADCAST_GROUPS + 1).collect()

@@ -30,10 +30,22 @@ def test_no_runs(spark):
 def test_nearest_rank_is_rounded_half_to_even(spark):
     for n, want in ((11, 9.0), (13, 11.0), (30, 27.0), (70, 65.0), (1, 0.0)):
         df = spark.range(n).select(F.col("id").cast("double").alias("v"))
-        got = order_statistics.order_statistics(df, [], "v", {"p": order_statistics.nearest_rank_index(0.95)}, bins=7)
+        got = order_statistics.order_statistics(df, [], "v", {"p": order_statistics.nearest_rank_index(0.95)}, cells=7)
         assert got.first().p == want
 
 
+def test_a_failing_log_write_does_not_reach_the_caller(spark, tmp_path):
+    (tmp_path / "file").write_text("in the way")
+    assert logs.append_log(spark.range(3), str(tmp_path / "file" / "log")) is False
+    assert logs.append_log(spark.range(3), str(tmp_path / "log")) is True and spark.read.json(str(tmp_path / "log")).count() == 3
+
+
+def test_blank_answers_do_not_fill_a_page(spark):
+    page = lambda *rows: spark.createDataFrame([("p", *r) for r in rows], "project_id string, page_index int, narration string")
+    got = narration.fill_missing(page((1, ""), (2, ""), (3, "")), page((1, " \n"), (2, "\n said ")), page((3, "kept")), page((1, "fall"), (2, "fall"), (3, "fall")))
+    assert sorted((r.page_index, r.narration, r.origin) for r in got.collect()) == [(1, "fall", "fallback"), (2, "said", "answer"), (3, "kept", "kept")]
+
+
 def test_ledger_turns_and_appends(spark, tmp_path):
     rows = spark.createDataFrame([("p", i, "stage", f"s{i}") for i in range(1, 6)], "project_id string, seq long, kind string, name string")
     logs.append_log(rows.filter("seq < 4"), str(tmp_path / "l"))
