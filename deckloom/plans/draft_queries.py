@@ -10,7 +10,7 @@ from deckloom.plans import fixtures
 from deckloom.plans.caption_queries import _recursive
 from deckloom.plans.doc_queries import _CUT, elements, raw_elements, typed_pages
 from deckloom.plans.fixtures import with_ctes
-from deckloom.plans.narration_queries import budget, segments
+from deckloom.plans.narration_queries import budget, kept, segments
 from deckloom.plans.review_queries import LATIN_TICS, scenes
 
 PAGE = ["project_id", "page_index"]
@@ -35,6 +35,20 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drafts.prompt_batches(p, elements(spark, sf_dir), 4, 120)
 
 
+def script_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts for the pages without a text; every third deck has no title, every fifth page a flow, every second notes."""
+    title = F.when(F.col("title") != "", F.col("title"))
+    p = typed_pages(spark, sf_dir).withColumns({"flow": F.when(F.col("page_index") % 5 == 0, title), "summary": title, "speaker_notes": F.when(F.col("page_index") % 2 == 0, title)})
+    p = p.withColumn("key_points", F.when(F.col("page_index") % 3 == 0, F.array(F.lit("a"), F.col("page_type"))))
+    p = p.join(narration.narration_guide(budget(spark, sf_dir)).select(*PAGE, "chars"), PAGE)
+    n = F.col("doc_id")
+    d = fixtures.table(spark, sf_dir, "documents").select(
+        n.cast("string").alias("project_id"), F.when(n % 3 != 0, F.col("source")).alias("title"), F.col("lang").alias("topic"), F.lit("").alias("summary"), F.lit("all").alias("audience"),
+        F.when(n % 2 == 0, "plain").otherwise("x").alias("style"), F.lit("calm").alias("tone"), F.when(n % 7 == 0, "short").alias("instructions"),
+    )
+    return drafts.narration_prompts(p, elements(spark, sf_dir), d, kept(spark, sf_dir))
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's language and number as the title of an object: plain, fenced, in prose, with stray quotes, cut off or a
     list."""
@@ -65,6 +79,7 @@ QUERIES = {
     "doc1_paragraphs": paragraphs,
     "doc10_names": names,
     "doc27_prompts": prompts,
+    "doc27_script_prompts": script_prompts,
     "doc28_replies": replies,
     "nar12_placeholders": placeholders,
     "nar17_spoken": spoken,
@@ -74,6 +89,9 @@ QUERIES = {
 #: The cut at 60 characters, at 300 and at 120.
 _CUT_300 = _CUT.replace("29", "149").replace("59", "299").replace("60", "300")
 _CUT_120 = _CUT.replace("60", "120").replace("59", "119").replace("29", "59")
+#: White space as one space, cut at {n}.
+_FLAT = r"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+_SHORT = f"CASE WHEN length({_FLAT}) <= {{n}} THEN {_FLAT} ELSE substr({_FLAT}, 1, {{n}} - 1) || '…' END"
 fixtures.CTES |= {
     "blocks": """
 SELECT project_id, page_index, seq AS block_seq, (length(text) % 9 = 0)::INT AS type, x + CASE WHEN length(text) % 4 = 0 THEN 5 ELSE 0 END AS x0, y AS y0, x + w AS x1, y + 100 AS y1, font_size AS max_size, text FROM elements
@@ -111,6 +129,35 @@ SELECT project_id, page_index, seq, element_id || CASE WHEN seq % 5 = 0 THEN ''
   LEFT JOIN lines l ON l.project_id = t.project_id AND l.page_index = t.page_index
 )
 SELECT project_id, batch::INT AS batch, printf('# 共 %d 页', any_value(n)) || chr(10) || string_agg(p, chr(10) || chr(10) ORDER BY page_index) AS prompt FROM parts GROUP BY project_id, batch""",
+    ),
+    "doc27_script_prompts": with_ctes(
+        "budgets written",
+        f"""
+, lines AS (
+  SELECT project_id, page_index, string_agg('  - ' || element_id || '｜' || kind || '｜' || {_SHORT.format(c="text", n=120)}, chr(10) ORDER BY seq) AS l FROM classified WHERE text <> '' GROUP BY ALL
+), pages_told AS (
+  SELECT t.*, b.c, l, nullif(w.narration, '') AS said, count(*) OVER (PARTITION BY t.project_id) AS all_pages, row_number() OVER (PARTITION BY t.project_id ORDER BY t.page_index) AS i
+  FROM typed t JOIN (SELECT project_id, page_index, floor(budget * 4.6::DOUBLE)::INT AS c FROM budgets) b ON b.project_id = t.project_id AND b.page_index = t.page_index
+  LEFT JOIN lines l ON l.project_id = t.project_id AND l.page_index = t.page_index LEFT JOIN written w ON w.project_id = t.project_id AND w.page_index = t.page_index
+), placed AS (
+  SELECT *, (i - 1) // 4 AS batch, count(said) OVER (PARTITION BY project_id) > 0 AS part,
+    max(CASE WHEN said IS NOT NULL THEN page_index END) OVER (PARTITION BY project_id ORDER BY page_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS back,
+    min(CASE WHEN said IS NOT NULL THEN page_index END) OVER (PARTITION BY project_id ORDER BY page_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS fore,
+    printf('%s## 第 %d 页｜%s｜%s', chr(10), page_index, page_type, CASE WHEN title = '' THEN '无标题' ELSE title END) AS heading,
+    concat_ws(chr(10), CASE WHEN page_index % 5 = 0 AND title <> '' THEN printf('{drafts.FLOW}', title) END, printf('{drafts.BAND}', c, floor(c * 0.85::DOUBLE)::INT, floor(c * 1.15::DOUBLE)::INT),
+      CASE WHEN title <> '' THEN '页面摘要：' || title END, CASE WHEN page_index % 3 = 0 THEN '关键点：a；' || page_type END,
+      CASE WHEN page_index % 2 = 0 AND title <> '' THEN '演讲者备注：' || {_SHORT.format(c="title", n=300)} END, '元素：' || chr(10) || l) AS asked
+  FROM pages_told
+), batches AS (
+  SELECT project_id, batch, any_value(all_pages) AS all_pages, min(i) AS i, any_value(part) AS part, (list(back ORDER BY page_index))[1] AS back, (list(fore ORDER BY page_index DESC))[1] AS fore,
+    string_agg(heading || CASE WHEN said IS NOT NULL THEN '｜已写好' WHEN part THEN '｜待补写' ELSE '' END || chr(10) || coalesce('已写好的讲稿：' || said, asked), chr(10) ORDER BY page_index) AS p
+  FROM placed GROUP BY project_id, batch HAVING NOT bool_and(said IS NOT NULL)
+)
+SELECT b.project_id, batch::INT AS batch, concat_ws(chr(10), '# 文档：' || CASE WHEN doc_id % 3 <> 0 THEN source ELSE '未命名' END, '主题：' || lang, '整体摘要：（无）', '', '# 观众与风格', '受众：all', '风格：' || CASE WHEN doc_id % 2 = 0 THEN 'plain' ELSE 'x' END,
+  '语气：calm', '额外要求：' || CASE WHEN doc_id % 7 = 0 THEN 'short' ELSE '（无）' END, '', CASE WHEN part THEN '{drafts.FILL_IN}' END,
+  printf('# 上文（第 %d 页，已写好，结尾）', back) || chr(10) || x.narration || chr(10), printf('# 下文（第 %d 页，已写好，开头）', fore) || chr(10) || {_SHORT.format(c="y.narration", n=200)} || chr(10),
+  printf('# 页面（全文第 %d 页起，共 %d 页）', i, all_pages), p) AS prompt
+FROM batches b JOIN documents d ON d.doc_id::VARCHAR = b.project_id LEFT JOIN written x ON x.project_id = b.project_id AND x.page_index = back LEFT JOIN written y ON y.project_id = b.project_id AND y.page_index = fore""",
     ),
     "doc28_replies": """
 SELECT doc_id, CASE WHEN doc_id % 6 <= 2 THEN lang || doc_id WHEN doc_id % 6 = 3 THEN 'a "' || lang || doc_id || '" b' END AS title, CASE WHEN doc_id % 6 <= 2 THEN doc_id WHEN doc_id % 6 = 3 THEN 1 END AS n,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from deckloom.schemas import LEDGER, PROJECT, RUN, TURN
 
 LINES = 2000
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -89,15 +90,20 @@ def shred_projects(projects: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def admit_sources(spark: SparkSession, folder: str, max_mb: int = 100) -> DataFrame:
-    """SRC-6: ``path, length, type, reason`` of each file; only names and sizes are read. A null reason is admitted."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+def admission(files: DataFrame, max_mb: int = 100) -> DataFrame:
+    """SRC-6: ``type`` and ``reason`` of files told by ``path`` and ``length``; a null reason is admitted."""
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = F.when(suffix.isin("pdf", "ppt", "pptx"), suffix)
     reason = F.when(kind.isNull(), "unsupported type").when(F.col("length") > max_mb * 1024 * 1024, "too large")
     return files.select("path", "length", kind.alias("type"), reason.alias("reason"))
 
 
+def admit_sources(spark: SparkSession, folder: str, max_mb: int = 100) -> DataFrame:
+    """SRC-6: ``path, length, type, reason`` of each file under a folder; only names and sizes are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    return admission(files, max_mb)
+
+
 def readable_name(name: Column) -> Column:
     """SRC-7: decode a percent-encoded name; it stays as it is if it has no escape or doesn't decode to UTF-8."""
     plus_kept = F.regexp_replace(name, r"\+", "%2B")
@@ -117,7 +123,7 @@ def deck_from_text(docs: DataFrame, lines_per_page: int = 8) -> DataFrame:
 def append_log(df: DataFrame, path: str) -> bool:
     """SNK-1: add records to a JSON-lines log. A failing write is logged and never reaches the caller; returns if it went well."""
     try:
-        df.write.mode("append").json(path)
+        df.write.mode("append").option("timestampFormat", MICROS).option("timestampNTZFormat", MICROS.removesuffix("XXX")).json(path)
     except Exception:  # whatever the log's store does, the job that writes to it goes on
         logging.getLogger(__name__).warning("could not append to %s", path, exc_info=True)
         return False

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deckloom.sources.shared import shared_path
+
 TERMINAL = ("succeeded", "failed", "cancelled")
 
 
@@ -40,26 +40,21 @@ def list_jobs(jobs: DataFrame, n: int = 50) -> DataFrame:
     return jobs.orderBy(F.desc("updated_at"), "job_id").limit(n)
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="deckloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run an aggregating stream over all that its source holds now and return its last result.
 
     Checkpoints and results go to the folder that the session names in ``spark.checkpoint.dir``; after a failure the
     stream goes on from there.
     """
-    spark, out = stream.sparkSession, _shared(stream.sparkSession, name)
+    spark, out = stream.sparkSession, shared_path(stream.sparkSession, name)
     write: Callable = lambda batch, _: batch.write.mode("overwrite").parquet(out)
-    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", _shared(spark, name))
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", shared_path(spark, name))
     query.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
 def as_stream(df: DataFrame, name: str) -> DataFrame:
     """Rows written as files in the shared folder and read back as a stream of a few files at a time."""
-    spark, path = df.sparkSession, _shared(df.sparkSession, name)
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)

@@ -43,3 +43,22 @@ def test_pauses_match_as_all_choices_do(spark):
     for r in got:
         cost[r.page_index] = cost.get(r.page_index, 0) + abs(r.at - r.expected) - length[(r.page_index, round(r.at, 6))]
     assert cost.keys() == want.keys() and all(abs(cost[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_prompts_quote_the_nearest_written_pages(spark):
+    pages = spark.createDataFrame([("p", i, "content", "" if i == 2 else f"T{i}", 100) for i in range(1, 10)], "project_id string, page_index int, page_type string, title string, chars int")
+    parts = spark.createDataFrame([("p", 5, 2, "e2", "bullet", "x" * 130), ("p", 5, 1, "e1", "title", "a  \n b"), ("p", 6, 1, "e1", "title", "")], "project_id string, page_index int, seq int, element_id string, kind string, text string")
+    decks = spark.createDataFrame([("p", "", None, "S", "all", "formal", "calm", "")], "project_id string, title string, topic string, summary string, audience string, style string, tone string, instructions string")
+    kept = spark.createDataFrame([("p", 4, "k" * 250), ("p", 7, "seven"), ("p", 9, "w" * 250)], "project_id string, page_index int, narration string")
+    got = {r.batch: r.prompt for r in drafts.narration_prompts(pages, parts, decks, kept).collect()}
+    assert sorted(got) == [0, 1]  # the third batch is page 9, which is written
+    lines = got[1].split("\n")
+    assert lines[:3] == ["# 文档：未命名", "主题：未知", "整体摘要：S"] and "风格：" + drafts.STYLE_BRIEFS["formal"] in lines
+    assert lines[lines.index("# 上文（第 4 页，已写好，结尾）") + 1] == "…" + "k" * 200
+    assert lines[lines.index("# 下文（第 9 页，已写好，开头）") + 1] == "w" * 199 + "…"
+    assert "# 页面（全文第 5 页起，共 9 页）" in lines and "## 第 5 页｜content｜T5｜待补写" in lines and "已写好的讲稿：seven" in lines
+    at = lines.index("元素：")
+    assert lines[at + 1 : at + 3] == ["  - e1｜title｜a b", "  - e2｜bullet｜" + "x" * 119 + "…"] and lines.count("元素：") == 1
+    assert "## 第 2 页｜content｜无标题｜待补写" in got[0] and "上文" not in got[0]
+    alone = {r.batch: r.prompt for r in drafts.narration_prompts(pages, parts, decks).collect()}
+    assert sorted(alone) == [0, 1, 2] and "待补写" not in alone[0] and drafts.FILL_IN not in alone[0]
