@@ -205,9 +205,27 @@ QUALIFY count(*) OVER (PARTITION BY c.project_id, c.page_index) >= 2
     "named": """
 SELECT project_id, page_index, seq, first_value(element_id) OVER (PARTITION BY project_id, page_index, trim(text) ORDER BY seq) AS first
 FROM elements WHERE trim(text) <> ''
+""",
+    "graphs": """
+SELECT *, list_filter(nodes, lambda x : len(list_filter(e, lambda y : y.t = x)) = 0) AS ready
+FROM (
+  SELECT project_id, page_index, e, list_filter(ends, lambda x, i : list_position(ends, x) = i) AS nodes
+  FROM (SELECT project_id, page_index, list({'s': source, 't': target} ORDER BY edge_seq) AS e, flatten(list([source, target] ORDER BY edge_seq)) AS ends FROM edges GROUP BY ALL)
+)
+""",
+    "walk": """
+SELECT project_id, page_index, e, nodes, ready, []::VARCHAR[] AS done FROM graphs
+UNION ALL
+SELECT project_id, page_index, e, nodes, list_concat(ready[2:], list_transform(list_filter(range(1, len(outs) + 1), lambda i :
+    NOT list_contains(list_transform(outs[i + 1:], lambda y : y.t), outs[i].t) AND len(list_filter(e, lambda f : f.t = outs[i].t AND NOT list_contains(seen, f.s))) = 0), lambda i : outs[i].t)), seen
+FROM (SELECT *, list_filter(e, lambda x : x.s = ready[1]) AS outs, list_append(done, ready[1]) AS seen FROM walk WHERE len(ready) > 0)
+""",
+    "flows": """
+SELECT project_id, page_index, unnest(range(1, len(nodes) + 1))::INT AS place, unnest(list_concat(done, list_filter(nodes, lambda x : NOT list_contains(done, x)))) AS node
+FROM walk WHERE len(ready) = 0
 """,
 }
-fixtures.NEEDS |= {"sized": ["elements"], "classified": ["sized"], "pages_of": ["classified"], "typed": ["pages_of"], "named": ["elements"], "edges": ["named"]}
+fixtures.NEEDS |= {"sized": ["elements"], "classified": ["sized"], "pages_of": ["classified"], "typed": ["pages_of"], "named": ["elements"], "edges": ["named"], "graphs": ["edges"], "walk": ["graphs"], "flows": ["walk"]}
 
 _CUT = """CASE WHEN length({c}) <= 60 THEN {c} ELSE coalesce(
   substr({c}, 1, list_filter(range(59, 29, -1), lambda i : contains('。；;，,、！？!?)）】」', substr({c}, (i + 1)::BIGINT, 1))
@@ -346,6 +364,14 @@ FROM (
 SELECT project_id, page_index, seq, x * f AS x, y * f AS y, w * f AS w, h * f AS h
 FROM (SELECT *, CASE WHEN page_index % 3 = 0 OR page_index % 5 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS f FROM elements)""",
     ),
+    "doc24_flow_order": with_ctes("flows", "SELECT * FROM flows").replace("WITH ", "WITH RECURSIVE ", 1),
+    "doc25_flow_text": with_ctes(
+        "flows",
+        """
+SELECT f.project_id, f.page_index, string_agg(said, ' → ' ORDER BY place) AS flow
+FROM flows f JOIN (SELECT project_id, page_index, element_id, coalesce(nullif(trim(text), ''), element_id) AS said FROM elements) e ON e.project_id = f.project_id AND e.page_index = f.page_index AND e.element_id = f.node
+GROUP BY f.project_id, f.page_index""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "doc23_diagram": with_ctes("edges", "SELECT * FROM edges"),
     "doc26_census": with_ctes(
         "classified",
