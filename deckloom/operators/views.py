@@ -28,6 +28,12 @@ def faceted_search(catalog: DataFrame, query: str, fields: list[str], facet: str
     return catalog.filter(matches(query, fields)).groupBy(facet).agg(F.count("*").alias("n"))
 
 
+def faceted_entries(catalog: DataFrame, query: str, fields: list[str], facet: str, kind: str | None = None) -> DataFrame:
+    """VW-9: the matching entries of one facet, of all if ``kind`` is None; the facets' counts don't change with the choice."""
+    found = catalog.filter(matches(query, fields))
+    return found if kind is None else found.filter(F.col(facet) == kind)
+
+
 def page_views(pages: DataFrame, scenes: DataFrame) -> DataFrame:
     """VW-3: pages with the script that they have, if any."""
     told = scenes.select("project_id", F.col("source_page").alias("page_index"), "scene_id", "narration")
@@ -42,6 +48,24 @@ def project_summary(scenes: DataFrame, scores: DataFrame) -> DataFrame:
     return made.join(scores.select("project_id", "score"), "project_id", "left")
 
 
+def project_details(projects: DataFrame, scenes: DataFrame, findings: DataFrame, scores: DataFrame) -> DataFrame:
+    """VW-1, in full: a project's ``status, file, title``, length and ``target`` in seconds, ``scene_count``, ``output_ready``,
+    ``quality``, ``review`` (its findings) and ``scenes`` in order. Without scenes or findings the lists are empty.
+
+    ``projects`` have ``status, file, title, target, output_path``.
+    """
+    shown = F.struct("scene_seq", "scene_id", "source_page", F.round("duration", 1).alias("duration_s"), "narration")
+    told = F.struct("kind", F.coalesce("scene_id", F.lit("")).alias("scene_id"), "severity", "message")
+    made = scenes.groupBy("project_id").agg(F.round(F.sum("duration"), 1).alias("duration_s"), F.count("*").alias("scene_count"), F.array_sort(F.collect_list(shown)).alias("scenes"))
+    said = findings.groupBy("project_id").agg(F.array_sort(F.collect_list(told)).alias("review"))
+    rows = projects.join(made, "project_id", "left").join(said, "project_id", "left").join(scores.select("project_id", F.col("score").alias("quality")), "project_id", "left")
+    none = lambda c, like: F.coalesce(c, F.array().cast(like.schema[c].dataType))
+    return rows.select(
+        "project_id", "status", "file", "title", F.coalesce("duration_s", F.lit(0.0)).alias("duration_s"), "target", F.coalesce("scene_count", F.lit(0)).alias("scene_count"),
+        (F.coalesce("output_path", F.lit("")) != "").alias("output_ready"), "quality", none("review", said).alias("review"), none("scenes", made).alias("scenes"),
+    )
+
+
 def document_view(pages: DataFrame, elements: DataFrame, guide: DataFrame) -> DataFrame:
     """VW-2: pages with the elements that have text, in order, and the budget to write their script by."""
     page = ["project_id", "page_index"]

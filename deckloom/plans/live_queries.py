@@ -29,6 +29,11 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.drain(jobs.run_counters(jobs.as_stream(r, "runs")), "run-counters")
 
 
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = fixtures.runs(spark, sf_dir).select("run_id", "status")
+    return jobs.drain(jobs.run_totals(jobs.as_stream(r, "runs")), "run-totals")
+
+
 def newest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.list_jobs(jobs.job_state(job_events(spark, sf_dir)), 20)
 
@@ -66,12 +71,14 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "str1_job_state": job_state,
     "str2_run_counters": counters,
+    "str2_run_totals": totals,
     "str3_newest_jobs": newest_jobs,
     "int3_page_mentions": mentions,
     "int6_sanitize": sanitize,
     "int8_diff": diff,
     "vw3_page_views": lambda spark, sf_dir: views.page_views(typed_pages(spark, sf_dir), scenes(spark, sf_dir)),
     "vw7_search": lambda spark, sf_dir: views.catalog_search(catalog(spark, sf_dir), "the EN", ["title", "lang"], "key"),
+    "vw9_entries": lambda spark, sf_dir: views.faceted_entries(catalog(spark, sf_dir), "e", ["title"], "lang", "en"),
     "vw9_facets": lambda spark, sf_dir: views.faceted_search(catalog(spark, sf_dir), "e", ["title"], "lang"),
 }
 
@@ -95,6 +102,7 @@ SQL = {
         "stage_events",
         "SELECT stage, count(*) AS count, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (k >= 80 AND k < 90) AS degraded FROM stage_events GROUP BY stage",
     ),
+    "str2_run_totals": with_ctes("runs", "SELECT count(*) AS runs, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed FROM runs"),
     "str3_newest_jobs": with_ctes("stage_events", f"SELECT * FROM ({_STATE}) ORDER BY updated_at DESC, job_id LIMIT 20"),
     "int3_page_mentions": """
 SELECT doc_id, list_sort(list_distinct(list_append(CASE WHEN doc_id % 9 <= doc_id % 11 THEN range(doc_id % 9, doc_id % 11 + 1) ELSE [] END, doc_id % 40))) AS pages FROM documents
@@ -121,5 +129,6 @@ FROM (SELECT *, count(*) OVER () AS total, count(*) FILTER (hit) OVER () AS matc
   FROM (SELECT *, contains(lower(title || chr(10) || lang), 'the') AND contains(lower(title || chr(10) || lang), 'en') AS hit FROM ({_CATALOG})))
 WHERE hit ORDER BY installed DESC, key LIMIT 20
 """,
+    "vw9_entries": f"SELECT * FROM ({_CATALOG}) WHERE contains(lower(title), 'e') AND lang = 'en'",
     "vw9_facets": f"SELECT lang, count(*) AS n FROM ({_CATALOG}) WHERE contains(lower(title), 'e') GROUP BY lang",
 }

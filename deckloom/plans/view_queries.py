@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckloom.operators import ledger, narration, views
+from deckloom.operators import ledger, narration, review, views
 from deckloom.plans import fixtures
 from deckloom.plans.doc_queries import elements, typed_pages
 from deckloom.plans.fixtures import with_ctes
 from deckloom.plans.narration_queries import budget
-from deckloom.plans.review_queries import actions, scenes
+from deckloom.plans.review_queries import actions, frames, scenes
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,20 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.project_summary(s, scores)
 
 
+def details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as projects, some without a video or a score; findings are those of blank frames."""
+    s, n = scenes(spark, sf_dir).withColumn("duration", F.floor("duration").cast("double")), F.col("doc_id")
+    p = fixtures.table(spark, sf_dir, "documents").select(
+        n.cast("string").alias("project_id"), F.col("lang").alias("status"), F.format_string("%d.pdf", n).alias("file"), F.col("source").alias("title"),
+        (60 + n % 600).cast("int").alias("target"), F.when(n % 4 != 0, F.format_string("%d.mp4", n)).alias("output_path"), F.when(n % 3 != 0, n.cast("double")).alias("score"),
+    )
+    v = views.project_details(p.drop("score"), s, review.check_blank(frames(spark, sf_dir)), p)
+    return v.withColumns({
+        "review": F.transform("review", lambda x: F.concat_ws(":", x["severity"], x["kind"], x["scene_id"])),
+        "scenes": F.transform("scenes", lambda x: F.concat_ws(":", x["scene_id"], x["source_page"].cast("string"), x["narration"])),
+    })
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views.document_view(typed_pages(spark, sf_dir), elements(spark, sf_dir), narration.narration_guide(budget(spark, sf_dir)))
     return v.select("project_id", "page_index", "title", "page_type", F.transform("elements", lambda e: F.concat_ws(":", e["element_id"], e["kind"], e["text"])).alias("elements"), "target_seconds", "chars")
@@ -52,6 +66,7 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "vw1_summaries": summaries,
+    "vw1_details": details,
     "vw2_documents": documents,
     "vw4_scenes": clip_list,
     "vw5_results": results,
@@ -64,6 +79,15 @@ SQL = {
         "shot",
         """
 SELECT project_id, count(*) AS scenes, round(sum(duration), 1) AS duration, project_id::BIGINT % 17 <> 0 AS ready, CASE WHEN project_id::BIGINT % 3 <> 0 THEN project_id::DOUBLE END AS score FROM shot GROUP BY project_id""",
+    ),
+    "vw1_details": with_ctes(
+        "shot blank_found",
+        """
+SELECT doc_id::VARCHAR AS project_id, lang AS status, doc_id || '.pdf' AS file, source AS title, coalesce(d, 0)::DOUBLE AS duration_s, (60 + doc_id % 600)::INT AS target, coalesce(n, 0) AS scene_count, doc_id % 4 <> 0 AS output_ready,
+  CASE WHEN doc_id % 3 <> 0 THEN doc_id::DOUBLE END AS quality, coalesce(f, []) AS review, coalesce(s, []) AS scenes
+FROM documents
+LEFT JOIN (SELECT project_id, sum(floor(duration)) AS d, count(*) AS n, list(scene_id || ':' || source_page || ':' || narration ORDER BY scene_seq) AS s FROM shot GROUP BY project_id) a ON a.project_id = doc_id::VARCHAR
+LEFT JOIN (SELECT project_id, list(severity || ':' || kind || ':' || scene_id ORDER BY kind, scene_id) AS f FROM blank_found GROUP BY project_id) b ON b.project_id = doc_id::VARCHAR""",
     ),
     "vw2_documents": with_ctes(
         "budgets",

@@ -35,6 +35,12 @@ def run_counters(runs: DataFrame) -> DataFrame:
     return rows.groupBy("stage").agg(F.sum("n").alias("count"), F.sum("f").alias("failed"), F.sum("d").alias("degraded"))
 
 
+def run_totals(runs: DataFrame) -> DataFrame:
+    """STR-2: ``runs, succeeded, failed``: running counts of the runs themselves; the state is one row."""
+    of = lambda status: F.count(F.when(F.col("status") == status, 1)).alias(status)
+    return runs.agg(F.count("*").alias("runs"), of("succeeded"), of("failed"))
+
+
 def list_jobs(jobs: DataFrame, n: int = 50) -> DataFrame:
     """STR-3: the newest jobs."""
     return jobs.orderBy(F.desc("updated_at"), "job_id").limit(n)
