@@ -80,11 +80,11 @@ def match_boundaries(expected: DataFrame, pauses: DataFrame, bonus: float = 1.0)
     def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("seg_seq")
         middle = (right["end"] - right["duration"] / 2).to_numpy()
-        order = np.argsort(middle, kind="stable")
+        order = np.lexsort((right["duration"].to_numpy(), middle))
         middle, length = middle[order], right["duration"].to_numpy()[order]
         want, n, m = left["expected"].to_numpy(), len(left), len(right)
         if n == 0 or m < n:
-            return pd.DataFrame({"project_id": [], "page_index": [], "seg_seq": [], "at": []})
+            return left[["project_id", "page_index", "seg_seq"]].iloc[:0].assign(at=0.0)
         cost = np.abs(middle[None, :] - want[:, None]) - bonus * length[None, :]
         # best[j]: least cost of the boundaries from i on with the pauses from j on.
         best, takes = np.zeros(m + 1), np.zeros((n, m), dtype=bool)

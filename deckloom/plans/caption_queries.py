@@ -47,9 +47,9 @@ def breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scene's pauses stand near its boundaries, in order."""
+    """A scene's pauses stand near its boundaries, in order, and within its sentences."""
     b = narration.expected_boundaries(segments(spark, sf_dir), totals(spark, sf_dir))
-    return captions.match_boundaries(b, pauses(spark, sf_dir)).withColumn("at", narration.thousandths(F.col("at")))
+    return captions.match_boundaries(b, pauses(spark, sf_dir).unionByName(breaks(spark, sf_dir))).withColumn("at", narration.thousandths(F.col("at")))
 
 
 QUERIES = {
@@ -106,8 +106,35 @@ FROM (
     SELECT l.*, t.start AS s, t."end" AS e, floor(greatest((t."end" - t.start) * length(l.text) / sum(length(l.text)) OVER k::DOUBLE, least(0.8, (t."end" - t.start) / count(*) OVER k)) * 1e6)::BIGINT AS w
     FROM lines l JOIN timed t ON t.project_id = l.project_id AND t.page_index = l.page_index AND t.seg_seq = l.seg_seq WHERE t."end" > t.start
     WINDOW k AS (PARTITION BY l.project_id, l.page_index, l.seg_seq)))
+""",
+    "boundaries": """
+SELECT project_id, page_index, seg_seq, floor(total * upto::DOUBLE / whole::DOUBLE * 1000 + 0.5) / 1000 AS expected FROM weighed WHERE NOT last
+""",
+    "silences": """
+SELECT project_id, page_index, e - d / 2 AS mid, d FROM (
+  SELECT project_id, page_index, floor((expected + 0.15::DOUBLE * (seg_seq % 3 - 1)) * 1000 + 0.5) / 1000 AS e, 0.2::DOUBLE + 0.1::DOUBLE * (seg_seq % 4) AS d FROM boundaries
+  UNION ALL SELECT project_id, page_index, (start + "end") / 2, 0.3::DOUBLE + 0.1::DOUBLE * (seg_seq % 3) FROM timed)
+""",
+    "matching": """
+SELECT project_id, page_index, seqs, want, mids, ds, len(want) + 1 AS i, list_transform(range(0, len(mids) + 1), lambda k : 0.0::DOUBLE) AS best, []::BOOLEAN[] AS takes
+FROM (SELECT project_id, page_index, list(seg_seq ORDER BY seg_seq) AS seqs, list(expected ORDER BY seg_seq) AS want FROM boundaries GROUP BY ALL)
+JOIN (SELECT project_id, page_index, list(mid ORDER BY mid, d) AS mids, list(d ORDER BY mid, d) AS ds FROM silences GROUP BY ALL) USING (project_id, page_index)
+WHERE len(mids) >= len(want)
+UNION ALL
+SELECT project_id, page_index, seqs, want, mids, ds, i, rest, list_transform(range(1, len(mids) + 1), lambda k : use[k] <= rest[k + 1]) FROM (
+  SELECT *, list_append(list_transform(range(1, len(mids) + 1), lambda k : list_min(use[k:])), 'inf'::DOUBLE) AS rest FROM (
+    SELECT project_id, page_index, seqs, want, mids, ds, i - 1 AS i, list_transform(range(1, len(mids) + 1), lambda k : abs(mids[k] - want[i - 1]) - ds[k] + best[k + 1]) AS use
+    FROM matching WHERE i > 1))
+""",
+    "matched": """
+SELECT project_id, page_index, 0::BIGINT AS i, 0::BIGINT AS k, NULL::INT AS seg_seq, NULL::DOUBLE AS mid FROM matching WHERE i = 1
+UNION ALL
+SELECT project_id, page_index, i, k, seqs[i], mids[k] FROM (
+  SELECT m.project_id, m.page_index, m.i, m.seqs, m.mids, list_filter(range(a.k + 1, len(m.mids) + 1), lambda j : m.takes[j])[1] AS k
+  FROM matched a JOIN matching m ON m.project_id = a.project_id AND m.page_index = a.page_index AND m.i = a.i + 1 AND m.i <= len(m.want))
 """,
 }
+fixtures.NEEDS |= {"boundaries": ["weighed"], "silences": ["boundaries", "timed"], "matching": ["silences"], "matched": ["matching"]}
 fixtures.NEEDS |= {"spoken": ["segments"], "folded": ["spoken"], "clauses": ["segments"], "parts": ["clauses"], "merging": ["parts"], "lines": ["merging"], "cues": ["lines", "timed"]}
 
 
@@ -123,6 +150,7 @@ SELECT f.project_id, f.page_index, f.unit_seq, max(f.pause_before) AS pause_befo
 FROM folded f JOIN spoken s ON s.project_id = f.project_id AND s.page_index = f.page_index AND s.seg_seq = f.seg_seq GROUP BY ALL""",
     ),
     "tim2_pauses": _recursive("folded", f"SELECT {_KEY}, unit_seq, pause_before FROM folded"),
+    "tim6_matched": _recursive("matched", f'SELECT {_KEY}, floor(mid * 1000 + 0.5) / 1000 AS "at" FROM matched WHERE i > 0'),
     "lay1_captions": _recursive("lines", "SELECT * FROM lines"),
     "lay2_times": _recursive("cues", "SELECT * FROM cues"),
     "lay3_split": _recursive(

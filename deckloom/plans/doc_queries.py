@@ -72,7 +72,7 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = raw_elements(spark, sf_dir)
-    refs = e.filter("seq % 2 = 0").select(*PAGE, F.col("element_id").alias("ref")).unionByName(e.filter("seq % 3 = 0").select(*PAGE, F.col("label").alias("ref"))).distinct()
+    refs = e.select(*PAGE, F.col("element_id").alias("ref")).unionByName(e.select(*PAGE, F.col("label").alias("ref"))).distinct()
     return document.resolve_elements(refs, e)
 
 
@@ -276,8 +276,8 @@ FROM elements WHERE (page_index - 1) * 8 + seq - 1 < 12 GROUP BY project_id""",
         """
 SELECT r.project_id, r.page_index, r.ref, arg_min(e.element_id, e.seq) AS element_id
 FROM (
-  SELECT project_id, page_index, element_id AS ref FROM sized WHERE seq % 2 = 0
-  UNION SELECT project_id, page_index, label FROM sized WHERE seq % 3 = 0
+  SELECT project_id, page_index, element_id AS ref FROM sized
+  UNION SELECT project_id, page_index, label FROM sized
 ) r JOIN sized e ON e.project_id = r.project_id AND e.page_index = r.page_index AND (e.element_id = r.ref OR e.label = r.ref)
 GROUP BY r.project_id, r.page_index, r.ref""",
     ),

@@ -1,5 +1,5 @@
 """Queries over messages, with their SQL twins. The tables at hand hold no Chinese requests, so each document's number picks
-the phrases of one."""
+the phrases of one, which stand before the document's whole text."""
 
 from __future__ import annotations
 
@@ -22,9 +22,9 @@ WISHES = (
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("project_id"), F.col("doc_id").alias("message_id"))
+    d = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("project_id"), F.col("doc_id").alias("message_id"), "text")
     pick = lambda words, k: F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("message_id") % k + 1).cast("int"))
-    return d.withColumn("text", F.concat_ws("，", pick(LENGTHS, len(LENGTHS)), pick(WISHES, len(WISHES))))
+    return d.withColumn("text", F.concat_ws("，", pick(LENGTHS, len(LENGTHS)), pick(WISHES, len(WISHES)), "text"))
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def _case(words: dict) -> str:
 _ANY = lambda *words: f"regexp_matches(text, '{'|'.join(words)}')"
 fixtures.CTES |= {
     "messages": f"""
-SELECT doc_id::VARCHAR AS project_id, doc_id AS message_id, source, lang, {_list(LENGTHS)}[(doc_id % {len(LENGTHS)} + 1)::INT] || '，' || {_list(WISHES)}[(doc_id % {len(WISHES)} + 1)::INT] AS text FROM documents
+SELECT doc_id::VARCHAR AS project_id, doc_id AS message_id, source, lang, concat_ws('，', {_list(LENGTHS)}[(doc_id % {len(LENGTHS)} + 1)::INT], {_list(WISHES)}[(doc_id % {len(WISHES)} + 1)::INT], text) AS text FROM documents
 """,
     "lengths": f"""
 SELECT *, coalesce(CASE WHEN h IS NOT NULL THEN h * 60 + CASE WHEN h_half <> '' THEN 30 ELSE 0 END END, CASE WHEN regexp_matches(text, '半\\s*(?:小时|个小时|钟头)') THEN 30 END,

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from deckloom.operators import charts, drafts, ledger, narration, review
 from deckloom.plans import fixtures
+from deckloom.plans.caption_queries import _recursive
 from deckloom.plans.doc_queries import raw_elements, typed_pages
 from deckloom.plans.fixtures import with_ctes
 from deckloom.plans.narration_queries import intents, segments, totals, unbroken
+from deckloom.plans.shot_queries import covers
 
 #: The Chinese phrases of REV-9 don't occur in the tables at hand; these families stand in for them.
 LATIN_TICS = (("pair", "[a-z]+ and [a-z]+"), ("long", "[a-z]{11,}"))
@@ -64,7 +66,7 @@ def action_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The findings of all rules but REV-13, which is by page and zoom."""
+    """The findings of all rules."""
     s, p, c, a = scenes(spark, sf_dir), typed_pages(spark, sf_dir), captions(spark, sf_dir), actions(spark, sf_dir)
     parts = [
         review.check_duration(s, intents(spark, sf_dir)),
@@ -78,6 +80,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         tics(spark, sf_dir),
         review.check_cue_length(c),
         review.check_caption_overflow(c),
+        covers(spark, sf_dir),
         review.check_rate(s),
         monotone(spark, sf_dir),
         review.check_blank(frames(spark, sf_dir)),
@@ -131,8 +134,8 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An action for every fourth sentence, on the element of its number, which may be missing."""
-    s = segments(spark, sf_dir).filter("seg_seq % 4 = 0")
+    """An action for every sentence, on the element of its number, which may be missing."""
+    s = segments(spark, sf_dir)
     return s.select("project_id", F.format_string("scene_%02d", "page_index").alias("scene_id"), F.col("page_index").alias("source_page"), F.format_string("p%02d_e%02d", "page_index", "seg_seq").alias("target"), (F.col("seg_seq") * 1.5).alias("at"), F.lit(2.0).alias("duration"))
 
 
@@ -188,7 +191,7 @@ QUERIES = {
 
 #: The twins of the rules, of which all findings are put together.
 FOUND = (
-    "duration_found uncovered_found asset_found rhythm_found length_found rate_found dangling_found overflow_found aloud_found tics cue_found caption_found monotone_found blank_found hidden_found"
+    "duration_found uncovered_found asset_found rhythm_found length_found rate_found dangling_found overflow_found aloud_found tics cue_found caption_found cover_found monotone_found blank_found hidden_found"
 ).split()
 fixtures.CTES |= {
     "shot": """
@@ -244,12 +247,12 @@ FROM (SELECT *, len(list_intersect(a, b)) / nullif(len(a), 0)::DOUBLE AS share F
 """,
     "dangling_found": r"""
 SELECT s.project_id, 'warning' AS severity, 'dangling_action' AS kind, printf('scene_%02d', s.page_index) AS scene_id, printf('p%02d_e%02d', s.page_index, s.seg_seq) AS message
-FROM segments s LEFT JOIN elements e ON e.project_id = s.project_id AND e.page_index = s.page_index AND e.seq = s.seg_seq WHERE s.seg_seq % 4 = 0 AND e.seq IS NULL
+FROM segments s LEFT JOIN elements e ON e.project_id = s.project_id AND e.page_index = s.page_index AND e.seq = s.seg_seq WHERE e.seq IS NULL
 """,
     "overflow_found": r"""
 SELECT s.project_id, 'warning' AS severity, 'action_overflow' AS kind, h.scene_id, printf('p%02d_e%02d', s.page_index, s.seg_seq) AS message
 FROM segments s JOIN shot h ON h.project_id = s.project_id AND h.scene_id = printf('scene_%02d', s.page_index)
-WHERE s.seg_seq % 4 = 0 AND s.seg_seq * 1.5 + 2 > h.duration + 0.05
+WHERE s.seg_seq * 1.5 + 2 > h.duration + 0.05
 """,
     "cue_found": r"""
 SELECT project_id, 'info' AS severity, 'subtitle' AS kind, printf('scene_%02d', page_index) AS scene_id, text AS message FROM segments WHERE length(text) > 34
@@ -366,7 +369,7 @@ FROM (SELECT *, length(text) * 40 * 0.55::DOUBLE AS run FROM segments)""",
 SELECT any_value(project_id) AS project_id, 'error' AS severity, 'blank_frame' AS kind, run_id AS scene_id, max(k)::VARCHAR AS message
 FROM stage_events GROUP BY run_id HAVING max(k) <= 24""",
     ),
-    "rev18_score": with_ctes(
+    "rev18_score": _recursive(
         "found typed segments",
         f"""
 , sums AS (
@@ -378,7 +381,7 @@ FROM stage_events GROUP BY run_id HAVING max(k) <= 24""",
   LEFT JOIN (SELECT project_id, count(*) FILTER (kind IN ('missing_visual', 'missing_audio')) AS missing, count(*) FILTER (kind = 'duration') AS late,
     count(*) FILTER (kind = 'pacing') AS pace, count(*) FILTER (kind IN ('speech_rate', 'monotone')) AS rate,
     count(*) FILTER (kind IN ('blank_frame', 'action_not_visible')) AS unseen, count(*) FILTER (kind IN ('read_aloud', 'ai_tic')) AS words,
-    count(*) FILTER (kind IN ('dangling_action', 'action_overflow')) AS aimed, count(*) FILTER (kind IN ('subtitle', 'subtitle_overflow')) AS shown, count(*) FILTER (severity = 'error') AS errors,
+    count(*) FILTER (kind IN ('dangling_action', 'action_overflow')) AS aimed, count(*) FILTER (kind IN ('subtitle', 'subtitle_overflow', 'subtitle_cover')) AS shown, count(*) FILTER (severity = 'error') AS errors,
     count(*) FILTER (severity = 'warning') AS warnings FROM found GROUP BY project_id) f USING (project_id)
   LEFT JOIN (SELECT project_id, count(*) AS captions FROM segments GROUP BY project_id) c USING (project_id)
 ), scored AS (
@@ -404,6 +407,6 @@ FROM scored""",
 SELECT project_id, count(*) FILTER (noise <= 6 AND drawn IS NOT NULL) AS checked, count(*) FILTER (noise > 6 OR noise IS NULL) AS skipped
 FROM action_stats WHERE type IN ('highlight', 'pointer') AND before >= 0 GROUP BY project_id""",
     ),
-    "rev1_to_17_findings": with_ctes("found", "SELECT * FROM found"),
-    "rev19_counts": with_ctes("found", "SELECT kind, severity, count(*) AS n FROM found GROUP BY kind, severity"),
+    "rev1_to_17_findings": _recursive("found", "SELECT * FROM found"),
+    "rev19_counts": _recursive("found", "SELECT kind, severity, count(*) AS n FROM found GROUP BY kind, severity"),
 }

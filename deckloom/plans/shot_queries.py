@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deckloom.operators import attention, review, shots
@@ -54,8 +54,8 @@ def flat_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second element counts as a chart."""
-    return elements(spark, sf_dir).filter("seq % 2 = 0").select(*PAGE, "element_id", "kind", F.col("label").alias("title"))
+    """Every element counts as a chart."""
+    return elements(spark, sf_dir).select(*PAGE, "element_id", "kind", F.col("label").alias("title"))
 
 
 def charts_of_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +103,9 @@ def zooms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def covers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements drawn 300 pixels lower than they are, under one caption for each sentence."""
-    c = captions(spark, sf_dir).filter("cue_seq = 1").drop("cue_seq").withColumnRenamed("seg_seq", "cue_seq")
+    """Elements drawn 300 pixels lower than they are, under the captions of their page."""
+    place = F.row_number().over(Window.partitionBy(*PAGE).orderBy("seg_seq", "cue_seq"))
+    c = captions(spark, sf_dir).withColumn("cue_seq", place).drop("seg_seq")
     e = elements(spark, sf_dir).withColumns({"y": F.col("y") + 300, "page_w": F.lit(1920.0), "page_h": F.lit(1080.0), "label": F.col("element_id")})
     return review.check_caption_cover(c, e, shots.active_zoom(c, film_moves(spark, sf_dir)))
 
@@ -211,15 +212,32 @@ FROM (
 """,
     "film_cues": """
 SELECT c.project_id, c.page_index, c.seg_seq, c.cue_seq, scene_id, o, round(c.start + o, 3) AS start, round(c."end" + o, 3) AS "end", text FROM cues c JOIN reels r USING (project_id, page_index)
+""",
+    "cover_found": f"""
+SELECT DISTINCT project_id, 'warning' AS severity, 'subtitle_cover' AS kind, scene_id, element_id AS message FROM (
+  SELECT *, greatest(0, least(bx + bw, ex + ew) - greatest(bx, ex)) * greatest(0, least(bt + bh, ey + eh) - greatest(bt, ey)) / nullif(ew * eh, 0) AS under FROM (
+    SELECT b.*, e.element_id, CASE WHEN zoomed THEN (e.x - zx * 1920) * push ELSE e.x END AS ex, CASE WHEN zoomed THEN (e.y + 300 - zy * 1080) * push ELSE e.y + 300 END AS ey,
+      CASE WHEN zoomed THEN e.w * push ELSE e.w END AS ew, CASE WHEN zoomed THEN e.h * push ELSE e.h END AS eh
+    FROM (
+      SELECT c.*, f.x AS zx, f.y AS zy, f.type IS NOT NULL AS zoomed, least(1 / f.w, 1 / f.h) AS push FROM (
+        SELECT *, (1920 - bw) / 2 AS bx, 1080 * 0.97::DOUBLE - bh AS bt FROM (
+          SELECT *, row_number() OVER (PARTITION BY project_id, page_index ORDER BY seg_seq, cue_seq) AS place, least(length(text) * 40 * 0.55::DOUBLE, 1480) AS bw,
+            greatest(1, ceil(length(text) * 40 * 0.55::DOUBLE / 1480)) * 40 * 1.35::DOUBLE AS bh FROM film_cues)
+      ) c LEFT JOIN film f ON {_ON.format(a="f", b="c")} AND f.type = 'zoom' AND f.start <= (c.start + c."end") / 2 AND (c.start + c."end") / 2 < f."end"
+      QUALIFY row_number() OVER (PARTITION BY c.project_id, c.page_index, place ORDER BY f.start, f."end") = 1
+    ) b JOIN classified e ON {_ON.format(a="e", b="b")} AND e.importance >= 0.5 AND e.text <> '' WHERE bt >= 0 AND bx >= 0 AND bh <= 270
+  ) WHERE NOT zoomed OR (ex + ew > 0 AND ex < 1920 AND ey + eh > 0 AND ey < 1080)
+) WHERE under >= 0.25
 """,
 }
 fixtures.NEEDS |= {
     "joining": ["able"], "growing": ["joining"], "focus": ["growing"], "ranked_targets": ["targets"], "gestures": ["ranked_targets", "focus", "timed"],
-    "moves": ["gestures"], "reels": ["typed"], "film": ["moves", "reels"], "film_cues": ["cues", "reels"],
+    "moves": ["gestures"], "reels": ["typed"], "film": ["moves", "reels"], "film_cues": ["cues", "reels"], "cover_found": ["film", "film_cues", "classified"],
 }
 
 _PAGE = "project_id, page_index"
 SQL = {
+    "rev13_covers": _recursive("cover_found", "SELECT * FROM cover_found"),
     "dir3_backdrops": with_ctes(
         "elements",
         f"""
@@ -247,7 +265,7 @@ LEFT JOIN (SELECT {_PAGE}, count(*)::INT AS n_subtitles, max({{'a': round(start
         "film",
         f"""
 SELECT f.project_id, f.page_index, f.target, e.kind, substr(e.text, 1, 8) AS title, round(greatest(f.start - f.o, 0), 3) AS start
-FROM film f JOIN classified e ON {_ON.format(a="e", b="f")} AND e.element_id = f.target WHERE e.seq % 2 = 0
+FROM film f JOIN classified e ON {_ON.format(a="e", b="f")} AND e.element_id = f.target
 QUALIFY row_number() OVER (PARTITION BY f.project_id, f.page_index, f.target ORDER BY f.start, f."end") = 1""",
     ),
     "tl7_fingerprints": _recursive(
