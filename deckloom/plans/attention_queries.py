@@ -15,8 +15,12 @@ from deckloom.plans.narration_queries import segments
 PAGE = ["project_id", "page_index"]
 
 
+def titled(e: DataFrame, p: DataFrame) -> DataFrame:
+    return e.join(p.select(*PAGE, "title"), PAGE)
+
+
 def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return elements(spark, sf_dir).join(typed_pages(spark, sf_dir).select(*PAGE, "title"), PAGE)
+    return titled(elements(spark, sf_dir), typed_pages(spark, sf_dir))
 
 
 def tests_of_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,16 +28,23 @@ def tests_of_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(*PAGE, "seq", attention.worth_pointing_at().alias("able"), attention.is_banner().alias("banner"), F.round(attention.coverage(), 6).alias("coverage"))
 
 
-def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def targets_of(s: DataFrame, e: DataFrame) -> DataFrame:
     """Every third sentence names the element of its own number."""
     named = F.when(F.col("seg_seq") % 3 == 0, F.array(F.format_string("p%02d_e%02d", "page_index", F.col("seg_seq")))).otherwise(F.array().cast("array<string>"))
-    return attention.resolve_targets(segments(spark, sf_dir).withColumn("element_refs", named), _elements(spark, sf_dir))
+    return attention.resolve_targets(s.withColumn("element_refs", named), e)
+
+
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return targets_of(segments(spark, sf_dir), _elements(spark, sf_dir))
 
 
 def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = elements(spark, sf_dir).select(*PAGE, "element_id", "importance")
-    t = targets(spark, sf_dir).join(e, [*PAGE, "element_id"])
-    t = t.join(typed_pages(spark, sf_dir).select(*PAGE, "page_type", attention.action_budget(F.length("raw_text") / 40.0).alias("budget")), PAGE)
+    return chosen_of(segments(spark, sf_dir), elements(spark, sf_dir), typed_pages(spark, sf_dir))
+
+
+def chosen_of(s: DataFrame, e: DataFrame, p: DataFrame) -> DataFrame:
+    t = targets_of(s, titled(e, p)).join(e.select(*PAGE, "element_id", "importance"), [*PAGE, "element_id"])
+    t = t.join(p.select(*PAGE, "page_type", attention.action_budget(F.length("raw_text") / 40.0).alias("budget")), PAGE)
     t = t.withColumns({"emphasis": F.col("seg_seq") % 4 == 0, "in_flow": F.col("seg_seq") % 5 == 0})
     return attention.drop_stutter(attention.rank_candidates(t)).select(*PAGE, "seg_seq", "element_id", F.round("score", 3).alias("score"))
 

@@ -36,8 +36,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.chunk_captions(segments(spark, sf_dir))
 
 
+def cues_of(s: DataFrame, times: DataFrame) -> DataFrame:
+    return captions.caption_times(captions.chunk_captions(s), times)
+
+
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return captions.caption_times(chunks(spark, sf_dir), timed(spark, sf_dir))
+    return cues_of(segments(spark, sf_dir), timed(spark, sf_dir))
 
 
 def breaks(spark: SparkSession, sf_dir: str) -> DataFrame:

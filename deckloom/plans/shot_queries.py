@@ -2,112 +2,150 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deckloom.operators import attention, review, shots
+from deckloom.operators import attention, document, narration, review, shots
 from deckloom.plans import fixtures
-from deckloom.plans.attention_queries import _elements, chosen
-from deckloom.plans.caption_queries import _recursive, cues, timed
-from deckloom.plans.doc_queries import elements, typed_pages
+from deckloom.plans.attention_queries import _elements, chosen_of, titled
+from deckloom.plans.caption_queries import _recursive, cues_of
+from deckloom.plans.doc_queries import elements
 from deckloom.plans.fixtures import with_ctes
-from deckloom.plans.narration_queries import segments
+from deckloom.sources.shared import stored
 
 PAGE = ["project_id", "page_index"]
 
 
-def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+@dataclass
+class Deck:
+    """What the queries on moves share, each worked out once, when it is first asked for."""
+
+    spark: SparkSession
+    sf_dir: str
+
+    @cached_property
+    def elements(self) -> DataFrame:
+        return stored(elements(self.spark, self.sf_dir), "elements")
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        e = self.elements
+        return stored(document.classify_pages(document.page_titles(e).join(document.page_text(e), PAGE), e), "pages")
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        said = self.pages.select(*PAGE, F.col("raw_text").alias("narration"))
+        return stored(narration.split_segments(said, narration.SENTENCES_LATIN), "segments")
+
+    @cached_property
+    def times(self) -> DataFrame:
+        totals = self.pages.select(*PAGE, (F.length("raw_text") / 8.0).alias("total"))
+        return stored(narration.allocate_segments(self.segments, totals), "times")
+
+    @cached_property
+    def focus(self) -> DataFrame:
+        return stored(shots.focus_boxes(titled(self.elements, self.pages)), "focus")
+
+
+def _of_deck(f):
+    return lambda spark, sf_dir: f(Deck(spark, sf_dir))
+
+
+def scenes(d: Deck) -> DataFrame:
     """A scene for each page, an eighth of a second for each character."""
-    p = typed_pages(spark, sf_dir).filter("length(raw_text) > 0")
+    p = d.pages.filter("length(raw_text) > 0")
     name = F.format_string("scene_%02d", "page_index")
     return p.select(*PAGE, "page_type", F.col("page_index").alias("scene_seq"), name.alias("scene_id"), (F.length("raw_text") / 8.0).alias("duration"), F.concat("project_id", F.lit("/"), name, F.lit(".png")).alias("visual_asset"))
 
 
-def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scenes(spark, sf_dir)
+def clips(d: Deck) -> DataFrame:
+    s = scenes(d)
     return review.build_timeline(s).join(s.select(*PAGE, "scene_id"), ["project_id", "scene_id"])
 
 
-def focus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shots.focus_boxes(_elements(spark, sf_dir))
-
-
-def gestures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gestures(d: Deck) -> DataFrame:
     """Gestures for the chosen targets; every fourth sentence is emphasised."""
-    c = chosen(spark, sf_dir).join(elements(spark, sf_dir), [*PAGE, "element_id"]).join(focus(spark, sf_dir), [*PAGE, "element_id"])
-    c = c.join(timed(spark, sf_dir), [*PAGE, "seg_seq"]).withColumn("emphasis", F.col("seg_seq") % 4 == 0)
+    c = chosen_of(d.segments, d.elements, d.pages).join(d.elements, [*PAGE, "element_id"]).join(d.focus, [*PAGE, "element_id"])
+    c = c.join(d.times, [*PAGE, "seg_seq"]).withColumn("emphasis", F.col("seg_seq") % 4 == 0)
     return c.select(*PAGE, "seg_seq", shots.pick_action().alias("type"), "element_id")
 
 
-def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = shots.append_reset(gestures(spark, sf_dir), segments(spark, sf_dir))
-    return shots.time_actions(c, timed(spark, sf_dir), scenes(spark, sf_dir), focus(spark, sf_dir))
+def moves(d: Deck) -> DataFrame:
+    c = shots.append_reset(gestures(d), d.segments)
+    return shots.time_actions(c, d.times, scenes(d), d.focus)
 
 
-def film_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shots.action_cues(moves(spark, sf_dir), focus(spark, sf_dir), clips(spark, sf_dir))
+def film_moves(d: Deck) -> DataFrame:
+    return stored(shots.action_cues(moves(d), d.focus, clips(d)), "moves")
 
 
-def flat_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = film_moves(spark, sf_dir)
+def flat_moves(d: Deck) -> DataFrame:
+    a = film_moves(d)
     return a.select(*PAGE, "start", "end", "type", "target", "effect", *[F.round(f"area.{c}", 5).alias(c) for c in "xywh"])
 
 
-def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def charts(d: Deck) -> DataFrame:
     """Every element counts as a chart."""
-    return elements(spark, sf_dir).select(*PAGE, "element_id", "kind", F.col("label").alias("title"))
+    return d.elements.select(*PAGE, "element_id", "kind", F.col("label").alias("title"))
 
 
-def charts_of_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shots.plan_charts(film_moves(spark, sf_dir), charts(spark, sf_dir), clips(spark, sf_dir)).drop("area")
+def charts_of_scenes(d: Deck) -> DataFrame:
+    return shots.plan_charts(film_moves(d), charts(d), clips(d)).drop("area")
 
 
-def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def captions(d: Deck) -> DataFrame:
     """Captions on the film's clock."""
-    at = clips(spark, sf_dir).select(*PAGE, "scene_id", F.col("start").alias("o"))
-    c = cues(spark, sf_dir).join(at, PAGE)
+    at = clips(d).select(*PAGE, "scene_id", F.col("start").alias("o"))
+    c = cues_of(d.segments, d.times).join(at, PAGE)
     return c.withColumns({k: F.round(F.col(k) + F.col("o"), 3) for k in ("start", "end")}).drop("o")
 
 
-def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shots.scene_plans(scenes(spark, sf_dir), clips(spark, sf_dir), film_moves(spark, sf_dir), captions(spark, sf_dir))
+def plans(d: Deck) -> DataFrame:
+    return shots.scene_plans(scenes(d), clips(d), film_moves(d), captions(d))
 
 
-def plan_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plan_sums(d: Deck) -> DataFrame:
     first = F.get("actions", F.lit(0))
-    return plans(spark, sf_dir).select(
+    return plans(d).select(
         *PAGE, "scene_id", "duration", "image", F.size("actions").alias("n_actions"), F.size("subtitles").alias("n_subtitles"), first["target"].alias("first_target"), first["start"].alias("first_start"),
         F.element_at("subtitles", -1)["text"].alias("last_text"),
     )
 
 
-def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fingerprints(d: Deck) -> DataFrame:
     """Plans of scenes and their captions."""
-    p = plans(spark, sf_dir).withColumn("actions", F.array().cast("array<struct<start:double,end:double,type:string,target:string>>"))
+    p = plans(d).withColumn("actions", F.array().cast("array<struct<start:double,end:double,type:string,target:string>>"))
     return p.select("project_id", "scene_id", shots.plan_fingerprint().alias("fingerprint"))
 
 
-def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dirty(d: Deck) -> DataFrame:
     """Earlier clips of two documents of three, without every fourth page, with every fifth changed; a seventh of the
     projects by another renderer."""
-    now = scenes(spark, sf_dir).select("project_id", "scene_id", "page_index", F.sha2("visual_asset", 256).alias("fingerprint"))
+    now = scenes(d).select("project_id", "scene_id", "page_index", F.sha2("visual_asset", 256).alias("fingerprint"))
     n = F.col("project_id").cast("long")
     old = now.filter((n % 3 != 0) & (F.col("page_index") % 4 != 0))
     old = old.withColumns({"fingerprint": F.when(F.col("page_index") % 5 == 0, "old").otherwise(F.col("fingerprint")), "renderer": F.when(n % 7 == 0, "a").otherwise("b")})
     return shots.dirty_scenes(now, old, "b")
 
 
-def zooms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = shots.active_zoom(captions(spark, sf_dir), film_moves(spark, sf_dir))
+def zooms(d: Deck) -> DataFrame:
+    z = shots.active_zoom(captions(d), film_moves(d))
     return z.select(*PAGE, "scene_id", "seg_seq", "cue_seq", F.round("area.x", 5).alias("x"), F.round("area.w", 5).alias("w"))
 
 
-def covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def covers_of(d: Deck) -> DataFrame:
     """Elements drawn 300 pixels lower than they are, under the captions of their page."""
     place = F.row_number().over(Window.partitionBy(*PAGE).orderBy("seg_seq", "cue_seq"))
-    c = captions(spark, sf_dir).withColumn("cue_seq", place).drop("seg_seq")
-    e = elements(spark, sf_dir).withColumns({"y": F.col("y") + 300, "page_w": F.lit(1920.0), "page_h": F.lit(1080.0), "label": F.col("element_id")})
-    return review.check_caption_cover(c, e, shots.active_zoom(c, film_moves(spark, sf_dir)))
+    c = captions(d).withColumn("cue_seq", place).drop("seg_seq")
+    e = d.elements.withColumns({"y": F.col("y") + 300, "page_w": F.lit(1920.0), "page_h": F.lit(1080.0), "label": F.col("element_id")})
+    return review.check_caption_cover(c, e, shots.active_zoom(c, film_moves(d)))
+
+
+def covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covers_of(Deck(spark, sf_dir))
 
 
 def backdrops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,15 +157,15 @@ def backdrops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "dir3_backdrops": backdrops,
-    "dir6_focus": focus,
-    "dir7_gestures": gestures,
-    "dir11_to_13_moves": moves,
-    "tl3_moves": flat_moves,
-    "tl5_plans": plan_sums,
-    "tl6_charts": charts_of_scenes,
-    "tl7_fingerprints": fingerprints,
-    "tl8_dirty": dirty,
-    "tl9_zooms": zooms,
+    "dir6_focus": lambda spark, sf_dir: shots.focus_boxes(_elements(spark, sf_dir)),
+    "dir7_gestures": _of_deck(gestures),
+    "dir11_to_13_moves": _of_deck(moves),
+    "tl3_moves": _of_deck(flat_moves),
+    "tl5_plans": _of_deck(plan_sums),
+    "tl6_charts": _of_deck(charts_of_scenes),
+    "tl7_fingerprints": _of_deck(fingerprints),
+    "tl8_dirty": _of_deck(dirty),
+    "tl9_zooms": _of_deck(zooms),
     "rev13_covers": covers,
 }
 

@@ -1,11 +1,11 @@
-"""New paths in the folder that the driver and all executors share."""
+"""New paths and tables in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -21,3 +21,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="deckloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: for what one query uses many times, so that it is worked out once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
