@@ -11,7 +11,8 @@ from deckloom.plans.caption_queries import _recursive
 from deckloom.plans.doc_queries import raw_elements, typed_pages
 from deckloom.plans.fixtures import with_ctes
 from deckloom.plans.narration_queries import intents, segments, totals, unbroken
-from deckloom.plans.shot_queries import covers
+from deckloom.plans.shot_queries import Deck, covers
+from deckloom.sources.shared import stored
 
 #: The Chinese phrases of REV-9 don't occur in the tables at hand; these families stand in for them.
 LATIN_TICS = (("pair", "[a-z]+ and [a-z]+"), ("long", "[a-z]{11,}"))
@@ -20,7 +21,11 @@ LATIN_TICS = (("pair", "[a-z]+ and [a-z]+"), ("long", "[a-z]{11,}"))
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenes of all pages but every ninth; a picture is missing from every thirteenth document, a recording from every
     seventeenth; even scenes have an action."""
-    p = typed_pages(spark, sf_dir).filter("page_index % 9 <> 0")
+    return scenes_of(typed_pages(spark, sf_dir))
+
+
+def scenes_of(p: DataFrame) -> DataFrame:
+    p = p.filter("page_index % 9 <> 0")
     s = narration.build_scenes(p, p.select("project_id", "page_index", F.col("raw_text").alias("narration")))
     doc = F.col("project_id").cast("long")
     return s.withColumns({
@@ -31,33 +36,31 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def assets(s: DataFrame) -> DataFrame:
     """All named files but those of scenes on every eleventh page."""
-    s = scenes(spark, sf_dir).filter("source_page % 11 <> 0")
-    return s.select(F.explode(F.array("visual_asset", "audio_path")).alias("path")).filter("path is not null")
+    return s.filter("source_page % 11 <> 0").select(F.explode(F.array("visual_asset", "audio_path")).alias("path")).filter("path is not null")
 
 
-def rhythm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.check_rhythm(scenes(spark, sf_dir), "。！？；.!?;")
+def rhythm(s: DataFrame) -> DataFrame:
+    return review.check_rhythm(s, "。！？；.!?;")
 
 
-def tics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drafts.check_tics(scenes(spark, sf_dir), LATIN_TICS)
+def tics(s: DataFrame) -> DataFrame:
+    return drafts.check_tics(s, LATIN_TICS)
 
 
 def monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.check_monotone(unbroken(spark, sf_dir), totals(spark, sf_dir).withColumnRenamed("total", "duration"))
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames(s: DataFrame) -> DataFrame:
     """A sampled frame of each scene, whose range of brightness is told by the length of its text."""
-    s = scenes(spark, sf_dir)
     return s.select("project_id", "scene_id", F.lit(0.0).alias("ymin"), (F.length("narration") % 120).cast("double").alias("ymax"))
 
 
-def action_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def action_stats(s: DataFrame) -> DataFrame:
     """An action on every sentence, what it draws and what else moves told by the sentence's length."""
-    s, n = segments(spark, sf_dir), F.length("text")
+    n = F.length("text")
     kind = F.element_at(F.array(F.lit("highlight"), F.lit("pointer"), F.lit("zoom")), F.col("seg_seq") % 3 + 1)
     return s.select(
         "project_id", F.format_string("scene_%02d", "page_index").alias("scene_id"), kind.alias("type"), F.format_string("e%d", "seg_seq").alias("target"),
@@ -65,26 +68,28 @@ def action_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def findings(spark: SparkSession, sf_dir: str, d: Deck | None = None) -> DataFrame:
     """The findings of all rules."""
-    s, p, c, a = scenes(spark, sf_dir), typed_pages(spark, sf_dir), captions(spark, sf_dir), actions(spark, sf_dir)
+    d = d or Deck(spark, sf_dir)
+    p, c, a = d.pages, captions(d.segments), actions(d.segments)
+    s = stored(scenes_of(p), "scenes")
     parts = [
         review.check_duration(s, intents(spark, sf_dir)),
         review.check_uncovered(p, s),
-        review.check_assets(s, assets(spark, sf_dir)),
-        rhythm(spark, sf_dir),
+        review.check_assets(s, assets(s)),
+        rhythm(s),
         review.check_scene_length(s),
-        review.check_dangling(a, raw_elements(spark, sf_dir)),
+        review.check_dangling(a, d.elements),
         review.check_overflow(a, s),
-        read_aloud(spark, sf_dir),
-        tics(spark, sf_dir),
+        read_aloud(p),
+        tics(s),
         review.check_cue_length(c),
         review.check_caption_overflow(c),
-        covers(spark, sf_dir),
+        covers(d),
         review.check_rate(s),
         monotone(spark, sf_dir),
-        review.check_blank(frames(spark, sf_dir)),
-        review.check_visibility(action_stats(spark, sf_dir)),
+        review.check_blank(frames(s)),
+        review.check_visibility(action_stats(d.segments)),
     ]
     found = parts[0]
     for part in parts[1:]:
@@ -96,9 +101,9 @@ def _plain(found: DataFrame) -> DataFrame:
     return found.select("project_id", "severity", "kind", "scene_id")
 
 
-def read_aloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+def read_aloud(p: DataFrame) -> DataFrame:
     """Odd pages are narrated with the text of the page before."""
-    p = typed_pages(spark, sf_dir).select("project_id", "page_index", "raw_text")
+    p = p.select("project_id", "page_index", "raw_text")
     before = p.select("project_id", (F.col("page_index") + 1).alias("page_index"), F.col("raw_text").alias("before"))
     own = F.when(F.col("page_index") % 2 == 1, F.coalesce("before", F.lit(""))).otherwise(F.col("raw_text"))
     s = p.join(before, ["project_id", "page_index"], "left").select("project_id", F.format_string("scene_%02d", "page_index").alias("scene_id"), F.col("page_index").alias("source_page"), own.alias("narration"))
@@ -127,29 +132,27 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def captions(s: DataFrame) -> DataFrame:
     """Sentences as captions, one after the other in their scene."""
-    s = segments(spark, sf_dir)
     return s.select("project_id", F.format_string("scene_%02d", "page_index").alias("scene_id"), F.col("seg_seq").alias("cue_seq"), F.col("seg_seq").cast("double").alias("start"), "text")
 
 
-def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def actions(s: DataFrame) -> DataFrame:
     """An action for every sentence, on the element of its number, which may be missing."""
-    s = segments(spark, sf_dir)
     return s.select("project_id", F.format_string("scene_%02d", "page_index").alias("scene_id"), F.col("page_index").alias("source_page"), F.format_string("p%02d_e%02d", "page_index", "seg_seq").alias("target"), (F.col("seg_seq") * 1.5).alias("at"), F.lit(2.0).alias("duration"))
 
 
 def dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.check_dangling(actions(spark, sf_dir), raw_elements(spark, sf_dir))
+    return review.check_dangling(actions(segments(spark, sf_dir)), raw_elements(spark, sf_dir))
 
 
 def overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.check_overflow(actions(spark, sf_dir), scenes(spark, sf_dir))
+    return review.check_overflow(actions(segments(spark, sf_dir)), scenes(spark, sf_dir))
 
 
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scenes(spark, sf_dir)
-    return review.score_quality(findings(spark, sf_dir), s, typed_pages(spark, sf_dir), captions(spark, sf_dir))
+    d = Deck(spark, sf_dir)
+    return review.score_quality(stored(findings(spark, sf_dir, d), "findings"), scenes_of(d.pages), d.pages, captions(d.segments))
 
 
 def _of_ledger(f):
@@ -168,22 +171,22 @@ QUERIES = {
     "tl1_timeline": lambda spark, sf_dir: review.build_timeline(scenes(spark, sf_dir)),
     "tl2_cues": lambda spark, sf_dir: review.absolute_cues(cues(spark, sf_dir), review.build_timeline(scenes(spark, sf_dir))),
     "tl4_frames": lambda spark, sf_dir: scenes(spark, sf_dir).select("project_id", "scene_id", review.total_frames(F.col("duration")).alias("frames")),
-    "rev8_read_aloud": read_aloud,
+    "rev8_read_aloud": lambda spark, sf_dir: read_aloud(typed_pages(spark, sf_dir)),
     "rev6_dangling": dangling,
     "rev7_overflow": overflow,
-    "rev10_cue_length": lambda spark, sf_dir: review.check_cue_length(captions(spark, sf_dir)),
-    "rev11_boxes": lambda spark, sf_dir: captions(spark, sf_dir).select("project_id", "scene_id", "cue_seq", F.round(review.subtitle_box(F.col("text"))["w"], 3).alias("w"), F.round(review.subtitle_box(F.col("text"))["y"], 3).alias("y")),
-    "rev12_caption_overflow": lambda spark, sf_dir: review.check_caption_overflow(captions(spark, sf_dir)),
+    "rev10_cue_length": lambda spark, sf_dir: review.check_cue_length(captions(segments(spark, sf_dir))),
+    "rev11_boxes": lambda spark, sf_dir: captions(segments(spark, sf_dir)).select("project_id", "scene_id", "cue_seq", F.round(review.subtitle_box(F.col("text"))["w"], 3).alias("w"), F.round(review.subtitle_box(F.col("text"))["y"], 3).alias("y")),
+    "rev12_caption_overflow": lambda spark, sf_dir: review.check_caption_overflow(captions(segments(spark, sf_dir))),
     "rev16_blank": blank,
     "rev1_duration": lambda spark, sf_dir: _plain(review.check_duration(scenes(spark, sf_dir), intents(spark, sf_dir))),
     "rev2_uncovered": lambda spark, sf_dir: _plain(review.check_uncovered(typed_pages(spark, sf_dir), scenes(spark, sf_dir))),
-    "rev3_assets": lambda spark, sf_dir: _plain(review.check_assets(scenes(spark, sf_dir), assets(spark, sf_dir))),
-    "rev4_rhythm": lambda spark, sf_dir: _plain(rhythm(spark, sf_dir)),
+    "rev3_assets": lambda spark, sf_dir: _plain(review.check_assets(scenes(spark, sf_dir), assets(scenes(spark, sf_dir)))),
+    "rev4_rhythm": lambda spark, sf_dir: _plain(rhythm(scenes(spark, sf_dir))),
     "rev5_scene_length": lambda spark, sf_dir: _plain(review.check_scene_length(scenes(spark, sf_dir))),
     "rev14_rate": lambda spark, sf_dir: _plain(review.check_rate(scenes(spark, sf_dir))),
     "rev15_monotone": monotone,
-    "rev17_visibility": lambda spark, sf_dir: review.check_visibility(action_stats(spark, sf_dir)),
-    "rev17_counts": lambda spark, sf_dir: review.visibility_counts(action_stats(spark, sf_dir)),
+    "rev17_visibility": lambda spark, sf_dir: review.check_visibility(action_stats(segments(spark, sf_dir))),
+    "rev17_counts": lambda spark, sf_dir: review.visibility_counts(action_stats(segments(spark, sf_dir))),
     "rev1_to_17_findings": lambda spark, sf_dir: _plain(findings(spark, sf_dir)),
     "rev18_score": score,
     "rev19_counts": lambda spark, sf_dir: review.finding_counts(findings(spark, sf_dir)),

@@ -136,7 +136,7 @@ def zooms(d: Deck) -> DataFrame:
     return z.select(*PAGE, "scene_id", "seg_seq", "cue_seq", F.round("area.x", 5).alias("x"), F.round("area.w", 5).alias("w"))
 
 
-def covers_of(d: Deck) -> DataFrame:
+def covers(d: Deck) -> DataFrame:
     """Elements drawn 300 pixels lower than they are, under the captions of their page."""
     place = F.row_number().over(Window.partitionBy(*PAGE).orderBy("seg_seq", "cue_seq"))
     c = captions(d).withColumn("cue_seq", place).drop("seg_seq")
@@ -144,10 +144,6 @@ def covers_of(d: Deck) -> DataFrame:
     return review.check_caption_cover(c, e, shots.active_zoom(c, film_moves(d)))
 
 
-def covers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return covers_of(Deck(spark, sf_dir))
-
-
 def backdrops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes moved and widened by their number until some touch the page's edges; every third has no words."""
     e = fixtures.elements(spark, sf_dir)
@@ -166,7 +162,7 @@ QUERIES = {
     "tl7_fingerprints": _of_deck(fingerprints),
     "tl8_dirty": _of_deck(dirty),
     "tl9_zooms": _of_deck(zooms),
-    "rev13_covers": covers,
+    "rev13_covers": _of_deck(covers),
 }
 
 _ON = "{a}.project_id = {b}.project_id AND {a}.page_index = {b}.page_index"
