@@ -35,6 +35,9 @@ def test_pauses_match_as_all_choices_do(spark):
         if m >= n:
             cost = lambda c: sum(abs(p[j][0] - x) - p[j][1] for j, x in zip(c, e))  # noqa: B023, E731
             want[page] = min(map(cost, itertools.combinations(range(m), n)))
+    # Too few pauses, no pauses, and pauses alone: no rows.
+    expected += [("p", 9, 1, 2.0), ("p", 9, 2, 4.0), ("p", 10, 1, 3.0)]
+    pauses += [("p", 9, 2.5, 0.5), ("p", 11, 1.5, 0.5)]
     a = spark.createDataFrame(expected, "project_id string, page_index int, seg_seq int, expected double")
     b = spark.createDataFrame(pauses, "project_id string, page_index int, end double, duration double")
     got = captions.match_boundaries(a, b).join(a, ["project_id", "page_index", "seg_seq"]).collect()
