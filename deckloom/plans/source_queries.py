@@ -100,7 +100,7 @@ def stage_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
         "pages": p.withColumns({"image_path": F.when(F.col("page_index") % 4 != 0, F.format_string("%s/%d.png", "project_id", "page_index")), "summary": F.col("title")}),
         "scenes": s.withColumns({"provider": F.lit("local"), "voice": F.when(doc % 5 != 0, "v1")}),
-        "actions": review_queries.actions(spark, sf_dir).withColumns({"type": F.lit("zoom"), "action_seq": F.col("at"), "target": F.when(F.col("source_page") % 2 == 0, F.col("target"))}),
+        "actions": review_queries.actions(review_queries.segments(spark, sf_dir)).withColumns({"type": F.lit("zoom"), "action_seq": F.col("at"), "target": F.when(F.col("source_page") % 2 == 0, F.col("target"))}),
         "projects": ids.withColumns({"speech_rate": F.when(doc % 4 == 0, 1.25), "output_path": F.when(doc % 3 != 0, F.concat("project_id", F.lit(".mp4")))}),
         "timeline": s.groupBy("project_id").agg(F.count("*").alias("clips"), F.sum(F.length("narration")).alias("cues"), F.sum("duration").alias("duration")),
         "clips": s.select("project_id", "scene_id", F.when(F.col("source_page") % 2 == 1, F.concat("scene_id", F.lit(".mp4"))).alias("path")),
@@ -155,7 +155,7 @@ SELECT source || '/' || doc_id || ['.PDF', '.pptx', '.txt', ''][doc_id % 4 + 1]
     "src7_names": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN substr(text, 1, 40) WHEN 1 THEN doc_id || 'a+b c' ELSE doc_id || '%FF.pdf' END AS name FROM documents",
     "led7_artifacts": with_ctes(
         "shot segments",
-        ", moves AS (SELECT project_id, printf('scene_%02d', page_index) AS scene_id, string_agg(printf('zoom @%.1fs', seg_seq * 1.5::DOUBLE) || CASE WHEN page_index % 2 = 0 THEN ' → ' || printf('p%02d_e%02d', page_index, seg_seq::INT) ELSE '' END, '；' ORDER BY seg_seq) AS m FROM segments WHERE seg_seq % 4 = 0 GROUP BY ALL)\n"
+        ", moves AS (SELECT project_id, printf('scene_%02d', page_index) AS scene_id, string_agg(printf('zoom @%.1fs', seg_seq * 1.5::DOUBLE) || CASE WHEN page_index % 2 = 0 THEN ' → ' || printf('p%02d_e%02d', page_index, seg_seq::INT) ELSE '' END, '；' ORDER BY seg_seq) AS m FROM segments GROUP BY ALL)\n"
         + "\nUNION ALL ".join([
             _made("parse", "printf('第 %d 页', page_index)", "image", "project_id || '/' || page_index || '.png'", "''", "''", "page_index", "page_index", "typed WHERE page_index % 4 <> 0"),
             _made("understand", "printf('第 %d 页｜%s', page_index, page_type)", "text", "''", "coalesce(nullif(title, ''), '（无摘要）')", "''", "page_index", "page_index", "typed"),

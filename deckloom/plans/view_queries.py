@@ -10,6 +10,7 @@ from deckloom.plans import fixtures
 from deckloom.plans.doc_queries import elements, typed_pages
 from deckloom.plans.fixtures import with_ctes
 from deckloom.plans.narration_queries import budget
+from deckloom.plans.narration_queries import segments
 from deckloom.plans.review_queries import actions, frames, scenes
 
 
@@ -27,7 +28,7 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
         n.cast("string").alias("project_id"), F.col("lang").alias("status"), F.format_string("%d.pdf", n).alias("file"), F.col("source").alias("title"),
         (60 + n % 600).cast("int").alias("target"), F.when(n % 4 != 0, F.format_string("%d.mp4", n)).alias("output_path"), F.when(n % 3 != 0, n.cast("double")).alias("score"),
     )
-    v = views.project_details(p.drop("score"), s, review.check_blank(frames(spark, sf_dir)), p)
+    v = views.project_details(p.drop("score"), s, review.check_blank(frames(scenes(spark, sf_dir))), p)
     return v.withColumns({
         "review": F.transform("review", lambda x: F.concat_ws(":", x["severity"], x["kind"], x["scene_id"])),
         "scenes": F.transform("scenes", lambda x: F.concat_ws(":", x["scene_id"], x["source_page"].cast("string"), x["narration"])),
@@ -55,7 +56,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scenes(spark, sf_dir).withColumn("duration", F.floor("duration").cast("double"))
-    return views.project_overview(s, actions(spark, sf_dir).withColumn("type", F.lit("zoom")))
+    return views.project_overview(s, actions(segments(spark, sf_dir)).withColumn("type", F.lit("zoom")))
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +114,7 @@ LEFT JOIN (SELECT project_id, count(*) AS n, sum(floor(duration_s))::BIGINT AS d
         """
 SELECT s.project_id, string_agg(printf('%s p%d %.1fs 动作：%s', s.scene_id, s.source_page, floor(s.duration), coalesce(m, '无')), chr(10) ORDER BY s.scene_seq) AS overview
 FROM shot s LEFT JOIN (
-  SELECT project_id, printf('scene_%02d', page_index) AS scene_id, string_agg(printf('zoom@%.1fs', seg_seq * 1.5::DOUBLE), '、' ORDER BY seg_seq) AS m FROM segments WHERE seg_seq % 4 = 0 GROUP BY ALL
+  SELECT project_id, printf('scene_%02d', page_index) AS scene_id, string_agg(printf('zoom@%.1fs', seg_seq * 1.5::DOUBLE), '、' ORDER BY seg_seq) AS m FROM segments GROUP BY ALL
 ) a ON a.project_id = s.project_id AND a.scene_id = s.scene_id GROUP BY s.project_id""",
     ),
     "led3_artifacts": with_ctes(
