@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from deckloom.llm import (
+    filter_audit,
     html_text,
+    merkle,
     mixing,
     nearest,
     packing,
@@ -32,8 +34,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.query,
         "op9_quality": quality.query,
         "op10_token_counts": token_counts.query,
+        "op12_merkle": merkle.query,
+        "op13_filter_audit": filter_audit.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL}
+    return {"op1_mixing": mixing.SQL, "op12_merkle": merkle.SQL, "op13_filter_audit": filter_audit.SQL}
