@@ -73,15 +73,8 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def labelled_sample(
-    docs: DataFrame,
-    labels: DataFrame,
-    label: str,
-    features: Callable[[], Callable[[str], np.ndarray]],
-    training: dict[int, int],
-    held_out: dict[int, int] | None = None,
-) -> DataFrame:
-    """``held_out, y, times, found``: packed features of at most ``training[c]`` rows of each class c, by a hash of the id.
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, training: dict[int, int], held_out: dict[int, int] | None = None) -> DataFrame:
+    """``held_out, y, times, text`` of at most ``training[c]`` labelled rows of each class c, by a hash of the id.
 
     With ``held_out`` as many rows at most of each class are added from those held out. ``times`` is the number of
     labelled rows of the row's class (and fold) over the number chosen of them, so that the classes keep the ratio they
@@ -100,6 +93,20 @@ def labelled_sample(
             part = rows.filter((F.col("held_out") == held) & (F.col("y") == value)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
             part = part.withColumn("times", F.lit(max(1.0, counts.get((held, value), 0) / most)))
             chosen = part if chosen is None else chosen.unionByName(part)
+    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    texts = documents(docs).join(F.broadcast(chosen), "doc_id").withColumn("n", F.row_number().over(once))
+    return texts.filter("n = 1").select("held_out", "y", "times", "text")
+
+
+def labelled_sample(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    features: Callable[[], Callable[[str], np.ndarray]],
+    training: dict[int, int],
+    held_out: dict[int, int] | None = None,
+) -> DataFrame:
+    """``held_out, y, times, found``: the rows of ``labelled_texts`` with packed features instead of texts."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = features()
@@ -108,9 +115,7 @@ def labelled_sample(
             kept = [batch.column(c) for c in ("held_out", "y", "times")]
             yield pa.RecordBatch.from_arrays([*kept, found], names=["held_out", "y", "times", "found"])
 
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    texts = documents(docs).join(F.broadcast(chosen), "doc_id").withColumn("n", F.row_number().over(once))
-    texts = texts.filter("n = 1").select("held_out", "y", "times", "text")
+    texts = labelled_texts(docs, labels, label, training, held_out)
     return texts.mapInArrow(extract, "held_out boolean, y int, times double, found binary")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from deckloom.llm import (
+    convnet,
     filter_audit,
     html_text,
     merkle,
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.query,
         "op9_quality": quality.query,
         "op10_token_counts": token_counts.query,
+        "op11_quality_net": convnet.query,
         "op12_merkle": merkle.query,
         "op13_filter_audit": filter_audit.query,
     }
