@@ -179,7 +179,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = TR
     return texts.filter(F.col("so_far") <= TRAINING_BYTES).select("y", "times", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = TRAINING_ROWS) -> Net:
+def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = TRAINING_ROWS, steps: int = STEPS) -> Net:
     """A network fitted in one task of an executor; the driver gets its weights alone, some 24 KB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = TRAINING_RO
             y += batch.column("y").to_pylist()
             times += batch.column("times").to_pylist()
         order = sorted(range(len(texts)), key=lambda i: (y[i], texts[i]))  # whatever order rows come in
-        net = fit([texts[i] for i in order], np.array([y[i] for i in order], float), np.array([times[i] for i in order], float))
+        net = fit([texts[i] for i in order], np.array([y[i] for i in order], float), np.array([times[i] for i in order], float), steps)
         yield pa.RecordBatch.from_pylist([{"part": k, "weights": w.astype("<f4").tobytes()} for k, w in enumerate(arrays_of(net))])
 
     got = training_texts(docs, labels, rows).repartition(1).mapInArrow(run, "part long, weights binary").collect()

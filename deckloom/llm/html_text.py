@@ -2,13 +2,14 @@
 
 Paragraphs pass points for their length and commas on to the elements around them, less the further out; an element's
 points are discounted by its share of link text. The best element is the article's container; siblings with points or
-prose of their own are kept with it. Elements that are never part of an article are cut before.
+prose of their own are kept with it. Menus, notices, comments and the like are cut before, by their names and by what
+they hold: a name alone never cuts what holds nearly all of the page's prose.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -20,9 +21,9 @@ from deckloom.llm.common import table
 # Element names of HTML, by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(
-    "script style noscript template head nav footer aside form button select textarea input label fieldset iframe "
-    "object embed svg canvas audio video dialog menu".split()
+    "script style noscript template head button select textarea input label iframe object embed svg canvas audio video".split()
 )
+ASIDE = frozenset("nav footer aside form fieldset dialog menu".split())
 BLOCK = frozenset(
     "address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup html "
     "li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -48,6 +49,16 @@ UNLIKELY = frozenset(
     "pager skip search tags".split()
 )
 LIKELY = frozenset("article body content entry main post story text".split())
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+#: Words that name a part of the thing that the word before them names, and words that say what a thing has or lacks.
+PARTS = frozenset(
+    "container wrapper wrap box inner outer list item items area section block panel slot links link left right top bottom "
+    "primary secondary holder bar row col column columns group unit form posts articles stories buttons button icons icon title "
+    "header body content text main media".split()
+)
+QUALIFIERS = frozenset("no not without with has have hide show".split())
+#: Of an element with such a class of its own, another class name doesn't say that it is unlikely.
+OWN_LIKELY = LIKELY - PARTS
 UNLIKELY_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 _NAME_WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
@@ -55,8 +66,21 @@ _NAME_WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 LEAST_CHARS, PROSE_CHARS = 25, 80
 
 
+def _names(attrs: dict) -> Iterator[list[str]]:
+    """The words of each class name and of the id, but for those that say what the element has or lacks."""
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        words = [w.lower() for w in _NAME_WORD.findall(name)]
+        if words and words[0] not in QUALIFIERS:
+            yield words
+
+
+def _thing(words: list[str]) -> str:
+    """What a compound name names: its last word that isn't a part of something (``post-comments``, ``sidebar-left``)."""
+    return next((w for w in reversed(words) if w not in PARTS), words[-1])
+
+
 class Node:
-    __slots__ = ("name", "attrs", "parent", "in_article", "items", "points", "chars", "linked", "own")
+    __slots__ = ("name", "attrs", "parent", "in_article", "items", "points", "chars", "linked", "own", "kind", "things", "prose", "titled")
 
     def __init__(self, name: str, attrs: dict, parent: Node | None):
         self.name, self.attrs, self.parent = name, attrs, parent
@@ -66,25 +90,32 @@ class Node:
         # letters inside, letters inside links, and the text of its own paragraph, if it is one
         self.chars = self.linked = 0
         self.own: list[str] | str = []
-
-    def unwanted(self) -> bool:
-        """Menus, site headers and footers, sidebars, notices, adverts, forms, comments and what isn't shown."""
-        if self.name in DROPPED:
-            return True
-        if self.name in ("html", "body", "article", "main") and not self._says(COMMENTS):
-            return False
+        self.things = {_thing(words) for words in _names(attrs)}
+        self.kind = self._kind()
+        # letters of paragraphs inside, without links and comments; whether a title or an article is inside
+        self.prose, self.titled = 0, name in ("h1", "article", "main")
+
+    def _kind(self) -> str:
+        """``never`` for what isn't shown or isn't text, ``comments``, ``aside`` for what names say is beside an article,
+        ``maybe`` for what they only hint at, else empty."""
         a = self.attrs
-        if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", ""):
-            return True
-        if (a.get("role") or "").lower() in UNLIKELY_ROLES:
-            return True
-        if self.name == "header":
-            return not self.in_article
-        return self._says(UNLIKELY) and not self._says(LIKELY - {"text", "body"} if self._says(COMMENTS) else LIKELY)
-
-    def _says(self, words: frozenset) -> bool:
-        said = f"{self.attrs.get('class') or ''} {self.attrs.get('id') or ''}"
-        return bool(said.strip()) and any(w.lower() in words for w in _NAME_WORD.findall(said))
+        style = "".join((a.get("style") or "").lower().split())
+        if self.name in DROPPED or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true":
+            return "never"
+        if "display:none" in style or "visibility:hidden" in style:
+            return "never"
+        if self.things & COMMENTS:
+            return "comments"
+        if self.name in ("html", "body", "article", "main"):
+            return ""
+        if self.name in ASIDE or (a.get("role") or "").lower() in UNLIKELY_ROLES or self.name == "header" and not self.in_article:
+            return "aside"
+        if self.things & UNLIKELY:
+            return "" if self.things & OWN_LIKELY else "aside"
+        return "maybe" if any(w in UNLIKELY for words in _names(a) for w in words) else ""
+
+    def likely(self) -> bool:
+        return bool(self.things & LIKELY)
 
     def above(self) -> Iterator[Node]:
         node = self.parent
@@ -109,9 +140,6 @@ class Node:
                 stack.pop()
 
 
-COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
-
-
 class Tree(HTMLParser):
     """Builds the element tree, closing what HTML closes implicitly.
 
@@ -165,20 +193,69 @@ class Tree(HTMLParser):
             self._cut(len(self.path) - 1)
 
     def handle_endtag(self, name: str) -> None:
-        self._end({name}, block=name not in BLOCK and name not in DROPPED)
+        self._end({name}, block=name not in BLOCK and name not in DROPPED | ASIDE)
 
     def handle_data(self, data: str) -> None:
         self.path[-1].items.append(data)
 
 
-def _prune(root: Node) -> None:
+def _without(root: Node, unwanted: Callable[[Node], bool]) -> None:
     stack = [root]
     while stack:
         node = stack.pop()
-        node.items = [x for x in node.items if isinstance(x, str) or not x.unwanted()]
+        node.items = [x for x in node.items if isinstance(x, str) or not unwanted(x)]
         stack.extend(x for x in node.items if not isinstance(x, str))
 
 
+def _prune(root: Node, by_name: bool = True) -> None:
+    """Cut what is beside the article, from the top down.
+
+    What is named as comments goes, unless the page's title is inside. Another element that its name speaks against stays if
+    it holds over five sixths of the page's prose and either the title or an article, or if there is no text outside it
+    (hardly any, for a form): then it is a layout's wrapper or a form around the page. A mere hint cuts only what is mostly links.
+    """
+    _without(root, lambda x: x.kind == "never")
+    found, paragraph, link, plain = [], {}, {}, {}
+    for node, text in root.walk():
+        if text is None:
+            found.append(node)
+            paragraph[id(node)] = node if node.name in BLOCK or node is root else paragraph[id(node.parent)]
+            link[id(node)] = node.name == "a" or node is not root and link[id(node.parent)]
+            plain[id(node)] = 0
+            node.chars = node.linked = 0
+        elif length := len(" ".join(text.split())):
+            node.chars += length
+            if link[id(node)]:
+                node.linked += length
+            else:
+                plain[id(paragraph[id(node)])] += length
+    for node in reversed(found):  # children before parents
+        node.prose += plain[id(node)] if plain[id(node)] >= LEAST_CHARS else 0
+        if node is root:
+            continue
+        node.parent.chars += node.chars
+        node.parent.linked += node.linked
+        node.parent.titled |= node.titled
+        if node.kind != "comments" or node.titled:
+            node.parent.prose += node.prose
+    whole, letters = root.prose, root.chars - root.linked
+
+    def unwanted(x: Node) -> bool:
+        if x.kind == "comments" and not x.titled:
+            return True
+        if x.kind == "maybe":
+            return 2 * x.linked > x.chars
+        if not x.kind or not by_name:
+            return False
+        outside = letters - (x.chars - x.linked)
+        alone = outside < (LEAST_CHARS if x.name in ("form", "fieldset") else 1)
+        return not (x.titled and 6 * x.prose > 5 * whole or alone and x.prose)
+
+    _without(root, unwanted)
+    for node in found:
+        node.chars = node.linked = 0
+
+
 def blocks(nodes: list[Node]) -> list[str]:
     """Texts between the edges of block elements, in page order, white space inside turned into one space."""
     out, held = [], []
@@ -254,7 +331,7 @@ def article_nodes(root: Node) -> list[Node]:
                 break
             if up.points == 0:
                 scored.append(up)
-                up.points += 5 if up._says(LIKELY) or up.name in ("article", "main") else 1e-9
+                up.points += 5 if up.likely() or up.name in ("article", "main") else 1e-9
             up.points += points * share
             share, up = 0.5 if depth == 0 else share * 2 / 3, up.parent
     best = max(scored, key=lambda x: x.points * (1 - _density(x)), default=None)
@@ -280,11 +357,14 @@ def article_nodes(root: Node) -> list[Node]:
 
 def main_text(html: str) -> str:
     """The page's article, its blocks joined by an empty line; empty if there is no text."""
-    tree = Tree()
-    tree.feed(html)
-    tree.close()
-    _prune(tree.root)
-    return "\n\n".join(blocks(article_nodes(tree.root)))
+    for by_name in (True, False):  # if names cut all there was, they are not to be trusted
+        tree = Tree()
+        tree.feed(html)
+        tree.close()
+        _prune(tree.root, by_name)
+        if text := "\n\n".join(blocks(article_nodes(tree.root))):
+            return text
+    return ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -117,3 +117,48 @@ def test_repeated_rows_clashing_columns_and_a_long_page(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string")
     got = sorted((r.page_id, r.n_chars) for r in html_text.extract(df).collect())
     assert got == [(1, 35), (1, 35), (2, 400_000 * 6 - 1)]
+
+
+ARTICLE = "<h1>The title of it</h1>" + "".join(f"<p>Paragraph {k} of the article, with words, commas, and some sense in it for readers.</p>" for k in range(5))
+TEXT = html_text.main_text(f"<body>{ARTICLE}</body>")
+OTHER = "<p>Some other words, quite long, but, they are not part of the article at all.</p>" * 2
+WRAPPERS = [
+    '<div class="container no-sidebar">%s</div>',
+    '<div id="page" class="layout with-sidebar">%s</div>',
+    '<form id="aspnetForm" action="x">%s</form>',
+    '<div class="sidebar-layout">%s</div>',
+    '<div class="has-comments"><div>%s</div></div>',
+    '<div class="discussion"><div>%s</div></div>',
+    '<div class="content">%s</div>',
+]
+NAMES_BESIDE = (
+    "post-comments content-sidebar main-nav article-share content-ad sidebar-left comment-list related-posts cookie-banner newsletter-signup "
+    "comments-area ad-container commentList postComments"
+).split()
+BESIDE = [f'<div class="{c}">{OTHER}</div>' for c in NAMES_BESIDE] + [
+    f'<div style="DISPLAY:NONE">{OTHER}</div>',
+    f'<div style="display : none">{OTHER}</div>',
+    f'<div aria-hidden="TRUE">{OTHER}</div>',
+    f"<footer>{OTHER}</footer>",
+]
+
+
+def test_names_of_wrappers_never_empty_a_page_and_what_is_beside_the_article_goes():
+    assert TEXT.count("Paragraph") == 5
+    for wrapper in WRAPPERS:
+        assert html_text.main_text(f"<body>{wrapper % ARTICLE}</body>") == TEXT
+        for part in BESIDE:
+            for html in (wrapper % (ARTICLE + part), wrapper % ARTICLE + part, wrapper % (part + ARTICLE), part + wrapper % ARTICLE, wrapper % f"<article>{ARTICLE}{part}</article>"):
+                assert html_text.main_text(f"<body>{html}</body>") == TEXT, (wrapper, part)
+
+
+def test_a_hint_in_a_name_cuts_links_only():
+    inside = '<div class="search-theory"><h2>Search theory</h2><p>About search, and more to read about it, all in all.</p></div>'
+    menu = '<div class="navbar-collapse"><a href="a">One page</a> <a href="b">Another page</a></div>'
+    text = html_text.main_text(f"<article>{ARTICLE}{inside}{menu}</article>")
+    assert text == TEXT + "\n\nSearch theory\n\nAbout search, and more to read about it, all in all."
+
+
+def test_pages_of_comments_or_notices_alone():
+    assert html_text.main_text(f'<div class="comments">{OTHER}</div>') == ""
+    assert html_text.main_text(f'<div class="cookie-notice">{OTHER}</div><div><p>Short.</p></div>') == "Short."
