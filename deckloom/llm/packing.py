@@ -7,6 +7,7 @@ an array holds the number of such windows at each level.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,22 +62,36 @@ class LevelPacker:
         return None
 
     def rest(self) -> Iterator[list[tuple]]:
-        """Cut what partly filled windows hold into full windows, and the remainder into powers of two."""
-        left = [p for level in sorted(self.windows, reverse=True) for w in self.windows[level] for p in w]
-        total, at, used = sum(len(p[3]) for p in left), 0, 0
-        sizes = [self.capacity] * (total // self.capacity)
-        sizes += [1 << k for k in range(self.capacity.bit_length(), -1, -1) if (total % self.capacity) >> k & 1]
-        for size in sizes:
-            window, room = [], size
-            while room:
-                doc, start, n, ids = left[at]
-                part = ids[used : used + room]
-                window.append((doc, start + used, n, part))
-                room -= len(part)
-                used += len(part)
-                if used == len(ids):
-                    at, used = at + 1, 0
-            yield window
+        """Fill partly filled windows, fullest first, with pieces cut from the emptiest; what is left goes into powers of two.
+
+        So windows keep what the level rule put into them, and only as many are taken apart as it takes to fill the others.
+        """
+        open_ = deque(w for level in sorted(self.windows, reverse=True) for w in self.windows[level])
+        loose: deque[tuple] = deque()
+
+        def taken(room: int) -> Iterator[tuple]:
+            while room and (loose or open_):
+                if not loose:
+                    loose.extend(open_.pop())
+                doc, start, n, ids = loose.popleft()
+                if len(ids) > room:
+                    loose.appendleft((doc, start + room, n, ids[room:]))
+                    ids = ids[:room]
+                room -= len(ids)
+                yield doc, start, n, ids
+
+        window: list[tuple] = []
+        while open_:
+            window = open_.popleft()
+            window.extend(taken(self.capacity - sum(len(p[3]) for p in window)))
+            if sum(len(p[3]) for p in window) == self.capacity:
+                yield window
+                window = []
+        loose.extendleft(reversed(window))
+        left = sum(len(p[3]) for p in loose)
+        for k in range(self.capacity.bit_length(), -1, -1):
+            if left >> k & 1:
+                yield list(taken(1 << k))
 
 
 def pack(

@@ -31,8 +31,8 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 
 #: Stands for a null id in comparisons.
 NO_ID = -(1 << 63)
-_ANCHOR = "anchor long, k long, th int, pos int, known boolean"
-_FOUND = "w1 long, w2 int, k long, th int, start int, n int, known boolean"
+_ANCHOR = "anchor long, k long, th binary, pos int, known boolean"
+_FOUND = "w1 long, w2 int, k long, th binary, start int, n int, known boolean"
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -51,11 +51,11 @@ def _first_of_equal(*sorted_keys: np.ndarray) -> np.ndarray:
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str, str]:
     """The rows with two more columns that tell documents apart, these columns' names, and a name for one more.
 
-    The first is the id (null is least), the second a hash of the text if any id repeats, else 0.
+    The first is the id (null is least), the second 128 bits of the text's SHA-256 if any id repeats, else empty.
     """
     key, text_hash, spans = fresh(docs, "__k", "__th", "__spans")
     most = docs.groupBy(F.col(id_col).alias("k")).count().agg(F.max("count")).first()[0] or 0
-    th = F.hash(F.coalesce(F.col(text_col), F.lit(""))) if most > 1 else F.lit(0)
+    th = F.unhex(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 32)) if most > 1 else F.lit(b"")
     rows = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), text_hash: th})
     return rows, key, text_hash, spans
 
@@ -88,7 +88,7 @@ class _Hot:
         for i in np.flatnonzero((counts >= self.frequent) | self.known(keys)).tolist():
             if len(self.least) >= self.most:
                 break
-            self.least[int(keys[i])] = tuple(int(x[i]) for x in places)
+            self.least[int(keys[i])] = tuple(x[i].item() for x in places)
 
 
 def repeated_spans(marked: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
@@ -140,7 +140,7 @@ def repeated_spans(marked: DataFrame, window: int = WINDOW, period: int = PERIOD
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = _Hot()
         for batch in batches:
-            k, th = batch.column("__k").to_numpy(), batch.column("__th").to_numpy()
+            k, th = batch.column("__k").to_numpy(), np.array(batch.column("__th").to_pylist(), "S16")
             texts, flagged = bytes_of(batch, "__text"), batch.column("__anchors")
             w1, w2, doc, start = [], [], [], []
             order = np.lexsort((th, k))
@@ -173,7 +173,7 @@ def repeated_spans(marked: DataFrame, window: int = WINDOW, period: int = PERIOD
             place = [k[row[head]], th[row[head]], start[head]]
             after = hot.known(pair)
             for i in np.flatnonzero(after).tolist():
-                after[i] = hot.least[int(pair[i])] < tuple(int(x[i]) for x in place)
+                after[i] = hot.least[int(pair[i])] < tuple(x[i].item() for x in place)
             hot.add(pair[~after], size[~after], [x[~after] for x in place])
             first = np.zeros(len(w1), bool)
             first[head] = ~after
@@ -189,7 +189,7 @@ def repeated_spans(marked: DataFrame, window: int = WINDOW, period: int = PERIOD
                     pa.array(np.where(known, alone, w1[sent]).view(np.int64)),
                     pa.array((np.where(known, mixed(alone), w2[sent]) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                     pa.array(k[row[sent]]),
-                    pa.array(th[row[sent]]),
+                    batch.column("__th").take(pa.array(row[sent])),
                     pa.array(start[sent].astype(np.int32)),
                     pa.array(np.concatenate([np.ones(int(first.sum()), np.int32), length.astype(np.int32)])),
                     pa.array(known),

@@ -12,6 +12,7 @@ exactly, through the worker caches.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from deckloom.llm.common import bytes_of, documents, pieces, table
-from deckloom.llm.tokens import CHUNK, ChunkLengths
+from deckloom.llm.tokens import CHUNK, ChunkLengths, chunk_lengths
 
 #: Entries of the broadcast table; it holds a few MB whatever the corpus.
 TABLE_ENTRIES = 1 << 15
@@ -73,10 +74,10 @@ def count_tokens(
     chunks = frequent_chunks(rows, entries)
     lengths = ChunkLengths(tokenizer_path, {})
     ready = {c: n for c in chunks if (n := lengths.measure(c)) < ChunkLengths.MIXED}
-    sent = docs.sparkSession.sparkContext.broadcast(ready)
+    sent, name = docs.sparkSession.sparkContext.broadcast(ready), uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = ChunkLengths(tokenizer_path, sent.value)
+        own = chunk_lengths(tokenizer_path, name, lambda: sent.value)
         for batch in batches:
             texts = bytes_of(batch, "text")
             n = [own.count(x) for x in texts]

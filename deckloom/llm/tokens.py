@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -224,3 +224,14 @@ class ChunkLengths(dict):
         if n >= self.MIXED:
             n = len(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
         return n
+
+
+def chunk_lengths(path: str, name: str, frequent: Callable[[], dict[bytes, int]]) -> ChunkLengths:
+    """The worker's counts for a file and the table of this name; tasks that follow in the same worker find its cache filled.
+
+    A worker keeps one table and one cache, so another name takes the place of the last.
+    """
+    key = ("chunks", path)
+    if key not in _WORKER or _WORKER[key][0] != name:
+        _WORKER[key] = name, ChunkLengths(path, frequent())
+    return _WORKER[key][1]

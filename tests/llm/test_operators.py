@@ -547,3 +547,34 @@ def test_long_training_texts_keep_all_their_features(spark):
         x = np.random.default_rng(n).permutation(1 << 20)[:n].astype(np.int32)
         data = linear.packed(x)
         assert len(data) <= 1 << 17 and linear.Rows([data])[0].tolist() == np.sort(x).tolist()
+
+
+def test_texts_of_one_id_whose_32_bit_hashes_clash(spark):
+    """Documents that share an id, or have none, are told apart by 128 bits of their texts."""
+    passage = [f"p{j}" for j in range(25)]
+    many = spark.range(500_000).selectExpr("concat('a', id, ' b ', id * 7) AS t").selectExpr("t", "hash(concat(t, ' ', '" + " ".join(passage) + "')) AS h")
+    clash = many.groupBy("h").agg(F.collect_list("t").alias("t")).filter("size(t) > 1").first().t[:2]
+    for doc_id in (None, 5):
+        rows = [(doc_id, f"{clash[0]} {' '.join(f'q{j}' for j in range(25))}"), (doc_id, f"{clash[0]} {' '.join(passage)}"), (doc_id, f"{clash[1]} {' '.join(passage)}")]
+        rows += [(9, " ".join(passage)), (10, " ".join(f"q{j}" for j in range(25)))]
+        got = substrings.removal_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.n_removed) for r in got if r.doc_id in (9, 10)) == [(9, 25), (10, 25)]
+        assert sum(r.n_removed for r in got if r.doc_id == doc_id) == 25
+
+
+def test_open_windows_are_filled_from_the_emptiest():
+    """At the end of a task most windows keep what the level rule put into them."""
+    rng = random.Random(8)
+    packer = packing.LevelPacker(2048)
+    sizes = [min(2047, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(1250)]
+    full = [w for i, n in enumerate(sizes) if (w := packer.place((i, 0, n, list(range(n)))))]
+    before = {id(w): list(w) for ws in packer.windows.values() for w in ws}
+    rest = list(packer.rest())
+    lengths = [sum(len(p[3]) for p in w) for w in rest]
+    assert all(n == 2048 for n in lengths if n & (n - 1)) and sum(lengths) + 2048 * len(full) == sum(sizes)
+    kept = [w for w in rest if id(w) in before and w[: len(before[id(w)])] == before[id(w)]]
+    assert len(rest) - len(kept) <= 12  # those of powers of two, and one
+    ids = sorted((p[0], p[1] + k) for w in [*full, *rest] for p in w for k in range(len(p[3])))
+    assert ids == [(i, k) for i, n in enumerate(sizes) for k in range(n)]
+    own = sum(len(p[3]) for w in kept for p in before[id(w)])
+    assert own > 0.6 * sum(lengths)
