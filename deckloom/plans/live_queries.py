@@ -10,6 +10,8 @@ from deckloom.plans import fixtures
 from deckloom.plans.doc_queries import typed_pages
 from deckloom.plans.fixtures import with_ctes
 from deckloom.plans.review_queries import scenes
+from deckloom.plans.run_queries import SQL as RUN_SQL
+from deckloom.sources.shared import shared_path
 from deckloom.streaming import jobs
 
 
@@ -21,17 +23,26 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.drain(jobs.job_state(jobs.as_stream(job_events(spark, sf_dir), "job-events")), "job-state")
+    """All events go through a stream, slice by slice in time; then the table of states is read."""
+    e = job_events(spark, sf_dir)
+    events = jobs.as_stream(e, "job-events", jobs.time_slices(e, "ts"))
+    table = jobs.job_table(spark, shared_path(spark, "job-table"))
+    jobs.follow_jobs(events, table, shared_path(spark, "job-checkpoint"), keep="90 days", delay="30 days")
+    return jobs.known_jobs(table).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
 
 
-def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = fixtures.runs(spark, sf_dir).select("run_id", "stages", "degradations")
-    return jobs.drain(jobs.run_counters(jobs.as_stream(r, "runs")), "run-counters")
+def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs go through a stream; then the table of counts is read."""
+    r = fixtures.runs(spark, sf_dir).select("run_id", "status", "stages", "degradations")
+    table = jobs.count_table(spark, shared_path(spark, "count-table"))
+    jobs.follow_runs(jobs.as_stream(r, "runs"), table, shared_path(spark, "count-checkpoint"))
+    return jobs.merged_counts(table.rows())
 
 
-def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = fixtures.runs(spark, sf_dir).select("run_id", "status")
-    return jobs.drain(jobs.run_totals(jobs.as_stream(r, "runs")), "run-totals")
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = run_counts(spark, sf_dir).filter("kind <> 'run'")
+    n = lambda kind, what: F.sum(F.when(F.col("kind") == kind, F.col(what)).otherwise(0))
+    return c.groupBy(F.col("name").alias("stage")).agg(n("stage", "n").alias("count"), n("stage", "failed").alias("failed"), n("degradation", "n").alias("degraded"))
 
 
 def newest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +82,9 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "str1_job_state": job_state,
     "str2_run_counters": counters,
-    "str2_run_totals": totals,
+    "str2_run_totals": lambda spark, sf_dir: jobs.totals(run_counts(spark, sf_dir)),
+    "str2_stage_summary": lambda spark, sf_dir: jobs.stage_summary(run_counts(spark, sf_dir)),
+    "str2_degradations": lambda spark, sf_dir: jobs.degradations(run_counts(spark, sf_dir)),
     "str3_newest_jobs": newest_jobs,
     "int3_page_mentions": mentions,
     "int6_sanitize": sanitize,
@@ -103,6 +116,8 @@ SQL = {
         "SELECT stage, count(*) AS count, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (k >= 80 AND k < 90) AS degraded FROM stage_events GROUP BY stage",
     ),
     "str2_run_totals": with_ctes("runs", "SELECT count(*) AS runs, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed FROM runs"),
+    "str2_stage_summary": RUN_SQL["run4_stage_summary"],
+    "str2_degradations": RUN_SQL["run5_degradations"],
     "str3_newest_jobs": with_ctes("stage_events", f"SELECT * FROM ({_STATE}) ORDER BY updated_at DESC, job_id LIMIT 20"),
     "int3_page_mentions": """
 SELECT doc_id, list_sort(list_distinct(list_append(CASE WHEN doc_id % 9 <= doc_id % 11 THEN range(doc_id % 9, doc_id % 11 + 1) ELSE [] END, doc_id % 40))) AS pages FROM documents

@@ -14,18 +14,42 @@ MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON record a line; blank lines vanish and lines that aren't records are passed over."""
-    rows = spark.read.schema(f"{schema}, __corrupt string").option("mode", "PERMISSIVE")
+    """One JSON record a line; blank lines vanish and lines that aren't records are passed over. Folders are read with all inside."""
+    rows = spark.read.schema(f"{schema}, __corrupt string").option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
     rows = rows.option("columnNameOfCorruptRecord", "__corrupt").json(path)
     return rows.filter("__corrupt is null").drop("__corrupt")
 
 
+def last_lines(spark: SparkSession, path: str, limit: int) -> DataFrame:
+    """``value, file, block, line``: the last ``limit`` lines of a log, which is a file or a folder of files that are older the
+    smaller their paths; blank and broken lines count. The last three columns are a line's place.
+
+    Files are listed without being read; then the newest are read, four times as many each time, until they hold enough
+    lines. Older ones are never opened.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    count = 1
+    while True:
+        newest = [r.path for r in files.orderBy(F.desc("path")).limit(count).collect()]
+        lines = spark.read.text(newest) if newest else spark.createDataFrame([], "value string, _metadata struct<file_path: string, file_block_start: bigint>")
+        if len(newest) < count or lines.select("value").limit(limit).count() >= limit:
+            break
+        count *= 4
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+    return lines.select("value", *place).orderBy(F.desc("file"), F.desc("block"), F.desc("line")).limit(limit)
+
+
 def read_runs(spark: SparkSession, path: str, limit: int | None = LINES) -> DataFrame:
-    """SRC-1: the newest ``limit`` runs by start, oldest first; all if None."""
-    rows = read_lines(spark, path, RUN)
-    if limit is not None:
-        rows = rows.orderBy(F.desc("started_at"), F.desc("run_id")).limit(limit)
-    return rows.orderBy("started_at", "run_id")
+    """SRC-1: the runs on the last ``limit`` lines of the log, oldest first; all if None.
+
+    Blank lines and lines that aren't records are among the lines that are counted, and then passed over.
+    """
+    if limit is None:
+        return read_lines(spark, path, RUN).orderBy("started_at", "run_id")
+    lines = last_lines(spark, path, limit)
+    record = F.from_json("value", f"{RUN}, __corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})
+    rows = lines.filter(F.trim("value") != "").withColumn("r", record).filter("r.__corrupt is null")
+    return rows.orderBy("file", "block", "line").select("r.*").drop("__corrupt")
 
 
 def read_ledger(spark: SparkSession, path: str, limit: int | None = LINES) -> DataFrame:
@@ -130,6 +154,21 @@ def append_log(df: DataFrame, path: str) -> bool:
     return True
 
 
+def append_stream(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """SNK-1: add the records of a stream to a JSON-lines log, all that the source holds now.
+
+    Each batch is a folder of the log by its number. A batch that is retried, after a failure or a restart from the
+    checkpoint, writes over its own folder, so no record is ever there twice.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        folder = f"{path.rstrip('/')}/batch-{number:012d}"
+        batch.write.mode("overwrite").option("timestampFormat", MICROS).option("timestampNTZFormat", MICROS.removesuffix("XXX")).json(folder)
+
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def overwrite_turns(turns: DataFrame, path: str) -> None:
     """SNK-2: replace the sessions of the projects in ``turns``; other projects' partitions stay."""
     turns.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)

@@ -14,11 +14,32 @@ def one(spark, column, text):
     return spark.createDataFrame([(text,)], "t string").select(column(F.col("t")).alias("x")).first().x
 
 
+def run_line(number):
+    return json.dumps({"run_id": f"r{number}", "started_at": "2024-01-01T00:00:00Z", "status": "succeeded"})
+
+
 def test_run_log_passes_over_broken_lines(spark, tmp_path):
-    lines = [json.dumps({"run_id": r, "started_at": f"2024-01-0{i}T00:00:00Z", "status": "succeeded"}) for i, r in ((1, "a"), (3, "c"))]
-    (tmp_path / "runs.jsonl").write_text(lines[0] + "\n\n" + '{"run_id": "b", "sta\n' + lines[1] + "\n")
-    assert [r.run_id for r in logs.read_runs(spark, str(tmp_path / "runs.jsonl")).collect()] == ["a", "c"]
-    assert [r.run_id for r in logs.read_runs(spark, str(tmp_path / "runs.jsonl"), limit=1).collect()] == ["c"]
+    """A log of three lines whose middle one was cut off, and a blank one: they count among the last lines."""
+    (tmp_path / "runs.jsonl").write_text(run_line(1) + "\n\n" + run_line(2)[:20] + "\n" + run_line(3) + "\n")
+    for limit, want in ((2000, ["r1", "r3"]), (4, ["r1", "r3"]), (3, ["r3"]), (1, ["r3"]), (None, ["r1", "r3"])):
+        assert [r.run_id for r in logs.read_runs(spark, str(tmp_path / "runs.jsonl"), limit).collect()] == want
+
+
+def test_only_the_newest_files_of_a_run_log_are_read(spark, tmp_path):
+    number = 0
+    for day in range(30):
+        folder = tmp_path / "log" / f"day-{day:02d}"
+        folder.mkdir(parents=True)
+        for part in range(2):
+            lines = [run_line(number + k) if (number + k) % 10 else run_line(number + k)[:9] for k in range(50)]
+            (folder / f"part-{part}.json").write_text("\n".join(lines) + "\n")
+            number += 50
+    got = logs.read_runs(spark, str(tmp_path / "log"), 120)
+    assert [r.run_id for r in got.collect()] == [f"r{k}" for k in range(number - 120, number) if k % 10]
+    assert len(logs.last_lines(spark, str(tmp_path / "log"), 120).inputFiles()) == 4  # of 60: first one, then four
+    assert logs.read_runs(spark, str(tmp_path / "log"), 10_000).count() == number * 9 // 10
+    (tmp_path / "none").mkdir()
+    assert logs.read_runs(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_no_runs(spark):
