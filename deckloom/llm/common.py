@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import threading
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deckloom.sources.shared import shared_path, stored
+
+__all__ = ["PIECE_BYTES", "WORD", "bytes_of", "documents", "fresh", "pieces", "shared_path", "stored", "table"]
+
 #: A regular expression for a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are handed to the word loops in pieces of about this many bytes.
 PIECE_BYTES = 1 << 20
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SPACE = re.compile(rb"(?<=[^\x20\x09-\x0D])[\x20\x09-\x0D]")
 
 
@@ -25,55 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share, which ``spark.checkpoint.dir`` names.
-
-    Without that setting a session whose executors are threads of the driver (``local[...]``, as in tests) gets a
-    temporary folder; on a cluster it is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="deckloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-_CLEANING: dict = {"lock": threading.Lock(), "users": 0, "before": None}
-
-
-@contextmanager
-def _shuffle_files_cleaned(spark: SparkSession) -> Iterator[None]:
-    """Spark deletes an execution's shuffle files at its end. Writers at the same time share one change of the setting."""
-    with _CLEANING["lock"]:
-        if not _CLEANING["users"]:
-            _CLEANING["before"] = spark.conf.get(_CLEAN_UP, None)
-            spark.conf.set(_CLEAN_UP, "true")
-        _CLEANING["users"] += 1
-    try:
-        yield
-    finally:
-        with _CLEANING["lock"]:
-            _CLEANING["users"] -= 1
-            if not _CLEANING["users"] and _CLEANING["before"] is None:
-                spark.conf.unset(_CLEAN_UP)
-            elif not _CLEANING["users"]:
-                spark.conf.set(_CLEAN_UP, _CLEANING["before"])
-
-
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: cuts lineage and survives lost executors.
-
-    A path given is written over. The shuffle files behind the rows are of no use once they are written, so Spark is
-    asked to delete them with the job.
-    """
-    spark, path = df.sparkSession, path or shared_path(df.sparkSession, name)
-    with _shuffle_files_cleaned(spark):
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     """The names, each with as many underscores behind it as it takes to be none of the DataFrame's columns."""
     taken, out = {c.lower() for c in df.columns}, []
