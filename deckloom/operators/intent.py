@@ -9,13 +9,33 @@ SOUND_FIELDS = ("voice", "speech_rate", "pronunciation", "instructions")
 INTENT_FIELDS = ("audience", "style", "tone", "language", "duration", "voice", "speech_rate", "instructions")
 
 
-def page_mentions(text: Column) -> Column:
-    """INT-3: the distinct pages that a message names, in order; a range from high to low names none."""
-    ranges = F.regexp_extract_all(text, F.lit(r"(?:第|p|P|page\s*)?\s*(\d+)\s*(?:-|–|~|到|至)\s*(?:第)?\s*(\d+)\s*页?"), F.lit(0))
-    number = lambda x, k: F.regexp_extract(x, rf"(\d+)\D+(\d+)", k).cast("int")  # noqa: E731, F541
-    spans = F.transform(ranges, lambda x: F.when(number(x, 1) <= number(x, 2), F.sequence(number(x, 1), number(x, 2))).otherwise(F.array().cast("array<int>")))
-    singles = F.transform(F.regexp_extract_all(text, F.lit(r"第\s*(\d+)\s*页"), F.lit(1)), lambda x: x.cast("int"))
-    return F.array_sort(F.array_distinct(F.concat(F.flatten(spans), singles)))
+# How a message names pages, one by one and as a range, and words that ask for emphasis. Between the tilde and
+# the dash in brackets lies a range of characters.
+PAGE = r"第\s*(\d+)\s*[页頁]"
+PAGE_RANGE = r"第?\s*(\d+)\s*[~-—到至]\s*(\d+)\s*[页頁]"
+EMPHASIS = ("重点", "详细")
+#: A deck has no more pages than this where their number isn't known.
+MOST_PAGES = 9999
+
+
+def page_mentions(text: Column, most: Column | int = MOST_PAGES) -> Column:
+    """INT-3: the distinct pages from 1 to ``most`` that a message names, in order.
+
+    If it names ranges, single pages don't count; a range from high to low names none. Numbers of any length are read, and
+    ranges are cut to the deck before their pages are listed. A null message names none.
+    """
+    text, most = F.coalesce(text, F.lit("")), F.lit(most).cast("bigint") if isinstance(most, int) else most.cast("bigint")
+    number = lambda x: F.coalesce(x.try_cast("bigint"), most + 1)
+    lows, highs, single = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for pattern, k in ((PAGE_RANGE, 1), (PAGE_RANGE, 2), (PAGE, 1)))
+    none = F.array().cast("array<bigint>")
+
+    def span(x: Column, i: Column) -> Column:
+        low, high = F.greatest(number(x), F.lit(1)), F.least(number(F.get(highs, i)), most)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(none)
+
+    singles = F.filter(F.transform(single, number), lambda p: (p >= 1) & (p <= most))
+    pages = F.when(F.size(lows) > 0, F.flatten(F.transform(lows, span))).otherwise(singles)
+    return F.array_sort(F.array_distinct(pages)).cast("array<int>")
 
 
 def pronunciations(text: Column) -> Column:
@@ -70,26 +90,34 @@ def _found(text: Column, pattern: str, k: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
 
 
-def minutes_in(text: Column) -> Column:
-    """INT-2: minutes that a message names as hours (and a half), half an hour, minutes (and a half) or half a minute."""
-    hours, minutes = rf"{_NUM}\s*个?\s*(?:小时|钟头)(半)?", rf"{_NUM}\s*分\s*(钟|半)"
-    h, m = parse_number(_found(text, hours)), parse_number(_found(text, minutes))
-    half_hour = F.when(text.rlike(r"半\s*(?:小时|个小时|钟头)"), 30.0)
-    half = F.when(text.rlike(r"半\s*分钟"), 0.5)
-    whole = m + F.when(_found(text, minutes, 2) == "半", 0.5).otherwise(0.0)
-    return F.coalesce(h * 60 + F.when(_found(text, hours, 2).isNotNull(), 30.0).otherwise(0.0), half_hour, whole, half)
+# How a message names a length in minutes (pattern, minutes of one, minutes that a half adds) in this order, and one in
+# minutes and seconds or in seconds.
+MINUTES = (
+    (rf"{_NUM}\s*个?\s*(?:小时|钟头)(半)?", 60, 30.0),
+    (r"半\s*(?:小时|个小时|钟头)", 0, 30.0),
+    (rf"{_NUM}\s*分\s*(钟|半)", 1, 0.5),
+    (r"半\s*分钟", 0, 0.5),
+)
+MINUTES_AND_SECONDS, SECONDS = rf"{_NUM}\s*分\s*{_NUM}\s*秒", rf"{_NUM}\s*秒"
 
 
-def seconds_in(text: Column) -> Column:
-    """INT-2: seconds that a message names as minutes and seconds, or seconds alone."""
-    both = rf"{_NUM}\s*分\s*{_NUM}\s*秒"
-    return F.coalesce(parse_number(_found(text, both, 1)) * 60 + parse_number(_found(text, both, 2)), parse_number(_found(text, rf"{_NUM}\s*秒")))
+def lengths(text: Column) -> tuple[Column, Column, Column]:
+    """INT-2: the minutes and the seconds that a message names (null if none), and whether the seconds come with minutes."""
+    named = []
+    for pattern, one, half in MINUTES:
+        if one:
+            more = F.when(F.regexp_extract(text, pattern, 2) == "半", half).otherwise(0.0)
+            named.append(parse_number(_found(text, pattern)) * one + more)
+        else:
+            named.append(F.when(text.rlike(pattern), half))
+    both = parse_number(_found(text, MINUTES_AND_SECONDS, 1)) * 60 + parse_number(_found(text, MINUTES_AND_SECONDS, 2))
+    return F.coalesce(*named), F.coalesce(both, parse_number(_found(text, SECONDS))), text.rlike(MINUTES_AND_SECONDS)
 
 
 def stated_duration(text: Column) -> Column:
     """INT-2: the length in seconds that a message asks for; null if it names none."""
-    both = text.rlike(rf"{_NUM}\s*分\s*{_NUM}\s*秒")
-    return F.when(both, seconds_in(text)).otherwise(F.coalesce(minutes_in(text) * 60, seconds_in(text)))
+    minutes, seconds, both = lengths(text)
+    return F.when(both, seconds).otherwise(F.coalesce(minutes * 60, seconds))
 
 
 # Wishes -------------------------------------------------------------------------------------------------------------
@@ -130,10 +158,11 @@ def _first_of(text: Column, words: dict) -> Column:
 def parse_intent(messages: DataFrame, current: DataFrame) -> DataFrame:
     """INT-4: each message's wishes over the project's present ``style, tone, audience, speech_rate, duration``.
 
-    A style brings its tone; a tone in words wins; what isn't mentioned, or a null message, keeps what is there.
+    A style brings its tone; a tone in words wins; what isn't mentioned, or a null message, keeps what is there. With a word of
+    emphasis the pages that the message names join ``current``'s ``emphasis_pages`` (null: none).
     """
     fields = ("style", "tone", "audience", "speech_rate", "duration")
-    now = current.select("project_id", *[F.col(c).alias(f"__{c}") for c in fields])
+    now = current.select("project_id", *[F.col(c).alias(f"__{c}") for c in (*fields, "emphasis_pages")])
     rows = messages.join(now, "project_id")
     text = F.coalesce("text", F.lit(""))
     style = _first_of(text, STYLES)
@@ -141,20 +170,31 @@ def parse_intent(messages: DataFrame, current: DataFrame) -> DataFrame:
     rate, seconds = _first_of(text, RATES), F.floor(stated_duration(text)).cast("int")
     new = {"style": style, "tone": F.coalesce(_first_of(text, TONES), implied), "audience": _first_of(text, AUDIENCES), "speech_rate": rate, "duration": seconds}
     zoom = F.contains(text, F.lit("放大")) & (F.contains(text, F.lit("数字")) | F.contains(text, F.lit("数据")))
-    return rows.select("project_id", "message_id", *[F.coalesce(c, F.col(f"__{k}")).alias(k) for k, c in new.items()], zoom.alias("zoom_on_key_data"))
+    none = F.array().cast("array<int>")
+    pages = F.concat(F.coalesce("__emphasis_pages", none), F.when(_any(text, EMPHASIS), page_mentions(text)).otherwise(none))
+    emphasis = F.array_sort(F.array_distinct(pages)).alias("emphasis_pages")
+    return rows.select("project_id", "message_id", *[F.coalesce(c, F.col(f"__{k}")).alias(k) for k, c in new.items()], emphasis, zoom.alias("zoom_on_key_data"))
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
     return text.rlike("|".join(words))
 
 
+# Words that ask for another voice, for other moves, and for a new script; and what a summary says.
+REVOICE = ("音色", "声音", "配音", "语速", "换个声音")
+REDIRECT = ("放大", "高亮", "镜头", "聚焦", "指针")
+REWRITE = ("整体重写", "全部重写", "重写讲稿")
+SUMMARY = {"scenes": "修改 %d 个场景", "duration": "总时长调整为 %d 秒", "revoice": "重新配音", "redirect": "重做镜头", "nothing": "按指令更新工程并重新渲染"}
+
+
 def parse_edits(messages: DataFrame, scenes: DataFrame, current: DataFrame) -> DataFrame:
-    """INT-7: what a message asks to change: ``scene_ids`` of the pages that it names, ``target_seconds`` for them, else the
+    """INT-7: what a message asks to change: ``scene_ids`` of the pages that it names (numbers of any length), ``target_seconds`` for them, else the
     whole film's ``duration``; ``revoice, redirect, rewrite_all``; and a ``summary``."""
     text = F.coalesce("text", F.lit(""))
-    pages = F.transform(F.regexp_extract_all(text, F.lit(r"第\s*(\d+)\s*[页頁]"), F.lit(1)), lambda p: p.cast("int"))
+    pages = F.transform(F.regexp_extract_all(text, F.lit(PAGE), F.lit(1)), lambda p: p.try_cast("bigint"))
+    minutes, seconds, _ = lengths(text)
     rows = messages.join(current.select("project_id", F.col("duration").alias("__d")), "project_id")
-    rows = rows.withColumns({"__pages": pages, "__min": minutes_in(text), "__sec": seconds_in(text)})
+    rows = rows.withColumns({"__pages": pages, "__min": minutes, "__sec": seconds})
     named = rows.select("project_id", "message_id", F.posexplode("__pages").alias("__i", "source_page"))
     named = named.join(scenes.select("project_id", "source_page", "scene_id"), ["project_id", "source_page"])
     ids = F.transform(F.array_sort(F.collect_list(F.struct("__i", "scene_id"))), lambda x: x["scene_id"])
@@ -166,18 +206,18 @@ def parse_edits(messages: DataFrame, scenes: DataFrame, current: DataFrame) -> D
         "scene_ids": F.coalesce("scene_ids", F.array().cast("array<string>")),
         "target_seconds": target,
         "duration": F.coalesce(F.floor(asked).cast("int"), F.col("__d")),
-        "revoice": _any(text, ("音色", "声音", "配音", "语速", "换个声音")),
-        "redirect": _any(text, ("放大", "高亮", "镜头", "聚焦", "指针")),
-        "rewrite_all": _any(text, ("整体重写", "全部重写", "重写讲稿")),
+        "revoice": _any(text, REVOICE),
+        "redirect": _any(text, REDIRECT),
+        "rewrite_all": _any(text, REWRITE),
     })
     parts = [
-        F.when(F.size("scene_ids") > 0, F.format_string("修改 %d 个场景", F.size("scene_ids"))),
-        F.when(F.col("duration") != F.col("__d"), F.format_string("总时长调整为 %d 秒", "duration")),
-        F.when(F.col("revoice"), "重新配音"),
-        F.when(F.col("redirect"), "重做镜头"),
+        F.when(F.size("scene_ids") > 0, F.format_string(SUMMARY["scenes"], F.size("scene_ids"))),
+        F.when(F.col("duration") != F.col("__d"), F.format_string(SUMMARY["duration"], "duration")),
+        F.when(F.col("revoice"), SUMMARY["revoice"]),
+        F.when(F.col("redirect"), SUMMARY["redirect"]),
     ]
     said = F.concat_ws("；", *parts)
-    summary = F.when(said == "", "按指令更新工程并重新渲染").otherwise(said)
+    summary = F.when(said == "", SUMMARY["nothing"]).otherwise(said)
     return rows.select("project_id", "message_id", "scene_ids", "target_seconds", "duration", "revoice", "redirect", "rewrite_all", summary.alias("summary"))
 
 

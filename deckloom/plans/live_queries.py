@@ -57,9 +57,11 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wishes from a document's length and the numbers in its text, for a deck of a page for each line break."""
     d = fixtures.table(spark, sf_dir, "documents")
-    n = F.col("doc_id").cast("int")
-    rows = d.select(n.alias("doc_id"), ((n * 37) % 9000).alias("duration"), F.array(n % 30, F.lit(3), n % 7, F.lit(3)).alias("emphasis_pages"), F.array(n % 50).alias("skip_pages"), (n % 20).alias("page_count"))
+    named = F.transform(F.regexp_extract_all("text", F.lit("[0-9]{1,3}"), F.lit(0)), lambda x: x.cast("int"))
+    pages = (F.length("text") - F.length(F.translate("text", "\n", ""))).cast("int")
+    rows = d.select(F.col("doc_id").cast("int").alias("doc_id"), F.col("n_chars").cast("int").alias("duration"), named.alias("emphasis_pages"), F.array((F.col("n_chars") % 50).cast("int")).alias("skip_pages"), pages.alias("page_count"))
     return intent.sanitize_intent(rows)
 
 
@@ -72,13 +74,6 @@ def diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intent.intent_diff(d, new, fields)
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages made from the numbers of documents: single pages and ranges, some of them backwards."""
-    d = fixtures.table(spark, sf_dir, "documents").select("doc_id")
-    text = F.format_string("把第 %d 页和第 %d-%d 页讲慢一点", F.col("doc_id") % 40, F.col("doc_id") % 9, F.col("doc_id") % 11)
-    return d.select("doc_id", intent.page_mentions(text).alias("pages"))
-
-
 QUERIES = {
     "str1_job_state": job_state,
     "str2_run_counters": counters,
@@ -86,7 +81,6 @@ QUERIES = {
     "str2_stage_summary": lambda spark, sf_dir: jobs.stage_summary(run_counts(spark, sf_dir)),
     "str2_degradations": lambda spark, sf_dir: jobs.degradations(run_counts(spark, sf_dir)),
     "str3_newest_jobs": newest_jobs,
-    "int3_page_mentions": mentions,
     "int6_sanitize": sanitize,
     "int8_diff": diff,
     "vw3_page_views": lambda spark, sf_dir: views.page_views(typed_pages(spark, sf_dir), scenes(spark, sf_dir)),
@@ -119,14 +113,12 @@ SQL = {
     "str2_stage_summary": RUN_SQL["run4_stage_summary"],
     "str2_degradations": RUN_SQL["run5_degradations"],
     "str3_newest_jobs": with_ctes("stage_events", f"SELECT * FROM ({_STATE}) ORDER BY updated_at DESC, job_id LIMIT 20"),
-    "int3_page_mentions": """
-SELECT doc_id, list_sort(list_distinct(list_append(CASE WHEN doc_id % 9 <= doc_id % 11 THEN range(doc_id % 9, doc_id % 11 + 1) ELSE [] END, doc_id % 40))) AS pages FROM documents
-""",
-    "int6_sanitize": """
-SELECT doc_id::INT AS doc_id, greatest(15, least(7200, (doc_id * 37) % 9000))::INT AS duration,
-  list_sort(list_distinct(list_filter([doc_id % 30, 3, doc_id % 7], lambda x : x >= 1 AND x <= top))) AS emphasis_pages,
-  list_filter([doc_id % 50], lambda x : x >= 1 AND x <= top) AS skip_pages, (doc_id % 20)::INT AS page_count
-FROM (SELECT doc_id, CASE WHEN doc_id % 20 > 0 THEN doc_id % 20 ELSE 9999 END AS top FROM documents)
+    "int6_sanitize": r"""
+SELECT doc_id::INT AS doc_id, greatest(15, least(7200, n_chars))::INT AS duration,
+  list_sort(list_distinct(list_filter(named, lambda x : x >= 1 AND x <= top))) AS emphasis_pages,
+  list_filter([n_chars % 50], lambda x : x >= 1 AND x <= top) AS skip_pages, page_count
+FROM (SELECT *, CASE WHEN page_count > 0 THEN page_count ELSE 9999 END AS top FROM (
+  SELECT *, list_transform(regexp_extract_all(text, '[0-9]{1,3}'), lambda x : x::INT) AS named, (length(text) - length(replace(text, chr(10), '')))::INT AS page_count FROM documents))
 """,
     "int8_diff": """
 SELECT doc_id::VARCHAR AS project_id, list_concat(CASE WHEN v THEN ['voice'] ELSE [] END, CASE WHEN d THEN ['duration'] ELSE [] END) AS changed, v AND NOT d AS sound_only

@@ -18,6 +18,7 @@ LENGTHS = (
 WISHES = (
     "专业一点，但亲切", "活泼些，给客户看", "面向开发者，放慢", "投资人要看，再快一点", "再慢一点", "第 3 页放大数据", "换个声音", "整体重写", "科技风，太慢了",
     "RAG 念 R A G，API读作A P I", "第2页和第 1 页重做镜头", "严肃，快一点",
+    "第2~3页重点讲", "详细讲第 4 页，第 99999999999 页不要", "第3到20000000页详细些", "第9至2页重点，第 1 页略过",
 )
 
 
@@ -30,7 +31,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fixtures.table(spark, sf_dir, "documents")
     return d.select(
-        F.col("doc_id").cast("string").alias("project_id"), F.col("source").alias("style"), F.lit("清晰").alias("tone"), F.col("lang").alias("audience"), F.lit(1.0).alias("speech_rate"), F.lit(480).alias("duration")
+        F.col("doc_id").cast("string").alias("project_id"), F.col("source").alias("style"), F.lit("清晰").alias("tone"), F.col("lang").alias("audience"), F.lit(1.0).alias("speech_rate"), F.lit(480).alias("duration"), F.array(F.lit(5), F.lit(2)).alias("emphasis_pages")
     )
 
 
@@ -44,13 +45,20 @@ def recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intent.recompute_plan(edits(spark, sf_dir).withColumns({"intent_changed": n % 2 == 0, "sound_only": n % 6 == 0}))
 
 
+def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number in the whole text of every message."""
+    found = messages(spark, sf_dir).select("message_id", F.posexplode(F.regexp_extract_all("text", F.lit(intent._NUM), F.lit(0))).alias("place", "n"))
+    return found.select("message_id", "place", intent.parse_number(F.col("n")).alias("number"))
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).select("message_id", F.explode(intent.pronunciations(F.col("text"))).alias("term", "spoken"))
 
 
 QUERIES = {
-    "int1_numbers": lambda spark, sf_dir: messages(spark, sf_dir).select("message_id", intent.parse_number(F.regexp_extract("text", "^([0-9.]+|[零一二两三四五六七八九十]+)", 1)).alias("number")),
+    "int1_numbers": numbers,
     "int2_durations": lambda spark, sf_dir: messages(spark, sf_dir).select("message_id", intent.stated_duration(F.col("text")).alias("seconds")),
+    "int3_page_mentions": lambda spark, sf_dir: messages(spark, sf_dir).select("message_id", intent.page_mentions(F.col("text")).alias("pages")),
     "int4_intents": lambda spark, sf_dir: intent.parse_intent(messages(spark, sf_dir), current(spark, sf_dir)),
     "int5_readings": readings,
     "int7_edits": edits,
@@ -96,26 +104,39 @@ FROM (
 SELECT l.project_id, l.message_id, coalesce(ids, []) AS scene_ids, coalesce(seconds, CASE WHEN len(pages) > 0 THEN minutes * 60 END, 0) AS target_seconds,
   coalesce(floor(CASE WHEN len(pages) > 0 THEN NULL WHEN seconds IS NULL THEN minutes * 60 WHEN minutes IS NULL AND seconds <> 0 THEN seconds END)::INT, 480) AS duration,
   {_ANY("音色", "声音", "配音", "语速")} AS revoice, {_ANY("放大", "高亮", "镜头", "聚焦", "指针")} AS redirect, {_ANY("整体重写", "全部重写", "重写讲稿")} AS rewrite_all
-FROM (SELECT *, list_transform(regexp_extract_all(text, '第\\s*(\\d+)\\s*[页頁]', 1), lambda p : p::INT) AS pages FROM lengths) l
+FROM (SELECT *, list_transform(regexp_extract_all(text, '第\\s*(\\d+)\\s*[页頁]', 1), lambda p : try_cast(p AS BIGINT)) AS pages FROM lengths) l
 LEFT JOIN (
   SELECT m.message_id, list(s.scene_id ORDER BY m.i) AS ids
   FROM (SELECT project_id, message_id, unnest(pages) AS page, unnest(range(0, len(pages))) AS i
-    FROM (SELECT *, list_transform(regexp_extract_all(text, '第\\s*(\\d+)\\s*[页頁]', 1), lambda p : p::INT) AS pages FROM messages)) m
+    FROM (SELECT *, list_transform(regexp_extract_all(text, '第\\s*(\\d+)\\s*[页頁]', 1), lambda p : try_cast(p AS BIGINT)) AS pages FROM messages)) m
   JOIN scenes s ON s.project_id = m.project_id AND s.source_page = m.page GROUP BY m.message_id
 ) i USING (message_id)
 """,
 }
 fixtures.NEEDS |= {"lengths": ["messages"], "edited": ["lengths", "scenes"]}
 
+_RANGE = r"第?\s*(\d+)\s*[~-—到至]\s*(\d+)\s*[页頁]"
+_PAGES = rf"""
+list_sort(list_distinct(CASE WHEN regexp_matches(text, '{_RANGE}') THEN
+  flatten(list_transform(list_zip(regexp_extract_all(text, '{_RANGE}', 1), regexp_extract_all(text, '{_RANGE}', 2)),
+    lambda z: range(greatest(coalesce(try_cast(z[1] AS BIGINT), 10000), 1), least(coalesce(try_cast(z[2] AS BIGINT), 10000), 9999) + 1)))
+  ELSE list_filter(list_transform(regexp_extract_all(text, '第\s*(\d+)\s*[页頁]', 1), lambda p: try_cast(p AS BIGINT)), lambda p: p BETWEEN 1 AND 9999) END))"""
 _DURATION = rf"CASE WHEN regexp_matches(text, '{_N}\s*分\s*{_N}\s*秒') THEN seconds ELSE coalesce(minutes * 60, seconds) END"
 SQL = {
-    "int1_numbers": with_ctes("messages", f"SELECT message_id, {_number('t')} AS number FROM (SELECT *, regexp_extract(text, '^([0-9.]+|[零一二两三四五六七八九十]+)', 1) AS t FROM messages)"),
+    "int1_numbers": with_ctes(
+        "messages",
+        f"""
+, found AS (SELECT message_id, regexp_extract_all(text, '{_N}') AS n FROM messages)
+SELECT message_id, place::INT AS place, {_number("t")} AS number FROM (SELECT message_id, unnest(n) AS t, unnest(range(len(n))) AS place FROM found)""",
+    ),
+    "int3_page_mentions": with_ctes("messages", f"SELECT message_id, {_PAGES} AS pages FROM messages"),
     "int2_durations": with_ctes("lengths", f"SELECT message_id, {_DURATION} AS seconds FROM lengths"),
     "int4_intents": with_ctes(
         "lengths",
         f"""
 SELECT project_id, message_id, coalesce(named, source) AS style, coalesce({_case(intent.TONES)}, CASE named {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in intent.STYLE_TONES.items())} END, '清晰') AS tone,
   coalesce({_case(intent.AUDIENCES)}, lang) AS audience, coalesce({_case(intent.RATES)}, 1.0)::DOUBLE AS speech_rate, coalesce(floor({_DURATION})::INT, 480) AS duration,
+  list_sort(list_distinct(list_concat([2, 5], CASE WHEN {_ANY("重点", "详细")} THEN {_PAGES} ELSE [] END)))::INT[] AS emphasis_pages,
   contains(text, '放大') AND (contains(text, '数字') OR contains(text, '数据')) AS zoom_on_key_data
 FROM (SELECT *, {_case(intent.STYLES)} AS named FROM lengths)""",
     ),
