@@ -13,15 +13,17 @@ SIGNPOSTS = ("cover", "section")
 
 
 def worth_pointing_at() -> Column:
-    """DIR-1: a chart, table or image; or two characters of text or more, with a letter, that aren't decoration."""
+    """DIR-1: a chart, table or image; or two characters of text or more, with a letter, that aren't decoration, whatever
+    spaces, full stops, commas, dots and colons stand around it."""
     text = stripped(F.coalesce("text", F.lit("")))
-    told = (F.length(text) >= 2) & ~F.lower(text).isin(*DECORATION) & text.rlike(r"\p{L}")
+    told = (F.length(text) >= 2) & ~F.btrim(F.lower(text), F.lit(" .、·:：")).isin(*DECORATION) & text.rlike(r"\p{L}")
     return F.col("kind").isin("chart", "table", "image") | told
 
 
 def is_banner(title: str = "title") -> Column:
-    """DIR-2: the page's title, by kind or by its words."""
-    return (F.col("kind") == "title") | (stripped(F.coalesce("text", F.lit(""))) == stripped(F.coalesce(F.col(title), F.lit(""))))
+    """DIR-2: the page's title, by kind or by its words; what has no words isn't one by them."""
+    text = stripped(F.coalesce("text", F.lit("")))
+    return (F.col("kind") == "title") | ((text != "") & (text == stripped(F.coalesce(F.col(title), F.lit("")))))
 
 
 def is_backdrop(width: float = 1920.0, height: float = 1080.0, slack: float = 0.01) -> Column:
@@ -36,19 +38,33 @@ def coverage(width: float = 1920.0, height: float = 1080.0) -> Column:
     return F.col("w") * F.col("h") / (width * height) if width and height else F.lit(1.0)
 
 
+def windows(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
 def resolve_targets(segments: DataFrame, elements: DataFrame) -> DataFrame:
     """DIR-5: ``project_id, page_index, seg_seq, element_id``: a sentence's target.
 
-    The first of its references that can be pointed at; else the most important element whose first six characters
-    stand in the sentence, the first among equals. Both joins are on the page, whose elements are few.
+    The first of its references that can be pointed at and is no banner; a reference means the first element of the page with
+    this id or label. Else the most important element that can be pointed at and isn't of the kind title, and whose first
+    six characters (all, if fewer, but two at least) stand in the sentence; the first among equals.
+
+    Both joins are on the page and a string. For the second a sentence is turned into its runs of as many characters as
+    beginnings on its page have, so sentences and elements of a page that share none never meet.
     """
     page = ["project_id", "page_index"]
-    able = elements.filter(worth_pointing_at() & ~is_banner()).select(*page, "seq", "element_id", "label", "importance", F.substring(stripped(F.col("text")), 1, 6).alias("__head"))
+    known = elements.withColumns({"__able": worth_pointing_at(), "__banner": is_banner()})
+    names = known.select(*page, "seq", "element_id", "__able", "__banner", F.explode(F.array_distinct(F.array("element_id", "label"))).alias("__ref")).filter("__ref IS NOT NULL")
+    meant = names.groupBy(*page, "__ref").agg(F.min_by(F.struct("element_id", F.expr("__able AND NOT __banner").alias("ok")), "seq").alias("__e"))
     refs = segments.select(*page, "seg_seq", F.posexplode("element_refs").alias("__i", "__ref"))
-    named = refs.join(able, page).filter((F.col("__ref") == F.col("element_id")) | (F.col("__ref") == F.col("label")))
-    named = named.groupBy(*page, "seg_seq").agg(F.min_by("element_id", F.struct("__i", "seq")).alias("element_id"))
-    rest = segments.join(named, [*page, "seg_seq"], "left_anti").select(*page, "seg_seq", F.col("text").alias("__said"))
-    said = rest.join(able.filter(F.length("__head") >= 2), page).filter(F.contains("__said", "__head"))
+    named = refs.join(meant, [*page, "__ref"]).filter("__e.ok").groupBy(*page, "seg_seq").agg(F.min_by("__e.element_id", "__i").alias("element_id"))
+    head = F.substring(stripped(F.coalesce("text", F.lit(""))), 1, 6)
+    heads = known.filter(F.expr("__able AND kind <> 'title'")).select(*page, "seq", "element_id", "importance", head.alias("__key")).filter(F.length("__key") >= 2)
+    sizes = heads.groupBy(*page).agg(F.collect_set(F.length("__key")).alias("__sizes"))
+    rest = segments.join(named, [*page, "seg_seq"], "left_anti").select(*page, "seg_seq", "text").join(sizes, page)
+    keys = F.flatten(F.array(*[F.when(F.array_contains("__sizes", n), windows(F.col("text"), n)).otherwise(F.array().cast("array<string>")) for n in range(2, 7)]))
+    said = rest.select(*page, "seg_seq", F.explode(keys).alias("__key")).join(heads, [*page, "__key"])
     said = said.groupBy(*page, "seg_seq").agg(F.min_by("element_id", F.struct(-F.col("importance"), F.col("seq"))).alias("element_id"))
     return named.unionByName(said)
 

@@ -19,21 +19,23 @@ def densify_series(points: DataFrame) -> DataFrame:
 def describe_series(points: DataFrame, flat: float = 0.05) -> DataFrame:
     """CH-5: ``first, last, peak, peak_category, trend, change`` over the values that are there.
 
-    A change under 5 % is flat; from a first value of 0 it is just ``changed``. A peak is told if it exceeds both ends by
-    5 %.
+    A change under 5 % is flat, and then no peak is told; from a first value of 0 it is just ``changed``. A peak is told if
+    it exceeds both ends by 5 %. One value alone has no trend, change or peak.
     """
     rows = points.filter("value is not null")
     found = rows.groupBy(*SERIES).agg(
         F.min_by("value", "cat_idx").alias("first"),
         F.max_by("value", "cat_idx").alias("last"),
         F.max("value").alias("__peak"),
+        F.count("*").alias("__n"),
         F.min_by("category", F.struct(-F.col("value"), F.col("cat_idx"))).alias("__at"),
     )
     ratio = (F.col("last") - F.col("first")) / F.nullif(F.abs("first"), F.lit(0.0))
-    trend = F.when(ratio.isNull(), "changed").when(F.abs(ratio) < flat, "flat").when(ratio > 0, "up").otherwise("down")
-    tells = F.col("__peak") > 1.05 * F.greatest("first", "last")
+    ratio = F.when(F.col("__n") > 1, ratio)
+    trend = F.when(F.col("__n") == 1, None).when(ratio.isNull(), "changed").when(F.abs(ratio) < flat, "flat").when(ratio > 0, "up").otherwise("down")
+    tells = (F.col("trend") != "flat") & (F.col("__peak") > 1.05 * F.greatest("first", "last"))
     found = found.withColumns({"trend": trend, "change": F.round(ratio * 100, 0).cast("int")})
-    return found.withColumns({"peak": F.when(tells, F.col("__peak")), "peak_category": F.when(tells, F.col("__at"))}).drop("__peak", "__at")
+    return found.withColumns({"peak": F.when(tells, F.col("__peak")), "peak_category": F.when(tells, F.col("__at"))}).drop("__peak", "__at", "__n")
 
 
 def describe_shares(points: DataFrame, top: int = 3) -> DataFrame:

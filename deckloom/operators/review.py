@@ -80,10 +80,8 @@ def check_scene_length(scenes: DataFrame, longest: float = 90.0, shortest: float
 
 
 def bigrams(text: Column) -> Column:
-    """The distinct pairs of neighbouring characters of a text without its white space."""
-    # a look-ahead meets every place; a lambda over places would take the white space out again at each
-    pairs = F.regexp_extract_all(F.regexp_replace(text, r"(?U)\s+", ""), F.lit("(?=(..))"), F.lit(1))
-    return F.array_distinct(pairs)
+    """The distinct pairs of neighbouring characters of a text, white space included; a look-ahead meets every place."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), F.lit(1)))
 
 
 def check_read_aloud(scenes: DataFrame, pages: DataFrame, threshold: float = 0.72) -> DataFrame:
@@ -95,19 +93,29 @@ def check_read_aloud(scenes: DataFrame, pages: DataFrame, threshold: float = 0.7
     return _finding(rows, "warning", "read_aloud", F.format_string("%.0f%%", F.col("__share") * 100))
 
 
-def check_rate(scenes: DataFrame, lead: float = 1.1, tail: float = 1.0, fast: float = 340.0, slow: float = 180.0) -> DataFrame:
-    """REV-14: scenes spoken, for two seconds at least, over 340 or under 180 characters a minute."""
-    spoken = F.col("duration") - lead - tail
-    rows = scenes.withColumn("__r", F.when(spoken >= 2, F.length("narration") / spoken * 60))
+def heard(scenes: DataFrame, assets: DataFrame | None, lead: float, tail: float) -> DataFrame:
+    """Scenes with a recording that is there, a text, and two seconds of speech or more, with the speech's seconds in ``__spoken``.
+
+    Without an inventory every named recording is there. The recording's length counts, not the scene's, less the silence around it.
+    """
+    rows = scenes.filter((F.coalesce("audio_path", F.lit("")) != "") & (F.coalesce("narration", F.lit("")) != ""))
+    if assets is not None:
+        rows = rows.join(assets.select(F.col("path").alias("audio_path")).distinct(), "audio_path", "left_semi")
+    return rows.withColumn("__spoken", F.col("audio_duration") - lead - tail).filter("__spoken >= 2")
+
+
+def check_rate(scenes: DataFrame, assets: DataFrame | None = None, lead: float = 1.1, tail: float = 1.0, fast: float = 340.0, slow: float = 180.0) -> DataFrame:
+    """REV-14: scenes spoken, as far as they are heard, at over 340 or under 180 characters a minute."""
+    rows = heard(scenes, assets, lead, tail).withColumn("__r", F.length("narration") / F.col("__spoken") * 60)
     off = rows.filter((F.col("__r") > fast) | (F.col("__r") < slow))
     return _finding(off, "warning", "speech_rate", F.when(F.col("__r") > fast, "fast").otherwise("slow"))
 
 
 def check_dangling(actions: DataFrame, elements: DataFrame) -> DataFrame:
-    """REV-6: actions whose target is no element of the page, by id or label."""
-    asked = actions.filter("target is not null").select("project_id", "scene_id", F.col("source_page").alias("page_index"), "target")
+    """REV-6: actions whose target is no element of the page, by id or label; an empty target is none."""
+    asked = actions.filter("target <> ''").select("project_id", "scene_id", F.col("source_page").alias("page_index"), "target")
     known = elements.select("project_id", "page_index", F.explode(F.array("element_id", "label")).alias("target")).filter("target is not null").distinct()
-    return _finding(asked.join(known, ["project_id", "page_index", "target"], "left_anti"), "warning", "dangling_action", F.col("target"))
+    return _finding(asked.join(known, ["project_id", "page_index", "target"], "left_anti"), "error", "dangling_action", F.col("target"))
 
 
 def check_overflow(actions: DataFrame, scenes: DataFrame, slack: float = 0.05) -> DataFrame:
@@ -124,13 +132,18 @@ def check_cue_length(cues: DataFrame, most: int = 34) -> DataFrame:
     return _finding(first, "info", "subtitle", F.col("text"))
 
 
+#: Pixels around a caption's text, sideways and up and down.
+PADDING = (28, 14)
+
+
 def subtitle_box(text: Column, font: float = 40.0, width: float = 1920.0, height: float = 1080.0) -> Column:
     """REV-11: the box of a caption: CJK and full-width characters are as wide as the type size, others 0.55 of it; lines
-    wrap at 80 % of the frame less 56 pixels, are 1.35 of the size high, and stand 3 % above the bottom."""
-    wide = F.regexp_count(text, F.lit("[\u2e80-\u9fff\uf900-\ufaff\uff00-\uffef]"))
-    run, most = wide * font + (F.length(text) - wide) * font * 0.55, width * 0.8 - 56
+    wrap at 80 % of the frame less the padding, are 1.35 of the size high, and stand 3 % above the bottom. The padding, 28
+    pixels at each side and 14 above and below, is part of the box."""
+    wide = F.regexp_count(text, F.lit("[\u2e80-\u9fff\uff00-\uffef]"))
+    run, most = wide * font + (F.length(text) - wide) * font * 0.55, width * 0.8 - 2 * PADDING[0]
     lines = F.greatest(F.lit(1), F.ceil(run / most))
-    w, h = F.least(run, F.lit(most)), lines * font * 1.35
+    w, h = F.least(run, F.lit(most)) + 2 * PADDING[0], lines * font * 1.35 + 2 * PADDING[1]
     return F.struct(((width - w) / 2).alias("x"), (height * 0.97 - h).alias("y"), w.alias("w"), h.alias("h"))
 
 
@@ -139,7 +152,7 @@ def check_caption_overflow(cues: DataFrame, height: float = 1080.0, share: float
     box = cues.withColumn("__b", subtitle_box(F.col("text")))
     off = box.filter((F.col("__b.y") < 0) | (F.col("__b.x") < 0) | (F.col("__b.h") > height * share))
     place = F.row_number().over(Window.partitionBy("project_id", "scene_id").orderBy("start", "cue_seq"))
-    return _finding(off.withColumn("__p", place).filter("__p = 1"), "warning", "subtitle_overflow", F.substring("text", 1, 20))
+    return _finding(off.withColumn("__p", place).filter("__p = 1"), "error", "subtitle_overflow", F.substring("text", 1, 20))
 
 
 def check_caption_cover(
@@ -212,10 +225,10 @@ def visibility_counts(action_stats: DataFrame, still: float = 6.0) -> DataFrame:
     return rows.agg(F.count(F.when(measured, 1)).alias("checked"), F.count(F.when(~F.col("still"), 1)).alias("skipped"))
 
 
-def check_monotone(unbroken: DataFrame, scenes: DataFrame, most: float = 12.0, lead: float = 1.1, tail: float = 1.0) -> DataFrame:
-    """REV-15: scenes with two seconds of speech or more and over 12 seconds without a pause; ``unbroken`` has ``longest``."""
-    rows = unbroken.join(scenes.select("project_id", "page_index", "duration"), ["project_id", "page_index"])
-    long = rows.filter((F.col("longest") > most) & (F.col("duration") - lead - tail >= 2))
+def check_monotone(unbroken: DataFrame, scenes: DataFrame, assets: DataFrame | None = None, most: float = 12.0, lead: float = 1.1, tail: float = 1.0) -> DataFrame:
+    """REV-15: scenes, as far as they are heard, with over 12 seconds without a pause; ``unbroken`` has ``longest``."""
+    rows = unbroken.join(heard(scenes, assets, lead, tail).select("project_id", "page_index"), ["project_id", "page_index"])
+    long = rows.filter(F.col("longest") > most)
     long = long.withColumn("scene_id", F.format_string("scene_%02d", "page_index"))
     return _finding(long, "warning", "monotone", F.format_string("%.0f", "longest"))
 

@@ -105,17 +105,20 @@ def active_flags(keys: DataFrame, flags: DataFrame) -> DataFrame:
 
 
 def choose_arm(keys: DataFrame, adapters: DataFrame, flag_name: str, percent: int) -> DataFrame:
-    """FLG-4: ``key, arm``. An explicit preference wins; ``auto`` goes by the rollout, then by the order of adapters.
+    """FLG-4: ``key, arm, reason``. An explicit preference wins; ``auto`` goes by the rollout, then by the order of adapters.
 
-    ``adapters`` are ``name, position, available, behind_flag`` (a handful); ``keys`` have ``key, preference``. With no
-    available arm the result is null.
+    ``adapters`` are ``name, position, available, behind_flag`` (a handful); ``keys`` have ``key, preference``. A preference
+    that is unknown or not available is an error, never replaced by another arm, and so is ``auto`` without an arm: then the
+    arm is null and the reason says why.
     """
-    listed = adapters.filter("available").agg(F.array_sort(F.collect_list(F.struct("position", "name", "behind_flag"))).alias("__arms"))
+    listed = adapters.agg(F.array_sort(F.collect_list(F.struct("position", "name", "behind_flag", "available"))).alias("__arms"))
     rows = keys.join(F.broadcast(listed)).withColumn("__on", bucket(F.lit(flag_name), F.col("key")) < percent)
     wanted = F.filter("__arms", lambda a: a["name"] == F.col("preference"))
-    ruled = F.filter("__arms", lambda a: F.col("__on") | ~a["behind_flag"])
-    chosen = F.when((F.col("preference") != "auto") & (F.size(wanted) > 0), wanted).when(F.size(ruled) > 0, ruled).otherwise(F.col("__arms"))
-    return rows.select("key", F.get(chosen, F.lit(0))["name"].alias("arm"))
+    ruled = F.filter("__arms", lambda a: a["available"] & (F.col("__on") | ~a["behind_flag"]))
+    asked = F.col("preference") != "auto"
+    chosen = F.when(asked, F.filter(wanted, lambda a: a["available"])).otherwise(ruled)
+    reason = F.when(F.size(chosen) > 0, None).when(~asked, "no arm is available").when(F.size(wanted) > 0, "not available").otherwise("unknown")
+    return rows.select("key", F.get(chosen, F.lit(0))["name"].alias("arm"), reason.alias("reason"))
 
 
 def knob_values(knobs: DataFrame, prefs: DataFrame, prefix: str = "") -> DataFrame:

@@ -63,15 +63,15 @@ QUERIES = {"dir1_to_4_tests": tests_of_elements, "dir5_targets": targets, "dir8_
 fixtures.CTES |= {
     "able": r"""
 SELECT c.*, t.title, kind IN ('chart', 'table', 'image') OR (length(trim(text)) >= 2 AND regexp_matches(text, '\p{L}')
-  AND lower(trim(text)) NOT IN ('contents', 'content', 'agenda', 'outline', 'index', 'thank you', 'thanks', 'logo')) AS able,
-  kind = 'title' OR trim(text) = trim(t.title) AS banner
+  AND trim(lower(trim(text)), ' .、·:：') NOT IN ('contents', 'content', 'agenda', 'outline', 'index', 'thank you', 'thanks', 'logo')) AS able,
+  kind = 'title' OR trim(text) <> '' AND trim(text) = trim(t.title) AS banner
 FROM classified c JOIN (SELECT project_id, page_index, title FROM typed) t ON t.project_id = c.project_id AND t.page_index = c.page_index
 """,
     "targets": """
 SELECT s.project_id, s.page_index, s.seg_seq,
-  coalesce(any_value(e.element_id) FILTER (s.seg_seq % 3 = 0 AND e.seq = s.seg_seq),
-    arg_min(e.element_id, (1 - e.importance) * 1000 + e.seq) FILTER (length(trim(e.text)) >= 2 AND contains(s.text, substr(trim(e.text), 1, 6)))) AS element_id
-FROM segments s JOIN able e ON e.project_id = s.project_id AND e.page_index = s.page_index AND e.able AND NOT e.banner
+  coalesce(any_value(e.element_id) FILTER (s.seg_seq % 3 = 0 AND e.seq = s.seg_seq AND NOT e.banner),
+    arg_min(e.element_id, (1 - e.importance) * 1000 + e.seq) FILTER (e.kind <> 'title' AND length(trim(e.text)) >= 2 AND contains(s.text, substr(trim(e.text), 1, 6)))) AS element_id
+FROM segments s JOIN able e ON e.project_id = s.project_id AND e.page_index = s.page_index AND e.able
 GROUP BY s.project_id, s.page_index, s.seg_seq HAVING element_id IS NOT NULL
 """,
 }

@@ -48,7 +48,7 @@ def active_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def choose_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("remotion", 1, True, True), ("ffmpeg", 2, True, False), ("video", 3, False, False)]
     adapters = spark.createDataFrame(rows, "name string, position int, available boolean, behind_flag boolean")
-    wanted = F.when(F.col("key").endswith("7"), "ffmpeg").when(F.col("key").endswith("3"), "video").otherwise("auto")
+    wanted = F.when(F.col("key").endswith("7"), "ffmpeg").when(F.col("key").endswith("3"), "video").when(F.col("key").endswith("5"), "none").otherwise("auto")
     return runs.choose_arm(_keys(spark, sf_dir).withColumn("preference", wanted), adapters, "renderer_remotion", 30)
 
 
@@ -61,7 +61,7 @@ def _prefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's last 20 of a kind of knob by the events: scope is the project, the value goes past the bounds at times."""
     e = fixtures.stage_events(spark, sf_dir).groupBy("project_id", "k").agg(F.max("duration_s").alias("value"))
     names = F.array(*[F.lit(k[0]) for k in runs.KNOBS])
-    e = e.filter("k < 14").select(F.col("project_id").alias("scope"), F.get(names, F.col("k")).alias("id"), "value")
+    e = e.select(F.col("project_id").alias("scope"), F.get(names, F.col("k") % len(runs.KNOBS)).alias("id"), "value").groupBy("scope", "id").agg(F.max("value").alias("value"))
     return e
 
 
@@ -145,7 +145,7 @@ _KNOBS = "knobs AS (SELECT * FROM (VALUES " + ", ".join(
 _PREFS = """
 prefs AS (
   SELECT project_id AS scope, knobs.id, max(duration_s) AS value
-  FROM stage_events JOIN knobs ON k = place GROUP BY project_id, knobs.id
+  FROM stage_events JOIN knobs ON k % 14 = place GROUP BY project_id, knobs.id
 )
 """
 
@@ -238,7 +238,8 @@ FROM buckets GROUP BY key""",
         "stage_events",
         _SHARES,
         """
-SELECT key, CASE WHEN key LIKE '%7' THEN 'ffmpeg' WHEN bucket < 30 THEN 'remotion' ELSE 'ffmpeg' END AS arm
+SELECT key, CASE WHEN key LIKE '%7' THEN 'ffmpeg' WHEN key LIKE '%3' OR key LIKE '%5' THEN NULL WHEN bucket < 30 THEN 'remotion' ELSE 'ffmpeg' END AS arm,
+  CASE WHEN key LIKE '%3' THEN 'not available' WHEN key LIKE '%5' THEN 'unknown' END AS reason
 FROM buckets WHERE name = 'renderer_remotion'""",
     ),
     "tun1_knob_values": _more(

@@ -255,8 +255,8 @@ SELECT DISTINCT project_id, 'warning' AS severity, 'subtitle_cover' AS kind, sce
     FROM (
       SELECT c.*, f.x AS zx, f.y AS zy, f.type IS NOT NULL AS zoomed, least(1 / f.w, 1 / f.h) AS push FROM (
         SELECT *, (1920 - bw) / 2 AS bx, 1080 * 0.97::DOUBLE - bh AS bt FROM (
-          SELECT *, row_number() OVER (PARTITION BY project_id, page_index ORDER BY seg_seq, cue_seq) AS place, least(length(text) * 40 * 0.55::DOUBLE, 1480) AS bw,
-            greatest(1, ceil(length(text) * 40 * 0.55::DOUBLE / 1480)) * 40 * 1.35::DOUBLE AS bh FROM film_cues)
+          SELECT *, row_number() OVER (PARTITION BY project_id, page_index ORDER BY seg_seq, cue_seq) AS place, least(length(text) * 40 * 0.55::DOUBLE, 1480) + 56 AS bw,
+            greatest(1, ceil(length(text) * 40 * 0.55::DOUBLE / 1480)) * 40 * 1.35::DOUBLE + 28 AS bh FROM film_cues)
       ) c LEFT JOIN film f ON {_ON.format(a="f", b="c")} AND f.type = 'zoom' AND f.start <= (c.start + c."end") / 2 AND (c.start + c."end") / 2 < f."end"
       QUALIFY row_number() OVER (PARTITION BY c.project_id, c.page_index, place ORDER BY f.start, f."end") = 1
     ) b JOIN classified e ON {_ON.format(a="e", b="b")} AND e.importance >= 0.5 AND e.text <> '' WHERE bt >= 0 AND bx >= 0 AND bh <= 270

@@ -1,6 +1,7 @@
 """Rules on golden rows, with Chinese text that the tables at hand don't have."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -8,9 +9,9 @@ from deckloom.operators import attention, intent, narration, review
 
 
 def test_pages_and_readings(spark):
-    df = spark.createDataFrame([("第 3 页和第5-7页，第3页", "K8s 念 K eights，RAG读作R A G，K8s 读成 kates，API 念 阿派"), ("第7-5页", "没有")], "a string, b string")
+    df = spark.createDataFrame([("第 3 页和第7页，第3页", "K8s 念 K eights，RAG读作R A G，K8s 读成 kates，API 念 阿派"), ("第7~5页", "没有")], "a string, b string")
     rows = df.select(intent.page_mentions(F.col("a")).alias("p"), intent.pronunciations(F.col("b")).alias("m")).collect()
-    assert [r.p for r in rows] == [[3, 5, 6, 7], []]
+    assert [r.p for r in rows] == [[3, 7], []]
     assert rows[0].m == {"K8s": "kates", "RAG": "R A G"} and rows[1].m == {}
 
 
@@ -33,7 +34,7 @@ def test_pointing(spark):
 def test_caption_box(spark):
     df = spark.createDataFrame([("字" * 10,), ("字" * 80,)], "t string").select(review.subtitle_box(F.col("t")).alias("b"))
     short, long = [r.b for r in df.collect()]
-    assert (short.w, short.h) == (400.0, 54.0) and (long.w, long.h) == (1480.0, 162.0)
+    assert (short.w, short.h) == (456.0, 82.0) and (long.w, long.h) == (1536.0, 190.0)
 
 
 def test_clean_project_scores_over_90(spark):
@@ -94,3 +95,180 @@ def test_fitting_is_the_greedy_loop(spark):
         spark.createDataFrame(intents, "project_id string, duration int, emphasis_pages array<int>"),
     )
     assert {(r.project_id, r.page_index): r.narration for r in got.collect()} == want
+
+
+def rows_of(spark, schema, *rows):
+    return spark.createDataFrame(list(rows), schema)
+
+
+def kinds(found):
+    return sorted((r.severity, r.kind) for r in found.collect())
+
+
+CUE = "project_id string, scene_id string, cue_seq int, start double, end double, text string, page_index int"
+ELEMENT = "project_id string, page_index int, element_id string, label string, text string, x double, y double, w double, h double, page_w double, page_h double, importance double"
+ZOOM = "project_id string, scene_id string, cue_seq int, area struct<x:double,y:double,w:double,h:double>"
+
+
+def test_captions_over_elements(spark):
+    """An element under the caption, one far above it, a footer of no importance, and one that a zoom has moved out of the frame."""
+    cue = rows_of(spark, CUE, ("p", "scene_01", 1, 0.0, 8.0, "一句普通长度的中文字幕", 1))
+    tall = rows_of(spark, CUE, ("p", "scene_01", 1, 0.0, 8.0, "很长的一句话，" * 60, 1))
+    element = lambda y, importance=0.8: rows_of(spark, ELEMENT, ("p", 1, "e1", "16+数据来源", "16+数据来源", 700.0, y, 400.0, 60.0, 1920.0, 1080.0, importance))
+    none, quarter = rows_of(spark, ZOOM), rows_of(spark, ZOOM, ("p", "scene_01", 1, (0.0, 0.0, 0.4, 0.4)))
+    assert kinds(review.check_caption_cover(cue, element(1000.0), none)) == [("warning", "subtitle_cover")]
+    for e, zooms in ((element(200.0), none), (element(1000.0, 0.2), none), (element(1000.0), quarter)):
+        assert kinds(review.check_caption_cover(cue, e, zooms)) == []
+    # 16 px of padding above the text are part of the box: an element that reaches under it by a quarter is covered
+    top = 1080 * 0.97 - 82
+    assert kinds(review.check_caption_cover(cue, element(top - 44.0), none)) == [("warning", "subtitle_cover")]
+    assert kinds(review.check_caption_cover(cue, element(top - 46.0), none)) == []
+    assert kinds(review.check_caption_overflow(tall)) == [("error", "subtitle_overflow")]
+    assert kinds(review.check_caption_overflow(cue)) == [] and kinds(review.check_caption_cover(tall, element(1000.0), none)) == []
+
+
+def test_targets_that_are_missing_are_errors(spark):
+    action = rows_of(spark, "project_id string, scene_id string, source_page int, target string", ("p", "s1", 1, "gone"), ("p", "s1", 1, ""), ("p", "s1", 1, None), ("p", "s1", 1, "e1"), ("p", "s1", 1, "Label"))
+    element = rows_of(spark, "project_id string, page_index int, element_id string, label string", ("p", 1, "e1", "Label"))
+    assert [(r.severity, r.message) for r in review.check_dangling(action, element).collect()] == [("error", "gone")]
+
+
+def test_pairs_of_characters_keep_white_space(spark):
+    scene = rows_of(spark, "project_id string, scene_id string, source_page int, narration string", ("p", "s1", 1, "a b\nc"), ("p", "s2", 2, "abc"))
+    page = rows_of(spark, "project_id string, page_index int, raw_text string", ("p", 1, "abc"), ("p", 2, "ab c abc"))
+    assert [r.scene_id for r in review.check_read_aloud(scene, page).collect()] == ["s2"]
+    pairs = spark.createDataFrame([("a \n b",)], "t string").select(review.bigrams(F.col("t")).alias("x")).first().x
+    assert sorted(pairs) == sorted(["a ", " \n", "\n ", " b"])
+
+
+def test_only_scenes_that_are_heard_are_rated(spark):
+    schema = "project_id string, scene_id string, page_index int, narration string, audio_path string, audio_duration double, duration double"
+    said = "字" * 100
+    scenes = rows_of(
+        spark, schema, ("p", "fast", 1, said, "a.wav", 12.1, 90.0), ("p", "slow", 2, said[:20], "b.wav", 12.1, 1.0), ("p", "silent", 3, "", "c.wav", 12.1, 12.1),
+        ("p", "none", 4, said, None, 12.1, 12.1), ("p", "gone", 5, said, "d.wav", 12.1, 12.1), ("p", "short", 6, said, "e.wav", 4.0, 40.0), ("p", "fine", 7, said[:45], "f.wav", 12.1, 12.1),
+    )
+    held = rows_of(spark, "path string", *[(f"{c}.wav",) for c in "abcef"])
+    assert sorted((r.scene_id, r.message) for r in review.check_rate(scenes, held).collect()) == [("fast", "fast"), ("slow", "slow")]
+    unbroken = scenes.select("project_id", "page_index", F.lit(13.0).alias("longest"))
+    assert sorted(r.scene_id for r in review.check_monotone(unbroken, scenes, held).collect()) == ["scene_01", "scene_02", "scene_07"]
+
+
+def test_errors_and_warnings_are_counted_as_the_rules_say(spark):
+    found = rows_of(spark, "project_id string, severity string, kind string, scene_id string, message string", ("p", "error", "dangling_action", "s", ""), ("p", "error", "subtitle_overflow", "s", ""), ("p", "warning", "pacing", "s", ""))
+    scenes = rows_of(spark, "project_id string, scene_id string, source_page int, actions int", ("p", "s", 1, 1))
+    pages = rows_of(spark, "project_id string, page_index int, page_type string", ("p", 1, "content"))
+    row = review.score_quality(found, scenes, pages, scenes.select("project_id")).first()
+    assert (row.errors, row.warnings, row.direction, row.subtitles, row.pacing) == (2, 1, 85.0, 0.0, 90.0)
+
+
+def test_trends(spark):
+    from deckloom.operators import charts
+
+    series = {1: [100.0, 400.0], 2: [100.0, 101.0, 102.0], 3: [100.0, 180.0, 101.0], 4: [100.0, 180.0, 120.0], 5: [7.0], 6: [0.0, 9.0, 5.0], 7: [400.0, 100.0]}
+    rows = [("p", "c", s, i, str(i), v) for s, values in series.items() for i, v in enumerate(values)]
+    got = charts.describe_series(rows_of(spark, "project_id string, chart_id string, series_no int, cat_idx int, category string, value double", *rows))
+    assert {r.series_no: (r.trend, r.change, r.peak) for r in got.collect()} == {
+        1: ("up", 300, None), 2: ("flat", 2, None), 3: ("flat", 1, None), 4: ("up", 20, 180.0), 5: (None, None, None), 6: ("changed", None, 9.0), 7: ("down", -75, None),
+    }
+
+
+def test_page_furniture_and_banners(spark):
+    rows = [("paragraph", "1", "T", False, False), ("paragraph", "·", "T", False, False), ("paragraph", "CONTENTS", "T", False, False), ("paragraph", "Agenda:", "T", False, False),
+            ("paragraph", " ·目录、", "T", False, False), ("paragraph", "16+ 数据来源", "T", True, False), ("chart", "", "", True, False), ("image", None, None, True, False),
+            ("title", "任何文字", "T", True, True), ("subtitle", " 供应链情报 ", "供应链情报", True, True), ("subtitle", "", "", False, False)]
+    df = spark.createDataFrame(rows, "kind string, text string, title string, a boolean, b boolean")
+    got = df.select("a", "b", attention.worth_pointing_at().alias("able"), attention.is_banner().alias("banner")).collect()
+    assert [(r.able, r.banner) for r in got] == [r[3:] for r in rows]
+
+
+def page_of(spark, elements, sentences):
+    e = [("p", 1, i, f"e{i}", label, kind, text, importance, "The title") for i, (label, kind, text, importance) in enumerate(elements, 1)]
+    s = [("p", 1, i, text, refs) for i, (text, refs) in enumerate(sentences, 1)]
+    df = rows_of(spark, "project_id string, page_index int, seq int, element_id string, label string, kind string, text string, importance double, title string", *e)
+    said = rows_of(spark, "project_id string, page_index int, seg_seq int, text string, element_refs array<string>", *s)
+    return df, said
+
+
+def test_what_sentences_point_at(spark):
+    elements = [
+        ("head", "title", "Deckwide", 0.9), ("same", "subtitle", "The title", 0.8), ("pic", "image", "", 0.4), ("dup", "paragraph", "1", 0.5), ("dup", "paragraph", "Revenue by quarter", 0.5),
+        (None, "bullet", "Cost", 0.6), (None, "bullet", "Revenue by year", 0.7),
+    ]
+    sentences = [
+        ("nothing", ["e1", "pic"]),  # a heading is passed over, a picture without words isn't one
+        ("nothing", ["dup"]),  # a label means its first element, which can't be pointed at
+        ("Our Revenue grew", []), ("the Cost of it", ["none"]), ("so The title says", []), ("and Deckwide", []), ("Rev", []), ("", []),
+    ]
+    got = {r.seg_seq: r.element_id for r in attention.resolve_targets(*reversed(page_of(spark, elements, sentences))).collect()}
+    assert got == {1: "e3", 3: "e7", 4: "e6", 5: "e2"}
+
+
+def test_a_long_page_has_no_product_of_sentences_and_elements(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(5000)]
+    elements = [(None, "bullet", w, 0.5) for w in words]
+    sentences = [(f"about {words[(i * 7) % 5000]} here", []) for i in range(5000)]
+    df, said = page_of(spark, elements, sentences)
+    got = attention.resolve_targets(said, df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and not re.search(r"(?<!array_)contains\(", plan.lower())
+    found = {r.seg_seq: int(r.element_id[1:]) for r in got.collect()}
+    first = {}
+    for i, w in enumerate(words, 1):
+        first.setdefault(w[:6], i)
+    assert all(found[i + 1] <= (i * 7) % 5000 + 1 for i in range(5000)) and len(found) == 5000
+    assert sum(found[i + 1] == first[words[(i * 7) % 5000][:6]] for i in range(5000)) > 4990
+
+
+def test_an_arm_that_is_asked_for_is_never_replaced(spark):
+    from deckloom.operators import runs
+
+    arms = rows_of(spark, "name string, position int, available boolean, behind_flag boolean", ("new", 1, True, True), ("old", 2, True, False), ("video", 3, False, False))
+    keys = rows_of(spark, "key string, preference string", ("a", "new"), ("b", "video"), ("c", "film"), ("d", "auto"))
+    got = lambda adapters, percent: {r.key: (r.arm, r.reason) for r in runs.choose_arm(keys, adapters, "f", percent).collect()}
+    assert got(arms, 0) == {"a": ("new", None), "b": (None, "not available"), "c": (None, "unknown"), "d": ("old", None)}
+    assert got(arms, 100)["d"] == ("new", None)
+    assert got(arms.filter("name <> 'old'"), 0)["d"] == (None, "no arm is available")
+
+
+def test_pages_that_messages_name(spark):
+    rows = {
+        "第5~8页重点讲，关键数据出现时放大": [5, 6, 7, 8], "第3页和第 12 頁": [3, 12], "第5~6页，第9页": [5, 6], "第8到6页": [], "tel 030-99999999999": [],
+        "第 99999999999 页": [], "第1到20000000页": list(range(1, 10_000)), "2024-2026": [], "ids 1-20000000": [], "2至4页": [2, 3, 4], "": [], None: [],
+    }
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert [r.p for r in df.select(intent.page_mentions(F.col("t")).alias("p")).collect()] == list(rows.values())
+    assert df.select(intent.page_mentions(F.col("t"), 7).alias("p")).first().p == [5, 6, 7]
+
+
+MESSAGE = "project_id string, message_id int, text string"
+NOW = "project_id string, style string, tone string, audience string, speech_rate double, duration int, emphasis_pages array<int>"
+
+
+def test_wishes_of_messages(spark):
+    said = ["帮我生成一个8分钟的产品讲解视频，面向企业客户，专业一点", "第5~8页重点讲，关键数据出现时放大", "再短一点吧", "详细讲第 3 页", "第 3 页"]
+    now = rows_of(spark, NOW, ("p", "tech", "旧", "投资人", 1.0, 300, [9]))
+    got = intent.parse_intent(rows_of(spark, MESSAGE, *[("p", i, t) for i, t in enumerate(said)]), now).collect()
+    r = {x.message_id: x for x in got}
+    assert (r[0].duration, r[0].audience, r[0].style, r[0].tone) == (480, "企业客户", "professional", "清晰、稳重")
+    assert (r[1].emphasis_pages, r[1].zoom_on_key_data) == ([5, 6, 7, 8, 9], True)
+    assert (r[2].duration, r[2].audience, r[2].style, r[2].emphasis_pages) == (300, "投资人", "tech", [9])
+    assert (r[3].emphasis_pages, r[4].emphasis_pages) == ([3, 9], [9])
+
+
+def test_edits_of_messages(spark):
+    scenes = rows_of(spark, "project_id string, source_page int, scene_id string", ("p", 1, "scene_01"), ("p", 7, "scene_07"))
+    now = rows_of(spark, NOW, ("p", "tech", "", "", 1.0, 480, None))
+    said = ["第7页太长了，压缩到20秒", "压缩到6分钟", "声音更年轻一些", "所有关键数字都放大", "第 99999999999 页 20 秒", "第7页改成 1 分 5 秒"]
+    r = {x.message_id: x for x in intent.parse_edits(rows_of(spark, MESSAGE, *[("p", i, t) for i, t in enumerate(said)]), scenes, now).collect()}
+    assert (r[0].scene_ids, r[0].target_seconds, r[0].duration) == (["scene_07"], 20.0, 480)
+    assert (r[1].scene_ids, r[1].duration) == ([], 360)
+    assert r[2].revoice and not r[2].redirect and r[3].redirect
+    assert (r[4].scene_ids, r[4].duration) == ([], 480) and r[5].target_seconds == 65.0
+
+
+def test_lengths_of_messages(spark):
+    rows = {"7分钟": 420.0, "七分钟": 420.0, "5 分 30 秒": 330.0, "一个小时半": 5400.0, "半小时": 1800.0, "十二分半": 750.0, "半分钟": 30.0, "45秒": 45.0, "没有": None}
+    df = spark.createDataFrame([(t,) for t in rows], "t string").select(intent.stated_duration(F.col("t")).alias("s"))
+    assert [r.s for r in df.collect()] == list(rows.values())
