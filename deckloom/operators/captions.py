@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deckloom.functions.intervals import meet
 from deckloom.functions.text import stripped
 from deckloom.operators.narration import PAGE, estimate_duration, thousandths
 
@@ -163,13 +164,13 @@ def caption_times(captions: DataFrame, times: DataFrame, least: float = LEAST_CU
 def split_at_pauses(cues: DataFrame, pauses: DataFrame, audible: float = AUDIBLE, least: float = LEAST_CUE) -> DataFrame:
     """LAY-3: ``part, start, end, text``: a caption with an audible pause inside is cut at the space nearest to it.
 
-    The first pause in time counts, if it leaves ``least`` seconds on both sides; a caption without a space stays. Join is
-    by scene, then by time.
+    The first pause in time counts, if it leaves ``least`` seconds on both sides; a caption without a space stays. The join is
+    by scene and buckets of time.
     """
     key = [*PAGE, "seg_seq", "cue_seq"]
     p = pauses.filter(F.col("duration") >= audible).select(*PAGE, (F.col("end") - F.col("duration") / 2).alias("__at"))
     inside = (F.col("start") + least < F.col("__at")) & (F.col("__at") < F.col("end") - least)
-    first = cues.select(*key, "start", "end").join(p, PAGE).filter(inside).groupBy(*key).agg(F.min("__at").alias("__at"))
+    first = meet(p, cues.select(*key, "start", "end"), PAGE, "__at", "start", "end").filter(inside).groupBy(*key).agg(F.min("__at").alias("__at"))
     rows = cues.join(first, key, "left")
     share = (F.col("__at") - F.col("start")) / F.greatest(F.col("end") - F.col("start"), F.lit(0.001))
     places = F.filter(F.sequence(F.lit(0), F.length("text") - 1), lambda i: F.substring(F.col("text"), i + 1, F.lit(1)) == " ")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deckloom.functions.text import stripped
+from deckloom.sources.shared import stored
+from deckloom.sources.versions import Versions, last_of
 
 PAGE = ["project_id", "page_index"]
 # Weight of a page's type in the speaking time.
@@ -274,6 +276,23 @@ def scenes_to_voice(scenes: DataFrame, prior: DataFrame, force: bool = False) ->
     return rows.select("project_id", "scene_id", reason.alias("reason")).filter("reason is not null")
 
 
+def voice_table(spark: SparkSession, path: str) -> Versions:
+    """TIM-9: where the fingerprints and files of recordings are kept, a version for each run."""
+    return Versions(spark, path, "project_id string, scene_id string, fingerprint string, path string")
+
+
+def voice_run(scenes: DataFrame, table: Versions, run: int, force: bool = False) -> DataFrame:
+    """TIM-9: the scenes that run number ``run`` must record after all runs before it; then the run's recordings are kept.
+
+    ``scenes`` have ``fingerprint`` and ``path``, the file that there will be (null: it gets lost). Run again under its number,
+    a run gives the same rows and keeps the same.
+    """
+    before = last_of(table.rows().filter(F.col("version") < run), "project_id")
+    todo = stored(scenes_to_voice(scenes, before, force), "to-voice")
+    table.put(scenes.select("project_id", "scene_id", "fingerprint", "path"), run)
+    return todo
+
+
 def longest_unbroken(pauses: DataFrame, scenes: DataFrame) -> DataFrame:
     """TIM-10: ``longest``: the longest stretch between 0, the middles of pauses and the scene's end."""
     marks = scenes.select(*PAGE, F.lit(0.0).alias("at")).unionByName(scenes.select(*PAGE, F.col("duration").alias("at")))

@@ -89,12 +89,32 @@ def run_result(runs: DataFrame, scenes: DataFrame) -> DataFrame:
     return rows.join(made, "project_id", "left").fillna({"scene_count": 0})
 
 
-def project_overview(scenes: DataFrame, actions: DataFrame) -> DataFrame:
-    """VW-6: one text for each project: a line for each scene with its page, seconds and moves at targets."""
-    aimed = actions.filter("target is not null")
+def project_overview(scenes: DataFrame, actions: DataFrame, decks: DataFrame) -> DataFrame:
+    """VW-6: ``project_id, overview``: one text for each of ``decks``: what it is, how long, how good, how its last run went, a
+    line for each scene with its page, seconds and moves at targets and the beginning of its script, and the findings.
+
+    ``decks`` have ``status, file, title, topic, target, output_path, score, dimensions`` (``name, score``), ``run_s, degraded`` and
+    ``findings`` (``severity, scene_id, message``, in order). Without a score, a run, scenes or findings their lines are missing.
+    """
+    aimed = actions.filter("target <> ''")
     moves = F.array_sort(F.collect_list(F.struct("at", F.format_string("%s@%.1fs", "type", "at").alias("t"))))
     said = aimed.groupBy("project_id", "scene_id").agg(F.array_join(F.transform(moves, lambda m: m["t"]), "、").alias("__m"))
     rows = scenes.join(said, ["project_id", "scene_id"], "left")
-    line = F.format_string("%s p%d %.1fs 动作：%s", "scene_id", "source_page", "duration", F.coalesce("__m", F.lit("无")))
+    line = F.format_string("  %s  p%-3d %6.1fs  动作：%s\n      %s", "scene_id", "source_page", "duration", F.coalesce("__m", F.lit("无")), F.substring("narration", 1, 60))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("scene_seq", line.alias("l")))), lambda x: x["l"])
-    return rows.groupBy("project_id").agg(F.array_join(lines, "\n").alias("overview"))
+    told = rows.groupBy("project_id").agg(F.array_join(lines, "\n").alias("__scenes"), F.sum("duration").alias("__s"))
+    or_empty = lambda c: F.coalesce(c, F.lit(""))
+    dimensions = F.array_join(F.transform("dimensions", lambda d: F.format_string("%s %.0f", d["name"], d["score"])), "｜")
+    found = F.transform("findings", lambda f: F.format_string("  [%s] %s %s", f["severity"], F.coalesce(F.nullif(f["scene_id"], F.lit("")), F.lit("-")), or_empty(f["message"])))
+    text = F.concat_ws(
+        "\n",
+        F.format_string("工程 %s｜状态 %s｜来源 %s", "project_id", or_empty(F.col("status")), or_empty(F.col("file"))),
+        F.format_string("标题：%s｜主题：%s", or_empty(F.col("title")), or_empty(F.col("topic"))),
+        F.format_string("时长：%.1f 秒（目标 %d 秒）", F.coalesce("__s", F.lit(0.0)), "target"),
+        F.concat(F.lit("成片："), F.coalesce(F.nullif("output_path", F.lit("")), F.lit("（未生成）"))),
+        F.when(F.col("score").isNotNull(), F.format_string("质量：%.1f 分（%s）", "score", dimensions)),
+        F.when(F.col("run_s").isNotNull(), F.format_string("上次运行：%.0f 秒｜降级 %d 处", "run_s", "degraded")),
+        F.concat(F.lit("\n场景：\n"), "__scenes"),
+        F.when(F.size("findings") > 0, F.concat(F.lit("\n质检：\n"), F.array_join(found, "\n"))),
+    )
+    return decks.join(told, "project_id", "left").select("project_id", text.alias("overview"))

@@ -32,7 +32,9 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = typed_pages(spark, sf_dir).withColumn("speaker_notes", F.when(F.col("page_index") % 2 == 0, F.col("title")))
     p = p.join(narration.narration_guide(budget(spark, sf_dir)).select(*PAGE, "chars"), PAGE)
-    return drafts.prompt_batches(p, elements(spark, sf_dir), 4, 120)
+    n = F.col("doc_id")
+    decks = fixtures.table(spark, sf_dir, "documents").select(n.cast("string").alias("project_id"), F.when(n % 3 != 0, F.col("source")).alias("title"))
+    return drafts.prompt_batches(p, elements(spark, sf_dir), 4, 120, decks)
 
 
 def script_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +130,8 @@ SELECT project_id, page_index, seq, element_id || CASE WHEN seq % 5 = 0 THEN ''
   FROM typed t JOIN (SELECT project_id, page_index, floor(budget * 4.6::DOUBLE)::INT AS c FROM budgets) b ON b.project_id = t.project_id AND b.page_index = t.page_index
   LEFT JOIN lines l ON l.project_id = t.project_id AND l.page_index = t.page_index
 )
-SELECT project_id, batch::INT AS batch, printf('# 共 %d 页', any_value(n)) || chr(10) || string_agg(p, chr(10) || chr(10) ORDER BY page_index) AS prompt FROM parts GROUP BY project_id, batch""",
+SELECT project_id, batch::INT AS batch, printf('# 文档：%s（共 %d 页）', CASE WHEN any_value(doc_id) % 3 <> 0 THEN any_value(source) ELSE '未命名' END, any_value(n)) || chr(10) || chr(10) || '# 本批页面' || chr(10) || chr(10)
+  || string_agg(p, chr(10) || chr(10) ORDER BY page_index) AS prompt FROM parts JOIN documents ON doc_id::VARCHAR = project_id GROUP BY project_id, batch""",
     ),
     "doc27_script_prompts": with_ctes(
         "budgets written",

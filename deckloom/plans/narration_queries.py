@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from deckloom.operators import narration
 from deckloom.plans import fixtures
 from deckloom.plans.doc_queries import elements, typed_pages
 from deckloom.plans.fixtures import with_ctes
+from deckloom.sources.shared import shared_path, stored
 
 PAGE = ["project_id", "page_index"]
 SILENCE = 2.1
@@ -88,6 +91,17 @@ def revoice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return narration.scenes_to_voice(now, old)
 
 
+def voice_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four runs: all scenes; every third page with a new script; nothing new; another voice. Recordings of every fifth page get lost."""
+    table, parts = narration.voice_table(spark, shared_path(spark, "voice-table")), []
+    s = stored(scenes(spark, sf_dir).select("project_id", "scene_id", "source_page", "narration"), "voice-scenes")
+    for run in range(4):
+        said = F.when((F.col("source_page") % 3 == 0) & F.lit(run > 0), F.concat("narration", F.lit(" new"))).otherwise(F.col("narration"))
+        now = s.withColumns({"fingerprint": narration.voice_fingerprint(said, "say", "v2" if run == 3 else "v1", 1.0), "path": F.when(F.col("source_page") % 5 != 0, F.concat("scene_id", F.lit(".wav")))})
+        parts.append(narration.voice_run(now, table, run).withColumn("run", F.lit(run)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pauses at expected boundaries, shifted a little either way."""
     b = narration.expected_boundaries(segments(spark, sf_dir), totals(spark, sf_dir))
@@ -140,6 +154,7 @@ QUERIES = {
     "tim7_ladder": ladder,
     "tim8_shift": lambda spark, sf_dir: narration.shift_segments(narration.allocate_segments(segments(spark, sf_dir), totals(spark, sf_dir))),
     "tim9_revoice": revoice,
+    "tim9_runs": voice_runs,
     "tim10_unbroken": unbroken,
     "tim11_total": lambda spark, sf_dir: narration.total_duration(scenes(spark, sf_dir)),
 }
@@ -303,6 +318,12 @@ FROM (SELECT *, length(text) / 8.0::DOUBLE AS d, sum(length(text) / 8.0::DOUBLE
 SELECT project_id, scene_id, reason FROM (
   SELECT *, CASE WHEN source_page % 4 = 0 THEN 'new' WHEN source_page % 5 = 0 THEN 'missing' WHEN source_page % 3 = 0 AND narration <> 'old' THEN 'changed' END AS reason FROM scenes
 ) WHERE reason IS NOT NULL""",
+    ),
+    "tim9_runs": with_ctes(
+        "scenes",
+        """
+SELECT project_id, scene_id, run::INT AS run, CASE WHEN run = 0 THEN 'new' WHEN source_page % 5 = 0 THEN 'missing' ELSE 'changed' END AS reason
+FROM scenes CROSS JOIN range(4) t(run) WHERE run IN (0, 3) OR source_page % 5 = 0 OR (run = 1 AND source_page % 3 = 0)""",
     ),
     "tim10_unbroken": with_ctes("unbroken", "SELECT * FROM unbroken"),
     "tim11_total": with_ctes("scenes", "SELECT project_id, round(sum(duration), 3) AS duration FROM scenes GROUP BY project_id"),

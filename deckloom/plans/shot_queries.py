@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from deckloom.plans.attention_queries import _elements, chosen_of, titled
 from deckloom.plans.caption_queries import _recursive, cues_of
 from deckloom.plans.doc_queries import elements
 from deckloom.plans.fixtures import with_ctes
-from deckloom.sources.shared import stored
+from deckloom.sources.shared import shared_path, stored
 
 PAGE = ["project_id", "page_index"]
 
@@ -131,6 +131,16 @@ def dirty(d: Deck) -> DataFrame:
     return shots.dirty_scenes(now, old, "b")
 
 
+def runs(d: Deck) -> DataFrame:
+    """Four runs: without every fourth page; with it, and every fifth changed; the same again; all by another renderer."""
+    table, parts = shots.fingerprint_table(d.spark, shared_path(d.spark, "fingerprints")), []
+    now = stored(scenes(d).select("project_id", "scene_id", "page_index", F.sha2("visual_asset", 256).alias("fingerprint")), "run-scenes")
+    changed = now.withColumn("fingerprint", F.when(F.col("page_index") % 5 == 0, "new").otherwise(F.col("fingerprint")))
+    for run, (plans, renderer) in enumerate(((now.filter("page_index % 4 <> 0"), "a"), (changed, "a"), (changed, "a"), (changed, "b"))):
+        parts.append(shots.render_run(plans, table, run, renderer).withColumn("run", F.lit(run)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def zooms(d: Deck) -> DataFrame:
     z = shots.active_zoom(captions(d), film_moves(d))
     return z.select(*PAGE, "scene_id", "seg_seq", "cue_seq", F.round("area.x", 5).alias("x"), F.round("area.w", 5).alias("w"))
@@ -161,6 +171,7 @@ QUERIES = {
     "tl6_charts": _of_deck(charts_of_scenes),
     "tl7_fingerprints": _of_deck(fingerprints),
     "tl8_dirty": _of_deck(dirty),
+    "tl8_runs": _of_deck(runs),
     "tl9_zooms": _of_deck(zooms),
     "rev13_covers": _of_deck(covers),
 }
@@ -316,6 +327,13 @@ FROM reels r LEFT JOIN (
 SELECT project_id, scene_id, CASE WHEN project_id::BIGINT % 3 = 0 OR whole THEN 'no clips' WHEN project_id::BIGINT % 7 = 0 THEN 'renderer' WHEN page_index % 4 = 0 THEN 'new' ELSE 'changed' END AS reason
 FROM (SELECT *, bool_and(page_index % 4 = 0) OVER (PARTITION BY project_id) AS whole FROM reels)
 WHERE project_id::BIGINT % 3 = 0 OR whole OR project_id::BIGINT % 7 = 0 OR page_index % 4 = 0 OR page_index % 5 = 0""",
+    ),
+    "tl8_runs": with_ctes(
+        "reels",
+        """
+SELECT project_id, scene_id, run::INT AS run, CASE WHEN run = 3 THEN 'renderer' WHEN run = 0 OR whole THEN 'no clips' WHEN page_index % 4 = 0 THEN 'new' ELSE 'changed' END AS reason
+FROM (SELECT *, bool_and(page_index % 4 = 0) OVER (PARTITION BY project_id) AS whole FROM reels) CROSS JOIN range(4) t(run)
+WHERE run = 3 OR run = 0 AND page_index % 4 <> 0 OR run = 1 AND (page_index % 4 = 0 OR page_index % 5 = 0)""",
     ),
     "tl9_zooms": _recursive(
         "film film_cues",

@@ -9,7 +9,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from deckloom import schemas
 from deckloom.operators import ledger
 from deckloom.plans import fixtures, review_queries
 from deckloom.plans.doc_queries import typed_pages
@@ -77,7 +79,8 @@ def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as nested projects: pages with elements, and a scene with its sentences for every page."""
+    """Documents as nested projects: pages with elements, and a scene with its sentences for every page. Each is written to a
+    manifest in a folder of its own, and all are read back; the ids of every seventh are the names of their folders alone."""
     e = fixtures.elements(spark, sf_dir)
     parts = lambda *cols: F.array_sort(F.collect_list(F.struct(*cols)))
     p = e.groupBy(*PAGE).agg(F.transform(parts("seq", "element_id", "text"), lambda x: F.struct(x["element_id"].alias("element_id"), x["text"].alias("text"))).alias("elements"))
@@ -90,8 +93,12 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
         n.cast("string").alias("project_id"), F.col("lang").alias("status"), F.struct(F.format_string("%d.pdf", n).alias("file")).alias("source"), F.col("source").alias("title"),
         F.when(n % 5 != 0, F.col("n_chars").cast("string")).alias("updated_at"), F.struct(F.when(n % 3 != 0, F.format_string("%d.mp4", n)).alias("output_path")).alias("render"),
     )
-    rows = d.join(p, "project_id", "left").join(s, "project_id", "left")
-    return rows.withColumn("document", F.struct("title", "pages")).drop("title", "pages")
+    rows = d.join(p, "project_id", "left").join(s, "project_id", "left").withColumn("document", F.struct("title", "pages")).drop("title", "pages")
+    named = F.when(F.col("project_id").cast("bigint") % 7 != 0, F.col("project_id")).alias("project_id")
+    manifest = F.to_json(F.struct(named, *[c for c in rows.columns if c != "project_id"]))
+    root = shared_path(spark, "projects")
+    rows.select("project_id", manifest.alias("value")).write.partitionBy("project_id").text(root)
+    return logs.read_projects(spark, root, "*.txt")
 
 
 def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,8 +142,9 @@ QUERIES = {
     "src1_runs": run_log,
     "src2_entries": entry_log,
     "src4_catalog": lambda spark, sf_dir: logs.project_catalog(projects(spark, sf_dir)),
-    "src5_elements": lambda spark, sf_dir: logs.shred_projects(projects(spark, sf_dir))["elements"],
-    "src5_segments": lambda spark, sf_dir: logs.shred_projects(projects(spark, sf_dir))["segments"],
+    "src5_elements": lambda spark, sf_dir: logs.shred_projects(projects(spark, sf_dir))["elements"].select(*PAGE, "seq", "element_id", "text"),
+    "src5_segments": lambda spark, sf_dir: logs.shred_projects(projects(spark, sf_dir))["segments"].select("project_id", "scene_id", "seg_seq", "text"),
+    "vw8_fields": lambda spark, sf_dir: schemas.filled_fields(projects(spark, sf_dir), "project"),
     "src6_admission": admissions,
     "src7_names": file_names,
     "snk1_append": appended,
@@ -172,6 +180,24 @@ FROM documents d LEFT JOIN (SELECT project_id, count(*) AS n FROM segments GROUP
     ),
     "src5_elements": with_ctes("elements", "SELECT project_id, page_index, seq, element_id, text FROM elements"),
     "src5_segments": with_ctes("segments", "SELECT project_id, printf('scene_%02d', page_index) AS scene_id, seg_seq, text FROM segments"),
+    "vw8_fields": with_ctes(
+        "segments elements",
+        ", counts AS (SELECT "
+        + ", ".join(
+            f"{n} AS {c}"
+            for c, n in {
+                "every": "count(*)", "langs": "count(lang)", "sources": "count(source)", "dated": "count(*) FILTER (doc_id % 5 <> 0 AND n_chars IS NOT NULL)", "made": "count(*) FILTER (doc_id % 3 <> 0)",
+                "paged": "(SELECT count(DISTINCT project_id) FROM elements)", "told": "(SELECT count(DISTINCT project_id) FROM segments)",
+            }.items()
+        )
+        + " FROM documents)\n"
+        + " UNION ALL ".join(
+            f"SELECT '{p}' AS field, '{t}' AS type, "
+            + {"project_id": "every", "status": "langs", "updated_at": "dated", "source.file": "every", "document.title": "sources", "document.pages": "paged", "scenes": "told", "render.output_path": "made"}.get(p, "0::BIGINT")
+            + " AS filled FROM counts"
+            for p, t in schemas.leaves(T._parse_datatype_string(schemas.PROJECT))
+        ),
+    ),
     "src6_admission": """
 SELECT source || '/' || doc_id || ['.PDF', '.pptx', '.txt', ''][doc_id % 4 + 1] AS path, n_chars * 100000 AS length, ['pdf', 'pptx', NULL, NULL][doc_id % 4 + 1] AS type,
   CASE WHEN doc_id % 4 > 1 THEN 'unsupported type' WHEN n_chars * 100000 > 100 * 1024 * 1024 THEN 'too large' END AS reason FROM documents""",

@@ -55,8 +55,17 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decks of all documents; every third has no score, every fourth no film, every fifth no run; findings of blank frames."""
     s = scenes(spark, sf_dir).withColumn("duration", F.floor("duration").cast("double"))
-    return views.project_overview(s, actions(segments(spark, sf_dir)).withColumn("type", F.lit("zoom")))
+    n = F.col("doc_id")
+    dimensions = F.array(F.struct(F.lit("render").alias("name"), (n % 100).cast("double").alias("score")), F.struct(F.lit("pacing").alias("name"), (n % 50).cast("double").alias("score")))
+    found = review.check_blank(frames(s)).groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("scene_id", "severity", "message"))).alias("findings"))
+    decks = fixtures.table(spark, sf_dir, "documents").select(
+        n.cast("string").alias("project_id"), F.col("lang").alias("status"), F.format_string("%d.pdf", n).alias("file"), F.col("source").alias("title"), F.col("lang").alias("topic"), (60 + n % 600).cast("int").alias("target"),
+        F.when(n % 4 != 0, F.format_string("%d.mp4", n)).alias("output_path"), F.when(n % 3 != 0, n.cast("double")).alias("score"), dimensions.alias("dimensions"),
+        F.when(n % 5 != 0, (n % 90).cast("double")).alias("run_s"), (n % 4).cast("int").alias("degraded"),
+    )
+    return views.project_overview(s, actions(segments(spark, sf_dir)).withColumn("type", F.lit("zoom")), decks.join(found, "project_id", "left"))
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,12 +119,25 @@ FROM runs r JOIN (SELECT run_id, list(stage ORDER BY ts, event_id) AS stages FRO
 LEFT JOIN (SELECT project_id, count(*) AS n, sum(floor(duration_s))::BIGINT AS duration FROM runs WHERE duration_s > 5 GROUP BY project_id) p ON p.project_id = r.project_id""",
     ),
     "vw6_overviews": with_ctes(
-        "shot segments",
+        "shot segments blank_found",
         """
-SELECT s.project_id, string_agg(printf('%s p%d %.1fs 动作：%s', s.scene_id, s.source_page, floor(s.duration), coalesce(m, '无')), chr(10) ORDER BY s.scene_seq) AS overview
-FROM shot s LEFT JOIN (
-  SELECT project_id, printf('scene_%02d', page_index) AS scene_id, string_agg(printf('zoom@%.1fs', seg_seq * 1.5::DOUBLE), '、' ORDER BY seg_seq) AS m FROM segments GROUP BY ALL
-) a ON a.project_id = s.project_id AND a.scene_id = s.scene_id GROUP BY s.project_id""",
+, told AS (
+  SELECT s.project_id, sum(floor(s.duration)) AS seconds,
+    string_agg(printf('  %s  p%-3d %6.1fs  动作：%s', s.scene_id, s.source_page, floor(s.duration), coalesce(m, '无')) || chr(10) || '      ' || substr(s.narration, 1, 60), chr(10) ORDER BY s.scene_seq) AS lines
+  FROM shot s LEFT JOIN (
+    SELECT project_id, printf('scene_%02d', page_index) AS scene_id, string_agg(printf('zoom@%.1fs', seg_seq * 1.5::DOUBLE), '、' ORDER BY seg_seq) AS m FROM segments GROUP BY ALL
+  ) a ON a.project_id = s.project_id AND a.scene_id = s.scene_id GROUP BY s.project_id
+), blanks AS (
+  SELECT f.project_id, string_agg(printf('  [%s] %s %d', f.severity, f.scene_id, length(s.narration) % 120), chr(10) ORDER BY f.scene_id) AS lines
+  FROM blank_found f JOIN shot s ON s.project_id = f.project_id AND s.scene_id = f.scene_id GROUP BY f.project_id
+)
+SELECT doc_id::VARCHAR AS project_id, concat_ws(chr(10),
+  printf('工程 %d｜状态 %s｜来源 %d.pdf', doc_id, lang, doc_id), printf('标题：%s｜主题：%s', source, lang), printf('时长：%.1f 秒（目标 %d 秒）', coalesce(seconds, 0)::DOUBLE, 60 + doc_id % 600),
+  '成片：' || CASE WHEN doc_id % 4 <> 0 THEN doc_id || '.mp4' ELSE '（未生成）' END,
+  CASE WHEN doc_id % 3 <> 0 THEN printf('质量：%.1f 分（render %d｜pacing %d）', doc_id::DOUBLE, doc_id % 100, doc_id % 50) END,
+  CASE WHEN doc_id % 5 <> 0 THEN printf('上次运行：%d 秒｜降级 %d 处', doc_id % 90, doc_id % 4) END,
+  chr(10) || '场景：' || chr(10) || t.lines, chr(10) || '质检：' || chr(10) || b.lines) AS overview
+FROM documents d LEFT JOIN told t ON t.project_id = doc_id::VARCHAR LEFT JOIN blanks b ON b.project_id = doc_id::VARCHAR""",
     ),
     "led3_artifacts": with_ctes(
         "ledger",

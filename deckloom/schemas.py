@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RUN = (
@@ -50,6 +52,22 @@ PROJECT = (
 SCHEMAS = {"run": RUN, "ledger": LEDGER, "turn": TURN, "project": PROJECT}
 
 
+def leaves(schema: T.StructType, prefix: str = "") -> list[tuple[str, str]]:
+    """``(path, type)`` of each field that isn't a struct, in order; what lists and maps hold isn't taken apart."""
+    found = []
+    for field in schema.fields:
+        path = prefix + field.name
+        found += leaves(field.dataType, f"{path}.") if isinstance(field.dataType, T.StructType) else [(path, field.dataType.typeName())]
+    return found
+
+
+def filled_fields(rows: DataFrame, name: str) -> DataFrame:
+    """VW-8: ``field, type, filled``: each field of a published schema and the number of rows in which it isn't null."""
+    fields = leaves(T._parse_datatype_string(SCHEMAS[name]))
+    counts = rows.agg(F.array(*[F.struct(F.lit(p).alias("field"), F.lit(t).alias("type"), F.count(F.col(p)).alias("filled")) for p, t in fields]).alias("x"))
+    return counts.select(F.explode("x").alias("x")).select("x.*")
+
+
 def export_schemas() -> dict[str, str]:
     """Every schema as the JSON that Spark itself reads back."""
     return {name: T._parse_datatype_string(ddl).json() for name, ddl in SCHEMAS.items()}

@@ -71,11 +71,12 @@ def compactions(turns: DataFrame) -> DataFrame:
     return turns.groupBy("project_id").agg(F.count(F.when(F.col("speaker") == "summary", 1)).alias("compacted"))
 
 
-def read_projects(spark: SparkSession, root: str) -> DataFrame:
-    """Manifests ``root/*/project.json``; an id that is missing is the name of its folder, corrupt files are passed over."""
+def read_projects(spark: SparkSession, root: str, name: str = "project.json") -> DataFrame:
+    """Manifests ``root/*/name``, one file for each project, or a pattern for their names. An id that is missing is the name of its
+    folder (``key=value``, as Spark's own writers call folders, is called value); corrupt files are passed over."""
     rows = spark.read.schema(f"{PROJECT}, __corrupt string").option("multiLine", True)
-    rows = rows.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__corrupt").json(f"{root}/*/project.json")
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    rows = rows.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__corrupt").json(f"{root}/*/{name}")
+    folder = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^[^=]*=", "")
     rows = rows.withColumn("__folder", folder).filter("__corrupt is null")
     return rows.withColumn("project_id", F.coalesce("project_id", "__folder")).drop("__corrupt", "__folder")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,11 @@ class Versions:
             merge(self.rows().filter(F.col("version") <= upto)).write.mode("overwrite").parquet(f"{self.path}/snapshots/version={upto}")
 
 
+def last_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """All rows of the newest version that each key has, with their number."""
+    return rows.withColumn("__newest", F.max("version").over(Window.partitionBy(*keys))).filter(F.col("version") == F.col("__newest")).drop("__newest")
+
+
 def newest_by(rows: DataFrame, *keys: str) -> DataFrame:
     """Of the rows with equal keys, the one of the newest version, without its number."""
     others = [c for c in rows.columns if c not in (*keys, "version")]

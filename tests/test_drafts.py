@@ -65,3 +65,13 @@ def test_prompts_quote_the_nearest_written_pages(spark):
     assert "## 第 2 页｜content｜无标题｜待补写" in got[0] and "上文" not in got[0]
     alone = {r.batch: r.prompt for r in drafts.narration_prompts(pages, parts, decks).collect()}
     assert sorted(alone) == [0, 1, 2] and "待补写" not in alone[0] and drafts.FILL_IN not in alone[0]
+
+
+def test_prompts_name_their_deck(spark):
+    pages = spark.createDataFrame([("p", 1, "A", "say  this"), ("p", 2, None, None), ("q", 1, "B", "")], "project_id string, page_index int, title string, speaker_notes string")
+    parts = spark.createDataFrame([("p", 1, 1, "e1", "title", "A")], "project_id string, page_index int, seq int, element_id string, kind string, text string")
+    decks = spark.createDataFrame([("p", "Plan"), ("q", "")], "project_id string, title string")
+    got = {r.project_id: r.prompt.split("\n") for r in drafts.prompt_batches(pages, parts, decks=decks).collect()}
+    assert got["p"][:3] == ["# 文档：Plan（共 2 页）", "", "# 本批页面"] and "  - e1｜title｜A" in got["p"]
+    assert got["q"][0] == "# 文档：未命名（共 1 页）" and "（这一页没有可提取的文字，请看配图）" in got["q"]
+    assert drafts.prompt_batches(pages, parts).filter("project_id = 'p'").first().prompt.startswith("# 文档：未命名（共 2 页）")
