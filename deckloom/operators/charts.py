@@ -109,21 +109,37 @@ def merge_series(reader: DataFrame, xml: DataFrame, palette: DataFrame, charts:
     return rows.filter("points is not null")
 
 
-def axis_scale(points: DataFrame, ticks: int = 4) -> DataFrame:
-    """CH-8: ``low, high, step`` of a chart's axis: stacked series summed by category, others by value, always with 0;
-    steps are 1, 2, 5 or 10 times a power of ten. ``points`` have ``stacked, cat_idx, value``."""
-    sums = points.filter("stacked").groupBy(*CHART, "cat_idx").agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("value")).drop("cat_idx")
-    every = sums.unionByName(points.filter("not stacked and value is not null").select(*CHART, "value"))
-    rows = points.select(*CHART).distinct().join(every.groupBy(*CHART).agg(F.min("value").alias("__a"), F.max("value").alias("__b")), CHART, "left")
+def axis_scale(points: DataFrame, ticks: int = 4, declared: DataFrame | None = None) -> DataFrame:
+    """CH-8: ``axis, low, high, step`` of a chart's axes: stacked series summed by category, others by value, always with 0;
+    steps are 1, 2, 5 or 10 times a power of ten.
+
+    ``points`` have ``stacked, cat_idx, value`` and may have ``secondary``: such series have an axis of their own, and all
+    series set the primary one where none is left for it. Bounds of ``declared`` (``y_min, y_max, y2_min, y2_max``, null where
+    there is none) win over computed ones.
+    """
+    if "secondary" not in points.columns:
+        points = points.withColumn("secondary", F.lit(False))
+    chart = Window.partitionBy(*CHART)
+    second = F.coalesce("secondary", F.lit(False))
+    rows = points.withColumn("__none", F.min(second.cast("int")).over(chart) == 1)
+    axes = F.filter(F.array(F.when(~second | F.col("__none"), "primary"), F.when(second, "secondary")), lambda a: a.isNotNull())
+    rows, key = rows.withColumn("axis", F.explode(axes)), [*CHART, "axis"]
+    sums = rows.filter("stacked").groupBy(*key, "cat_idx").agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("value")).drop("cat_idx")
+    every = sums.unionByName(rows.filter("not stacked and value is not null").select(*key, "value"))
+    ends = rows.select(*key).distinct().join(every.groupBy(*key).agg(F.min("value").alias("__a"), F.max("value").alias("__b")), key, "left")
     low, high = F.least(F.lit(0.0), F.coalesce("__a", F.lit(0.0))), F.greatest(F.lit(0.0), F.coalesce("__b", F.lit(1.0)))
-    rows = rows.select(*CHART, low.alias("__low"), high.alias("__high"))
+    if declared is not None:
+        ends = ends.join(declared.select(*CHART, "y_min", "y_max", "y2_min", "y2_max"), CHART, "left")
+        of = lambda end: F.when(F.col("axis") == "primary", F.col(f"y_{end}")).otherwise(F.col(f"y2_{end}")).cast("double")
+        low, high = F.coalesce(of("min"), low), F.coalesce(of("max"), high)
+    rows = ends.select(*key, low.alias("__low"), high.alias("__high"))
     raw = (F.col("__high") - F.col("__low")) / ticks
-    size = F.pow(F.lit(10.0), F.floor(F.log10(F.when(raw > 0, raw).otherwise(1.0))))
+    size = F.pow(F.lit(10.0), F.floor(F.log10(F.when(raw == 0, 1.0).otherwise(F.abs(raw)))))
     unit = F.when(raw / size >= 5, 10.0).when(raw / size >= 2, 5.0).when(raw / size >= 1, 2.0).otherwise(1.0)
     flat, top = F.col("__low") == F.col("__high"), F.when(F.col("__high") == 0, 1.0).otherwise(F.col("__high"))
     rows = rows.withColumn("step", F.when(flat, top / ticks).otherwise(unit * size))
     edge = lambda c, f: f(F.col(c) / F.col("step")) * F.col("step")
-    return rows.select(*CHART, F.when(flat, 0.0).otherwise(edge("__low", F.floor)).alias("low"), F.when(flat, top).otherwise(edge("__high", F.ceil)).alias("high"), "step")
+    return rows.select(*key, F.when(flat, 0.0).otherwise(edge("__low", F.floor)).alias("low"), F.when(flat, top).otherwise(edge("__high", F.ceil)).alias("high"), "step")
 
 
 # Inheritance --------------------------------------------------------------------------------------------------------

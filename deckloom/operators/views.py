@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def hay(fields: list[str]) -> Column:
+    """The fields in lower case, a line each."""
+    return F.lower(F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]))
+
+
 def matches(query: str, fields: list[str]) -> Column:
     """Every word of the query stands in one of the fields, whatever its case."""
-    hay = F.lower(F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]))
     found = F.lit(True)
     for word in query.lower().split():
-        found = found & F.contains(hay, F.lit(word))
+        found = found & F.contains(hay(fields), F.lit(word))
     return found
 
 

@@ -46,7 +46,11 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return charts.axis_scale(points(spark, sf_dir).withColumn("stacked", F.col("series_no") % 2 == 0))
+    """Even series are stacked, the fifth has an axis of its own; charts with long names declare some of their bounds."""
+    p = points(spark, sf_dir).withColumns({"stacked": F.col("series_no") % 2 == 0, "secondary": F.col("series_no") == 5})
+    n = F.length("chart_id")
+    declared = p.select(*charts.CHART).distinct().withColumns({"y_min": F.when(n > 6, -1000.0), "y_max": F.when(n % 3 == 0, 7e7), "y2_min": F.lit(None).cast("double"), "y2_max": F.when(n > 7, 5e6)})
+    return charts.axis_scale(p, declared=declared)
 
 
 def inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,15 +128,22 @@ FROM (SELECT event_id, CASE k % 3 WHEN 0 THEN floor(duration_s * 100) WHEN 1 THE
     "ch8_scale": with_ctes(
         "points",
         """
-, every AS (
-  SELECT chart_id, sum(coalesce(value, 0)) AS v FROM points WHERE series_no % 2 = 0 GROUP BY chart_id, cat_idx
-  UNION ALL SELECT chart_id, value FROM points WHERE series_no % 2 = 1 AND value IS NOT NULL
-), ends AS (SELECT chart_id, least(0, min(v))::DOUBLE AS a, greatest(0, max(v))::DOUBLE AS b FROM every GROUP BY chart_id),
+, sides AS (
+  SELECT *, 'primary' AS axis FROM (SELECT *, bool_and(series_no = 5) OVER (PARTITION BY chart_id) AS alone FROM points) WHERE series_no <> 5 OR alone
+  UNION ALL SELECT *, true, 'secondary' AS axis FROM points WHERE series_no = 5
+), every AS (
+  SELECT chart_id, axis, sum(coalesce(value, 0)) AS v FROM sides WHERE series_no % 2 = 0 GROUP BY chart_id, axis, cat_idx
+  UNION ALL SELECT chart_id, axis, value FROM sides WHERE series_no % 2 = 1 AND value IS NOT NULL
+), ends AS (
+  SELECT chart_id, axis, CASE WHEN axis = 'primary' AND length(chart_id) > 6 THEN -1000 ELSE least(0, coalesce(min(v), 0)) END::DOUBLE AS a,
+    CASE WHEN axis = 'primary' AND length(chart_id) % 3 = 0 THEN 7e7 WHEN axis = 'secondary' AND length(chart_id) > 7 THEN 5e6 ELSE greatest(0, coalesce(max(v), 1)) END::DOUBLE AS b
+  FROM (SELECT DISTINCT chart_id, axis FROM sides) LEFT JOIN every USING (chart_id, axis) GROUP BY chart_id, axis
+),
 sized AS (SELECT *, (b - a) / 4 AS raw, pow(10.0::DOUBLE, floor(log10(CASE WHEN b > a THEN (b - a) / 4 ELSE 1 END))) AS size FROM ends),
 stepped AS (
   SELECT *, CASE WHEN a = b THEN CASE WHEN b = 0 THEN 1 ELSE b END / 4 ELSE size * CASE WHEN raw / size >= 5 THEN 10 WHEN raw / size >= 2 THEN 5 WHEN raw / size >= 1 THEN 2 ELSE 1 END END::DOUBLE AS step FROM sized
 )
-SELECT 'deck' AS project_id, chart_id, CASE WHEN a = b THEN 0 ELSE floor(a / step) * step END::DOUBLE AS low, CASE WHEN a = b THEN CASE WHEN b = 0 THEN 1 ELSE b END ELSE ceil(b / step) * step END::DOUBLE AS high, step FROM stepped""",
+SELECT 'deck' AS project_id, chart_id, axis, CASE WHEN a = b THEN 0 ELSE floor(a / step) * step END::DOUBLE AS low, CASE WHEN a = b THEN CASE WHEN b = 0 THEN 1 ELSE b END ELSE ceil(b / step) * step END::DOUBLE AS high, step FROM stepped""",
     ),
     "ch9_inherited": with_ctes(
         "stage_events",

@@ -67,7 +67,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's key points are the beginnings of its lines; every third page has none, but a summary."""
     p = typed_pages(spark, sf_dir)
-    points = F.transform(F.filter(F.split("raw_text", "\n"), lambda t: t != ""), lambda t: F.substring(t, 1, 12))
+    points = F.filter(F.split("raw_text", "\n"), lambda t: t != "")
     p = p.withColumns({"key_points": F.when(F.col("page_index") % 3 == 0, F.array().cast("array<string>")).otherwise(points), "speaker_notes": F.when(F.col("page_index") % 4 == 1, F.col("raw_text")), "summary": F.col("title")})
     return drafts.placeholder_script(p, elements(spark, sf_dir), narration.narration_guide(budget(spark, sf_dir)))
 
@@ -158,7 +158,7 @@ SELECT project_id, batch::INT AS batch, printf('# 文档：%s（共 %d 页）',
 )
 SELECT b.project_id, batch::INT AS batch, concat_ws(chr(10), '# 文档：' || CASE WHEN doc_id % 3 <> 0 THEN source ELSE '未命名' END, '主题：' || lang, '整体摘要：（无）', '', '# 观众与风格', '受众：all', '风格：' || CASE WHEN doc_id % 2 = 0 THEN 'plain' ELSE 'x' END,
   '语气：calm', '额外要求：' || CASE WHEN doc_id % 7 = 0 THEN 'short' ELSE '（无）' END, '', CASE WHEN part THEN '{drafts.FILL_IN}' END,
-  printf('# 上文（第 %d 页，已写好，结尾）', back) || chr(10) || x.narration || chr(10), printf('# 下文（第 %d 页，已写好，开头）', fore) || chr(10) || {_SHORT.format(c="y.narration", n=200)} || chr(10),
+  printf('# 上文（第 %d 页，已写好，结尾）', back) || chr(10) || CASE WHEN length(x.narration) <= 200 THEN x.narration ELSE '…' || right(x.narration, 200) END || chr(10), printf('# 下文（第 %d 页，已写好，开头）', fore) || chr(10) || {_SHORT.format(c="y.narration", n=200)} || chr(10),
   printf('# 页面（全文第 %d 页起，共 %d 页）', i, all_pages), p) AS prompt
 FROM batches b JOIN documents d ON d.doc_id::VARCHAR = b.project_id LEFT JOIN written x ON x.project_id = b.project_id AND x.page_index = back LEFT JOIN written y ON y.project_id = b.project_id AND y.page_index = fore""",
     ),
@@ -169,7 +169,7 @@ SELECT doc_id, CASE WHEN doc_id % 6 <= 2 THEN lang || doc_id WHEN doc_id % 6 = 3
         "budgets",
         f"""
 , opened AS (
-  SELECT t.project_id, t.page_index, t.title, t.raw_text, b.chars, CASE WHEN t.page_index % 3 = 0 THEN [] ELSE list_transform(list_filter(string_split(t.raw_text, chr(10)), lambda x : x <> ''), lambda x : substr(x, 1, 12)) END AS points,
+  SELECT t.project_id, t.page_index, t.title, t.raw_text, b.chars, CASE WHEN t.page_index % 3 = 0 THEN [] ELSE list_transform(list_filter(string_split(t.raw_text, chr(10)), lambda x : x <> ''), lambda x : x) END AS points,
     replace(CASE WHEN page_type = 'cover' THEN '{drafts.COVER_LINE}' ELSE CASE (row_number() OVER (PARTITION BY t.project_id ORDER BY t.page_index) - 1) % 5 {_OPEN} END END, '%s', CASE WHEN title = '' THEN '第 ' || t.page_index || ' 页' ELSE title END) AS line
   FROM typed t JOIN (SELECT project_id, page_index, floor(budget * 4.6::DOUBLE)::INT AS chars FROM budgets) b ON b.project_id = t.project_id AND b.page_index = t.page_index
 ), pointed AS (

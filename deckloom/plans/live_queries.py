@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckloom.operators import intent, views
+from deckloom.operators import catalog_index, intent, views
 from deckloom.plans import fixtures
 from deckloom.plans.doc_queries import typed_pages
 from deckloom.plans.fixtures import with_ctes
@@ -74,7 +74,14 @@ def diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intent.intent_diff(d, new, fields)
 
 
+def indexed(spark: SparkSession, sf_dir: str, fields: list[str]) -> tuple[catalog_index.Index, DataFrame]:
+    c = catalog(spark, sf_dir)
+    return catalog_index.build_index(c, fields, "key", shared_path(spark, "catalog-index")), c
+
+
 QUERIES = {
+    "vw7_indexed": lambda spark, sf_dir: catalog_index.indexed_search(*indexed(spark, sf_dir, ["title", "lang"]), "THE ion en"),
+    "vw9_indexed": lambda spark, sf_dir: catalog_index.indexed_facets(*indexed(spark, sf_dir, ["title"]), "tion e", "lang"),
     "str1_job_state": job_state,
     "str2_run_counters": counters,
     "str2_run_totals": lambda spark, sf_dir: jobs.totals(run_counts(spark, sf_dir)),
@@ -104,6 +111,13 @@ _CATALOG = """
 SELECT page_id AS key, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang, page_id % 10 = 0 AS installed FROM pages
 """
 SQL = {
+    "vw7_indexed": f"""
+SELECT key, title, lang, installed, total, matched
+FROM (SELECT *, count(*) OVER () AS total, count(*) FILTER (hit) OVER () AS matched
+  FROM (SELECT *, contains(lower(title || chr(10) || lang), 'the') AND contains(lower(title || chr(10) || lang), 'ion') AND contains(lower(title || chr(10) || lang), 'en') AS hit FROM ({_CATALOG})))
+WHERE hit ORDER BY installed DESC, key LIMIT 20
+""",
+    "vw9_indexed": f"SELECT lang, count(*) AS n FROM ({_CATALOG}) WHERE contains(lower(title), 'tion') AND contains(lower(title), 'e') GROUP BY lang",
     "str1_job_state": with_ctes("stage_events", _STATE),
     "str2_run_counters": with_ctes(
         "stage_events",

@@ -48,7 +48,7 @@ def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts for all pages, those of every third and fourth blank, and for a page that isn't there."""
     s = scripts(spark, sf_dir)
-    text = F.when(F.col("page_index") % 3 == 0, "").when(F.col("page_index") % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), F.substring("narration", 1, 40)))
+    text = F.when(F.col("page_index") % 3 == 0, "").when(F.col("page_index") % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), "narration"))
     ghost = s.select("project_id").distinct().select("project_id", F.lit(999).alias("page_index"), F.lit("x").alias("narration"))
     return s.select(*PAGE, text.alias("narration")).unionByName(ghost)
 
@@ -201,7 +201,7 @@ SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY page_inde
 FROM typed
 """,
     "written": """
-SELECT project_id, page_index, CASE WHEN page_index % 4 = 0 OR page_index % 3 = 0 THEN '' ELSE trim(substr(raw_text, 1, 40), ' ' || chr(10)) END AS narration FROM typed
+SELECT project_id, page_index, CASE WHEN page_index % 4 = 0 OR page_index % 3 = 0 THEN '' ELSE trim(raw_text, ' ' || chr(10)) END AS narration FROM typed
 """,
     "weighed": f"""
 SELECT s.project_id, s.page_index, seg_seq, text, total, w, sum(w) OVER (PARTITION BY s.project_id, s.page_index ORDER BY seg_seq) AS upto,

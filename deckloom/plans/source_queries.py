@@ -111,7 +111,7 @@ def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that are encoded texts, that keep a plus, and that don't decode."""
     n = F.col("doc_id")
-    encoded = F.regexp_replace(F.url_encode(F.substring("text", 1, 40)), r"\+", "%20")
+    encoded = F.regexp_replace(F.url_encode("text"), r"\+", "%20")
     name = F.when(n % 3 == 0, encoded).when(n % 3 == 1, F.format_string("%da+b%%20c", n)).otherwise(F.format_string("%d%%FF.pdf", n))
     return fixtures.table(spark, sf_dir, "documents").select("doc_id", logs.readable_name(name).alias("name"))
 
@@ -201,7 +201,7 @@ FROM documents d LEFT JOIN (SELECT project_id, count(*) AS n FROM segments GROUP
     "src6_admission": """
 SELECT source || '/' || doc_id || ['.PDF', '.pptx', '.txt', ''][doc_id % 4 + 1] AS path, n_chars * 100000 AS length, ['pdf', 'pptx', NULL, NULL][doc_id % 4 + 1] AS type,
   CASE WHEN doc_id % 4 > 1 THEN 'unsupported type' WHEN n_chars * 100000 > 100 * 1024 * 1024 THEN 'too large' END AS reason FROM documents""",
-    "src7_names": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN substr(text, 1, 40) WHEN 1 THEN doc_id || 'a+b c' ELSE doc_id || '%FF.pdf' END AS name FROM documents",
+    "src7_names": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN doc_id || 'a+b c' ELSE doc_id || '%FF.pdf' END AS name FROM documents",
     "led7_artifacts": with_ctes(
         "shot segments",
         ", moves AS (SELECT project_id, printf('scene_%02d', page_index) AS scene_id, string_agg(printf('zoom @%.1fs', seg_seq * 1.5::DOUBLE) || CASE WHEN page_index % 2 = 0 THEN ' → ' || printf('p%02d_e%02d', page_index, seg_seq::INT) ELSE '' END, '；' ORDER BY seg_seq) AS m FROM segments GROUP BY ALL)\n"

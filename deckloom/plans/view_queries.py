@@ -51,7 +51,7 @@ def clip_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's project has a scene for every day."""
     r = fixtures.runs(spark, sf_dir)
-    return views.run_result(r, r.filter("duration_s > 5").select("project_id", F.floor("duration_s").alias("duration")))
+    return views.run_result(r, r.select("project_id", F.floor("duration_s").alias("duration")))
 
 
 def overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +116,7 @@ SELECT project_id, scene_id, source_page, title, duration, narration, CASE WHEN
         """
 SELECT r.project_id, r.run_id, r.status, s.stages, r.score AS quality, coalesce(p.n, 0) AS scene_count, p.duration
 FROM runs r JOIN (SELECT run_id, list(stage ORDER BY ts, event_id) AS stages FROM stage_events GROUP BY run_id) s USING (run_id)
-LEFT JOIN (SELECT project_id, count(*) AS n, sum(floor(duration_s))::BIGINT AS duration FROM runs WHERE duration_s > 5 GROUP BY project_id) p ON p.project_id = r.project_id""",
+LEFT JOIN (SELECT project_id, count(*) AS n, sum(floor(duration_s))::BIGINT AS duration FROM runs GROUP BY project_id) p ON p.project_id = r.project_id""",
     ),
     "vw6_overviews": with_ctes(
         "shot segments blank_found",

@@ -272,3 +272,19 @@ def test_lengths_of_messages(spark):
     rows = {"7分钟": 420.0, "七分钟": 420.0, "5 分 30 秒": 330.0, "一个小时半": 5400.0, "半小时": 1800.0, "十二分半": 750.0, "半分钟": 30.0, "45秒": 45.0, "没有": None}
     df = spark.createDataFrame([(t,) for t in rows], "t string").select(intent.stated_duration(F.col("t")).alias("s"))
     assert [r.s for r in df.collect()] == list(rows.values())
+
+
+def test_axes_of_charts(spark):
+    from deckloom.operators import charts
+
+    schema = "project_id string, chart_id string, series_no int, cat_idx int, value double, stacked boolean, secondary boolean"
+    rows = [("p", "a", 1, 0, 30.0, True, False), ("p", "a", 2, 0, 45.0, True, None), ("p", "a", 3, 0, 0.4, False, True), ("p", "b", 1, 0, 7.0, False, True), ("p", "c", 1, 0, None, False, False), ("p", "d", 1, 0, -3.0, False, False)]
+    declared = rows_of(spark, "project_id string, chart_id string, y_min double, y_max double, y2_min double, y2_max double", ("p", "d", -10.0, 10.0, None, None), ("p", "b", None, None, None, 50.0))
+    points = rows_of(spark, schema, *rows)
+    got = lambda *more: {(r.chart_id, r.axis): (r.low, r.high, r.step) for r in charts.axis_scale(points, *more).collect()}
+    assert got(4, declared) == {
+        ("a", "primary"): (0.0, 80.0, 20.0), ("a", "secondary"): (0.0, 0.4, 0.2), ("b", "primary"): (0.0, 8.0, 2.0), ("b", "secondary"): (0.0, 60.0, 20.0), ("c", "primary"): (0.0, 1.0, 0.5),
+        ("d", "primary"): (-10.0, 10.0, 10.0),
+    }
+    assert got()["d", "primary"] == (-3.0, 0.0, 1.0)
+    assert ("d", "secondary") not in got()
