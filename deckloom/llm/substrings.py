@@ -115,6 +115,7 @@ def repeated_spans(marked: DataFrame, window: int = WINDOW, period: int = PERIOD
                 pos.append(where)
             h, doc, pos = mixed(np.concatenate(found)), np.concatenate(doc), np.concatenate(pos)
             order = np.argsort(h, kind="stable")
+            place = np.argsort(order, kind="stable")  # rows are sent in the order of texts, in which they compress well
             h, doc, pos = h[order], doc[order], pos[order]
             first = _first_of_equal(h)
             group = np.cumsum(first) - 1
@@ -128,11 +129,11 @@ def repeated_spans(marked: DataFrame, window: int = WINDOW, period: int = PERIOD
             alone = mixed((doc.astype(np.uint64) << np.uint64(32)) ^ pos.astype(np.uint64) ^ (h * _SECOND))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.where(first, h, alone).view(np.int64)),
-                    batch.column("__k").take(pa.array(doc)),
-                    batch.column("__th").take(pa.array(doc)),
-                    pa.array(pos.astype(np.int32)),
-                    pa.array(known),
+                    pa.array(np.where(first, h, alone)[place].view(np.int64)),
+                    batch.column("__k").take(pa.array(doc[place])),
+                    batch.column("__th").take(pa.array(doc[place])),
+                    pa.array(pos[place].astype(np.int32)),
+                    pa.array(known[place]),
                 ],
                 names=["anchor", "k", "th", "pos", "known"],
             )
