@@ -16,6 +16,8 @@ from deckloom.llm.common import fresh, stored, table
 SEED = "mix-1"
 #: Distribution functions with more entries than this in all are joined, not broadcast (8 bytes an entry).
 BROADCAST_ENTRIES = 1_000_000
+#: Parts that the rows of a source are dealt to where its rates are not broadcast.
+SALTS = 32
 
 
 def hashed(*parts: Column | str, digits: int) -> Column:
@@ -74,15 +76,23 @@ def mix(
         raise ValueError(f"documents already have columns {sorted(clash)}; choose other names for copies and keys")
     table_of = stored(repetition(docs, weights, epochs, source_col), "repetition")
     entries = table_of.agg(F.sum(F.size("cdf"))).first()[0] or 0
-    source, cdf, draw, times = fresh(docs, "__source", "__cdf", "__u", "__n")
+    source, cdf, draw, times, salt, own = fresh(docs, "__source", "__cdf", "__u", "__n", "__salt", "__own_salt")
     rates = table_of.select(F.col("source").alias(source), F.col("cdf").alias(cdf))
+    salts = 1
     if entries <= BROADCAST_ENTRIES:
         rates = F.broadcast(rates)
+    else:  # one source may have a third of all rows, so its rows are dealt to several tasks
+        salts = SALTS
+        rates = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     doc_id = F.col(id_col).cast("string")
     u = hashed(F.lit(seed), doc_id, digits=13) / F.lit(float(1 << 52))
     # drawn before the join: the optimizer would copy the hash into the comparison with each entry otherwise
-    rows = docs.withColumn(draw, u).join(rates, F.col(source_col).eqNullSafe(F.col(source)))
-    rows = rows.withColumn(times, F.size(F.filter(cdf, lambda c: c <= F.col(draw)))).drop(source, cdf, draw)
+    rows, alike = docs.withColumn(draw, u), F.col(source_col).eqNullSafe(F.col(source))
+    if salts > 1:
+        rows = rows.withColumn(own, F.pmod(F.xxhash64(F.col(id_col), F.spark_partition_id()), F.lit(salts)).cast("int"))
+        alike &= F.col(own) == F.col(salt)
+    rows = rows.join(rates, alike)
+    rows = rows.withColumn(times, F.size(F.filter(cdf, lambda c: c <= F.col(draw)))).drop(source, cdf, draw, salt, own)
     copies = rows.filter(F.col(times) > 0).withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times)
     copies = copies.withColumn(key_col, hashed(F.lit(seed), doc_id, F.col(copy_col).cast("string"), digits=15))
     return copies.repartition(F.col(key_col)).sortWithinPartitions(key_col)

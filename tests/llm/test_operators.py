@@ -578,3 +578,14 @@ def test_open_windows_are_filled_from_the_emptiest():
     assert ids == [(i, k) for i, n in enumerate(sizes) for k in range(n)]
     own = sum(len(p[3]) for w in kept for p in before[id(w)])
     assert own > 0.6 * sum(lengths)
+
+
+def test_mixing_with_more_rates_than_are_broadcast(spark, docs, repeated, monkeypatch):
+    """The rows of a source are dealt to several tasks, and the copies are the same."""
+    for rows in (docs, repeated, docs.withColumn("doc_id", F.lit(None).cast("long"))):
+        want = sorted(map(repr, mixing.mix(rows, mixing.size_tempered(rows)).collect()))
+        monkeypatch.setattr(mixing, "BROADCAST_ENTRIES", 0)
+        mixed = mixing.mix(rows, mixing.size_tempered(rows))
+        assert sorted(map(repr, mixed.collect())) == want and mixed.columns == [*rows.columns, "copy", "shuffle_key"]
+        assert "__own_salt" in mixed._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.undo()
