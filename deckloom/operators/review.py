@@ -90,7 +90,7 @@ def check_read_aloud(scenes: DataFrame, pages: DataFrame, threshold: float = 0.7
     rows = scenes.withColumn("__said", bigrams(F.col("narration"))).join(shown, ["project_id", "source_page"])
     share = F.size(F.array_intersect("__said", "__page")) / F.nullif(F.size("__said"), F.lit(0))
     rows = rows.withColumn("__share", share).filter(F.col("__share") > threshold)
-    return _finding(rows, "warning", "read_aloud", F.format_string("%.0f%%", F.col("__share") * 100))
+    return _finding(rows, "warning", "read_aloud", F.format_string("%d%%", F.floor(F.col("__share") * 100 + 0.5)))
 
 
 def heard(scenes: DataFrame, assets: DataFrame | None, lead: float, tail: float) -> DataFrame:

@@ -248,7 +248,7 @@ WITH said AS (
   SELECT project_id, page_index, list_distinct(list_transform(range(1, length(words)), lambda i : substr(words, i, 2))) AS a,
     list_distinct(list_transform(range(1, length(page)), lambda i : substr(page, i, 2))) AS b FROM flat
 )
-SELECT project_id, 'warning' AS severity, 'read_aloud' AS kind, printf('scene_%02d', page_index) AS scene_id, printf('%.0f%%', share * 100) AS message
+SELECT project_id, 'warning' AS severity, 'read_aloud' AS kind, printf('scene_%02d', page_index) AS scene_id, printf('%d%%', floor(share * 100 + 0.5)::INT) AS message
 FROM (SELECT *, len(list_intersect(a, b)) / nullif(len(a), 0)::DOUBLE AS share FROM pairs) WHERE share > 0.72
 """,
     "dangling_found": r"""
