@@ -9,7 +9,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from deckloom import schemas
 from deckloom.operators import ledger
@@ -161,6 +160,15 @@ def _made(stage: str, label: str, kind: str, path: str, text: str, scene: str, p
 
 _HEARD = "(SELECT * FROM shot WHERE audio_path IS NOT NULL)"
 _N = "project_id::BIGINT"
+#: Fields of the published schema of a project, by type.
+PROJECT_FIELDS = {
+    "string": "project_id updated_at status source.type source.file source.path intent.audience intent.style intent.tone intent.language intent.instructions intent.voice document.title document.topic document.summary render.renderer render.status render.output_path",
+    "timestamp": "created_at",
+    "integer": "source.page_count intent.duration",
+    "array": "intent.emphasis_pages intent.skip_pages document.pages scenes",
+    "double": "intent.speech_rate",
+    "map": "intent.pronunciation render.rendered_scenes render.scene_clips",
+}
 SQL = {
     "src1_runs": with_ctes(
         "runs",
@@ -195,7 +203,8 @@ FROM documents d LEFT JOIN (SELECT project_id, count(*) AS n FROM segments GROUP
             f"SELECT '{p}' AS field, '{t}' AS type, "
             + {"project_id": "every", "status": "langs", "updated_at": "dated", "source.file": "every", "document.title": "sources", "document.pages": "paged", "scenes": "told", "render.output_path": "made"}.get(p, "0::BIGINT")
             + " AS filled FROM counts"
-            for p, t in schemas.leaves(T._parse_datatype_string(schemas.PROJECT))
+            for t, names in PROJECT_FIELDS.items()
+            for p in names.split()
         ),
     ),
     "src6_admission": """
