@@ -125,9 +125,9 @@ def test_tables_with_no_rows_nulls_and_repeats(spark, tmp_path, rows):
 
 def test_registered(spark):
     names = set(__spark_entry__.queries())
-    assert {"pipeline", *registry.queries()} <= names and len([n for n in names if n.startswith("op")]) == 10
+    assert {"pipeline", *registry.queries()} <= names and len([n for n in names if n.startswith("op")]) == 13
 
 
-def test_mixing_is_the_same_in_sql(spark):
+def test_twins_give_the_same_rows(spark):
     for name, sql in registry.oracle_sql().items():
         assert oracle.differences(spark, "/root/testdata/sf0.01", registry.queries()[name], sql) == []
