@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deckloom.functions.cells import meet_boxes
 from deckloom.functions.text import stripped
 
 FINDING = ["project_id", "severity", "kind", "scene_id", "message"]
@@ -162,7 +163,7 @@ def check_caption_cover(
 
     ``cues`` have ``page_index``; elements of importance 0.5 with a text or file count, unless the camera's zoom (of
     ``zooms``, by ``active_zoom``: ``area`` in shares of the frame) moves them off the frame. Captions that leave the
-    frame are left to REV-12. Joins are by page and caption.
+    frame are left to REV-12. Captions of a scene with one box and one zoom count once; boxes meet by page and cell of the frame.
     """
     box = subtitle_box(F.col("text"), width=width, height=height)
     c = cues.withColumn("__b", box).filter((F.col("__b.y") >= 0) & (F.col("__b.x") >= 0) & (F.col("__b.h") <= height * share))
@@ -178,7 +179,16 @@ def check_caption_cover(
         "w": F.col("w") * F.col("__k"),
         "h": F.col("h") * F.col("__k"),
     })
-    rows = c.join(e, ["project_id", "page_index"])
+    # a caption's box where it lies on the page that the camera shows, a pixel wider for what rounding may move
+    lens, back = F.struct(F.coalesce(F.col("__z.x"), F.lit(0.0)).alias("x"), F.coalesce(F.col("__z.y"), F.lit(0.0)).alias("y")), F.greatest(F.col("__z.w"), F.col("__z.h"))
+    back = F.coalesce(back, F.lit(1.0))
+    c = c.select("project_id", "page_index", "scene_id", "__b", "__z").distinct().withColumns({
+        "__x": F.col("__b.x") * back + lens["x"] * width - 1,
+        "__y": F.col("__b.y") * back + lens["y"] * height - 1,
+        "__w": F.col("__b.w") * back + 2,
+        "__h": F.col("__b.h") * back + 2,
+    })
+    rows = meet_boxes(c, e, ["project_id", "page_index"], ["__x", "__y", "__w", "__h"], ["x", "y", "w", "h"], width, height)
     zoomed = F.col("__z").isNotNull()
     push = F.least(F.lit(1.0) / F.col("__z.w"), F.lit(1.0) / F.col("__z.h"))
     moved = {
