@@ -288,3 +288,17 @@ def test_axes_of_charts(spark):
     }
     assert got()["d", "primary"] == (-3.0, 0.0, 1.0)
     assert ("d", "secondary") not in got()
+
+
+def test_guide_rounds_doubles_as_they_are_and_budgets_do_not_hang_on_the_order_of_rows(spark):
+    """26.249999999999996 and the silence are 28.349999999999998: times ten that is 283.5, though its decimal digits say less."""
+    b = spark.createDataFrame([("p", 1, 26.249999999999996)], "project_id string, page_index int, budget double")
+    got = narration.narration_guide(b).first()
+    assert (got.target_seconds, got.chars, got.page_seconds) == (26.2, 120, 28.4)
+    rows = [("p", i, t, "x" * (7 * i * i % 600)) for i, t in enumerate(["cover", "content", "chart", "content", "summary", "architecture", "content", "agenda"], 1)]
+    intents = spark.createDataFrame([("p", 100, [5])], "project_id string, duration int, emphasis_pages array<int>")
+    budgets = set()
+    for turn in range(6):
+        pages = spark.createDataFrame(rows[turn:] + rows[:turn], "project_id string, page_index int, page_type string, raw_text string").coalesce(1)
+        budgets.add(tuple(r.budget for r in narration.allocate_budget(pages, intents).orderBy("page_index").collect()))
+    assert len(budgets) == 1
