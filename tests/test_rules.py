@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -302,3 +303,12 @@ def test_guide_rounds_doubles_as_they_are_and_budgets_do_not_hang_on_the_order_o
         pages = spark.createDataFrame(rows[turn:] + rows[:turn], "project_id string, page_index int, page_type string, raw_text string").coalesce(1)
         budgets.add(tuple(r.budget for r in narration.allocate_budget(pages, intents).orderBy("page_index").collect()))
     assert len(budgets) == 1
+
+
+def test_rhythm_of_a_long_scene_is_told_in_one_pass(spark):
+    """40 000 sentences in one scene: the text was split anew for each of them."""
+    rows = [("p", "long", "一二三四五。" * 40_000), ("p", "mixed", "一。一二三四五六七八九十。一二。一二三四五六七。"), ("p", "few", "一二。一二。一二。")]
+    s = spark.createDataFrame(rows, "project_id string, scene_id string, narration string")
+    began = time.monotonic()
+    got = [(r.scene_id, r.message) for r in review.check_rhythm(s).collect()]
+    assert got == [("long", "40000 sentences alike")] and time.monotonic() - began < 60
