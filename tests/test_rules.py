@@ -312,3 +312,19 @@ def test_rhythm_of_a_long_scene_is_told_in_one_pass(spark):
     began = time.monotonic()
     got = [(r.scene_id, r.message) for r in review.check_rhythm(s).collect()]
     assert got == [("long", "40000 sentences alike")] and time.monotonic() - began < 60
+
+
+def test_few_beginnings_are_looked_for_without_a_row_for_each_character(spark, monkeypatch):
+    """A page with few elements never takes its sentences apart; one with many does, with the same targets."""
+    rng = random.Random(7)
+    words = ["alpha", "beta", "gam", "delta x", "ep", "zetaeta"]
+    said = [" ".join(rng.choices(words, k=6)) for _ in range(40)]
+    elements = [(f"e{i}", i, rng.choice(["title", "bullet"]), rng.choice([0.5, 0.9]), t) for i, t in enumerate(words * 3, 1)]
+    df = spark.createDataFrame([("p", 1, *e, e[0], "no title") for e in elements], "project_id string, page_index int, element_id string, seq int, kind string, importance double, text string, label string, title string")
+    s = spark.createDataFrame([("p", 1, i, t, []) for i, t in enumerate(said)], "project_id string, page_index int, seg_seq int, text string, element_refs array<string>")
+    got = lambda: sorted(map(tuple, attention.resolve_targets(s, df).collect()))
+    with monkeypatch.context() as patched:
+        patched.setattr(attention, "windows", lambda text, size: F.array(F.raise_error(F.lit("taken apart"))).cast("array<string>"))
+        few = got()
+    monkeypatch.setattr(attention, "FEW", 0, raising=False)
+    assert few and few == got()
