@@ -149,3 +149,18 @@ def test_sessions_below_the_bound_stay(spark):
 
 def test_schemas_are_spark_json():
     assert all(json.loads(x)["type"] == "struct" for x in export_schemas().values())
+
+
+def test_packed_manifests_take_few_files_and_read_as_folders_do(spark, tmp_path):
+    from deckloom.plans import source_queries
+
+    texts = {"a": '{"project_id": "x", "status": "done"}', "b": '{"status": "new"}', "c": '{"status": ', "d": ""}
+    for folder, text in texts.items():
+        (tmp_path / "folders" / folder).mkdir(parents=True)
+        (tmp_path / "folders" / folder / "project.json").write_text(text)
+    logs.pack_projects(spark.createDataFrame(list(texts.items()), "folder string, manifest string"), str(tmp_path / "packed"))
+    rows = lambda df: sorted((r.project_id, r.status) for r in df.collect())
+    got = logs.read_packed_projects(spark, str(tmp_path / "packed"))
+    assert rows(got) == rows(logs.read_projects(spark, str(tmp_path / "folders"))) == [("b", "new"), ("x", "done")]
+    df = source_queries.projects(spark, "/root/testdata/sf0.01")
+    assert df.count() == 1000 and len(df.inputFiles()) <= 100
