@@ -328,3 +328,16 @@ def test_few_beginnings_are_looked_for_without_a_row_for_each_character(spark, m
         few = got()
     monkeypatch.setattr(attention, "FEW", 0, raising=False)
     assert few and few == got()
+
+
+def test_pages_go_to_be_walked_many_at_a_time(spark):
+    """Each page was a group of its own in pandas; nodes on cycles still come last, as declared."""
+    from deckloom.operators import document
+
+    arrows = [("p", 1, 1, "b", "c"), ("p", 1, 2, "a", "b"), ("p", 1, 3, "a", "c"), ("p", 2, 1, "x", "y"), ("p", 2, 2, "y", "x"), ("p", 2, 3, "s", "t"), ("p", 2, 4, "s", "t")]
+    got = document.flow_order(spark.createDataFrame(arrows, "project_id string, page_index int, edge_seq int, source string, target string"))
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = {}
+    for r in got.orderBy("page_index", "place").collect():
+        rows.setdefault(r.page_index, []).append((r.place, r.node))
+    assert rows == {1: [(1, "a"), (2, "b"), (3, "c")], 2: [(1, "s"), (2, "t"), (3, "x"), (4, "y")]}
