@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from deckloom.functions.text import stripped
 from deckloom.operators import attention, intent, narration, review
 
 
@@ -341,3 +342,17 @@ def test_pages_go_to_be_walked_many_at_a_time(spark):
     for r in got.orderBy("page_index", "place").collect():
         rows.setdefault(r.page_index, []).append((r.place, r.node))
     assert rows == {1: [(1, "a"), (2, "b"), (3, "c")], 2: [(1, "s"), (2, "t"), (3, "x"), (4, "y")]}
+
+
+def test_ends_of_texts_are_stripped_of_white_space_of_any_script_without_a_pattern(spark):
+    every = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c,) for c in every], "c string").withColumn("t", F.concat("c", F.lit("a\u3000b"), "c"))
+    assert rows.filter(stripped(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
+    assert "regexp" not in rows.select(stripped(F.col("t")))._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_lengths_and_pages_are_read_from_messages_with_a_long_run_of_digits(spark):
+    """A number's pattern begins anew at each digit of the run; over 300,000 of them that took hours."""
+    rows = spark.createDataFrame([("5 分 30 秒，第 3 页，" + "7" * 300_000,), ("第2~3页 十二分半" + "8" * 300_000 + "y",), ("9" * 300_000,)], "text string")
+    got = rows.select(intent.stated_duration(F.col("text")).alias("s"), intent.page_mentions(F.col("text")).alias("p")).collect()
+    assert [tuple(r) for r in got] == [(330.0, [3]), (750.0, [2, 3]), (None, [])]
