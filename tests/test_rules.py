@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from deckloom.functions.text import stripped
-from deckloom.operators import attention, intent, narration, review
+from deckloom.operators import attention, captions, intent, narration, review
 
 
 def test_pages_and_readings(spark):
@@ -356,3 +356,19 @@ def test_lengths_and_pages_are_read_from_messages_with_a_long_run_of_digits(spar
     rows = spark.createDataFrame([("5 分 30 秒，第 3 页，" + "7" * 300_000,), ("第2~3页 十二分半" + "8" * 300_000 + "y",), ("9" * 300_000,)], "text string")
     got = rows.select(intent.stated_duration(F.col("text")).alias("s"), intent.page_mentions(F.col("text")).alias("p")).collect()
     assert [tuple(r) for r in got] == [(330.0, [3]), (750.0, [2, 3]), (None, [])]
+
+
+def test_boundaries_are_matched_in_rows_of_many_scenes(spark):
+    expected = spark.createDataFrame([("p", 1, 1, 1.0), ("p", 1, 2, 2.0), ("p", 2, 1, 1.0), ("q", 1, 1, 5.0), ("q", 1, 2, 6.0)], "project_id string, page_index int, seg_seq int, expected double")
+    pauses = spark.createDataFrame([("p", 1, 2.1, 0.2), ("p", 1, 1.1, 0.2), ("p", 1, 9.0, 0.2), ("p", 2, 1.5, 0.0), ("p", 2, 0.5, 0.0), ("q", 1, 5.0, 0.2)], "project_id string, page_index int, end double, duration double")
+    got = captions.match_boundaries(expected, pauses)
+    assert sorted(tuple(r) for r in got.collect()) == [("p", 1, 1, 1.0), ("p", 1, 2, 2.0), ("p", 2, 1, 0.5)]
+    assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_captions_are_cut_once_for_a_row(spark):
+    """A generator works its columns out wherever they stand: a sentence was cut into captions twice."""
+    rows = spark.createDataFrame([("p", 1, 1, "One, two; " + "x" * 60), ("p", 1, 2, "！！")], "project_id string, page_index int, seg_seq int, text string")
+    got = captions.chunk_captions(rows)
+    assert [tuple(r)[2:] for r in got.orderBy("seg_seq", "cue_seq").collect()] == [(1, 1, "One two " + "x" * 20), (1, 2, "x" * 20), (1, 3, "x" * 20), (2, 1, "！！")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
