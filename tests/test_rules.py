@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from deckloom.functions.text import stripped
 from deckloom.operators import attention, captions, intent, narration, review
+from deckloom.plans import review_queries, shot_queries
 
 
 def test_pages_and_readings(spark):
@@ -372,3 +373,21 @@ def test_captions_are_cut_once_for_a_row(spark):
     got = captions.chunk_captions(rows)
     assert [tuple(r)[2:] for r in got.orderBy("seg_seq", "cue_seq").collect()] == [(1, 1, "One two " + "x" * 20), (1, 2, "x" * 20), (1, 3, "x" * 20), (2, 1, "！！")]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_fingerprints_work_out_no_moves(spark):
+    class Still(shot_queries.Deck):
+        focus = property(lambda self: (_ for _ in ()).throw(AssertionError("moves were asked for")))
+
+    assert shot_queries.fingerprints(Still(spark, "/root/testdata/sf0.001")).count() > 0
+
+
+def test_findings_share_the_pages_of_one_deck(spark, monkeypatch):
+    """The rule on pauses read the documents again, several times, beside the pages that the others share."""
+    def never(*_):
+        raise AssertionError("pages were read again")
+
+    monkeypatch.setattr(review_queries, "texts", never)
+    monkeypatch.setattr(review_queries, "segments", never)
+    monkeypatch.setattr(review_queries, "typed_pages", never)
+    assert "monotone" in {r["kind"] for r in review_queries.findings(spark, "/root/testdata/sf0.001").select("kind").distinct().collect()}
