@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from deckloom.functions.text import stripped
-from deckloom.operators import attention, captions, intent, narration, review
+from deckloom.operators import attention, captions, document, intent, narration, review
 from deckloom.plans import review_queries, shot_queries
 
 
@@ -391,3 +391,12 @@ def test_findings_share_the_pages_of_one_deck(spark, monkeypatch):
     monkeypatch.setattr(review_queries, "segments", never)
     monkeypatch.setattr(review_queries, "typed_pages", never)
     assert "monotone" in {r["kind"] for r in review_queries.findings(spark, "/root/testdata/sf0.001").select("kind").distinct().collect()}
+
+
+def test_references_are_resolved_by_one_grouping(spark):
+    """Joins by id and by label, each sorted on both sides in one task, took memory that grew with the table."""
+    e = spark.createDataFrame([("p", 1, 1, "a", "L"), ("p", 1, 2, "b", "L"), ("p", 1, 3, "c", "b"), ("p", 2, 1, "a", None), ("p", 3, 1, "z", "z")], "project_id string, page_index int, seq int, element_id string, label string")
+    refs = spark.createDataFrame([("p", 1, "L"), ("p", 1, "L"), ("p", 1, "b"), ("p", 1, "none"), ("p", 2, "a"), ("p", 2, None), ("q", 1, "a")], "project_id string, page_index int, ref string")
+    got = document.resolve_elements(refs, e)
+    assert sorted(tuple(r) for r in got.collect()) == [("p", 1, "L", "a"), ("p", 1, "b", "b"), ("p", 2, "a", "a")]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
