@@ -10,8 +10,9 @@ from deckloom.plans import fixtures
 from deckloom.plans.caption_queries import _recursive
 from deckloom.plans.doc_queries import _CUT, elements, raw_elements, typed_pages
 from deckloom.plans.fixtures import with_ctes
-from deckloom.plans.narration_queries import budget, kept, segments
+from deckloom.plans.narration_queries import budget, budget_of, intents, kept, segments
 from deckloom.plans.review_queries import LATIN_TICS, scenes
+from deckloom.sources.shared import stored
 
 PAGE = ["project_id", "page_index"]
 
@@ -66,10 +67,11 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's key points are the beginnings of its lines; every third page has none, but a summary."""
-    p = typed_pages(spark, sf_dir)
+    p = stored(typed_pages(spark, sf_dir), "pages")
+    guide = narration.narration_guide(budget_of(p, intents(spark, sf_dir)))
     points = F.filter(F.split("raw_text", "\n"), lambda t: t != "")
     p = p.withColumns({"key_points": F.when(F.col("page_index") % 3 == 0, F.array().cast("array<string>")).otherwise(points), "speaker_notes": F.when(F.col("page_index") % 4 == 1, F.col("raw_text")), "summary": F.col("title")})
-    return drafts.placeholder_script(p, elements(spark, sf_dir), narration.narration_guide(budget(spark, sf_dir)))
+    return drafts.placeholder_script(p, elements(spark, sf_dir), guide)
 
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from deckloom.functions.text import stripped
-from deckloom.operators import attention, captions, document, intent, narration, review
+from deckloom.operators import attention, captions, document, drafts, intent, narration, review
 from deckloom.plans import review_queries, shot_queries
 
 
@@ -400,3 +400,15 @@ def test_references_are_resolved_by_one_grouping(spark):
     got = document.resolve_elements(refs, e)
     assert sorted(tuple(r) for r in got.collect()) == [("p", 1, "L", "a"), ("p", 1, "b", "b"), ("p", 2, "a", "a")]
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_placeholder_scripts_deal_texts_by_page_alone(spark):
+    pages = spark.createDataFrame([("p", n, "content", f"T{n}", [f"point {n}"], None, "s") for n in range(1, 8)], "project_id string, page_index int, page_type string, title string, key_points array<string>, speaker_notes string, summary string")
+    e = spark.createDataFrame([("p", n, 1, f"e{n}", 0.5, f"point {n}") for n in range(1, 8)], "project_id string, page_index int, seq int, element_id string, importance double, text string")
+    guide = spark.createDataFrame([("p", n, 200) for n in range(1, 8)] + [("p", 0, 200)], "project_id string, page_index int, chars int")
+    got = drafts.placeholder_script(pages, e, guide)
+    rows = {(r["page_index"], r["segment_no"]): (r["text"], r["target"]) for r in got.collect()}
+    opens = [drafts.TRANSITIONS[(n - 1) % len(drafts.TRANSITIONS)].replace("%s", f"T{n}") for n in range(1, 8)]
+    assert [rows[n, 1] for n in range(1, 8)] == [(t, None) for t in opens] and [rows[n, 2] for n in range(1, 8)] == [(f"point {n}。", f"e{n}") for n in range(1, 8)]
+    window = re.search(r"Window \[.*", got._jdf.queryExecution().optimizedPlan().toString())
+    assert "title" not in got._jdf.queryExecution().optimizedPlan().toString()[window.end() :].split("Join")[0]
