@@ -105,3 +105,23 @@ def test_searches_and_pages(spark):
     assert sorted((r.query_id, r["rank"]) for r in got) == [(q, k) for q in (0, 10) for k in (1, 2, 3)]
     pages = spark.createDataFrame([(None, None, None, "t")], "page_id long, url string, html string, text string")
     assert [tuple(r) for r in html_text.extract(pages).collect()] == [(None, None, "", 0)]
+
+
+def test_new_words_are_encoded_in_few_lines():
+    import numpy as np
+    import public_tokenizers
+
+    from deckloom.llm.tokens import WordEncoder
+
+    encoder, lines = WordEncoder(public_tokenizers.path("word_bpe_49k.json")), []
+    library = encoder.tokenizer
+
+    class Counted:
+        def encode_batch(self, batch, **how):
+            lines.extend(batch)
+            return library.encode_batch(batch, **how)
+
+    encoder.tokenizer = Counted()
+    text = " ".join(f"w{k}x{k * 7919 % 1009}" for k in range(1000))
+    (ids,) = encoder.encode([text.encode()])
+    assert np.array_equal(ids, library.encode(text, add_special_tokens=False).ids) and len(lines) <= 4
