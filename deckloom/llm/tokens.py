@@ -21,8 +21,8 @@ CACHE_BYTES = 160 << 20
 ENTRY_BYTES = 190
 #: New words that are encoded in one line, and told apart by the places of their tokens: the call costs less for each, up to about here.
 LINE_WORDS = 256
-#: A word that ends in an ASCII letter and then in punctuation; the tokenizer always splits it there.
-_TAILED = re.compile(rb"(.*[A-Za-z])([.,;:!?*$%&#]+)", re.DOTALL)
+#: Closing punctuation; the tokenizer always splits a word between an ASCII letter and these.
+_TAIL = b".,;:!?*$%&#"
 
 _WORKER: dict = {}
 
@@ -52,6 +52,11 @@ class WordEncoder:
         self.met = np.zeros(1 << 12, np.int32)
         self.flat = np.zeros(1 << 14, np.uint32)
         self.slots = self.filled = self.held = 0
+        suffix, vocabulary = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        #: Tokens that end a word of letters; none if the tokenizer doesn't mark them.
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.last[[n for token, n in vocabulary.items() if token.endswith(suffix)]] = True
 
     def _shrink(self) -> None:
         """Keep the words that most slices of text had, in half the room at most."""
@@ -82,41 +87,39 @@ class WordEncoder:
         return range(n, self.slots)
 
     def _learn(self, fresh: set[bytes]) -> None:
-        stems, tailed, plain = {}, [], set()
+        stems, tailed, heads, tails, plain = {}, [], [], [], set()
         for word in fresh:
+            stem = word.rstrip(_TAIL)
             if b"<|" in word:  # the strings of special tokens stay as they are
                 plain.add(word)
-            elif found := _TAILED.fullmatch(word):
-                tailed.append((word, found[1].lower(), found[2]))
+            elif len(stem) < len(word) and stem[-1:].isalpha():
+                tailed.append(word)
+                heads.append(stem.lower())
+                tails.append(word[len(stem) :])
             else:
                 stems[word] = word.lower()
-        plain.update(stems.values())
-        for _, stem, tail in tailed:
-            plain.add(stem)
-            plain.add(tail)
+        plain.update(stems.values(), heads, tails)
         slot = self.slot
-        unknown = list(plain.difference(slot))
+        letters, others, marked = [], [], []
+        for word in plain.difference(slot):
+            (letters if _of_letters(word) else marked if b"<|" in word else others).append(word)
+        unknown = letters + others + marked
         if unknown:
-            unknown.sort(key=lambda w: b"<|" in w)
-            flat, length = self._encoded(unknown)
-            slot.update(zip(unknown, self._append(flat, length), strict=True))
+            runs = [self._of_letters(letters), self._encoded(others, LINE_WORDS), self._encoded(marked, 1)]
+            slot.update(zip(unknown, self._append(*map(np.concatenate, zip(*runs, strict=True))), strict=True))
         before = len(slot) - len(unknown)
         slot.update(zip(stems, map(slot.__getitem__, stems.values()), strict=True))
         if tailed:
-            pair = np.array([(slot[stem], slot[tail]) for _, stem, tail in tailed], np.int64)
-            ids = self._gather(pair.ravel())
-            slot.update(zip([x[0] for x in tailed], self._append(ids, self.length[pair].sum(1)), strict=True))
+            pair = np.fromiter(map(slot.__getitem__, chain.from_iterable(zip(heads, tails, strict=True))), np.int64, 2 * len(tailed))
+            ids, length = self._gather(pair), self.length[pair].reshape(-1, 2).sum(1)
+            slot.update(zip(tailed, self._append(ids, length), strict=True))
         self.held += (len(slot) - before) * ENTRY_BYTES + sum(map(len, fresh)) + sum(map(len, unknown))
 
-    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words in a row and their number for each; words with the mark of special tokens come last.
-
-        Most of the time for a short text goes into the call, so many words are encoded as one line.
-        """
-        marked = next((i for i, w in enumerate(words) if b"<|" in w), len(words))
+    def _encoded(self, words: list[bytes], at_once: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row and their number for each. Most of the time for a short text goes into the call, so many words
+        are encoded as one line; words with the mark of special tokens go one by one."""
         ids, length = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        lines = [[w.decode() for w in words[k : min(k + LINE_WORDS, marked)]] for k in range(0, marked, LINE_WORDS)]
-        lines += [[w.decode()] for w in words[marked:]]
+        lines = [[w.decode() for w in words[k : k + at_once]] for k in range(0, len(words), at_once)]
         for line, got in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
             end = np.cumsum(np.fromiter(map(len, line), np.int64) + 1)
             at = np.fromiter((a for a, _ in got.offsets), np.int64)
@@ -124,6 +127,17 @@ class WordEncoder:
             length.append(np.bincount(np.searchsorted(end, at, side="right"), minlength=len(line)))
         return np.concatenate(ids), np.concatenate(length)
 
+    def _of_letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters alone: the tokenizer never splits these, so a word ends where a token is marked as the last
+        of one, and the places of tokens aren't asked for."""
+        lines = [b" ".join(words[k : k + LINE_WORDS]).decode() for k in range(0, len(words), LINE_WORDS)]
+        got = self.tokenizer.encode_batch(lines, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in got)])
+        ends = np.flatnonzero(self.last[ids])
+        if len(ends) != len(words) or (len(ends) and ends[-1] + 1 != len(ids)):  # a tokenizer of another kind
+            return self._encoded(words, LINE_WORDS)
+        return ids, np.diff(ends, prepend=-1)
+
     def _gather(self, slots: np.ndarray) -> np.ndarray:
         length = self.length[slots]
         ends = np.cumsum(length, dtype=np.int64)
@@ -172,6 +186,11 @@ class WordEncoder:
         return [ids[a:b] for a, b in zip(id_ends, id_ends[1:], strict=False)]
 
 
+def _of_letters(word: bytes) -> bool:
+    """If a word holds nothing but letters of ASCII and Latin-1, which no rule of Unicode takes apart."""
+    return word.isalpha() or not word.isascii() and (text := word.decode()).isalpha() and max(text) <= "\xff"
+
+
 def word_encoder(path: str) -> WordEncoder:
     """The worker's encoder for a file; tasks that follow in the same worker find its cache filled."""
     key = ("words", path)

@@ -125,3 +125,35 @@ def test_new_words_are_encoded_in_few_lines():
     text = " ".join(f"w{k}x{k * 7919 % 1009}" for k in range(1000))
     (ids,) = encoder.encode([text.encode()])
     assert np.array_equal(ids, library.encode(text, add_special_tokens=False).ids) and len(lines) <= 4
+
+
+def test_the_places_of_tokens_are_asked_for_only_where_words_are_not_letters_alone():
+    import numpy as np
+    import public_tokenizers
+
+    from deckloom.llm.tokens import WordEncoder
+
+    encoder, placed = WordEncoder(public_tokenizers.path("word_bpe_49k.json")), []
+    library = encoder.tokenizer
+
+    class Watched:
+        def __init__(self, encoding):
+            self.encoding, self.ids = encoding, encoding.ids
+
+        @property
+        def offsets(self):
+            placed.append(len(self.ids))
+            return self.encoding.offsets
+
+    class Watching:
+        def encode_batch(self, batch, **how):
+            return [Watched(x) for x in library.encode_batch(batch, **how)]
+
+    encoder.tokenizer = Watching()
+    plain = " ".join(chr(97 + k % 26) * (k % 7 + 1) + "éabßxyzÉ"[k % 8] + "Word" for k in range(600))
+    odd = "don't 's İx ﬁn ª µ क़ Ωa áb x1 Ab.,, c! é. \x1fz <|endoftext|>a ÿ 日本"
+    for text in (plain, plain + " " + odd):
+        placed.clear()
+        (ids,) = encoder.encode([text.encode()])
+        assert np.array_equal(ids, library.encode(text, add_special_tokens=False).ids)
+        assert sum(placed) < 100 and (text != plain or not placed)
