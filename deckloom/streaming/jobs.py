@@ -1,6 +1,6 @@
 """Job state and run counters kept current from streams.
 
-A stream's state lives in two places. The query keeps what it needs to go on, one small state for each job that isn't over;
+A stream's state lives in two places. The query keeps what it needs to go on, a small record for each job that isn't over;
 what readers see is a table of versions, one for each batch, which a retried batch writes over.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,13 @@ DELAY = "1 hour"
 #: Batches after which versions are folded into a snapshot.
 FOLD_EVERY = 16
 
-STATE = "status string, stage string, done int, total int, updated_at timestamp, event_id bigint"
-JOB = f"job_id string, {STATE}"
+JOB = "job_id string, status string, stage string, done int, total int, updated_at timestamp, event_id bigint"
+#: A job in the query's state: its event, and the newest time that any of its events had.
+KEPT = "job_id string, status string, stage string, done int, total int, micros bigint, event_id bigint, last bigint"
+FIELDS = [x.split()[0] for x in KEPT.split(", ")]
+#: Jobs are kept in this many groups by a hash: a call to the store takes about a millisecond, so it is made for a group and not for a
+#: job. A stream that goes on from a checkpoint needs the same number.
+GROUPS = 512
 COUNTS = "kind string, name string, value double, n bigint, failed bigint"
 
 
@@ -43,10 +49,20 @@ def job_state(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(state.alias("s")).select("job_id", "s.*")
 
 
+def latest_of(events: pd.DataFrame) -> pd.DataFrame:
+    """Of each job its latest event, or its first terminal one, with the newest time of all in ``last``."""
+    ended = events["status"].isin(TERMINAL).to_numpy()
+    sign = np.where(ended, 1, -1)
+    order = np.lexsort((sign * events["event_id"].to_numpy(), sign * events["micros"].to_numpy(), ~ended))
+    first = events.iloc[order].drop_duplicates("job_id")
+    return first.assign(last=first["job_id"].map(events.groupby("job_id")["last"].max()))
+
+
 class JobStates(StatefulProcessor):
-    """A job's state: its latest event, or its first terminal one, which no later event changes.
+    """The states of a group of jobs: of each its latest event, or its first terminal one, which no later event changes.
 
-    A timer drops the state when the watermark is ``keep_ms`` past the job's last event. An event after that is a new start.
+    A timer goes off when the watermark is ``keep_ms`` past the last event of one of the jobs, and drops those of which that is
+    true. An event after that is a new start.
     """
 
     def __init__(self, keep_ms: int):
@@ -54,27 +70,39 @@ class JobStates(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", f"{STATE}, last_ms bigint")
+        self.state = handle.getValueState("jobs", f"jobs array<struct<{KEPT.replace(' ', ':').replace(',:', ',')}>>")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        old = self.state.get()
-        last = max(int(events["ts"].iloc[-1].timestamp() * 1000), old[6] if old else 0)
-        if old:
-            before = pd.DataFrame([old[:6]], columns=["status", "stage", "done", "total", "ts", "event_id"])
-            events = pd.concat([before, events[before.columns]]).sort_values(["ts", "event_id"])
-        ends = events[events["status"].isin(TERMINAL)]
-        new = (ends.iloc[0] if len(ends) else events.iloc[-1]).to_dict()
-        values = (new["status"], new["stage"], int(new["done"]), int(new["total"]), pd.Timestamp(new["ts"]).to_pydatetime(), int(new["event_id"]))
+    def _jobs(self) -> list[tuple]:
+        found = self.state.get()
+        return [tuple(x) for x in found[0]] if found else []
+
+    def _keep(self, jobs: list[tuple]) -> None:
+        """Store the jobs, and set the group's one timer to when the first of them ends."""
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
-        self.handle.registerTimer(last + self.keep_ms)
-        self.state.update((*values, last))
-        if not old or values[5] != old[5]:
-            yield pd.DataFrame([(key[0], *values)], columns=["job_id", "status", "stage", "done", "total", "updated_at", "event_id"])
+        if jobs:
+            self.state.update((jobs,))
+            self.handle.registerTimer(min(x[-1] for x in jobs) // 1000 + self.keep_ms)
+        else:
+            self.state.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        old = self._jobs()
+        jobs = pd.DataFrame(old, columns=FIELDS)
+        for events in rows:
+            events = events.assign(last=events["micros"])[FIELDS]
+            jobs = latest_of(pd.concat([jobs, events]) if len(jobs) else events)
+        jobs = jobs.astype({"done": "Int64", "total": "Int64"})
+        plain = jobs.astype(object)
+        self._keep(list(plain.where(plain.notna(), None).itertuples(index=False, name=None)))
+        before = {x[0]: x[6] for x in old}
+        changed = [before.get(job) != number for job, number in zip(jobs["job_id"], jobs["event_id"], strict=True)]
+        if any(changed):
+            yield jobs[changed].drop(columns="last")
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.state.clear()
+        passed = timerValues.getCurrentWatermarkInMs() - self.keep_ms
+        self._keep([x for x in self._jobs() if x[-1] // 1000 > passed])
         return iter(())
 
     def close(self) -> None:
@@ -84,8 +112,11 @@ class JobStates(StatefulProcessor):
 def job_updates(events: DataFrame, keep: str = KEEP, delay: str = DELAY) -> DataFrame:
     """STR-1 on a stream: the state of each job that a batch changes, in update mode. Events have ``job_id, event_id, ts`` and so on."""
     keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
-    rows = events.select("job_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "status", "stage", F.col("done").cast("int").alias("done"), F.col("total").cast("int").alias("total"))
-    return rows.withWatermark("ts", delay).groupBy("job_id").transformWithStateInPandas(JobStates(keep_ms), outputStructType=JOB, outputMode="Update", timeMode="EventTime")
+    group = F.pmod(F.xxhash64("job_id"), F.lit(GROUPS)).cast("int").alias("jobs")
+    rows = events.select(group, "job_id", F.col("event_id").cast("bigint").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), "status", "stage", F.col("done").cast("int").alias("done"), F.col("total").cast("int").alias("total"))
+    rows = rows.withWatermark("ts", delay).withColumn("micros", F.unix_micros("ts"))
+    states = rows.groupBy("jobs").transformWithStateInPandas(JobStates(keep_ms), outputStructType=KEPT.removesuffix(", last bigint"), outputMode="Update", timeMode="EventTime")
+    return states.select("job_id", "status", "stage", "done", "total", F.timestamp_micros("micros").alias("updated_at"), "event_id")
 
 
 def job_table(spark: SparkSession, path: str) -> Versions:

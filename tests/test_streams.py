@@ -43,6 +43,26 @@ def test_a_terminal_status_stays_and_an_expired_job_begins_anew(feed):
     assert feed([event("a", 12, 200), event("c", 13, 96, "succeeded")]) == {"a": ("running", 12), "b": ("running", 6), "c": ("succeeded", 13)}
 
 
+def test_jobs_of_one_group_end_and_expire_each_on_its_own(feed, monkeypatch):
+    monkeypatch.setattr(jobs, "GROUPS", 1)
+    test_a_terminal_status_stays_and_an_expired_job_begins_anew(feed)
+
+
+def test_the_store_is_called_for_groups_not_for_jobs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "GROUPS", 3)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [event(f"j{k}", k, k % 5) for k in range(100)] + [("j7", 200, START, "failed", None, None, None)]
+    spark.createDataFrame(rows, EVENT).coalesce(1).write.parquet(str(tmp_path / "events"))
+    updates = jobs.job_updates(spark.readStream.schema(EVENT).parquet(str(tmp_path / "events")))
+    query = updates.writeStream.outputMode("update").format("memory").queryName("grouped").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark.conf.unset(provider)
+    got = {r.job_id: (r.status, r.done, r.event_id, r.updated_at) for r in spark.table("grouped").collect()}
+    assert len(got) == 100 and got["j9"][:3] == ("running", 9, 9) and got["j7"] == ("failed", None, 200, START)
+    assert query.recentProgress[0].stateOperators[0].customMetrics["numRegisteredTimers"] <= 3
+
+
 def run(number, status="succeeded"):
     stages = [("parse", float(number % 5), "done", None), ("render", float(number), "failed" if number % 4 == 0 else "done", None)]
     return f"r{number}", status, stages, [("voice", "x")] * (number % 3 == 0)
