@@ -1,6 +1,7 @@
 """Readers and writers on files, and rules on golden rows."""
 
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -78,6 +79,21 @@ def test_ledger_turns_and_appends(spark, tmp_path):
     assert {(r.project_id, r.text) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {("a", "x"), ("b", "z")}
 
 
+def test_sessions_share_folders_and_are_replaced_one_by_one(spark, tmp_path):
+    path = str(tmp_path / "t")
+    session = lambda projects, text: projects.selectExpr("cast(id as string) AS project_id", "explode(array(1, 2)) AS turn_no", "'user' AS speaker").withColumn("text", F.lit(text))
+    logs.overwrite_turns(session(spark.range(1000, numPartitions=4), "old"), path)
+    assert len(list(Path(path).glob("**/*.parquet"))) <= logs.SESSION_FOLDERS
+    before = {f for f in Path(path).glob("**/*.parquet")}
+    logs.overwrite_turns(session(spark.range(7, 9), "new").filter("project_id = '7' OR turn_no = 2"), path)
+    logs.overwrite_turns(session(spark.range(0), "none"), path)
+    rows = spark.read.parquet(path)
+    want = {(str(k), t): "new" if k in (7, 8) else "old" for k in range(1000) for t in (1, 2) if (k, t) != (8, 1)}
+    assert rows.count() == len(want) and {(r.project_id, r.turn_no): r.text for r in rows.collect()} == want
+    assert len(before & set(Path(path).glob("**/*.parquet"))) >= len(before) - 2
+    assert rows.filter(F.col("folder") == logs.session_folder(F.lit("7"))).filter("project_id = '7'").count() == 2
+
+
 def test_projects(spark, tmp_path):
     project = {
         "updated_at": "2024-02-01", "status": "done", "source": {"file": "d.pdf"}, "render": {"output_path": "o.mp4"},
