@@ -25,3 +25,17 @@ def test_artifacts_of_each_stage(spark):
     assert made("render") == [("第 2 页片段", "video", "2.mp4", "s2", 2), ("成片", "video", "out.mp4", "", None)]
     assert made("review") == [("质量分 87.5", "text", "[warning] 整体：A\n[error] s1：B", "", None)]
     assert made("upload") == []
+
+
+def test_lines_of_text_are_moved_once(spark):
+    from deckloom.operators import document
+    from deckloom.plans import doc_queries, source_queries
+
+    sf = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    made = doc_queries.typed_pages(spark, sf)
+    e = doc_queries.elements(spark, sf)
+    apart = document.classify_pages(document.page_titles(e).join(document.page_text(e), ["project_id", "page_index"]), e)
+    assert sorted(made.collect()) == sorted(apart.select(*made.columns).collect())
+    assert plan(made).count("Generate") == 1
+    assert not [f for f in source_queries.stage_artifacts(spark, sf).inputFiles() if "documents" in f]
