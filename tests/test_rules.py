@@ -1,5 +1,6 @@
 """Rules on golden rows, with Chinese text that the tables at hand don't have."""
 
+import math
 import random
 import re
 import time
@@ -412,3 +413,22 @@ def test_placeholder_scripts_deal_texts_by_page_alone(spark):
     assert [rows[n, 1] for n in range(1, 8)] == [(t, None) for t in opens] and [rows[n, 2] for n in range(1, 8)] == [(f"point {n}。", f"e{n}") for n in range(1, 8)]
     window = re.search(r"Window \[.*", got._jdf.queryExecution().optimizedPlan().toString())
     assert "title" not in got._jdf.queryExecution().optimizedPlan().toString()[window.end() :].split("Join")[0]
+
+
+def test_budgets_share_the_exact_sum_of_weights(spark):
+    """Weights whose sum, added in page order, is off by its last bit."""
+    rng = random.Random(4)
+    kinds = [k for k in narration.TYPE_WEIGHTS if k != "other"]
+    for _ in range(400):
+        rows = [("p", i, rng.choice(kinds), "x" * rng.randrange(600)) for i in range(1, 8)]
+        w = [narration.TYPE_WEIGHTS[k] * (1 + len(t) / 600) for _, _, k, t in rows]
+        in_order = 0.0
+        for x in w:
+            in_order += x
+        if in_order != math.fsum(w):
+            break
+    assert in_order != math.fsum(w)
+    pages = spark.createDataFrame(rows, "project_id string, page_index int, page_type string, raw_text string")
+    intents = spark.createDataFrame([("p", 100, [99])], "project_id string, duration int, emphasis_pages array<int>")
+    got = {r.page_index: r.budget for r in narration.allocate_budget(pages, intents, 0.0).collect()}
+    assert got == {i: max(4.0, min(75.0, 100.0 * x / math.fsum(w))) for (_, i, _, _), x in zip(rows, w, strict=True)}
