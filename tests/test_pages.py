@@ -4,8 +4,8 @@ import random
 from itertools import accumulate
 
 from deckloom.functions import arrays
-from deckloom.operators import captions, narration
-from deckloom.plans import caption_queries
+from deckloom.operators import attention, captions, narration
+from deckloom.plans import caption_queries, shot_queries
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +47,32 @@ def test_captions_are_split_where_their_page_is(spark):
     """Texts, sentences and times were stored, then captions and pauses sorted and joined four times."""
     plan = plan_of(caption_queries.split(spark, SF))
     assert "Join" not in plan and "Window" not in plan and plan.count("split(") == 3  # into lines, sentences and clauses
+
+
+def test_targets_are_found_on_pages_as_by_joins(spark, monkeypatch):
+    """Also on pages with more elements than are looked for one by one."""
+    monkeypatch.setattr(attention, "FEW", 5)
+    rng = random.Random(5)
+    said, told = [], []
+    for page in range(1, 25):
+        for seq in range(1, rng.choice([3, 6, 12]) + 1):
+            text = rng.choice(["", "Alpha beta", "alpha", "Gamma", "Agenda", "12", "delta x", "de", "Title"])
+            told.append(("p", page, seq, f"e{seq}", rng.choice([None, "e1", text[:3]]), rng.choice(["title", "image", "paragraph", "bullet"]), rng.choice([0.5, 0.6, 0.9]), text, 9.0, 8.0, "Title"))
+        for seq in range(1, 10):
+            said.append(("p", page, seq, " ".join(rng.choices(["Alpha beta", "alpha", "Gamma", "delta x", "none", "Title"], k=2)), seq * 1.0, seq + 1.0))
+    e = spark.createDataFrame(told, "project_id string, page_index int, seq int, element_id string, label string, kind string, importance double, text string, w double, h double, title string")
+    s = spark.createDataFrame(said, "project_id string, page_index int, seg_seq int, text string, start double, end double")
+    refs = F.when(F.col("seg_seq") % 2 == 0, F.array(F.lit("none"), F.format_string("e%d", "seg_seq"), F.lit("Alp"))).otherwise(F.array().cast("array<string>"))
+    want = attention.resolve_targets(s.withColumn("element_refs", refs), e)
+    held = lambda df: F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c not in (*PAGE, "title")])))
+    pages = e.groupBy(*PAGE, "title").agg(held(e).alias("elements")).join(s.groupBy(*PAGE).agg(held(s).alias("sentences")), PAGE)
+    got = attention.targets_on_pages(pages, refs).select(*PAGE, "seg_seq", "target.element_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect())) and got.count() > 60
+
+
+def test_texts_of_a_deck_move_once(spark):
+    """Elements, pages, sentences and captions were each stored and joined again for the queries on moves."""
+    deck = shot_queries.Deck(spark, SF)
+    for df in (deck.elements, deck.pages, deck.segments, deck.told, shot_queries.fingerprints(deck)):
+        plan = plan_of(df)
+        assert "Join" not in plan and "Aggregate" not in plan.replace("aggregate", "") and "Window" not in plan and "/deck-" in df.inputFiles()[0]
