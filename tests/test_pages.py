@@ -5,7 +5,7 @@ from itertools import accumulate
 
 from deckloom.functions import arrays
 from deckloom.operators import attention, captions, narration
-from deckloom.plans import caption_queries, shot_queries
+from deckloom.plans import caption_queries, review_queries, shot_queries
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +76,11 @@ def test_texts_of_a_deck_move_once(spark):
     for df in (deck.elements, deck.pages, deck.segments, deck.told, shot_queries.fingerprints(deck)):
         plan = plan_of(df)
         assert "Join" not in plan and "Aggregate" not in plan.replace("aggregate", "") and "Window" not in plan and "/deck-" in df.inputFiles()[0]
+
+
+def test_pages_read_aloud_are_compared_in_their_row(spark):
+    """Texts were joined to their neighbours', then the pairs of characters of both to each other."""
+    rows = [("p", 1, "abcdef"), ("p", 2, "xyz"), ("p", 3, "xyzx"), ("p", 5, "gap"), ("q", 3, "")]
+    found = review_queries.read_aloud(spark.createDataFrame(rows, "project_id string, page_index int, raw_text string"))
+    assert sorted((r.project_id, r.scene_id, r.message) for r in found.collect()) == [("p", "scene_02", "100%"), ("p", "scene_03", "100%")]
+    assert "Join" not in plan_of(found)
